@@ -12,6 +12,7 @@ texts are scanned whole, whatever their length.
 
 import math
 import re
+import zlib
 
 import ahocorasick
 import numpy as np
@@ -39,8 +40,10 @@ SIGNS = {"!": "i", "$": "s", "@": "a"}
 BETWEEN = re.compile(r"(?<=[a-z])[!$@](?=[a-z])")
 FOLD = str.maketrans(HOMOGLYPHS | DIGITS | {chr(0xFF01 + i - 0x21): chr(i).lower() for i in range(0x21, 0x7F)})
 
-#: A learned term stands in so many toxic training documents at least, and so much likelier in them.
-MIN_TOXIC_DOCS, MIN_LOG_ODDS = 8, 2.5
+#: A learned beginning of words has one of these lengths, explains so many toxic documents at
+#: least, and stands in at most this share of the others.
+STEMS, MIN_TOXIC_DOCS, MOST_CLEAN_SHARE, CANDIDATES = (3, 4, 5, 6, 7, 8, 9), 4, 0.03, 5000
+MIN_LOG_ODDS = 1.6
 #: The scale of the score without labels: intercept, and slope of the normalised sum.
 DEFAULT_SCALE = (-3.0, 12.0)
 
@@ -53,24 +56,26 @@ def fold(text: str) -> str:
 
 
 def automaton(weights: dict[str, float]) -> ahocorasick.Automaton:
-    """Terms by their weight, exception phrases by None. As a written 1 is read as i, terms with
-    l match with i too."""
+    """Terms by their weight, exception phrases by None. A term that ends in * is the beginning of
+    words. As a written 1 is read as i, terms with l match with i too."""
     a = ahocorasick.Automaton()
     for term, w in weights.items():
-        for form in {term, term.replace("l", "i")}:
-            a.add_word(form, (len(form), w))
+        stem = term.rstrip("*")
+        for form in {stem, stem.replace("l", "i")}:
+            a.add_word(form, (len(form), w, term != stem))
     for phrase in EXCEPTIONS:
-        a.add_word(phrase, (len(phrase), None))
+        a.add_word(phrase, (len(phrase), None, False))
     a.make_automaton()
     return a
 
 
 def hits_of(a: ahocorasick.Automaton, text: str) -> list[tuple[int, int, float]]:
-    """(start, end, weight) of the terms in a folded text that stand as words outside exceptions."""
+    """(start, end, weight) of the terms in a folded text that stand as words, or begin one if
+    they are beginnings, outside exceptions."""
     found, spared = [], []
-    for last, (n, w) in a.iter(text):
+    for last, (n, w, open_) in a.iter(text):
         start, end = last - n + 1, last + 1
-        if (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum()):
+        if (start and text[start - 1].isalnum()) or (not open_ and end < len(text) and text[end].isalnum()):
             continue
         (spared if w is None else found).append((start, end, w))
     if spared and found:
@@ -84,23 +89,40 @@ def normalised(total: float, n_chars: int) -> float:
 
 
 def learned_weights(sample: DataFrame, base=tuple(BASE_TERMS)) -> dict[str, float]:
-    """Log-odds of the words of labelled documents, counted on executors; a few hundred words at
-    most come to the driver."""
-
-    def words(batches):
+    """The base terms, and beginnings of words found in those toxic documents of the bounded
+    sample that no base term explains. The beginning that explains most of them, and hardly
+    stands in others, is taken; then the next for what is left. Weights are log-odds. Counting
+    runs on executors; at most ``CANDIDATES`` beginnings come to the driver."""
+    terms = {t: 1.0 for t in base}
+
+    def beginnings(batches):
+        a = automaton(terms)
         for batch in slices(batches):
-            labels = batch.column("label").to_pylist()
-            rows = [(w, y) for t, y in zip(plain(batch.column("text")).to_pylist(), labels) for w in set(re.findall(r"[^\W\d_]+", fold(t))) if len(w) > 2]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.int32())], ["word", "label"])
+            rows = []
+            for t, y in zip(plain(batch.column("text")).to_pylist(), batch.column("label").to_pylist()):
+                t = fold(t)
+                if y and hits_of(a, t):
+                    continue
+                found = {w[:n] for w in set(re.findall(r"[^\W\d_]+", t)) for n in STEMS if len(w) >= n}
+                rows += [(w, y, zlib.crc32(t.encode())) for w in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64()))], ["stem", "label", "doc"])
 
     of = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    weights = {t: 1.0 for t in base}
     if not of.get(0) or not of.get(1):
-        return weights
-    n = sample.mapInArrow(words, "word string, label int").groupBy("word").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
-    odds = F.log((F.col("bad") + 0.5) / (of[1] + 1)) - F.log((F.col("good") + 0.5) / (of[0] + 1))
-    top = n.withColumn("odds", odds).where((F.col("bad") >= MIN_TOXIC_DOCS) & (F.col("odds") >= MIN_LOG_ODDS)).orderBy(F.desc("odds"), "word").limit(300)
-    return weights | {r["word"]: r["odds"] / MIN_LOG_ODDS for r in top.collect()}
+        return terms
+    bad, good = F.collect_set(F.when(F.col("label") == 1, F.col("doc"))), F.count(F.when(F.col("label") == 0, 1))
+    n = sample.mapInArrow(beginnings, "stem string, label int, doc long").groupBy("stem").agg(bad.alias("docs"), good.alias("good"))
+    few = n.where((F.size("docs") >= MIN_TOXIC_DOCS) & (F.col("good") <= MOST_CLEAN_SHARE * of[0]))
+    stems = {r["stem"]: ({*r["docs"]}, r["good"]) for r in few.orderBy(F.size("docs").desc(), "stem").limit(CANDIDATES).collect()}
+    odds = lambda d, g: math.log((len(d) + 0.5) / (of[1] + 1)) - math.log((g + 0.5) / (of[0] + 1))
+    fits = lambda d, g: len(d) >= MIN_TOXIC_DOCS and odds(d, g) >= MIN_LOG_ODDS
+    while stems := {s: x for s, x in stems.items() if fits(*x)}:
+        best = max(stems, key=lambda s: (len(stems[s][0]) * odds(*stems[s]), len(s), s))
+        docs, clean = stems[best]
+        terms[best + "*"] = odds(docs, clean)
+        stems = {s: (d - docs, g) for s, (d, g) in stems.items()}
+    top = max(1.0, *(w for t, w in terms.items() if t[-1] == "*")) if any(t[-1] == "*" for t in terms) else 1.0
+    return {t: w / top if t[-1] == "*" else w for t, w in terms.items()}
 
 
 def _sums(weights):
@@ -127,11 +149,15 @@ def fitted_scale(sample: DataFrame, weights: dict[str, float]) -> tuple[float, f
     x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got])
     if len(set(y.tolist())) < 2:
         return DEFAULT_SCALE
-    f, beta = np.stack([np.ones_like(x), x], 1), np.array(DEFAULT_SCALE)
-    for _ in range(40):  # Newton steps with a ridge, which keeps separable data finite
-        p = 1 / (1 + np.exp(-f @ beta))
-        ridge = np.diag([1e-3, 1e-2])
-        beta = beta - np.linalg.solve((f * (p * (1 - p))[:, None]).T @ f + ridge, f.T @ (p - y) + ridge @ beta)
+    f, beta, ridge = np.stack([np.ones_like(x), x], 1), np.array([0.0, 0.0]), np.array([1e-3, 1e-2])
+    loss = lambda b: np.logaddexp(0, f @ b).sum() - y @ (f @ b) + (ridge * b * b).sum() / 2
+    for _ in range(50):  # Newton steps, halved until they help; the ridge keeps separable data finite
+        p = 1 / (1 + np.exp(-np.clip(f @ beta, -500, 500)))
+        step = np.linalg.solve((f * (p * (1 - p))[:, None]).T @ f + np.diag(ridge), f.T @ (p - y) + ridge * beta)
+        scale = 1.0
+        while scale > 1e-6 and loss(beta - scale * step) > loss(beta):
+            scale /= 2
+        beta = beta - scale * step
     return float(beta[0]), float(beta[1])
 
 
