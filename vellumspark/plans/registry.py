@@ -1,11 +1,14 @@
 """The queries of the engine, by name, and their SQL."""
 
+from vellumspark.plans import capture_queries, graph_queries, inventory_queries, scalar_queries, search_queries
+
 FLAGSHIP = "search_bm25"
+ALL = inventory_queries.QUERIES | capture_queries.QUERIES | scalar_queries.QUERIES | search_queries.QUERIES | graph_queries.QUERIES
 
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
