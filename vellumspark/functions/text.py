@@ -5,6 +5,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Combining marks that continue a token instead of separating two.
 TOKEN_MARKS = r"\x{0300}-\x{0304}\x{0306}-\x{030C}\x{030F}\x{0311}\x{031B}\x{0323}-\x{0328}\x{032D}\x{032E}\x{0330}\x{0331}"
@@ -25,7 +26,7 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(folded(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode normal form C; ASCII is returned as it is."""
     return text.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFC", s))

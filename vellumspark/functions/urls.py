@@ -5,6 +5,7 @@ from urllib.parse import urldefrag, urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 ABSOLUTE = r"(?i)^https?://[^/?#\s]+"
 # scheme, authority, path with query, fragment
@@ -160,7 +161,7 @@ def file_uri(path: Column, fragment: Column | None = None) -> Column:
     return uri if fragment is None else F.concat(uri, F.coalesce(F.concat(F.lit("#"), fragment), F.lit("")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolved(base: pd.Series, link: pd.Series) -> pd.Series:
     """Links against their base, without fragment; null where that fails."""
 
@@ -173,7 +174,7 @@ def resolved(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([one(b, x) for b, x in zip(base, link)], dtype=object)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def query_values(url: pd.Series, name: pd.Series) -> pd.Series:
     """All values of a query parameter, in order; repeats show."""
     from urllib.parse import parse_qs, urlsplit

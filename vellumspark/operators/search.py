@@ -44,21 +44,32 @@ def starts(array: Column, phrase: Phrase) -> Column:
     return F.array_compact(marks)
 
 
+def _window(arrays: list[list[Column]], c: int, phrase: Phrase, distance: int):
+    """Whether all phrases stand in column c within reach of a start of ``phrase``."""
+    reach = len(phrase.tokens) + distance
+    return lambda s: reduce(lambda a, b: a & b, [F.exists(o[c], lambda x: (x >= s) & (x <= s + reach)) for o in arrays])
+
+
 def near(arrays: list[list[Column]], phrases: list[Phrase], distance: int) -> Column:
     """Whether in some column all phrases stand with at most ``distance`` tokens between the end
     of the first and the start of the last. ``arrays``: starts by phrase, then by column."""
-    def clump(others: list[Column], n: int):
-        inside = lambda s: [F.exists(o, lambda x: (x >= s) & (x <= s + n + distance)) for o in others]
-        return lambda s: reduce(lambda a, b: a & b, inside(s), F.lit(True))
-
-    hits = []
-    for c in range(min(len(a) for a in arrays)):
-        for first, phrase in enumerate(phrases):
-            others = [arrays[k][c] for k in range(len(phrases)) if k != first]
-            hits.append(F.exists(arrays[first][c], clump(others, len(phrase.tokens))))
+    hits = [F.exists(arrays[j][c], _window(arrays, c, p, distance)) for c in range(min(len(a) for a in arrays)) for j, p in enumerate(phrases)]
     return reduce(lambda a, b: a | b, hits, F.lit(False))
 
 
+def near_starts(arrays: list[list[Column]], phrases: list[Phrase], distance: int, k: int, c: int) -> Column:
+    """The starts of phrase k in column c that belong to such a place."""
+
+    def counted(x: Column) -> Column:
+        def by(j: int, p: Phrase):
+            reach = len(p.tokens) + distance
+            return F.exists(arrays[j][c], lambda s: (x >= s) & (x <= s + reach) & _window(arrays, c, p, distance)(s))
+
+        return reduce(lambda a, b: a | b, [by(j, p) for j, p in enumerate(phrases)])
+
+    return F.filter(arrays[k][c], counted)
+
+
 def search(docs: DataFrame, query: str, limit: int = 10, tie: tuple = ("collection_id", "representation_id"), **filters: list) -> DataFrame:
     """The top ``limit`` documents by rank (ascending, best first), then by ``tie``.
 
@@ -71,7 +82,17 @@ def search(docs: DataFrame, query: str, limit: int = 10, tie: tuple = ("collecti
     cols = [[c for c in WEIGHTS if p.columns is None or c in p.columns] for p in q.phrases]
     at = [[starts(F.col(f"t_{c}"), p) for c in cs] for p, cs in zip(q.phrases, cols)]
     base = docs.select("*", *[F.array(*a).alias(f"_at{k}") if a else F.array(F.array().cast("array<int>")).alias(f"_at{k}") for k, a in enumerate(at)])
-    count = lambda k: sum((F.size(F.get(f"_at{k}", F.lit(i))) * w for i, w in enumerate([WEIGHTS[c] for c in cols[k]])), F.lit(0.0))
+    lists = lambda k: [F.get(f"_at{k}", F.lit(i)) for i in range(len(cols[k]))]
+    groups = {k: node for node in _near_nodes(q.tree) for k in node[1]}
+
+    def count(k: int) -> Column:
+        """Weighted occurrences; of a phrase in a NEAR group those that are near the others."""
+        found = lists(k)
+        if k in groups:
+            _, members, distance = groups[k]
+            found = [near_starts([lists(m) for m in members], [q.phrases[m] for m in members], distance, members.index(k), c) for c in range(len(found))]
+        return sum((F.size(f) * WEIGHTS[c] for f, c in zip(found, cols[k])), F.lit(0.0))
+
     has = lambda k: F.exists(f"_at{k}", lambda a: F.size(a) > 0)
 
     def matches(tree) -> Column:
@@ -81,9 +102,7 @@ def search(docs: DataFrame, query: str, limit: int = 10, tie: tuple = ("collecti
         if kind == "phrase":
             return has(tree[1])
         if kind == "near":
-            ps = [q.phrases[k] for k in tree[1]]
-            lists = [[F.get(f"_at{k}", F.lit(i)) for i in range(len(cols[k]))] for k in tree[1]]
-            return near(lists, ps, tree[2])
+            return near([lists(k) for k in tree[1]], [q.phrases[k] for k in tree[1]], tree[2])
         left, right = matches(tree[1]), matches(tree[2])
         return left | right if kind == "or" else left & ~right if kind == "not" else left & right
 
@@ -104,6 +123,12 @@ def search(docs: DataFrame, query: str, limit: int = 10, tie: tuple = ("collecti
     return joined.withColumn("rank", rank).drop(*private).orderBy("rank", *tie).limit(limit)
 
 
+def _near_nodes(tree: tuple) -> list[tuple]:
+    if tree[0] == "near":
+        return [tree]
+    return [n for part in tree[1:] if isinstance(part, tuple) for n in _near_nodes(part)]
+
+
 def snippets(hits: DataFrame, query: str, body: str = "body") -> DataFrame:
     """The found rows with a snippet of the body: up to 24 tokens where most phrases stand, phrases
     in brackets, dots where text is cut. Runs on the top rows only."""
