@@ -76,33 +76,34 @@ def breadcrumb(parts: Column) -> Column:
 
 
 # Units of byte sizes.
-UNITS = {"": 1, "K": 1024, "M": 1024**2, "G": 1024**3}
+UNITS = {"": 1, "k": 1024, "m": 1024**2, "g": 1024**3}
 
 
 def byte_size(literal: Column) -> Column:
-    """500K, 100M, 2G or plain digits as bytes; null for anything else."""
-    number, unit = F.regexp_extract(literal, r"^([0-9]{1,18})([KMG]?)$", 1), F.regexp_extract(literal, r"^([0-9]{1,18})([KMG]?)$", 2)
+    """500K, 100m, 2G or a positive number of bytes; null for anything else."""
+    pattern = r"^([1-9][0-9]{0,17})([KkMmGg]?)$"
+    number, unit = F.regexp_extract(literal, pattern, 1), F.lower(F.regexp_extract(literal, pattern, 2))
     factor = F.coalesce(*[F.when(unit == u, F.lit(f)) for u, f in UNITS.items()])
     return F.when(number != "", F.try_multiply(number.try_cast("long"), factor))
 
 
 def byte_text(size: Column) -> Column:
-    """KiB to TiB with one decimal, the unit at which the number is below 1,024."""
+    """B to TiB with one decimal, in the first unit that leaves less than 1,024."""
     out, scaled = None, size.cast("double")
     names = ["B", "KiB", "MiB", "GiB", "TiB"]
     for k, name in enumerate(names):
         value = scaled / F.lit(float(1024**k))
-        shown = F.concat(size.cast("string") if k == 0 else F.format_string("%.1f", F.bround(value, 1)), F.lit(" " + name))
+        shown = F.concat(F.format_string("%.1f", F.bround(value, 1)), F.lit(" " + name))
         fits = (scaled < F.lit(float(1024 ** (k + 1)))) | F.lit(k == len(names) - 1)
         out = F.when(fits, shown) if out is None else out.when(fits, shown)
     return F.when(size.isNotNull(), out)
 
 
 def unsafe_to_token(value: Column) -> Column:
-    """Route token: bytes other than letters, digits, dot, underscore and hyphen as ~hh."""
+    """Route token: bytes other than letters, digits and - . _ ' as ~hh."""
     data = F.transform(F.sequence(F.lit(1), F.octet_length(value)), lambda i: F.lower(F.hex(F.substr(F.encode(value, "UTF-8"), i, F.lit(1)))))
     char = lambda h: F.decode(F.unhex(h), "UTF-8")
-    one = lambda h: F.when((F.conv(h, 16, 10).cast("int") < 128) & char(F.when(F.conv(h, 16, 10).cast("int") < 128, h).otherwise("7e")).rlike("^[A-Za-z0-9._-]$"), char(h)).otherwise(F.concat(F.lit("~"), h))
+    one = lambda h: F.when((F.conv(h, 16, 10).cast("int") < 128) & char(F.when(F.conv(h, 16, 10).cast("int") < 128, h).otherwise("7e")).rlike("^[A-Za-z0-9._'-]$"), char(h)).otherwise(F.concat(F.lit("~"), h))
     return F.when(F.octet_length(value) == 0, F.lit("")).otherwise(F.array_join(F.transform(data, one), ""))
 
 
@@ -117,6 +118,6 @@ def percent_encoded(value: Column, safe: str = "-._~") -> Column:
 
 
 def access_id(collection: Column, kind: Column, value: Column | None = None) -> Column:
-    """tp:collection/kind, or with a third part, each percent-encoded."""
-    parts = [F.lit("tp:"), percent_encoded(collection), F.lit("/"), percent_encoded(kind)]
-    return F.concat(*parts, *([F.lit("/"), percent_encoded(value)] if value is not None else []))
+    """tp:collection/kind, and a third part if there is a value; null for an unusable kind."""
+    tail = F.lit("") if value is None else F.when(F.coalesce(value, F.lit("")) == "", "").otherwise(F.concat(F.lit("/"), percent_encoded(value)))
+    return F.when(kind.rlike("^[a-z][a-z0-9_-]*$"), F.concat(F.lit("tp:"), percent_encoded(collection), F.lit("/"), kind, tail))

@@ -27,6 +27,7 @@ def surt(url: Column) -> Column:
     authority, rest = F.regexp_extract(url, PARTS, 2), F.regexp_extract(url, PARTS, 3)
     name = F.lower(F.regexp_extract(authority, r"^(?:[^@]*@)?([^:]*)", 1))
     port = F.regexp_extract(authority, r"(:[0-9]+)$", 1)
+    rest = F.regexp_replace(rest, r"\?$", "")
     path = F.when(rest == "", "/").when(rest.startswith("?"), F.concat(F.lit("/"), rest)).otherwise(rest)
     return F.concat(F.array_join(F.reverse(F.split(name, r"\.")), ","), port, F.lit(")"), path)
 
@@ -96,8 +97,8 @@ def safe_archive_member(path: Column) -> Column:
 
 def access_id_valid(value: Column) -> Column:
     """tp: identifier with upper-case percent escapes, of at most 2,048 characters."""
-    part = r"(?:[A-Za-z0-9._~-]|%[0-9A-F]{2})+"
-    return value.rlike(rf"^tp:{part}(?:/{part}){{1,2}}$") & (F.length(value) <= 2048)
+    part = r"(?:[A-Za-z0-9._~'-]|%[0-9A-F]{2})+"
+    return value.rlike(rf"^tp:{part}/[a-z][a-z0-9_-]*(?:/{part})?$") & (F.length(value) <= 2048)
 
 
 CAPTURE_ID = r"^(\d{8}T\d{6}Z)-[a-z0-9]+(?:-[a-z0-9]+)*$"
@@ -115,7 +116,7 @@ def host_valid(value: Column) -> Column:
 
 
 def safe_id(value: Column) -> Column:
-    return value.rlike(r"^[a-z0-9][a-z0-9-]*$")
+    return value.rlike(r"^[a-z0-9](?:[a-z0-9._-]{0,62}[a-z0-9])?$")
 
 
 def is_warc_name(path: Column) -> Column:
@@ -123,16 +124,16 @@ def is_warc_name(path: Column) -> Column:
 
 
 def is_transient(name: Column) -> Column:
-    return name.isin("__pycache__", ".DS_Store", ".git", ".pytest_cache") | name.rlike(r"(\.py[co]|\.swp|~)$")
+    return (name == ".DS_Store") | name.rlike(r"[^.].*\.py[co]$")
 
 
 def media_type(name: Column) -> Column:
     """By ending; longer endings are asked first."""
     # Endings and their media types.
-    endings = [(".warc.gz", "application/warc"), (".cdx.gz", "application/x-cdx"), (".gz", "application/gzip"), (".zip", "application/zip"), (".xml", "application/xml"), (".json", "application/json"), (".sqlite", "application/vnd.sqlite3"), (".torrent", "application/x-bittorrent"), (".html", "text/html"), (".txt", "text/plain")]
+    endings = [(".warc.gz", "application/warc+gzip"), (".gz", "application/gzip"), (".xml", "application/xml"), (".sqlite", "application/vnd.sqlite3"), (".torrent", "application/x-bittorrent")]
     out = None
     for end, kind in endings:
-        hit = F.lower(name).endswith(end)
+        hit = name.endswith(end)
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
     return out.otherwise("application/octet-stream")
 

@@ -23,25 +23,43 @@ def conflicting_directories(captures: DataFrame) -> DataFrame:
     return captures.groupBy("capture_id").agg(F.count_distinct("directory").alias("n")).where("n > 1")
 
 
-def source_status(exit_code: Column, payload: Column, warnings: Column) -> Column:
-    """success, partial or failed: by exit code, whether there is a payload, and warnings."""
-    return F.when((exit_code == 0) & payload, F.when(warnings > 0, "partial").otherwise("success")).when(payload, "partial").otherwise("failed")
+# Statuses that count as success.
+SUCCESS = ["complete", "complete_with_warnings"]
+
+
+def source_status(failed_codes: Column, payload: Column, warnings: Column) -> Column:
+    """Of one source: without failed exit codes complete if anything was kept, with warnings if
+    there are any; with failed codes partial if anything was kept; else failed."""
+    fine = F.when(warnings > 0, "complete_with_warnings").otherwise("complete")
+    return F.when(payload & (failed_codes == 0), fine).when(payload, "partial").otherwise("failed")
+
+
+def has_payload(mirror_files: Column, warc_evidence: Column, old_files: Column, old_bytes: Column) -> Column:
+    """Whether a result kept anything: mirrored files or proven web records; results of the first
+    schema have only counters of downloads."""
+    new = mirror_files.isNotNull() | warc_evidence.isNotNull()
+    return F.when(new, (F.coalesce(mirror_files, F.lit(0)) > 0) | F.coalesce(warc_evidence, F.lit(False))).otherwise((F.coalesce(old_files, F.lit(0)) > 0) | (F.coalesce(old_bytes, F.lit(0)) > 0))
+
+
+def warc_evidence(containers: Column, indexed: Column, probed: Column) -> Column:
+    """Whether web records are proven: by the index where its count is known, else by a probe."""
+    return F.when(indexed.isNotNull(), (containers > 0) & (indexed > 0)).otherwise((containers > 0) & F.coalesce(probed, F.lit(False)))
 
 
 def capture_status(results: DataFrame, capture: str = "capture_id") -> DataFrame:
-    """Status of each capture from its sources' status and required columns: complete if all
-    succeeded; with a required source that failed it is failed, or partial if anything was kept."""
-    any_content = F.bool_or(F.col("status").isin("success", "partial"))
-    required_ok = F.coalesce(F.bool_and(F.when(F.col("required"), F.col("status") == "success")), F.lit(True))
-    all_ok = F.bool_and(F.col("status") == "success")
-    status = F.when(all_ok, "complete").when(required_ok & any_content, "complete_with_warnings").when(any_content, "partial").otherwise("failed")
+    """Status of each capture from its sources' status, required and payload columns. Failures of
+    required sources dominate: partial if one of them is partial or anything was kept, else failed.
+    Otherwise anything short of complete leaves warnings."""
+    missed = F.col("required") & ~F.col("status").isin(SUCCESS)
+    some = F.bool_or(missed & (F.col("status") == "partial")) | F.bool_or(F.coalesce("payload", F.lit(False)))
+    status = F.when(F.bool_or(missed), F.when(some, "partial").otherwise("failed")).when(F.bool_or(F.col("status") != "complete"), "complete_with_warnings").otherwise("complete")
     return results.groupBy(capture).agg(status.alias("status"))
 
 
 def view_status(statuses: DataFrame) -> DataFrame:
-    """One row: complete if all captures of a view are, success if all sources are, else partial."""
-    complete, fine = F.bool_and(F.col("status") == "complete"), F.bool_and(F.col("status").isin("complete", "complete_with_warnings"))
-    return statuses.agg(F.when(complete, "complete").when(fine, "success").otherwise("partial").alias("status"))
+    """One row: complete if all of a view's sources are, with warnings if all succeeded, else partial."""
+    every, fine = F.bool_and(F.col("status") == "complete"), F.bool_and(F.col("status").isin(SUCCESS))
+    return statuses.agg(F.when(every, "complete").when(fine, "complete_with_warnings").otherwise("partial").alias("status"))
 
 
 def report_status(errors: Column, warnings: Column) -> Column:
@@ -49,10 +67,10 @@ def report_status(errors: Column, warnings: Column) -> Column:
 
 
 def complete_full(results: DataFrame, configured: DataFrame, capture: str = "capture_id") -> DataFrame:
-    """Captures whose sources are exactly the configured ones, each once and successful."""
+    """Captures whose sources are exactly the configured ones, each once and complete."""
     n = configured.select("source_id").distinct().count()
     known = results.join(F.broadcast(configured.select("source_id").distinct().withColumn("_known", F.lit(True))), "source_id", "left")
-    agg = known.groupBy(capture).agg(F.count("*").alias("rows"), F.count_distinct("source_id").alias("kinds"), F.bool_and(F.coalesce("_known", F.lit(False)) & (F.col("status") == "success")).alias("fine"))
+    agg = known.groupBy(capture).agg(F.count("*").alias("rows"), F.count_distinct("source_id").alias("kinds"), F.bool_and(F.coalesce("_known", F.lit(False)) & (F.col("status") == "complete")).alias("fine"))
     return agg.select(capture, (F.col("fine") & (F.col("rows") == n) & (F.col("kinds") == n)).alias("complete_full"))
 
 

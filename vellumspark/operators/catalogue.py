@@ -37,6 +37,6 @@ def pages(records: DataFrame) -> DataFrame:
 
 def cdx_lines(records: DataFrame) -> DataFrame:
     """Index lines in order of key and time: key, 14 digits, and the facts as JSON with sorted names."""
-    facts = F.to_json(F.struct("digest", "filename", "length", "mime", "offset", "status", "url"))
+    facts = F.to_json(F.struct("digest", "filename", "length", "mime", "offset", "status", "url"), {"ignoreNullFields": "false"})
     rows = records.select(surt(F.col("url")).alias("key"), cdx_timestamp(F.col("ts")).alias("stamp"), "filename", "offset", facts.alias("json"))
     return rows.orderBy("key", "stamp", "filename", "offset").select("key", "stamp", F.concat_ws(" ", "key", "stamp", "json").alias("line"))

@@ -22,36 +22,44 @@ CONTRIBUTING_SQL = f"""with b as ({BEST_SQL}) select distinct capture_id, captur
 
 def source_status(spark, sf_dir):
     c = capture_rows(spark, sf_dir)
-    code = F.when(F.col("event_type") == "error", 4).when(F.col("event_type") == "click", 8).otherwise(0)
-    return c.select("capture_id", captures.source_status(code, F.col("value") > 20, (F.col("value") > 80).cast("int")).alias("status"))
+    failed = F.col("event_type").isin("error", "click").cast("int")
+    return c.select("capture_id", captures.source_status(failed, F.col("value") > 20, (F.col("value") > 80).cast("int")).alias("status"))
 
 
-SOURCE_STATUS_SQL = f"""select capture_id, case when event_type not in ('error', 'click') and value > 20 then case when value > 80 then 'partial' else 'success' end when value > 20 then 'partial' else 'failed' end as status from {CAPTURES_SQL}"""
+SOURCE_STATUS_SQL = f"""select capture_id, case when value > 20 and event_type not in ('error', 'click') then case when value > 80 then 'complete_with_warnings' else 'complete' end when value > 20 then 'partial' else 'failed' end as status from {CAPTURES_SQL}"""
 
 
 def _results(spark, sf_dir):
     c = capture_rows(spark, sf_dir)
-    status = F.when(F.col("ok") & (F.col("value") > 20), "success").when(F.col("value") > 5, "partial").otherwise("failed")
-    return c.select(F.concat(F.col("day"), F.lit("-"), (F.col("source_id") % 7).cast("string")).alias("capture_id"), status.alias("status"), (F.col("source_id") % 3 == 0).alias("required"))
+    status = F.when(F.col("ok") & (F.col("value") > 20), "complete").when(F.col("value") > 60, "complete_with_warnings").when(F.col("value") > 5, "partial").otherwise("failed")
+    day = F.concat(F.col("day"), F.lit("-"), (F.col("source_id") % 97).cast("string"))
+    return c.select(day.alias("capture_id"), status.alias("status"), (F.col("source_id") % 3 == 0).alias("required"), (F.col("value") > 40).alias("payload"))
 
 
-RESULTS_SQL = f"""(select day || '-' || (source_id % 7)::varchar as capture_id, case when ok and value > 20 then 'success' when value > 5 then 'partial' else 'failed' end as status, source_id % 3 = 0 as required from {CAPTURES_SQL})"""
+RESULTS_SQL = f"""(select day || '-' || (source_id % 97)::varchar as capture_id, case when ok and value > 20 then 'complete' when value > 60 then 'complete_with_warnings' when value > 5 then 'partial' else 'failed' end as status,
+  source_id % 3 = 0 as required, value > 40 as payload from {CAPTURES_SQL})"""
 
 
 def capture_status(spark, sf_dir):
     return captures.capture_status(_results(spark, sf_dir))
 
 
-CAPTURE_STATUS_SQL = f"""select capture_id, case when bool_and(status = 'success') then 'complete'
-  when coalesce(bool_and(status = 'success') filter (required), true) and bool_or(status in ('success', 'partial')) then 'complete_with_warnings'
-  when bool_or(status in ('success', 'partial')) then 'partial' else 'failed' end as status from {RESULTS_SQL} group by capture_id"""
+MISSED = "required and status not in ('complete', 'complete_with_warnings')"
+CAPTURE_STATUS_SQL = f"""select capture_id, case when bool_or({MISSED}) then case when bool_or({MISSED} and status = 'partial') or bool_or(payload) then 'partial' else 'failed' end
+  when bool_or(status <> 'complete') then 'complete_with_warnings' else 'complete' end as status from {RESULTS_SQL} group by capture_id"""
 
 
 def view_status(spark, sf_dir):
-    return captures.view_status(capture_status(spark, sf_dir))
+    """The views of single days."""
+    days = capture_status(spark, sf_dir).withColumn("day", F.substring("capture_id", 1, 8))
+    out = None
+    for day in ("20240101", "20240102", "20240103"):
+        row = captures.view_status(days.where(F.col("day") == day)).withColumn("day", F.lit(day))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
-VIEW_SQL = f"""select case when bool_and(status = 'complete') then 'complete' when bool_and(status in ('complete', 'complete_with_warnings')) then 'success' else 'partial' end as status from ({CAPTURE_STATUS_SQL})"""
+VIEW_SQL = " union all ".join(f"select case when bool_and(status = 'complete') then 'complete' when bool_and(status in ('complete', 'complete_with_warnings')) then 'complete_with_warnings' else 'partial' end as status, '{d}' as day from ({CAPTURE_STATUS_SQL}) where capture_id like '{d}%'" for d in ("20240101", "20240102", "20240103"))
 
 
 def report_status(spark, sf_dir):
@@ -66,7 +74,7 @@ from (select source, count(*) filter (n_chars < 12) as errors, count(*) filter (
 
 def complete_captures(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    results = li.select(F.col("l_orderkey").alias("capture_id"), F.col("l_linenumber").alias("source_id"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("success").alias("status"))
+    results = li.select(F.col("l_orderkey").alias("capture_id"), F.col("l_linenumber").alias("source_id"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("complete").alias("status"))
     configured = spark.createDataFrame([(1,), (2,)], "source_id int")
     return captures.complete_full(results, configured)
 
@@ -74,11 +82,14 @@ def complete_captures(spark, sf_dir):
 COMPLETE_SQL = """select l_orderkey as capture_id, bool_and(l_linenumber in (1, 2) and l_returnflag <> 'R') and count(*) = 2 and count(distinct l_linenumber) = 2 as complete_full from lineitem group by 1"""
 
 #: A path for each document, over all places that a capture has.
-PATH = """case doc_id % 9 when 0 then 'sources/' || source || '/warc/' || doc_id || '.warc.gz' when 1 then 'sources/' || source || '/warc/' || doc_id || '.txt' when 2 then 'sources/' || source || '/mirror/' || lang || '/' || doc_id || '.html'
- when 3 then 'sources/' || source || '/files/' || doc_id || '.zip' when 4 then 'sources/' || source || '/recovered/' || doc_id || '.gz' when 5 then 'sources/' || source || '/warc/deep/' || doc_id || '.WARC' when 6 then 'recipe/' || doc_id || '.py' when 7 then 'logs/' || doc_id || '.log' else 'metadata/' || doc_id || '.json' end"""
+PATH = """case doc_id % 11 when 0 then 'sources/' || source || '/warc/' || doc_id || '.warc.gz' when 1 then 'sources/' || source || '/warc/' || doc_id || '.cdx' when 2 then 'sources/' || source || '/mirror/' || lang || '/' || doc_id || '.html'
+ when 3 then 'sources/' || source || '/mirror/private/' || doc_id || '.zip' when 4 then 'sources/' || source || '/metadata/command.json' when 5 then 'sources/' || source || '/warc/deep/' || doc_id || '.WARC' when 6 then 'metadata/recipe-bundle/' || doc_id || '.py'
+ when 7 then 'sources/' || source || '/warc/logs/' || doc_id || '.log' when 8 then 'metadata/environment.json' when 9 then 'sources/' || source || '/seeds.txt' else 'metadata/' || doc_id || '.json' end"""
 KIND = "case when doc_id % 4 = 0 then null when doc_id % 2 = 0 then 'web' else 'http-file' end"
-ROLE_SQL = """case when starts_with(path, 'sources/') then case when split_part(path, '/', 3) = 'warc' and regexp_matches(lower(path), '\\.warc(\\.gz)?$') then 'original' when split_part(path, '/', 3) = 'mirror' and kind = 'web' then 'mirror'
- when split_part(path, '/', 3) = 'files' and kind = 'http-file' then 'original' when split_part(path, '/', 3) = 'recovered' then 'recovered' else 'metadata' end when starts_with(path, 'recipe/') then 'recipe' when starts_with(path, 'logs/') then 'log' else 'metadata' end"""
+DEPTH, PLACE, WARC = "len(string_split(path, '/'))", "split_part(path, '/', 3)", "regexp_matches(lower(path), '\\.warc(\\.gz)?$')"
+PAYLOAD = f"(starts_with(path, 'sources/') and {DEPTH} >= 4 and {PLACE} in ('warc', 'mirror'))"
+ROLE_SQL = f"""case when {PAYLOAD} and {PLACE} = 'warc' then case when {WARC} then 'preservation_original' else 'capture_derivative' end
+  when {PAYLOAD} then case when kind = 'http-file' then 'preservation_original' else 'capture_derivative' end else 'metadata' end"""
 FILES_SQL = f"(select doc_id, source, strlen(text) as size, {PATH} as path, {KIND} as kind from documents)"
 
 
@@ -87,42 +98,51 @@ def _files(spark, sf_dir):
 
 
 def role_classification(spark, sf_dir):
-    f = _files(spark, sf_dir)
-    role = roles.role(F.col("path"), F.col("kind"))
-    return f.select("path", role.alias("role"), roles.inferred_role(F.col("path"), F.col("kind")).alias("inferred"), roles.is_payload(role).alias("payload"))
+    f, path, kind = _files(spark, sf_dir), F.col("path"), F.col("kind")
+    return f.select("path", roles.role(path, kind).alias("role"), roles.inferred_role(path, kind).alias("inferred"), roles.is_payload(path).alias("payload"), roles.shareable(path).alias("shareable"))
 
 
-ROLES_SQL = f"""select path, role, case when regexp_matches(lower(path), '\\.warc(\\.gz)?$') and len(string_split(path, '/')) <> 4 then 'metadata' else role end as inferred, role in ('original', 'mirror', 'recovered') as payload from (select *, {ROLE_SQL} as role from {FILES_SQL})"""
+ROLES_SQL = f"""select path, role, case when {PAYLOAD} and {PLACE} = 'warc' and {DEPTH} <> 4 then 'capture_derivative' else role end as inferred, {PAYLOAD} as payload,
+  ({PAYLOAD} and not contains(path, '/private/') and not contains(path, '/logs/')) or path = 'metadata/environment.json' or starts_with(path, 'metadata/recipe-bundle/') or ends_with(path, '/seeds.txt') or ends_with(path, '/metadata/command.json') or ends_with(path, '.cdx') as shareable
+from (select *, {ROLE_SQL} as role from {FILES_SQL})"""
 
 
 def payload_metrics(spark, sf_dir):
     return captures.payload_metrics(_files(spark, sf_dir), "source")
 
 
-METRICS_SQL = f"""select source, count(*) as files, sum(size)::bigint as bytes, count(*) filter (regexp_matches(lower(path), '\\.warc(\\.gz)?$')) as warc_files, count(*) filter (size = 0) as empty_files from {FILES_SQL} group by source"""
+METRICS_SQL = f"""select source, count(*) as files, sum(size)::bigint as bytes, count(*) filter ({WARC}) as warc_files, count(*) filter (size = 0) as empty_files from {FILES_SQL} group by source"""
 
 
 def payload_oxum(spark, sf_dir):
     return captures.oxum(_files(spark, sf_dir), "source")
 
 
+def _named(spark, sf_dir):
+    """The same files, each under a name of its own."""
+    return _files(spark, sf_dir).withColumn("path", F.concat_ws("-", "path", "doc_id"))
+
+
+NAMED_SQL = f"(select doc_id, path || '-' || doc_id as path from {FILES_SQL})"
+
+
 def role_coverage(spark, sf_dir):
-    f = _files(spark, sf_dir)
+    f = _named(spark, sf_dir)
     assigned = f.where("doc_id % 13 <> 0").select("path").unionByName(f.where("doc_id % 50 = 0").select(F.concat("path", F.lit(".gone")).alias("path")))
     return roles.coverage(f, assigned)
 
 
-COVERAGE_SQL = f"""select path, 'no role' as problem from {FILES_SQL} where doc_id % 13 = 0 union all select path || '.gone', 'no file' from {FILES_SQL} where doc_id % 50 = 0"""
+COVERAGE_SQL = f"""select path, 'no role' as problem from {NAMED_SQL} where doc_id % 13 = 0 union all select path || '.gone', 'no file' from {NAMED_SQL} where doc_id % 50 = 0"""
 
 
 def export_selection(spark, sf_dir):
-    f = _files(spark, sf_dir)
+    f = _named(spark, sf_dir)
     allowed = f.where("doc_id % 6 = 0").select("path").unionByName(f.where("doc_id % 97 = 0").select(F.concat("path", F.lit("~")).alias("path")))
     chosen, unknown = roles.selected(f, "public", allowed)
     return chosen.withColumn("status", F.lit("selected")).unionByName(unknown.withColumn("status", F.lit("unknown")))
 
 
-EXPORT_SQL = f"""select path, 'selected' as status from {FILES_SQL} where doc_id % 6 = 0 union all select path || '~', 'unknown' from {FILES_SQL} where doc_id % 97 = 0"""
+EXPORT_SQL = f"""select path, 'selected' as status from {NAMED_SQL} where doc_id % 6 = 0 union all select path || '~', 'unknown' from {NAMED_SQL} where doc_id % 97 = 0"""
 
 
 def preservation_warcs(spark, sf_dir):
@@ -198,7 +218,7 @@ QUERIES = {
     "payload_oxum": (payload_oxum, f"select source, sum(size)::varchar || '.' || count(*)::varchar as oxum from {FILES_SQL} group by source"),
     "role_coverage": (role_coverage, COVERAGE_SQL),
     "export_selection": (export_selection, EXPORT_SQL),
-    "preservation_warcs": (preservation_warcs, f"select path, size from {FILES_SQL} where {ROLE_SQL} = 'original' and regexp_matches(lower(path), '\\.warc(\\.gz)?$')"),
+    "preservation_warcs": (preservation_warcs, f"select path, size from {FILES_SQL} where {ROLE_SQL} = 'preservation_original' and {WARC}"),
     "dense_docids": (dense_docids, "select source, lang, doc_id, row_number() over (order by source, lang, doc_id) as docid from documents"),
     "occurrence_numbers": (occurrence_numbers, "select conv_id, turn, role, row_number() over (partition by conv_id, role order by turn) as occurrence from conversations"),
     "item_neighbours": (item_neighbours, "select conv_id, turn, role, lag(role) over w as previous_role, lead(role) over w as next_role from conversations window w as (partition by conv_id order by turn)"),

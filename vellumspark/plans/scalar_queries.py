@@ -69,8 +69,8 @@ def byte_sizes(spark, sf_dir):
 
 
 BYTES_SQL = """with o as (select o_orderkey, (o_orderkey % 5000)::varchar || ['', 'K', 'M', 'G', 'T', ' k'][(o_orderkey % 6 + 1)::int] as literal from orders),
-b as (select *, case when regexp_matches(literal, '^[0-9]+[KMG]?$') then regexp_extract(literal, '^[0-9]+')::bigint * case right(literal, 1) when 'K' then 1024 when 'M' then 1048576 when 'G' then 1073741824 else 1 end end as bytes from o)
-select o_orderkey, literal, bytes, case when bytes < 1024 then bytes::varchar || ' B' when bytes < 1048576 then printf('%.1f KiB', bytes / 1024) when bytes < 1073741824 then printf('%.1f MiB', bytes / 1048576)
+b as (select *, case when regexp_matches(literal, '^[1-9][0-9]*[KMG]?$') then regexp_extract(literal, '^[0-9]+')::bigint * case right(literal, 1) when 'K' then 1024 when 'M' then 1048576 when 'G' then 1073741824 else 1 end end as bytes from o)
+select o_orderkey, literal, bytes, case when bytes < 1024 then printf('%.1f B', bytes::double) when bytes < 1048576 then printf('%.1f KiB', bytes / 1024) when bytes < 1073741824 then printf('%.1f MiB', bytes / 1048576)
  when bytes < 1099511627776 then printf('%.1f GiB', bytes / 1073741824) else printf('%.1f TiB', bytes / 1099511627776) end as shown from b"""
 
 #: Paths and routes of many shapes, made from keys.
@@ -91,7 +91,7 @@ select p_partkey, path, path <> '' and not regexp_matches(path, '[\\\\]') and no
  path <> '' and not regexp_matches(path, '[\\\\]') and not starts_with(path, '/') and not regexp_matches(regexp_replace(path, '/$', ''), '{BAD_PART}') as member,
  file <> '' and not regexp_matches(file, '^[A-Za-z][A-Za-z0-9+.-]*:|[?%\\\\]|^/') and not regexp_matches(file, '{BAD_PART}') as route, file,
  case when contains(path, '#') then substr(path, strpos(path, '#') + 1) end as fragment, regexp_matches(lower(path), '[.]warc([.]gz)?$') as warc,
- case when ends_with(path, '.warc.gz') then 'application/warc' when ends_with(path, '.txt') then 'text/plain' else 'application/octet-stream' end as media from f"""
+ case when ends_with(path, '.warc.gz') then 'application/warc+gzip' else 'application/octet-stream' end as media from f"""
 
 
 def access_ids(spark, sf_dir):
