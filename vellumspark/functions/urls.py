@@ -9,6 +9,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 ABSOLUTE = r"(?i)^https?://[^/?#\s]+"
 # scheme, authority, path with query, fragment
+PATH_OF = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^#]*)(?:#.*)?$"
 
 
