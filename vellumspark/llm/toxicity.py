@@ -57,7 +57,7 @@ def fold(text: str) -> str:
 
 def automaton(weights: dict[str, float]) -> ahocorasick.Automaton:
     """Terms by their weight, exception phrases by None. A term that ends in * is the beginning of
-    words. As a written 1 is read as i, terms with l match with i too."""
+    longer words. As a written 1 is read as i, terms with l match with i too."""
     a = ahocorasick.Automaton()
     for term, w in weights.items():
         stem = term.rstrip("*")
@@ -70,12 +70,12 @@ def automaton(weights: dict[str, float]) -> ahocorasick.Automaton:
 
 
 def hits_of(a: ahocorasick.Automaton, text: str) -> list[tuple[int, int, float]]:
-    """(start, end, weight) of the terms in a folded text that stand as words, or begin one if
-    they are beginnings, outside exceptions."""
+    """(start, end, weight) of the terms in a folded text that stand as words, or begin a longer
+    one if they are beginnings, outside exceptions."""
     found, spared = [], []
     for last, (n, w, open_) in a.iter(text):
         start, end = last - n + 1, last + 1
-        if (start and text[start - 1].isalnum()) or (not open_ and end < len(text) and text[end].isalnum()):
+        if (start and text[start - 1].isalnum()) or open_ != (end < len(text) and text[end].isalnum()):
             continue
         (spared if w is None else found).append((start, end, w))
     if spared and found:
@@ -89,7 +89,7 @@ def normalised(total: float, n_chars: int) -> float:
 
 
 def learned_weights(sample: DataFrame, base=tuple(BASE_TERMS)) -> dict[str, float]:
-    """The base terms, and beginnings of words found in those toxic documents of the bounded
+    """The base terms, and beginnings of longer words found in those toxic documents of the bounded
     sample that no base term explains. The beginning that explains most of them, and hardly
     stands in others, is taken; then the next for what is left. Weights are log-odds. Counting
     runs on executors; at most ``CANDIDATES`` beginnings come to the driver."""
@@ -103,7 +103,7 @@ def learned_weights(sample: DataFrame, base=tuple(BASE_TERMS)) -> dict[str, floa
                 t = fold(t)
                 if y and hits_of(a, t):
                     continue
-                found = {w[:n] for w in set(re.findall(r"[^\W\d_]+", t)) for n in STEMS if len(w) >= n}
+                found = {w[:n] for w in set(re.findall(r"[^\W\d_]+", t)) for n in STEMS if len(w) > n}
                 rows += [(w, y, zlib.crc32(t.encode())) for w in found]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64()))], ["stem", "label", "doc"])
 
