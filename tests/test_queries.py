@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from vellumspark.plans import registry
@@ -20,7 +21,7 @@ def con():
 
 def plain(df):
     def value(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "none"
         return f"{v:.6f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v)
 
