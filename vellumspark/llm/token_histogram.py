@@ -12,6 +12,8 @@ histogram; limits beyond the longest text, and quantiles of an empty table (null
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumspark.llm._store import materialize
+
 #: Lengths in a block of the two-level sums.
 BLOCK = 1024
 
@@ -19,7 +21,8 @@ BLOCK = 1024
 def histogram(lengths: DataFrame) -> DataFrame:
     """n_tokens, docs, tokens, docs_at_least, tokens_at_least and truncated_total by length.
     truncated_total: tokens left if no text is longer than n_tokens."""
-    h = lengths.groupBy("n_tokens").agg(F.count("*").alias("docs")).withColumns({"tokens": F.col("n_tokens") * F.col("docs"), "block": F.floor(F.col("n_tokens") / BLOCK)})
+    counted = materialize(lengths.groupBy("n_tokens").agg(F.count("*").alias("docs")))  # else each use would encode again
+    h = counted.withColumns({"tokens": F.col("n_tokens") * F.col("docs"), "block": F.floor(F.col("n_tokens") / BLOCK)})
     blocks = h.groupBy("block").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # one row for each 1,024 lengths
     total = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
