@@ -7,8 +7,8 @@ documents becomes a sorted immutable run (anchor, smallest doc_id), bucketed by
 merge-joined with the runs before it without an exchange; two runs of a tier are compacted into
 one of the next. What a batch shares with history or within itself becomes a candidate.
 
-Candidates are verified on the texts: windows under a candidate anchor are compared by a 96-bit
-hash of all their words, and those that also start in a document with a smaller doc_id are
+Candidates are verified on the texts: windows under a candidate anchor are compared by hashes of
+all their words (96 bits or more), and those that also start in a document with a smaller doc_id are
 removed. The anchors found are sent to the tasks as a filter of fixed greatest size, which may
 only pass too much; the comparison that follows is over exact windows.
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.llm._store import discard, materialize, shared_dir
-from vellumspark.llm._text import coded, gram_hashes, inside, mixed, owners, plain, slices, word_hashes, words_of
+from vellumspark.llm._text import coded, gram_hashes, inside, mixed, owners, plain, ragged, slices, word_hashes, words_of
 
 WINDOW, GRAM = 13, 5
 #: Factors of the anchors' hashes and of the two hashes of a window.
@@ -187,35 +187,71 @@ def passes(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ok
 
 
-def places(texts: pa.Array) -> np.ndarray:
+def marks(texts: pa.Array) -> np.ndarray:
     """32 bits of each text, in the upper half of a long: tells apart rows that share a doc_id."""
     sums = [zlib.crc32(t) for t in plain(texts).cast(pa.binary()).to_pylist()]
     return np.array(sums, np.uint64) << np.uint64(32)
 
 
+def found_windows(batch, table: np.ndarray) -> tuple:
+    """Of the windows whose anchor passes the filter: text number, first word, anchor and two
+    hashes, and each text's first word."""
+    h, offsets = hashed_words(batch.column("text"))
+    own, at, a = anchors_of(h, offsets)
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    ok = passes(table, a[new])[np.cumsum(new) - 1] if len(a) else np.empty(0, bool)
+    own, at, a = own[ok], at[ok], a[ok]
+    w, v = (gram_hashes(h, WINDOW, f)[at] if len(at) else np.empty(0, np.uint64) for f in FACTORS[1:])
+    return own, at, a, w, v, offsets
+
+
+def pack(batch, own, start, n) -> pa.Array:
+    """A text's 32 bits, the number of the first word (28 bits), and windows less one (4 bits)."""
+    return pa.array((marks(batch.column("text"))[own] | start.astype(np.uint64) << np.uint64(4) | (n - 1).astype(np.uint64)).view(np.int64))
+
+
 def repeated(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """doc and place (a text's 32 bits, then the first word's number) of the windows that also
-    start in a document with a smaller doc_id."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(member_filter(candidates))
+    """doc and place (see ``pack``) of the windows that also start in a document with a smaller
+    doc_id.
 
-    def run(batches):
-        table = flat_filter(*shared.value)
+    Neighbouring windows with one anchor are first compared as a unit: where all units of an
+    anchor have the same words, as inside most repeated passages, they are settled by one row
+    each. Only under anchors whose units differ are windows compared one by one."""
+    spark, base = docs.sparkSession, ranked(docs)
+    every = spark.sparkContext.broadcast(member_filter(candidates))
+
+    def units(batches):
+        table = flat_filter(*every.value)
         for batch in slices(batches):
-            h, offsets = hashed_words(batch.column("text"))
-            own, at, a = anchors_of(h, offsets)
+            own, at, a, w, v, offsets = found_windows(batch, table)
             new = np.ones(len(a), bool)
-            new[1:] = a[1:] != a[:-1]
-            ok = passes(table, a[new])[np.cumsum(new) - 1] if len(a) else np.empty(0, bool)
-            own, at = own[ok], at[ok]
-            w = gram_hashes(h, WINDOW, FACTORS[1])[at] if len(at) else np.empty(0, np.uint64)
-            v = gram_hashes(h, WINDOW, FACTORS[2])[at] >> np.uint64(32) if len(at) else np.empty(0, np.uint64)
-            place = places(batch.column("text"))[own] | (at - offsets[own]).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(v.astype(np.uint32).view(np.int32)), batch.column("doc").take(pa.array(own)), pa.array(place.view(np.int64))], ["w", "v", "doc", "place"])
+            new[1:] = (a[1:] != a[:-1]) | (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)
+            first = np.flatnonzero(new)
+            length = np.diff(np.append(first, len(a)))
+            pieces = -(-length // WINDOW)  # so that a unit's first and last window hold all its words
+            start = np.repeat(first, pieces) + WINDOW * ragged(np.zeros_like(pieces), pieces)
+            stop = np.minimum(start + WINDOW, np.repeat(first + length, pieces))
+            n = stop - start
+            words = mixed(mixed(w[start] + np.uint64(3) * v[stop - 1]) + n.astype(np.uint64)) if len(a) else w
+            yield pa.RecordBatch.from_arrays([pa.array(a[start].view(np.int64)), pa.array(words.view(np.int64)), batch.column("doc").take(pa.array(own[start])), pack(batch, own[start], at[start] - offsets[own[start]], n)], ["anchor", "words", "doc", "place"])
+
+    rows = base.mapInArrow(units, "anchor long, words long, doc long, place long")
+    known = rows.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), (F.min("words") == F.max("words")).alias("alike")).where("least <> most")
+    known = materialize(known.select("anchor", "least", "alike"))
+    whole = rows.select("anchor", "doc", "place").join(known.where("alike").select("anchor", "least"), "anchor").where("doc > least").select("doc", "place")
+    differ = spark.sparkContext.broadcast(member_filter(known.where("not alike").select("anchor")))
+
+    def windows(batches):
+        table = flat_filter(*differ.value)
+        for batch in slices(batches):
+            own, at, _, w, v, offsets = found_windows(batch, table)
+            half = (v >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(half), batch.column("doc").take(pa.array(own)), pack(batch, own, at - offsets[own], np.ones_like(at))], ["w", "v", "doc", "place"])
 
-    rows = ranked(docs).mapInArrow(run, "w long, v int, doc long, place long")
-    first = rows.groupBy("w", "v").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("w", "v", "least")
-    return rows.join(materialize(first), ["w", "v"]).where("doc > least").select("doc", "place")
+    single = base.mapInArrow(windows, "w long, v int, doc long, place long")
+    first = single.groupBy("w", "v").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("w", "v", "least")
+    return whole.unionByName(single.join(materialize(first), ["w", "v"]).where("doc > least").select("doc", "place"))
 
 
 def candidates(docs: DataFrame, batches: int, index: FingerprintIndex) -> DataFrame:
@@ -235,15 +271,17 @@ def candidates(docs: DataFrame, batches: int, index: FingerprintIndex) -> DataFr
 
 def dedup(docs: DataFrame, batches: int = 3, carry: tuple = ()) -> DataFrame:
     """doc_id, n_words, n_removed, changed and kept (the words left, joined by one space), and
-    the columns named in ``carry`` as they are."""
+    the columns named in ``carry``; one that bears a result's name becomes ``own_`` and its name."""
     spark, carry = docs.sparkSession, list(carry)
     kind = docs.schema["doc_id"].dataType.simpleString()
     index = FingerprintIndex(spark)
-    hits = materialize(repeated(docs, candidates(docs, batches, index)))
+    found = candidates(docs, batches, index)
     index.close()
+    hits = materialize(repeated(docs, found))
     touched = spark.sparkContext.broadcast(member_filter(hits.select("doc").distinct()))
-    names = ["doc_id", "n_words", "n_removed", "changed", "kept", *carry]
-    also = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    names = ["doc_id", "n_words", "n_removed", "changed", "kept"]
+    names += [f"own_{c}" if c in names else c for c in carry]
+    also = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names[5:], carry))
     schema = f"doc_id {kind}, n_words long, n_removed long, changed boolean, kept string{also}"
 
     def marked(batches):
@@ -263,15 +301,15 @@ def dedup(docs: DataFrame, batches: int = 3, carry: tuple = ()) -> DataFrame:
         n = np.diff(offsets)
         keep = np.ones(len(flat), bool)
         if removed is not None:
-            places_ = places(batch.column("text"))
+            own = marks(batch.column("text"))
             for k, r in enumerate(removed):
                 if r is not None and len(r):
                     r = r.view(np.uint64)
-                    r = (r[(r >> np.uint64(32) << np.uint64(32)) == places_[k]] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                    r = (r[(r >> np.uint64(32) << np.uint64(32)) == own[k]] & np.uint64(0xFFFFFFFF)).astype(np.int64)
                     if len(r):
-                        edge = np.zeros(n[k] + WINDOW + 1, np.int64)
-                        np.add.at(edge, r, 1)
-                        np.add.at(edge, r + WINDOW, -1)
+                        edge = np.zeros(n[k] + 2 * WINDOW + 1, np.int64)
+                        np.add.at(edge, r >> 4, 1)
+                        np.add.at(edge, (r >> 4) + (r & 15) + WINDOW, -1)
                         keep[offsets[k] : offsets[k + 1]] = np.cumsum(edge)[: n[k]] == 0
         left = np.bincount(owners(offsets)[keep], minlength=len(n))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32()), flat.filter(pa.array(keep)))
