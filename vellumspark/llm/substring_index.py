@@ -236,7 +236,7 @@ def repeated(docs: DataFrame, candidates: DataFrame) -> DataFrame:
             words = mixed(mixed(w[start] + np.uint64(3) * v[stop - 1]) + n.astype(np.uint64)) if len(a) else w
             yield pa.RecordBatch.from_arrays([pa.array(a[start].view(np.int64)), pa.array(words.view(np.int64)), batch.column("doc").take(pa.array(own[start])), pack(batch, own[start], at[start] - offsets[own[start]], n)], ["anchor", "words", "doc", "place"])
 
-    rows = base.mapInArrow(units, "anchor long, words long, doc long, place long")
+    rows = materialize(base.mapInArrow(units, "anchor long, words long, doc long, place long"))  # used twice; to find them again costs a pass over the texts
     known = rows.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), (F.min("words") == F.max("words")).alias("alike")).where("least <> most")
     known = materialize(known.select("anchor", "least", "alike"))
     whole = rows.select("anchor", "doc", "place").join(known.where("alike").select("anchor", "least"), "anchor").where("doc > least").select("doc", "place")
@@ -249,7 +249,7 @@ def repeated(docs: DataFrame, candidates: DataFrame) -> DataFrame:
             half = (v >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(half), batch.column("doc").take(pa.array(own)), pack(batch, own, at - offsets[own], np.ones_like(at))], ["w", "v", "doc", "place"])
 
-    single = base.mapInArrow(windows, "w long, v int, doc long, place long")
+    single = materialize(base.mapInArrow(windows, "w long, v int, doc long, place long"))
     first = single.groupBy("w", "v").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("w", "v", "least")
     return whole.unionByName(single.join(materialize(first), ["w", "v"]).where("doc > least").select("doc", "place"))
 
