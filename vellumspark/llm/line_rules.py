@@ -6,8 +6,8 @@ symbols, repeated lines, repeated 8-word windows) stand beside the verdict.
 
 Cases: a null text counts as empty; an empty text has no words and fails the base rule;
 lines without a word are neither judged nor removed; repeated rows are judged one by one;
-other columns pass through, and the working columns' names (prefix ``_lr_``) do not clash
-with them. Work and memory per row are linear in the text, but for sorting the windows of
+other columns pass through, but for those named like a result, which the result replaces;
+working columns begin with ``_lr_``. Work and memory per row are linear in the text, but for sorting the windows of
 texts that do repeat a window.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "lost_chars", "kept"]
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -74,7 +75,7 @@ def covered_words(win: Column) -> Column:
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     clean_text, lost_chars and kept to ``docs``."""
-    own = docs.columns
+    own = [c for c in docs.columns if c not in RESULTS]
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     a = docs.select(
         *[F.col(f"`{c}`") for c in own],
@@ -109,4 +110,6 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     e = d.withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (F.col("lost_chars") <= F.col("_lr_chars") * MAX_LOST_SHARE)
-    return e.withColumn("kept", kept).drop("_lr_chars", "_lr_win")
+    # A generator of one row: filters on what it makes stay above it. Pushed below, they would put
+    # the expressions above into one another, to be evaluated for each word again.
+    return e.select(*[F.col(f"`{c}`") for c in own], F.stack(F.lit(1), *RESULTS[:-1], kept).alias(*RESULTS))
