@@ -43,7 +43,7 @@ FOLD = str.maketrans(HOMOGLYPHS | DIGITS | {chr(0xFF01 + i - 0x21): chr(i).lower
 #: A learned beginning of words has one of these lengths, explains so many toxic documents at
 #: least, and stands in at most this share of the others.
 STEMS, MIN_TOXIC_DOCS, MOST_CLEAN_SHARE, CANDIDATES = (3, 4, 5, 6, 7, 8, 9), 4, 0.03, 5000
-MIN_LOG_ODDS = 1.6
+MIN_LOG_ODDS, ENOUGH_LOG_ODDS = 1.6, 2.5
 #: The scale of the score without labels: intercept, and slope of the normalised sum.
 DEFAULT_SCALE = (-3.0, 12.0)
 
@@ -117,7 +117,7 @@ def learned_weights(sample: DataFrame, base=tuple(BASE_TERMS)) -> dict[str, floa
     odds = lambda d, g: math.log((len(d) + 0.5) / (of[1] + 1)) - math.log((g + 0.5) / (of[0] + 1))
     fits = lambda d, g: len(d) >= MIN_TOXIC_DOCS and odds(d, g) >= MIN_LOG_ODDS
     while stems := {s: x for s, x in stems.items() if fits(*x)}:
-        best = max(stems, key=lambda s: (len(stems[s][0]) * odds(*stems[s]), len(s), s))
+        best = max(stems, key=lambda s: (len(stems[s][0]) * min(odds(*stems[s]), ENOUGH_LOG_ODDS), len(s), s))
         docs, clean = stems[best]
         terms[best + "*"] = odds(docs, clean)
         stems = {s: (d - docs, g) for s, (d, g) in stems.items()}
