@@ -20,6 +20,7 @@ import json
 import mmap
 import os
 import tempfile
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from vellumspark.llm._text import coded, plain, ragged, slices, words_of
 LEXICON_WORDS, LEXICON_BYTES = 65_536, 64
 #: Merged unseen words that a task remembers.
 REMEMBERED = 300_000
+#: Words that the tokenizer merges in one call; its results are bulky.
+MERGED_AT_ONCE = 5_000
 ARRAYS = [("keys", np.uint32), ("targets", np.int32), ("skips", np.int32), ("final", np.uint8), ("offsets", np.int32), ("ids", np.uint32)]
 
 
@@ -166,12 +169,12 @@ class Encoder:
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {}
             new = unseen
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+        for at in range(0, len(new), MERGED_AT_ONCE):
+            part = new[at : at + MERGED_AT_ONCE]
+            self.known.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
         own = [self.known[w] for w in unseen]
-        sizes = np.fromiter((len(i) for i in own), np.int64, len(own))
-        tail = np.fromiter((x for i in own for x in i), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        tail = np.frombuffer(b"".join(own), np.uint32)
         head = a.ids if a else np.empty(0, np.uint32)
         start, length = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
         start[rest], length[rest] = len(head) + np.cumsum(sizes) - sizes, sizes
