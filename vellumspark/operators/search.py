@@ -33,15 +33,18 @@ def starts(array: Column, phrase: Phrase) -> Column:
     if not n:
         return F.array().cast("array<int>")
 
-    def here(word: Column, i: Column) -> Column:
-        ok = F.lit(True)
-        for k, t in enumerate(phrase.tokens):
-            w = word if k == 0 else F.coalesce(F.get(array, i + k), F.lit(""))
-            ok = ok & (w.startswith(t) if phrase.prefix and k == n - 1 else w == t)
-        return ok & (i == 0) if phrase.first else ok
-
-    marks = F.transform(array, lambda w, i: F.when(here(w, i), i))
-    return F.array_compact(marks)
+    def here(words: Column):
+        def at(word: Column, i: Column) -> Column:
+            ok = F.lit(True)
+            for k, t in enumerate(phrase.tokens):
+                w = word if k == 0 else F.coalesce(F.get(words, i + k), F.lit(""))
+                ok = ok & (w.startswith(t) if phrase.prefix and k == n - 1 else w == t)
+            return F.when(ok & (i == 0) if phrase.first else ok, i)
+
+        return at
+
+    # bound as a lambda's variable, else the tokens would be made anew for each word
+    return F.element_at(F.transform(F.array(array), lambda words: F.array_compact(F.transform(words, here(words)))), 1)
 
 
 def _window(arrays: list[list[Column]], c: int, phrase: Phrase, distance: int):
