@@ -1,0 +1,144 @@
+"""Near copies of any two texts whose word shingles have a Jaccard similarity of at least 0.8.
+
+Shingles are five words, with A-Z lower-cased, and count once. Equal sets are first reduced to one
+(``digest``). Each set has 128 MinHash values in 32 bands of 4; sets that share a band are
+candidates, so a pair with similarity 0.8 is missed with probability (1 - 0.8**4)**32 < 5e-8, one
+with more less often. Candidates are verified by exact similarity, in two rounds: neighbours of
+each band's bucket first, then every pair of a bucket that the first round has not connected. So
+a group of near copies costs pairs in proportion to its size, and no candidate goes unjudged.
+
+Cases: null texts and texts without words are equal; texts with fewer words than a shingle are
+one shingle; null and repeated ids are told apart by row; an empty table gives no rows; texts are
+read whole.
+"""
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from vellumspark.llm._graph import components
+from vellumspark.llm._store import materialize
+from vellumspark.llm._text import coded, gram_hashes, inside, mixed, owners, plain, slices, word_hashes, words_of
+
+WIDTH, SIMILARITY = 5, 0.8
+BANDS, DEEP = 32, 4
+FACTOR = 0x9E3779B97F4A7C15
+_rng = np.random.default_rng(42)
+TURNS = _rng.integers(0, 1 << 64, (BANDS * DEEP, 2), dtype=np.uint64) | np.array([0, 1], np.uint64)
+
+
+def sets(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of all texts, ascending within each, and each text's offsets."""
+    flat, at = words_of(pc.ascii_lower(plain(texts)))
+    index, distinct = coded(flat)
+    h = word_hashes(distinct)[index]
+    g, ok = gram_hashes(h, WIDTH, FACTOR), inside(at, WIDTH, len(h))
+    own, g = owners(at)[: len(g)][ok], g[ok]
+    n = np.diff(at)
+    for w in range(1, WIDTH):
+        short = np.flatnonzero(n == w)
+        own = np.concatenate([own, short])
+        g = np.concatenate([g, *(mixed(gram_hashes(h[at[i] : at[i + 1]], w, FACTOR) + np.uint64(w)) for i in short)])
+    order = np.lexsort((g, own))
+    own, g = own[order], g[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (own[1:] != own[:-1]) | (g[1:] != g[:-1])
+    return g[new], np.searchsorted(own[new], np.arange(len(n) + 1))
+
+
+def sketch(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The digest of each set, and its bands' keys (none for the empty set, whose digest is 0)."""
+    n = np.diff(at)
+    full, starts = np.flatnonzero(n), at[:-1][n > 0]
+    digest, keys = np.zeros(len(n), np.uint64), np.zeros((len(full), BANDS), np.uint64)
+    if len(full):
+        digest[full] = mixed(np.add.reduceat(mixed(g ^ np.uint64(FACTOR)), starts) + n[full].astype(np.uint64))
+        for k, (x, a) in enumerate(TURNS):
+            least = np.minimum.reduceat((g ^ x) * a, starts)
+            keys[:, k // DEEP] = mixed(keys[:, k // DEEP] * np.uint64(FACTOR) + least)
+    return digest, keys
+
+
+def sketched(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with row, digest, size (shingles) and keys."""
+    rows = docs.withColumn("row", F.monotonically_increasing_id())
+    added = "digest long, size long, keys array<long>"
+    schema = rows.limit(0).selectExpr("*", *(f"cast(null as {kind}) as {name}" for name, kind in (x.split(" ") for x in added.split(", ")))).schema
+    names = to_arrow_schema(schema).names
+
+    def run(batches):
+        for batch in slices(batches):
+            g, at = sets(batch.column("text"))
+            digest, keys = sketch(g, at)
+            offsets = np.concatenate([[0], np.cumsum(np.where(np.diff(at) > 0, BANDS, 0))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digest.view(np.int64)), pa.array(np.diff(at)), lists], names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def similar(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
+    """Those of the ``pairs`` (u, v) whose texts (digest, text) are similar enough."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("digest"))
+    both = texts.join(sides, "digest").select("u", "v", "text").repartition(parts, "u", "v").sortWithinPartitions("u", "v")
+
+    def run(batches):
+        held, one = None, None
+        for batch in slices(batches):
+            g, at = sets(batch.column("text"))
+            found = []
+            for i, key in enumerate(zip(batch.column("u").to_pylist(), batch.column("v").to_pylist())):
+                own = g[at[i] : at[i + 1]]
+                if key != held:
+                    held, one = key, own
+                    continue
+                shared = len(np.intersect1d(one, own, assume_unique=True))
+                if shared >= t * (len(one) + len(own) - shared) - 1e-9:
+                    found.append(key)
+                held = None
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    return both.mapInArrow(run, "u long, v long")
+
+
+def labelled(rows: DataFrame, t: float = SIMILARITY) -> DataFrame:
+    """digest and label (one for each group of near copies) of every digest that has a near copy.
+    ``rows``: as sketched, written."""
+    exploded = rows.select("row", "digest", "size", F.posexplode("keys").alias("b", "key"))
+    every = exploded.groupBy("b", "key", "digest").agg(F.min("row").alias("row"), F.min("size").alias("size"))
+    bucket = Window.partitionBy("b", "key")
+    crowd = materialize(every.withColumn("last", F.lag(F.struct("digest", "size")).over(bucket.orderBy("digest"))).withColumn("n", F.lead("digest").over(bucket.orderBy("digest"))).where("last is not null or n is not null").drop("n"))
+    close = lambda a, b: F.least(a, b) >= t * F.greatest(a, b) - 1e-9  # noqa: E731  fewer shared shingles can't reach t
+    wanted = crowd.groupBy("digest").agg(F.min("row").alias("row"))
+    texts = materialize(rows.select("row", "text").join(wanted, "row").select("digest", "text"))
+
+    pairs = materialize(crowd.where("last is not null").where(close(F.col("size"), F.col("last.size"))).select(F.col("last.digest").alias("u"), F.col("digest").alias("v")).distinct())
+    links = materialize(similar(pairs, texts, t))
+    label = materialize(components(links))
+
+    named = crowd.join(label.withColumnsRenamed({"node": "digest", "root": "label"}), "digest", "left").select("b", "key", "digest", "size", F.coalesce("label", "digest").alias("label"))
+    several = named.groupBy("b", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("b", "key")
+    open_ = materialize(named.join(several, ["b", "key"]))
+    x, y = open_.alias("x"), open_.alias("y")
+    met = F.expr("x.b = y.b and x.key = y.key and x.digest < y.digest and x.label <> y.label") & close(F.col("x.size"), F.col("y.size"))
+    left = x.join(y, met).select(F.col("x.digest").alias("u"), F.col("y.digest").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
+    more = materialize(similar(materialize(left), texts, t))
+    if not more.isEmpty():
+        label = materialize(components(links.unionByName(more)))
+    return label.select(F.col("node").alias("digest"), F.col("root").alias("label"))
+
+
+def dedup(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of near copies those with the smallest id (nulls
+    last), rows with the same id and text once."""
+    rows = materialize(sketched(docs))
+    facts = rows.select("row", "digest", F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"))
+    facts = facts.join(labelled(rows, t), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    facts = materialize(facts.groupBy("label", "id", "mark").agg(F.min("row").alias("row")))
+    least = facts.groupBy("label").agg(F.min("id").alias("least"))
+    stay = facts.join(least, "label").where(F.col("id").eqNullSafe(F.col("least"))).select("row")
+    return rows.join(stay, "row", "left_semi").select(*docs.columns)
