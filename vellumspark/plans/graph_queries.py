@@ -83,6 +83,12 @@ def ordinals(spark, sf_dir):
     return model.numbered(d, "lines", "line")
 
 
+def ordinals_all(spark, sf_dir):
+    """The numbered lines of all documents; ``ordinals`` and its SQL have the short ones only."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    return model.numbered(d, "lines", "line")
+
+
 def page_list(spark, sf_dir):
     """The first record of each page, as a web archive's page list has it."""
     p = table(spark, sf_dir, "pages").select(F.regexp_replace("url", r"[?#].*$", "").alias("url"), (F.col("page_id") % 3).cast("string").alias("timestamp"), F.concat(F.lit("f"), F.col("page_id") % 5).alias("filename"), F.col("page_id").alias("offset"))
@@ -180,6 +186,7 @@ QUERIES = {
     "dangling_references": (dangling_references, DANGLING_SQL),
     "bad_relations": (bad_relations, RELATIONS_SQL),
     "ordinals": (ordinals, "select doc_id, i - 1 as ordinal, l[i] as line from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from documents where n_chars < 400))"),
+    "ordinals_all": (ordinals_all, None),
     "page_list": (page_list, PAGES_SQL),
     "cdx_lines": (cdx_lines, CDX_SQL),
     "reachable": (reachable, REACH_SQL),
