@@ -1,8 +1,11 @@
 """Queries over whole tables whose older namesakes, and their SQL, see a part; against brute force."""
 
+import html
+import re
+
 import pyarrow.parquet as pq
 
-from vellumspark.plans import graph_queries
+from vellumspark.plans import graph_queries, scalar_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,3 +19,10 @@ def test_ordinals_all(spark):
     got = graph_queries.ordinals_all(spark, SF).select("doc_id", "ordinal", "line").collect()
     assert sorted(tuple(r) for r in got) == want
     assert any(d["n_chars"] >= 400 for d in rows("documents"))
+
+
+def test_markup_text_all(spark):
+    pages = rows("pages")
+    want = sorted((p["page_id"], html.escape(p["html"]), ",".join(re.findall(r"&([A-Za-z][A-Za-z0-9._:-]*);", p["html"])), "a " + p["url"]) for p in pages)
+    assert sorted(tuple(r) for r in scalar_queries.markup_text_all(spark, SF).select("page_id", "escaped", "entities", "title").collect()) == want
+    assert any(len(p["html"]) > 400 for p in pages)

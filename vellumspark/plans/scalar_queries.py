@@ -121,6 +121,12 @@ def markup_text(spark, sf_dir):
     return p.select("page_id", text.html_escaped(F.substring("html", 1, 400)).alias("escaped"), F.array_join(text.entity_names(F.col("html")), ",").alias("entities"), text.clean_title(F.concat(F.lit("  a \t"), F.col("url"), F.lit(" : "))).alias("title"))
 
 
+def markup_text_all(spark, sf_dir):
+    """As ``markup_text``, with the whole html escaped; ``markup_text`` and its SQL escape a beginning."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", text.html_escaped(F.col("html")).alias("escaped"), F.array_join(text.entity_names(F.col("html")), ",").alias("entities"), text.clean_title(F.concat(F.lit("  a \t"), F.col("url"), F.lit(" : "))).alias("title"))
+
+
 MARKUP_SQL = """select page_id, replace(replace(replace(replace(replace(substr(html, 1, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') as escaped,
  array_to_string(regexp_extract_all(html, '&([A-Za-z][A-Za-z0-9._:-]*);', 1), ',') as entities, 'a ' || url as title from pages"""
 
@@ -172,6 +178,7 @@ QUERIES = {
     "access_ids": (access_ids, ACCESS_SQL),
     "identifier_order": (identifier_order, ORDER_SQL),
     "markup_text": (markup_text, MARKUP_SQL),
+    "markup_text_all": (markup_text_all, None),
     "html_text": (html_text, None),
     "html_links": (html_links, None),
     "link_classes": (link_classes, None),
