@@ -2,10 +2,11 @@
 
 import html
 import re
+from collections import defaultdict
 
 import pyarrow.parquet as pq
 
-from vellumspark.plans import graph_queries, scalar_queries
+from vellumspark.plans import capture_queries, graph_queries, scalar_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +27,22 @@ def test_markup_text_all(spark):
     want = sorted((p["page_id"], html.escape(p["html"]), ",".join(re.findall(r"&([A-Za-z][A-Za-z0-9._:-]*);", p["html"])), "a " + p["url"]) for p in pages)
     assert sorted(tuple(r) for r in scalar_queries.markup_text_all(spark, SF).select("page_id", "escaped", "entities", "title").collect()) == want
     assert any(len(p["html"]) > 400 for p in pages)
+
+
+def test_view_status_all(spark):
+    captures_, days = defaultdict(list), defaultdict(list)
+    for e in rows("events"):
+        ok, value = e["event_type"] != "error", e["value"]
+        status = "complete" if ok and value > 20 else "complete_with_warnings" if value > 60 else "partial" if value > 5 else "failed"
+        captures_[f"{e['ts']:%Y%m%d}", e["user_id"] % 97].append((status, e["user_id"] % 3 == 0, value > 40))
+    for (day, _), results in captures_.items():
+        missed = [s for s, required, _ in results if required and s in ("partial", "failed")]
+        if missed:
+            status = "partial" if "partial" in missed or any(p for *_, p in results) else "failed"
+        else:
+            status = "complete" if all(s == "complete" for s, *_ in results) else "complete_with_warnings"
+        days[day].append(status)
+    want = {}
+    for day, found in days.items():
+        want[day] = "complete" if set(found) == {"complete"} else "complete_with_warnings" if set(found) <= {"complete", "complete_with_warnings"} else "partial"
+    assert {r["day"]: r["status"] for r in capture_queries.view_status_all(spark, SF).collect()} == want and len(want) > 3

@@ -56,10 +56,10 @@ def capture_status(results: DataFrame, capture: str = "capture_id") -> DataFrame
     return results.groupBy(capture).agg(status.alias("status"))
 
 
-def view_status(statuses: DataFrame) -> DataFrame:
-    """One row: complete if all of a view's sources are, with warnings if all succeeded, else partial."""
+def view_status(statuses: DataFrame, *keys: str) -> DataFrame:
+    """One row, or one for each of the keys: complete if all of a view's sources are, with warnings if all succeeded, else partial."""
     every, fine = F.bool_and(F.col("status") == "complete"), F.bool_and(F.col("status").isin(SUCCESS))
-    return statuses.agg(F.when(every, "complete").when(fine, "complete_with_warnings").otherwise("partial").alias("status"))
+    return statuses.groupBy(*keys).agg(F.when(every, "complete").when(fine, "complete_with_warnings").otherwise("partial").alias("status"))
 
 
 def report_status(errors: Column, warnings: Column) -> Column:

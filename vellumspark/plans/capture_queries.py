@@ -59,6 +59,12 @@ def view_status(spark, sf_dir):
     return out
 
 
+def view_status_all(spark, sf_dir):
+    """The views of all days; ``view_status`` and its SQL have three."""
+    days = capture_status(spark, sf_dir).withColumn("day", F.substring("capture_id", 1, 8))
+    return captures.view_status(days, "day")
+
+
 VIEW_SQL = " union all ".join(f"select case when bool_and(status = 'complete') then 'complete' when bool_and(status in ('complete', 'complete_with_warnings')) then 'complete_with_warnings' else 'partial' end as status, '{d}' as day from ({CAPTURE_STATUS_SQL}) where capture_id like '{d}%'" for d in ("20240101", "20240102", "20240103"))
 
 
@@ -211,6 +217,7 @@ QUERIES = {
     "source_status": (source_status, SOURCE_STATUS_SQL),
     "capture_status": (capture_status, CAPTURE_STATUS_SQL),
     "view_status": (view_status, VIEW_SQL),
+    "view_status_all": (view_status_all, None),
     "report_status": (report_status, REPORT_SQL),
     "complete_captures": (complete_captures, COMPLETE_SQL),
     "role_classification": (role_classification, ROLES_SQL),
