@@ -46,3 +46,14 @@ def test_view_status_all(spark):
     for day, found in days.items():
         want[day] = "complete" if set(found) == {"complete"} else "complete_with_warnings" if set(found) <= {"complete", "complete_with_warnings"} else "partial"
     assert {r["day"]: r["status"] for r in capture_queries.view_status_all(spark, SF).collect()} == want and len(want) > 3
+
+
+def test_catalogue_projection_all(spark):
+    items = defaultdict(list)
+    for d in rows("documents"):
+        items[d["source"]].append((d["doc_id"], d["lang"]))
+    want = {s: (len(v), ",".join(f"{i}:{lang}" for i, lang in sorted(v)), "available") for s, v in items.items()}
+    want |= {r["r_name"]: (0, "", "unavailable") for r in rows("region") if r["r_name"] not in want}
+    got = graph_queries.catalogue_projection_all(spark, SF).collect()
+    assert {r["collection_id"]: (r["n_items"], r["items"], r["status"]) for r in got} == want and len(got) == len(want)
+    assert any(d["n_chars"] <= 4000 for d in rows("documents"))

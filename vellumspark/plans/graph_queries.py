@@ -28,6 +28,13 @@ def catalogue_projection(spark, sf_dir):
     return catalogue.projection(wanted, d.where("n_chars > 4000").select(F.col("source").alias("collection_id"), F.col("doc_id").alias("item_id"), F.col("lang").alias("label")))
 
 
+def catalogue_projection_all(spark, sf_dir):
+    """The same with documents of any length; ``catalogue_projection`` and its SQL list the long ones."""
+    d = table(spark, sf_dir, "documents")
+    wanted = d.select(F.col("source").alias("collection_id")).distinct().unionByName(table(spark, sf_dir, "region").select(F.col("r_name").alias("collection_id")))
+    return catalogue.projection(wanted, d.select(F.col("source").alias("collection_id"), F.col("doc_id").alias("item_id"), F.col("lang").alias("label")))
+
+
 PROJECTION_SQL = """select collection_id, coalesce(n, 0) as n_items, coalesce(items, '') as items, case when n is null then 'unavailable' else 'available' end as status from
 (select distinct source as collection_id from documents union select r_name from region) left join (select source as collection_id, count(*) as n, string_agg(doc_id || ':' || lang, ',' order by doc_id) as items from documents where n_chars > 4000 group by source) using (collection_id)"""
 
@@ -179,6 +186,7 @@ QUERIES = {
     "catalogue_summary": (catalogue_summary, SUMMARY_SQL),
     "catalogue_documents": (catalogue_documents, DOCUMENTS_SQL),
     "catalogue_projection": (catalogue_projection, PROJECTION_SQL),
+    "catalogue_projection_all": (catalogue_projection_all, None),
     "facet_consistency": (facet_consistency, FACETS_SQL),
     "facet_notes": (facet_notes, "select p_brand as key, arg_min(p_name, p_partkey) as note from part where p_size > 20 group by 1"),
     "facet_values": (facet_values, "select l_orderkey, count(*) = count(distinct l_returnflag) and count(*) <= 128 as valid from lineitem group by 1"),
