@@ -57,3 +57,30 @@ def test_catalogue_projection_all(spark):
     got = graph_queries.catalogue_projection_all(spark, SF).collect()
     assert {r["collection_id"]: (r["n_items"], r["items"], r["status"]) for r in got} == want and len(got) == len(want)
     assert any(d["n_chars"] <= 4000 for d in rows("documents"))
+
+
+def walked(edges, starts, most):
+    depth, front = {n: 0 for n in starts}, set(starts)
+    for k in range(1, most + 1):
+        front = {d for s, d in edges if s in front} - set(depth)
+        depth |= {n: k for n in front}
+    return depth
+
+
+def test_graphs_all(spark):
+    orders = rows("orders")
+    edges = {(o["o_custkey"], o["o_orderkey"] * 7) for o in orders}
+    assert max(s for s, _ in edges) < 500 < max(d for _, d in edges) and max(d for _, d in edges) > 1000  # beyond the folded keys
+    assert {r["node"]: r["depth"] for r in graph_queries.reachable_all(spark, SF).collect()} == walked(edges, [0, 3], 4)
+    followed = walked({(s, d) for s, d in edges if d % 4}, [1, 2, 7], 8)
+    first = sorted(followed.items(), key=lambda x: (x[1], x[0]))[:1000]
+    assert {r["url"]: r["depth"] for r in graph_queries.redirect_walk_all(spark, SF).collect()} == dict(first)
+    asked = {d for s, d in edges if s % 5 == 0}
+    flags = {(s, d, (s + d) % 3 == 0, d in asked) for s, d in edges}
+    assert {tuple(r) for r in graph_queries.redirect_flags_all(spark, SF).select("src", "dst", "reviewed", "requested").collect()} == flags
+    done, want = {s for s, _, reviewed, requested in flags if reviewed and requested}, defaultdict(lambda: True)
+    for o in orders:
+        want[o["o_orderkey"] // 2] &= o["o_custkey"] in done
+    got = {r["invocation"]: r["completed"] for r in graph_queries.completed_invocations_all(spark, SF).collect()}
+    assert got == want and set(got.values()) == {True, False}
+    assert {r["node"] for r in graph_queries.missing_support_all(spark, SF).collect()} == {d for _, d in edges} - {s for s, _ in edges}

@@ -177,6 +177,37 @@ def missing_support(spark, sf_dir):
     return graphs.missing_targets(e, e.select(F.col("src").alias("node")).distinct())
 
 
+def _whole_edges(spark, sf_dir):
+    """Edges from unfolded keys of all orders: the graph grows with the table."""
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * 7).alias("dst"))
+
+
+def reachable_all(spark, sf_dir):
+    """As ``reachable``, over all edges with unfolded keys; it and its SQL walk a third of folded ones."""
+    return graphs.reach(_whole_edges(spark, sf_dir), spark.createDataFrame([(0,), (3,)], "node long"), 4)
+
+
+def redirect_walk_all(spark, sf_dir):
+    e = _whole_edges(spark, sf_dir)
+    return graphs.redirect_walk(spark.createDataFrame([(1,), (2,), (7,)], "url long"), e, e.where("dst % 4 <> 0"), 8)
+
+
+def redirect_flags_all(spark, sf_dir):
+    e = _whole_edges(spark, sf_dir).distinct()
+    return graphs.edge_flags(e, e.where("(src + dst) % 3 = 0"), e.where("src % 5 = 0").select(F.col("dst").alias("url")))
+
+
+def completed_invocations_all(spark, sf_dir):
+    """All orders are requests, two to an invocation."""
+    requests = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 2").alias("invocation"), F.col("o_custkey").alias("url"))
+    return graphs.completed_by_redirects(requests, redirect_flags_all(spark, sf_dir))
+
+
+def missing_support_all(spark, sf_dir):
+    e = _whole_edges(spark, sf_dir)
+    return graphs.missing_targets(e, e.select(F.col("src").alias("node")).distinct())
+
+
 def first_per_key(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")
     return numbering.first_by(li, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey"]).select("l_partkey", "l_orderkey", "l_linenumber")
@@ -203,5 +234,10 @@ QUERIES = {
     "redirect_flags": (redirect_flags, FLAGS_SQL),
     "completed_invocations": (completed_invocations, COMPLETED_SQL),
     "missing_support": (missing_support, "select distinct o_orderkey * 7 % 1000 as node from orders where o_orderkey * 7 % 1000 not in (select o_custkey % 500 from orders)"),
+    "reachable_all": (reachable_all, None),
+    "redirect_walk_all": (redirect_walk_all, None),
+    "redirect_flags_all": (redirect_flags_all, None),
+    "completed_invocations_all": (completed_invocations_all, None),
+    "missing_support_all": (missing_support_all, None),
     "first_per_key": (first_per_key, "select l_partkey, l_orderkey, l_linenumber from (select *, row_number() over (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber, l_suppkey) as r from lineitem) where r = 1"),
 }
