@@ -28,8 +28,19 @@ from vellumspark.llm._store import materialize
 from vellumspark.llm._text import plain, slices
 
 BITS, BUDGET, SEED = 64, 4, 42
-#: First bit of each of the five blocks, and how many bits a rotation's tries share at least.
-STARTS, SHARED = [0, 13, 26, 39, 52], 12
+
+
+def layout(budget: int) -> tuple[list[int], int]:
+    """First bit of each block, and how many bits a rotation's tries share at least. One block more
+    than the budget, five at least: within the budget two fingerprints agree in some block."""
+    if not 0 <= budget < BITS:
+        raise ValueError(f"a budget is 0 to {BITS - 1} bits, not {budget}")
+    n = max(5, budget + 1)
+    shared = BITS // n
+    return [i * (BITS - shared) // (n - 1) for i in range(n)], shared
+
+
+STARTS, SHARED = layout(BUDGET)
 #: Fingerprints of a block that one task takes; below so many comparisons a node pair is compared outright.
 CHUNK, OUTRIGHT, FRONTIER = 100_000, 1024, 200_000
 
@@ -153,9 +164,10 @@ def rotate(x: np.ndarray, start: int) -> np.ndarray:
 def links(unique: DataFrame, budget: int = BUDGET, chunk: int = CHUNK) -> DataFrame:
     """u and v: a spanning forest of the links between the distinct fingerprints ``fp``."""
     spark = unique.sparkSession
-    block = lambda s: F.shiftright(F.shiftleft("fp", s), BITS - SHARED) if s + SHARED <= BITS else F.lit(0)
-    rows = unique.select("fp", F.posexplode(F.array(*[block(s) for s in STARTS])).alias("r", "b"))
-    # at most 5 * 2**12 blocks, so what is broadcast is bounded
+    starts, shared = layout(budget)
+    block = lambda s: F.shiftright(F.shiftleft("fp", s), BITS - shared) if s + shared <= BITS else F.lit(0)
+    rows = unique.select("fp", F.posexplode(F.array(*[block(s) for s in starts])).alias("r", "b"))
+    # at most 5 * 2**12 blocks (fewer with a larger budget), so what is broadcast is bounded
     crowded = rows.groupBy("r", "b").count().where(F.col("count") > chunk).select("r", "b", F.ceil(F.col("count") / (chunk / 2)).cast("int").alias("s"))
     dealt = rows.join(F.broadcast(materialize(crowded)), ["r", "b"], "left").withColumn("s", F.coalesce("s", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
@@ -171,13 +183,13 @@ def links(unique: DataFrame, budget: int = BUDGET, chunk: int = CHUNK) -> DataFr
             key = [table.column(c).to_numpy() for c in ("r", "b", "i", "j")]
             fp = table.column("fp").to_numpy().view(np.uint64)
             turned = fp.copy()
-            for r, s in enumerate(STARTS):
+            for r, s in enumerate(starts):
                 turned[key[0] == r] = rotate(fp[key[0] == r], s)
             order = np.lexsort((turned, *key[::-1]))
             fp, turned, key = fp[order], turned[order], [k[order] for k in key]
             new = np.ones(len(fp), bool)
             new[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
-            label = trie_self_join(turned, np.flatnonzero(new), SHARED, budget)
+            label = trie_self_join(turned, np.flatnonzero(new), shared, budget)
             linked = np.flatnonzero(label != np.arange(len(label)))
             return pa.RecordBatch.from_arrays([pa.array(fp[linked].view(np.int64)), pa.array(fp[label[linked]].view(np.int64))], ["u", "v"])
 
