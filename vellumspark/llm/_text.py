@@ -68,10 +68,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(distinct: pa.Array, seed: int = 0) -> np.ndarray:
-    """XXH64 of each distinct word's UTF-8 bytes."""
-    data = distinct.cast(pa.binary()).to_pylist()
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in data), np.uint64, len(data))
+#: Longer words than this many bytes are hashed one by one.
+LONG_WORD = 4096
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word's UTF-8 bytes, eight bytes of all words at a time."""
+    n = len(words)
+    if not n:
+        return np.empty(0, np.uint64)
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+    raw = np.zeros(at[-1] - at[0] + 8, np.uint8)
+    raw[:-8] = np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))  # the bytes from each place on, as numbers
+    at, left = at[:-1] - at[0], np.diff(at)
+    out = mixed(left.astype(np.uint64) + MIX_2)
+    alive = np.flatnonzero((left > 0) & (left <= LONG_WORD))
+    at, rest = at[alive], left[alive]
+    while len(alive):
+        part = eight[at]
+        short = rest < 8
+        part[short] &= (np.uint64(1) << (rest[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[alive] = mixed(out[alive] * MIX_1 + part)
+        more = rest > 8
+        alive, at, rest = alive[more], at[more] + 8, rest[more] - 8
+    for k in np.flatnonzero(left > LONG_WORD):
+        out[k] = xxhash.xxh64_intdigest(words[int(k)].as_py().encode())
+    return out
 
 
 def gram_hashes(hashes: np.ndarray, k: int, factor: int) -> np.ndarray:
