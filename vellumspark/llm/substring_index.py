@@ -2,41 +2,49 @@
 
 A window is ``WINDOW`` consecutive words. Windows that are equal have the same anchor, the
 smallest hash of the short runs of words inside them, so an index of anchors finds every
-repeated window with about a fifth of the entries. The index is log-structured: each batch of
-documents becomes a sorted immutable run (anchor, smallest doc_id), bucketed by anchor, that is
-merge-joined with the runs before it without an exchange; two runs of a tier are compacted into
-one of the next. What a batch shares with history or within itself becomes a candidate.
-
-Candidates are verified on the texts: windows under a candidate anchor are compared by hashes of
-all their words (96 bits or more), and those that also start in a document with a smaller doc_id are
-removed. The anchors found are sent to the tasks as a filter of fixed greatest size, which may
-only pass too much; the comparison that follows is over exact windows.
-
-Cases: null and empty texts have no words; texts shorter than a window keep all; a null doc_id
-ranks after all others; rows that share a doc_id never remove each other's words; ties and
-repeated rows keep the same words; an empty table gives no rows; texts are read whole; other
-columns are left out, so names cannot clash.
+repeated window with about a fifth of the entries. Neighbouring windows with one anchor are one
+unit: an entry of the index has the anchor, a hash of the unit's words, and where it stands.
+
+The index is log-structured and lasts: each batch of documents becomes a sorted immutable run,
+bucketed by anchor, in a folder whose manifest names the runs; it can be opened again in another
+session. A new batch is merge-joined with all runs, without an exchange of theirs. Where all units
+of an anchor have the same words, as inside most repeated passages, they are settled by the join
+alone, by 64 bits beside the anchor's 64. Only under anchors whose units differ are windows
+compared one by one on the texts, by hashes of all their words (96 bits). Two runs of a tier are
+compacted into one of the next.
+
+``dedup`` treats a whole table, its batches in ascending order of doc_id; ``dedup_batch`` a new batch
+against an index of history. Texts of history are read only for documents with differing units.
+
+Cases: doc_id is a whole number or a text (compared by its bytes; other types are taken as texts);
+null and empty texts have no words; texts shorter than a window keep all; a null doc_id ranks
+after all others; rows that share a doc_id, null ones too, never remove each other's words and are
+told apart by a 64-bit hash of the text; ties and repeated rows keep the same words; an empty
+table gives no rows; texts are read whole, whatever their length; other columns are left out
+unless named in ``carry``, where one that bears a result's name gets ``own_`` before it.
 """
 
+import json
 import uuid
-import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from vellumspark.llm._store import discard, materialize, shared_dir
-from vellumspark.llm._text import coded, gram_hashes, inside, mixed, owners, plain, ragged, slices, word_hashes, words_of
+from vellumspark.llm._store import Scratch, discard, shared_dir
+from vellumspark.llm._text import gram_hashes, inside, mixed, owners, ragged, slices, word_hashes, words_of
 
 WINDOW, GRAM = 13, 5
 #: Factors of the anchors' hashes and of the two hashes of a window.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Runs of a tier that are compacted into one.
 FAN_IN = 2
-#: Filter: bits for an entry, and least and greatest size in bits (32 MB).
+#: Filter: bits for an entry, and least and greatest size in bits (32 MB). More entries than that
+#: holds are joined instead.
 BITS_EACH, LEAST_BITS, MOST_BITS, BLOCK_BITS = 12, 1 << 20, 1 << 28, 1 << 16
 LAST = (1 << 63) - 1
 
@@ -54,80 +62,164 @@ def anchors_of(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return owners(offsets)[at], at, least[at]
 
 
-def hashed_words(texts) -> tuple[np.ndarray, np.ndarray]:
+def windows_of(texts) -> tuple:
+    """Of every window: text number, first word in its text, anchor and two hashes of its words."""
     flat, offsets = words_of(texts)
-    index, distinct = coded(flat)
-    return word_hashes(distinct)[index], offsets
+    h = word_hashes(flat)
+    own, at, a = anchors_of(h, offsets)
+    w, v = (gram_hashes(h, WINDOW, f)[at] if len(at) else np.empty(0, np.uint64) for f in FACTORS[1:])
+    return own, at - offsets[own], a, w, v
+
+
+def rank_of(docs: DataFrame) -> Column:
+    """The order of doc_id as a long, or as a text that puts null last."""
+    c = F.col("doc_id")
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        return F.coalesce(c.cast("long"), F.lit(LAST))
+    return F.when(c.isNull(), "1").otherwise(F.concat(F.lit("0"), c.cast("string")))
+
 
+def kind_of(docs: DataFrame) -> str:
+    return "long" if isinstance(docs.schema["doc_id"].dataType, IntegralType) else "string"
 
-def ranked(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
 
+def ranked(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc (the rank of its id), row (a hash of id and text) and text."""
+    return docs.select(rank_of(docs).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text", *more)
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """anchor and doc, once for each text and change of anchor."""
+
+def ordinal(doc: Column, kind: str) -> Column:
+    """A long in the order of ranks, with ties among long texts."""
+    if kind == "long":
+        return doc
+    return F.conv(F.hex(F.substring(F.rpad(doc.cast("binary"), 7, F.lit(b"\0")), 1, 7)), 16, 10).cast("long")
+
+
+def units(docs: DataFrame) -> DataFrame:
+    """anchor, words, doc, row and place of all units. A place is 16 times the first word's number,
+    and windows less one; a unit has at most WINDOW of them, so that its first and last hold all words."""
 
     def run(batches):
         for batch in slices(batches):
-            own, _, a = anchors_of(*hashed_words(batch.column("text")))
+            own, at, a, w, v = windows_of(batch.column("text"))
             new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (own[1:] != own[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), batch.column("doc").take(pa.array(own[new]))], ["anchor", "doc"])
+            new[1:] = (a[1:] != a[:-1]) | (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)
+            first = np.flatnonzero(new)
+            length = np.diff(np.append(first, len(a)))
+            pieces = -(-length // WINDOW)
+            start = np.repeat(first, pieces) + WINDOW * ragged(np.zeros_like(pieces), pieces)
+            n = np.minimum(start + WINDOW, np.repeat(first + length, pieces)) - start
+            words = mixed(mixed(w[start] + np.uint64(3) * v[start + n - 1]) + n.astype(np.uint64)) if len(a) else w
+            text = pa.array(own[start])
+            yield pa.RecordBatch.from_arrays([pa.array(a[start].view(np.int64)), pa.array(words.view(np.int64)), batch.column("doc").take(text), batch.column("row").take(text), pa.array(at[start] << 4 | n - 1)], ["anchor", "words", "doc", "row", "place"])
 
-    return ranked(docs).mapInArrow(run, "anchor long, doc long")
+    return ranked(docs).mapInArrow(run, f"anchor long, words long, doc {kind_of(docs)}, row long, place long")
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (anchor, least doc), in the shared folder."""
+    """Sorted immutable runs of units in a folder that driver and executors share.
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, fan_in: int = FAN_IN):
-        self.spark, self.folder, self.fan_in = spark, folder or shared_dir(spark), fan_in
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[tuple[int, str]] = []  # tier, table
+    ``kind``: long or string, the type of ranks. An index that the folder already has is opened."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, fan_in: int = FAN_IN, kind: str = "long"):
+        self.spark, self.folder = spark, folder or shared_dir(spark)
+        self.state = self._manifest() or {"version": 0, "buckets": int(spark.conf.get("spark.sql.shuffle.partitions")), "fan_in": fan_in, "kind": kind, "runs": []}
+        for _, name in self.runs:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (anchor BIGINT, words BIGINT, doc {self.state['kind']}, row BIGINT, place BIGINT) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {self.state['buckets']} BUCKETS LOCATION '{self.folder}/{name}'")
+
+    @property
+    def runs(self) -> list[tuple[int, str]]:
+        return [(t, n) for t, n in self.state["runs"]]
+
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), lambda name: self.spark._jvm.org.apache.hadoop.fs.Path(path, name)
+
+    def _manifest(self) -> dict | None:
+        """The newest of the manifests in the folder."""
+        fs, at = self._files()
+        found = [f.getPath() for f in fs.globStatus(at("manifest-*.json")) or []]
+        if not found:
+            return None
+        return json.loads(self.spark.read.text(max(found, key=lambda p: p.getName()).toString(), wholetext=True).first()[0])
+
+    def _commit(self, runs: list[tuple[int, str]]) -> None:
+        """A new manifest, put in its place by one renaming; the last one is kept, older ones go."""
+        self.state = self.state | {"version": self.state["version"] + 1, "runs": runs}
+        fs, at = self._files()
+        name, temp = f"manifest-{self.state['version']:012d}.json", at(f".{uuid.uuid4().hex}")
+        out = fs.create(temp, False)
+        out.write(bytearray(json.dumps(self.state).encode()))
+        out.close()
+        if not fs.rename(temp, at(name)):
+            raise RuntimeError(f"another writer has changed the index in {self.folder}")
+        for f in fs.globStatus(at("manifest-*.json")):
+            if f.getPath().getName() < f"manifest-{self.state['version'] - 1:012d}.json":
+                fs.delete(f.getPath(), False)
 
     def _write(self, rows: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        rows.repartition(self.state["buckets"], "anchor").write.bucketBy(self.state["buckets"], "anchor").sortBy("anchor").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         discard(self.spark, f"{self.folder}/{name}")
 
-    def ingest(self, batch: DataFrame) -> DataFrame:
-        """Add a batch of (anchor, doc); returns its anchors that stand in several documents of
-        history and batch."""
-        rows = batch.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-        name = self._write(rows)
+    def rows(self) -> DataFrame:
+        """All entries. Runs have equal buckets, so they are still dealt by anchor."""
+        out = self.spark.table(self.runs[0][1])
+        for _, n in self.runs[1:]:
+            out = out.unionByName(self.spark.table(n))
+        return out
+
+    def ingest(self, batch: DataFrame, keep: list | None = None) -> tuple[DataFrame, DataFrame]:
+        """Add a batch of units. Returns (row, place) of its units that stand in a document with a
+        smaller id, as far as units tell, and (anchor) of the batch whose units have different words."""
+        old = self.rows() if self.runs else None
+        name = self._write(batch)
         new = self.spark.table(name)
-        found = new.where("least <> most").select("anchor")
-        for _, old in self.runs:
-            met = new.alias("n").hint("merge").join(self.spark.table(old).alias("o"), "anchor").where("n.least <> o.most or n.least <> o.least or n.most <> o.most")
-            found = found.unionByName(met.select("anchor"))
-        found = materialize(found)
-        self.runs.append((0, name))
-        return found
+        summary = [F.min("doc").alias("least"), F.max("doc").alias("most"), F.min("words").alias("low"), F.max("words").alias("high")]
+        known = new.groupBy("anchor").agg(*summary)
+        if old is not None:
+            past = old.groupBy("anchor").agg(*[c for c in summary]).withColumnsRenamed({"least": "p_least", "most": "p_most", "low": "p_low", "high": "p_high"})
+            both = known.hint("merge").join(past, "anchor", "left")
+            known = both.select("anchor", F.least("least", "p_least").alias("least"), F.greatest("most", "p_most").alias("most"), F.least("low", "p_low").alias("low"), F.greatest("high", "p_high").alias("high"))
+        s = Scratch(self.spark)
+        known = s.keep(known.where("least <> most").select("anchor", "least", (F.col("low") == F.col("high")).alias("alike")))
+        settled = s.keep(new.join(known.where("alike"), "anchor").where("doc > least").select("row", "place"))
+        differ = s.keep(known.where("not alike").select("anchor"))
+        s.drop(known)
+        self._commit([*self.runs, (0, name)])
+        if keep is not None:
+            keep.append(s)
+        return settled, differ
 
     def compact(self) -> None:
         """Merge runs of a tier, from the lowest up, while a tier has ``fan_in`` of them."""
         while True:
             tiers = [t for t, _ in self.runs]
-            full = [t for t in sorted({*tiers}) if tiers.count(t) >= self.fan_in]
+            full = [t for t in sorted({*tiers}) if tiers.count(t) >= self.state["fan_in"]]
             if not full:
                 return
             old = [n for t, n in self.runs if t == full[0]]
             rows = self.spark.table(old[0])
             for n in old[1:]:
                 rows = rows.unionByName(self.spark.table(n))
-            name = self._write(rows.groupBy("anchor").agg(F.min("least").alias("least"), F.max("most").alias("most")))
-            self.runs = [(t, n) for t, n in self.runs if n not in old] + [(full[0] + 1, name)]
+            name = self._write(rows)
+            self._commit([(t, n) for t, n in self.runs if n not in old] + [(full[0] + 1, name)])
             for n in old:
                 self._drop(n)
 
     def close(self) -> None:
+        """Forget the tables; the folder stays."""
+        for _, name in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def delete(self) -> None:
         for _, name in self.runs:
             self._drop(name)
-        self.runs = []
+        discard(self.spark, self.folder)
 
 
 def member_filter(values: DataFrame) -> tuple[int, dict[int, bytes]]:
@@ -187,144 +279,151 @@ def passes(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ok
 
 
-def marks(texts: pa.Array) -> np.ndarray:
-    """32 bits of each text, in the upper half of a long: tells apart rows that share a doc_id."""
-    sums = [zlib.crc32(t) for t in plain(texts).cast(pa.binary()).to_pylist()]
-    return np.array(sums, np.uint64) << np.uint64(32)
+def capacity() -> int:
+    return MOST_BITS // BITS_EACH
 
 
-def found_windows(batch, table: np.ndarray) -> tuple:
-    """Of the windows whose anchor passes the filter: text number, first word, anchor and two
-    hashes, and each text's first word."""
-    h, offsets = hashed_words(batch.column("text"))
-    own, at, a = anchors_of(h, offsets)
-    new = np.ones(len(a), bool)
-    new[1:] = a[1:] != a[:-1]
-    ok = passes(table, a[new])[np.cumsum(new) - 1] if len(a) else np.empty(0, bool)
-    own, at, a = own[ok], at[ok], a[ok]
-    w, v = (gram_hashes(h, WINDOW, f)[at] if len(at) else np.empty(0, np.uint64) for f in FACTORS[1:])
-    return own, at, a, w, v, offsets
+def single_windows(docs: DataFrame, differ: DataFrame, entries: DataFrame) -> DataFrame:
+    """w, v, doc, row and place of the windows under the anchors of ``differ``. As many anchors as the
+    filter holds are found in one pass over the texts; more are joined with the index, and only
+    texts that have them are read, each with its places."""
+    schema = f"w long, v int, doc {kind_of(docs)}, row long, place long"
 
+    def made(batch, ok, own, at, w, v):
+        text = pa.array(own[ok])
+        half = (v[ok] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(w[ok].view(np.int64)), pa.array(half), batch.column("doc").take(text), batch.column("row").take(text), pa.array(at[ok] << 4)], ["w", "v", "doc", "row", "place"])
 
-def pack(batch, own, start, n) -> pa.Array:
-    """A text's 32 bits, the number of the first word (28 bits), and windows less one (4 bits)."""
-    return pa.array((marks(batch.column("text"))[own] | start.astype(np.uint64) << np.uint64(4) | (n - 1).astype(np.uint64)).view(np.int64))
+    if differ.count() <= capacity():
+        wanted = docs.sparkSession.sparkContext.broadcast(member_filter(differ))
 
+        def filtered(batches):
+            table = flat_filter(*wanted.value)
+            for batch in slices(batches):
+                own, at, a, w, v = windows_of(batch.column("text"))
+                new = np.ones(len(a), bool)
+                new[1:] = a[1:] != a[:-1]
+                ok = passes(table, a[new])[np.cumsum(new) - 1] if len(a) else np.empty(0, bool)
+                yield made(batch, ok, own, at, w, v)
 
-def repeated(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """doc and place (see ``pack``) of the windows that also start in a document with a smaller
-    doc_id.
+        return ranked(docs).mapInArrow(filtered, schema)
 
-    Neighbouring windows with one anchor are first compared as a unit: where all units of an
-    anchor have the same words, as inside most repeated passages, they are settled by one row
-    each. Only under anchors whose units differ are windows compared one by one."""
-    spark, base = docs.sparkSession, ranked(docs)
-    every = spark.sparkContext.broadcast(member_filter(candidates))
+    places = entries.join(differ.hint("merge"), "anchor").groupBy("row").agg(F.collect_set("place").alias("places"))
 
-    def units(batches):
-        table = flat_filter(*every.value)
-        for batch in slices(batches):
-            own, at, a, w, v, offsets = found_windows(batch, table)
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)
-            first = np.flatnonzero(new)
-            length = np.diff(np.append(first, len(a)))
-            pieces = -(-length // WINDOW)  # so that a unit's first and last window hold all its words
-            start = np.repeat(first, pieces) + WINDOW * ragged(np.zeros_like(pieces), pieces)
-            stop = np.minimum(start + WINDOW, np.repeat(first + length, pieces))
-            n = stop - start
-            words = mixed(mixed(w[start] + np.uint64(3) * v[stop - 1]) + n.astype(np.uint64)) if len(a) else w
-            yield pa.RecordBatch.from_arrays([pa.array(a[start].view(np.int64)), pa.array(words.view(np.int64)), batch.column("doc").take(pa.array(own[start])), pack(batch, own[start], at[start] - offsets[own[start]], n)], ["anchor", "words", "doc", "place"])
-
-    rows = materialize(base.mapInArrow(units, "anchor long, words long, doc long, place long"))  # used twice; to find them again costs a pass over the texts
-    known = rows.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), (F.min("words") == F.max("words")).alias("alike")).where("least <> most")
-    known = materialize(known.select("anchor", "least", "alike"))
-    whole = rows.select("anchor", "doc", "place").join(known.where("alike").select("anchor", "least"), "anchor").where("doc > least").select("doc", "place")
-    differ = spark.sparkContext.broadcast(member_filter(known.where("not alike").select("anchor")))
-
-    def windows(batches):
-        table = flat_filter(*differ.value)
+    def placed(batches):
         for batch in slices(batches):
-            own, at, _, w, v, offsets = found_windows(batch, table)
-            half = (v >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(half), batch.column("doc").take(pa.array(own)), pack(batch, own, at - offsets[own], np.ones_like(at))], ["w", "v", "doc", "place"])
-
-    single = materialize(base.mapInArrow(windows, "w long, v int, doc long, place long"))
-    first = single.groupBy("w", "v").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("w", "v", "least")
-    return whole.unionByName(single.join(materialize(first), ["w", "v"]).where("doc > least").select("doc", "place"))
-
-
-def candidates(docs: DataFrame, batches: int, index: FingerprintIndex) -> DataFrame:
-    """Anchors that several documents share, found batch after batch in order of doc_id."""
-    cuts = [int(x) for x in docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.02)] if batches > 1 else []
-    found, bounds = None, [None, *cuts, None]
-    ranks = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
-        part = docs if low is None else docs.where(ranks > low)
-        part = part if high is None else part.where(ranks <= high)
-        got = index.ingest(anchors(part))
-        found = got if found is None else found.unionByName(got)
-        if k + 2 < len(bounds):
-            index.compact()
-    return found
+            own, at, _, w, v = windows_of(batch.column("text"))
+            first = np.searchsorted(own, np.arange(batch.num_rows))
+            ok = np.zeros(len(own), bool)
+            for k, p in enumerate(batch.column("places").to_pylist()):
+                p = np.array(p, np.int64)
+                ok[first[k] + ragged(p >> 4, (p & 15) + 1)] = True
+            yield made(batch, ok, own, at, w, v)
+
+    return ranked(docs).join(places, "row").select("doc", "row", "text", "places").mapInArrow(placed, schema)
+
+
+def repeated(single: DataFrame, s: Scratch) -> DataFrame:
+    """row and place of the windows that also start in a document with a smaller doc_id."""
+    first = s.keep(single.groupBy("w", "v").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("w", "v", "least"))
+    return single.join(first, ["w", "v"]).where("doc > least").select("row", "place")
+
+
+def in_batches(docs: DataFrame, batches: int) -> list[DataFrame]:
+    """The documents in ascending order of doc_id, in about equal parts."""
+    place = ordinal(rank_of(docs), kind_of(docs))
+    cuts = sorted({min(int(x), LAST - 1) for x in docs.select(place.alias("p")).approxQuantile("p", [k / batches for k in range(1, batches)], 0.02)}) if batches > 1 else []
+    bounds = [None, *cuts, None]
+    out = []
+    for low, high in zip(bounds, bounds[1:]):
+        part = docs if low is None else docs.where(place > low)
+        out.append(part if high is None else part.where(place <= high))
+    return out
 
 
 def dedup(docs: DataFrame, batches: int = 3, carry: tuple = ()) -> DataFrame:
     """doc_id, n_words, n_removed, changed and kept (the words left, joined by one space), and
     the columns named in ``carry``; one that bears a result's name becomes ``own_`` and its name."""
+    spark = docs.sparkSession
+    s, index, parts, kept = Scratch(spark), FingerprintIndex(spark, kind=kind_of(docs)), in_batches(docs, batches), []
+    found = []
+    for k, part in enumerate(parts):
+        found.append(index.ingest(units(part), kept))
+        if k + 1 < len(parts):
+            index.compact()
+    settled, differ = found[0]
+    for a, b in found[1:]:
+        settled, differ = settled.unionByName(a), differ.unionByName(b)
+    differ = s.keep(differ.distinct())
+    single = s.keep(single_windows(docs, differ, index.rows()))
+    hits = s.keep(settled.unionByName(repeated(single, s)))
+    index.delete()
+    s.drop(*(t for t, _ in list(s.paths.values()) if t is not hits))
+    for k in kept:
+        k.drop(*(t for t, _ in list(k.paths.values())))
+    return cut(docs, hits, carry)
+
+
+def dedup_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame, carry: tuple = ()) -> DataFrame:
+    """As ``dedup``, for the rows of a new batch only, whose words also go where they stand in the index's
+    documents with smaller ids; the index then has the batch too. ``history`` (doc_id, text) is read for
+    documents that have units in common with the batch but for some words."""
+    s = Scratch(index.spark)
+    before = index.rows() if index.runs else None
+    settled, differ = index.ingest(units(batch))
+    own = ["doc_id", "text"]
+    both = batch.select(*own)
+    if before is not None:
+        holders = s.keep(before.join(differ, "anchor", "left_semi").select("doc").distinct())
+        held = history.select(*own, rank_of(history).alias("doc")).join(holders, "doc", "left_semi")
+        both = both.unionByName(held.select(*own))
+    single = s.keep(single_windows(both, differ, index.rows()))
+    hits = s.keep(settled.unionByName(repeated(single, s)))
+    index.compact()
+    return cut(batch, hits, carry)
+
+
+def cut(docs: DataFrame, hits: DataFrame, carry: tuple = ()) -> DataFrame:
+    """The documents without the words of ``hits`` (row, place). Texts that lose none need no exchange."""
     spark, carry = docs.sparkSession, list(carry)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    index = FingerprintIndex(spark)
-    found = candidates(docs, batches, index)
-    index.close()
-    hits = materialize(repeated(docs, found))
-    touched = spark.sparkContext.broadcast(member_filter(hits.select("doc").distinct()))
+    touched = spark.sparkContext.broadcast(member_filter(hits.select("row").distinct()))
     names = ["doc_id", "n_words", "n_removed", "changed", "kept"]
     names += [f"own_{c}" if c in names else c for c in carry]
-    also = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names[5:], carry))
+    also = "".join(f", `{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names[5:], carry))
     schema = f"doc_id {kind}, n_words long, n_removed long, changed boolean, kept string{also}"
 
-    def marked(batches):
-        table = flat_filter(*touched.value)
-        for b in batches:
-            yield b.append_column("_touched", pa.array(passes(table, b.column("doc").to_numpy().view(np.uint64))))
-
-    def whole(batches):
-        """Texts that nothing is removed from need no exchange."""
-        table = flat_filter(*touched.value)
-        for batch in slices(batches):
-            out = batch.filter(pa.array(~passes(table, batch.column("doc").to_numpy().view(np.uint64))))
-            yield cut(out, None)
-
-    def cut(batch, removed):
+    def left(batch, places):
         flat, offsets = words_of(batch.column("text"))
         n = np.diff(offsets)
         keep = np.ones(len(flat), bool)
-        if removed is not None:
-            own = marks(batch.column("text"))
-            for k, r in enumerate(removed):
-                if r is not None and len(r):
-                    r = r.view(np.uint64)
-                    r = (r[(r >> np.uint64(32) << np.uint64(32)) == own[k]] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                    if len(r):
-                        edge = np.zeros(n[k] + 2 * WINDOW + 1, np.int64)
-                        np.add.at(edge, r >> 4, 1)
-                        np.add.at(edge, (r >> 4) + (r & 15) + WINDOW, -1)
-                        keep[offsets[k] : offsets[k + 1]] = np.cumsum(edge)[: n[k]] == 0
+        for k, p in enumerate(places):
+            if p:
+                p = np.array(p, np.int64)
+                edge = np.zeros(n[k] + 2 * WINDOW + 1, np.int64)
+                np.add.at(edge, p >> 4, 1)
+                np.add.at(edge, (p >> 4) + (p & 15) + WINDOW, -1)
+                keep[offsets[k] : offsets[k + 1]] = np.cumsum(edge)[: n[k]] == 0
         left = np.bincount(owners(offsets)[keep], minlength=len(n))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32()), flat.filter(pa.array(keep)))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(n - left), pa.array(n != left), pc.binary_join(lists, " "), *[batch.column(f"_carry_{c}") for c in carry]], names)
 
+    def marked(batch):
+        return passes(flat_filter(*touched.value), batch.column("row").to_numpy().view(np.uint64))
+
+    def whole(batches):
+        for batch in slices(batches):
+            yield left(batch.filter(pa.array(~marked(batch))), ())
+
+    def chosen(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(marked(batch)))
+
     def parts(batches):
         for batch in slices(batches):
-            removed = [None if v is None else np.array(v, np.int64) for v in batch.column("places").to_pylist()]
-            yield cut(batch, removed)
-
-    ranks = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc")
-    kept = [F.col(f"`{c}`").alias(f"_carry_{c}") for c in carry]
-    base = docs.select("doc_id", "text", ranks, *kept)
-    untouched = base.mapInArrow(whole, schema)
-    rest = base.mapInArrow(lambda bs: (b.filter(b.column("_touched")).drop_columns(["_touched"]) for b in marked(bs)), base.schema)
-    spots = hits.groupBy("doc").agg(F.collect_list("place").alias("places"))
-    joined = rest.join(spots, "doc", "left").select("doc_id", "text", "places", *[f"_carry_{c}" for c in carry]).mapInArrow(parts, schema)
-    return untouched.unionByName(joined)
+            yield left(batch, batch.column("places").to_pylist())
+
+    base = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), *[F.col(f"`{c}`").alias(f"_carry_{c}") for c in carry])
+    spots = hits.groupBy("row").agg(F.collect_set("place").alias("places"))
+    joined = base.mapInArrow(chosen, base.schema).join(spots, "row", "left").select("doc_id", "text", "places", *[f"_carry_{c}" for c in carry])
+    return base.mapInArrow(whole, schema).unionByName(joined.mapInArrow(parts, schema))
