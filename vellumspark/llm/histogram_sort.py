@@ -1,7 +1,8 @@
 """Sharding by histogram sort: splitters from exact counts, then one exchange.
 
-Documents are ordered by a 64-bit key: 44 bits of a hash of the text, then 20 bits of a hash of
-the id, so that equal texts stand together and a large group of them can still be cut. Splitters
+Documents are ordered by a 64-bit key: 40 bits of a hash of the text, then 24 bits of a hash of
+the id and of the row's place in the input, so that equal texts stand together and a large group
+of them can still be cut, even one of rows alike in text and id. Splitters
 that divide the bytes evenly are found by rounds: each counts, in one pass over a table of keys
 and sizes, the exact bytes and rows below candidate keys, and the brackets around each target
 shrink until the nearer end meets the tolerance or no row is left inside. The counts also give
@@ -11,8 +12,10 @@ A shard is a run of parts, as many as the cluster's shuffle partitions ask for;
 therefore be far larger than what one task holds.
 
 Cases: a null text has size 1 and is grouped with other nulls; empty texts count as texts of
-size 1; rows alike in text and id share a key, and so a shard; an empty table gives no rows;
-a document's own columns named like a result column are replaced, all others pass through.
+size 1; repeated rows are dealt like any others; a very long text is one row, and a shard may
+be off by its size; an empty table gives no rows; a document's own columns named like a result
+column are replaced, all others pass through. The input is read twice and must give the same
+rows in the same partitions: a scan does, anything else is written first (``steady``).
 """
 
 import numpy as np
@@ -21,17 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm._store import materialize
+from vellumspark.llm._store import materialize, steady
 
 SHARDS = 16
 #: Bytes by which a splitter may miss its target: this share of a shard, or of a part within one.
 TOLERANCE, INNER_TOLERANCE = 0.0005, 0.05
-PROBES, TIE_BITS = 7, 20
+PROBES, TIE_BITS = 7, 24
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
 def sort_key(doc_id: Column, text: Column) -> Column:
-    return F.shiftleft(F.shiftright(F.xxhash64(text), TIE_BITS), TIE_BITS).bitwiseOR(F.xxhash64(doc_id).bitwiseAND(F.lit((1 << TIE_BITS) - 1)))
+    tie = F.xxhash64(doc_id, F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << TIE_BITS) - 1))
+    return F.shiftleft(F.shiftright(F.xxhash64(text), TIE_BITS), TIE_BITS).bitwiseOR(tie)
 
 
 def counts_below(keys: DataFrame, probes: list[int]) -> tuple[list[int], list[int]]:
@@ -91,7 +95,7 @@ def find_splitters(keys: DataFrame, parts: int, per_shard: int) -> tuple[list[in
 
 def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text") -> DataFrame:
     """``docs`` with size, shard and slot; sizes of shards are near equal, slots gapless from 0."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, steady(docs)
     per_shard = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)
     parts = shards * per_shard
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("size", "shard", "slot", "_hs_key", "_hs_part")]
