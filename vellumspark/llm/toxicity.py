@@ -1,22 +1,26 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick on folded text.
 
-Folding maps homoglyphs and digit or sign substitutions to plain letters, so that written-over
-words still match. A term counts only as a whole word and not inside an exception phrase. The
-weights start from a base list and are learned from labelled documents, as is the logistic
-scale of the sum, which is normalised by the length of the text.
+Folding drops accents and maps homoglyphs and digit or sign substitutions to plain letters, with l,
+i and 1 as one letter, so that written-over words still match; terms are folded alike. A term counts
+only as a whole word, also in its plural with s, and not inside an exception phrase. The weights
+start from a base list, with a prior of weight 1, and are learned from labelled documents, as is
+the logistic scale of the sum, which is normalised by the length of the text.
 
 Cases: null and empty texts have no hits and get the score of a text without hits; without
-labels of both kinds the base weights and a fixed scale hold; repeated rows get equal scores;
-texts are scanned whole, whatever their length.
+labels of both kinds the base weights and a fixed scale hold; repeated rows get equal scores, and
+texts repeated in the sample teach once; of ties among beginnings the longer, then the later by
+spelling is taken; an empty table gives no rows; other columns are left out, so names cannot
+clash; texts are scanned whole, whatever their length.
 """
 
 import math
 import re
-import zlib
+from unicodedata import normalize
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,52 +38,65 @@ HOMOGLYPHS = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ѕ": "s", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "о": "o", "р": "p", "ԛ": "q", "т": "t", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
     "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ⅼ": "l", "ɡ": "g", "\u200b": "", "\u00ad": "",
 }
-# Digits and signs written for letters; signs count only between letters or digits.
+# Digits and signs written for letters; signs count only before a letter.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 SIGNS = {"!": "i", "$": "s", "@": "a"}
-BETWEEN = re.compile(r"(?<=[a-z])[!$@](?=[a-z])")
-FOLD = str.maketrans(HOMOGLYPHS | DIGITS | {chr(0xFF01 + i - 0x21): chr(i).lower() for i in range(0x21, 0x7F)})
+BEFORE = re.compile(r"[!$@](?=[a-z])")
+#: Letters that look alike are one; the marks that accents leave when they are taken apart are dropped.
+SAME = {"l": "i"}
+FOLD = str.maketrans({k: SAME.get(v, v) for k, v in (HOMOGLYPHS | DIGITS | SAME | {chr(c): "" for c in range(0x300, 0x370)}).items()})
 
 #: A learned beginning of words has one of these lengths, explains so many toxic documents at
 #: least, and stands in at most this share of the others.
-STEMS, MIN_TOXIC_DOCS, MOST_CLEAN_SHARE, CANDIDATES = (3, 4, 5, 6, 7, 8, 9), 4, 0.03, 5000
+STEMS, MIN_TOXIC_DOCS, MOST_CLEAN_SHARE = (3, 4, 5, 6, 7, 8, 9), 4, 0.03
 MIN_LOG_ODDS, ENOUGH_LOG_ODDS = 1.6, 2.5
+#: The base weight of 1 counts as much as so many labelled documents with the term.
+PRIOR_DOCS = 5
 #: The scale of the score without labels: intercept, and slope of the normalised sum.
 DEFAULT_SCALE = (-3.0, 12.0)
 
 
 def fold(text: str) -> str:
-    out = text.lower().translate(FOLD)
+    out = text.lower()
+    if not out.isascii():
+        out = normalize("NFKD", out)
+    out = out.translate(FOLD)
     if "!" in out or "$" in out or "@" in out:
-        out = BETWEEN.sub(lambda m: SIGNS[m[0]], out)
+        out = BEFORE.sub(lambda m: SIGNS[m[0]], out)
     return out
 
 
 def automaton(weights: dict[str, float]) -> ahocorasick.Automaton:
-    """Terms by their weight, exception phrases by None. A term that ends in * is the beginning of
-    longer words. As a written 1 is read as i, terms with l match with i too."""
+    """Folded terms with their name and weight, exception phrases with None. A term that ends in * is
+    the beginning of longer words."""
     a = ahocorasick.Automaton()
     for term, w in weights.items():
-        stem = term.rstrip("*")
-        for form in {stem, stem.replace("l", "i")}:
-            a.add_word(form, (len(form), w, term != stem))
+        stem = fold(term.rstrip("*"))
+        a.add_word(stem, (len(stem), w, stem + "*" != fold(term), term))
     for phrase in EXCEPTIONS:
-        a.add_word(phrase, (len(phrase), None, False))
+        form = fold(phrase)
+        a.add_word(form, (len(form), None, True, phrase))
     a.make_automaton()
     return a
 
 
-def hits_of(a: ahocorasick.Automaton, text: str) -> list[tuple[int, int, float]]:
-    """(start, end, weight) of the terms in a folded text that stand as words, or begin a longer
-    one if they are beginnings, outside exceptions."""
-    found, spared = [], []
-    for last, (n, w, open_) in a.iter(text):
+def hits_of(a: ahocorasick.Automaton, text: str) -> list[tuple[int, int, float, str]]:
+    """(start, end, weight, term) of the terms in a folded text that stand as words or their
+    plurals, or begin a longer one if they are beginnings, outside exceptions."""
+    found, spared, size = [], [], len(text)
+    for last, (n, w, whole, term) in a.iter(text):
         start, end = last - n + 1, last + 1
-        if (start and text[start - 1].isalnum()) or open_ != (end < len(text) and text[end].isalnum()):
+        if start and text[start - 1].isalnum():
             continue
-        (spared if w is None else found).append((start, end, w))
+        longer = end < size and text[end].isalnum()
+        if whole and longer and text[end] == "s":
+            end += 1
+            longer = end < size and text[end].isalnum()
+        if whole == longer:
+            continue
+        (spared if w is None else found).append((start, end, w, term))
     if spared and found:
-        found = [x for x in found if not any(s <= x[0] and x[1] <= e for s, e, _ in spared)]
+        found = [x for x in found if not any(s <= x[0] and x[1] <= e for s, e, *_ in spared)]
     return found
 
 
@@ -90,9 +107,12 @@ def normalised(total: float, n_chars: int) -> float:
 
 def learned_weights(sample: DataFrame, base=tuple(BASE_TERMS)) -> dict[str, float]:
     """The base terms, and beginnings of longer words found in those toxic documents of the bounded
-    sample that no base term explains. The beginning that explains most of them, and hardly
-    stands in others, is taken; then the next for what is left. Weights are log-odds. Counting
-    runs on executors; at most ``CANDIDATES`` beginnings come to the driver."""
+    sample that no base term explains.
+
+    A base term's weight is its log-odds in the sample against a prior of 1. Of the beginnings, the one
+    that explains most documents, and hardly stands in others, is taken; then the next for what is
+    left. Counting runs on executors; the driver gets the beginnings that enough documents of the
+    bounded sample have."""
     terms = {t: 1.0 for t in base}
 
     def beginnings(batches):
@@ -101,10 +121,13 @@ def learned_weights(sample: DataFrame, base=tuple(BASE_TERMS)) -> dict[str, floa
             rows = []
             for t, y in zip(plain(batch.column("text")).to_pylist(), batch.column("label").to_pylist()):
                 t = fold(t)
-                if y and hits_of(a, t):
+                doc = xxhash.xxh64_intdigest(t.encode()) - (1 << 63)
+                hits = {x[3] for x in hits_of(a, t)}
+                rows += [("=" + x, y, doc) for x in hits]
+                if y and hits:
                     continue
                 found = {w[:n] for w in set(re.findall(r"[^\W\d_]+", t)) for n in STEMS if len(w) > n}
-                rows += [(w, y, zlib.crc32(t.encode())) for w in found]
+                rows += [(w, y, doc) for w in found]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64()))], ["stem", "label", "doc"])
 
     of = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -112,17 +135,22 @@ def learned_weights(sample: DataFrame, base=tuple(BASE_TERMS)) -> dict[str, floa
         return terms
     bad, good = F.collect_set(F.when(F.col("label") == 1, F.col("doc"))), F.count(F.when(F.col("label") == 0, 1))
     n = sample.mapInArrow(beginnings, "stem string, label int, doc long").groupBy("stem").agg(bad.alias("docs"), good.alias("good"))
-    few = n.where((F.size("docs") >= MIN_TOXIC_DOCS) & (F.col("good") <= MOST_CLEAN_SHARE * of[0]))
-    stems = {r["stem"]: ({*r["docs"]}, r["good"]) for r in few.orderBy(F.size("docs").desc(), "stem").limit(CANDIDATES).collect()}
+    few = n.where(F.col("stem").startswith("=") | (F.size("docs") >= MIN_TOXIC_DOCS) & (F.col("good") <= MOST_CLEAN_SHARE * of[0]))
+    counted = {r["stem"]: ({*r["docs"]}, r["good"]) for r in few.collect()}
     odds = lambda d, g: math.log((len(d) + 0.5) / (of[1] + 1)) - math.log((g + 0.5) / (of[0] + 1))
+    for t in terms:
+        d, g = counted.get("=" + t, ((), 0))
+        terms[t] = (PRIOR_DOCS + (len(d) + g) * max(0.0, odds(d, g)) / ENOUGH_LOG_ODDS) / (PRIOR_DOCS + len(d) + g)
+    stems = {s: x for s, x in counted.items() if s[0] != "="}
     fits = lambda d, g: len(d) >= MIN_TOXIC_DOCS and odds(d, g) >= MIN_LOG_ODDS
+    learned = {}
     while stems := {s: x for s, x in stems.items() if fits(*x)}:
         best = max(stems, key=lambda s: (len(stems[s][0]) * min(odds(*stems[s]), ENOUGH_LOG_ODDS), len(s), s))
         docs, clean = stems[best]
-        terms[best + "*"] = odds(docs, clean)
+        learned[best + "*"] = odds(docs, clean)
         stems = {s: (d - docs, g) for s, (d, g) in stems.items()}
-    top = max(1.0, *(w for t, w in terms.items() if t[-1] == "*")) if any(t[-1] == "*" for t in terms) else 1.0
-    return {t: w / top if t[-1] == "*" else w for t, w in terms.items()}
+    top = max(1.0, *learned.values()) if learned else 1.0
+    return terms | {t: w / top for t, w in learned.items()}
 
 
 def _sums(weights):
@@ -131,7 +159,7 @@ def _sums(weights):
         for batch in slices(batches):
             texts = plain(batch.column("text")).to_pylist()
             found = [hits_of(a, fold(t)) for t in texts]
-            x = [normalised(sum(w for *_, w in f), len(t)) for f, t in zip(found, texts)]
+            x = [normalised(sum(w for _, _, w, _ in f), len(t)) for f, t in zip(found, texts)]
             yield batch, np.array(x), np.array([len(f) for f in found])
 
     return run
