@@ -3,17 +3,19 @@
 Test items are short and documents may be long, so the question is containment: the share of
 an item's distinct word shingles that a document has. Items are partitioned by their number of
 shingles; every item is sketched by the smallest hashes of its shingles, and a document is a
-candidate if it holds any value of the sketch. The sketch of a partition with at most u
-shingles has floor((1 - t) u) + 1 values: an item with containment t or more lacks at most
-floor((1 - t) u) shingles, so at least one value of its sketch is found, and no pair is lost.
-Candidates are verified by exact containment over all shingles.
+candidate if it holds enough values of the sketch. The sketch of a partition with at most u
+shingles has floor((1 - t) u) + ``MARGIN`` values, or all of the item's: an item of n shingles with
+containment t or more lacks at most floor((1 - t) n), so all others of its sketch are found, and no
+pair is lost. Candidate pairs are verified by exact containment over all shingles of the item.
 
 Words are runs of non-space characters, lower-cased, without anything but letters and digits;
 words without any are dropped. A shingle is five words; items with fewer words are one shingle
 of their own length.
 
-Cases: null and empty documents hold nothing; null, empty or wordless items match nothing;
-repeated items and documents are judged one by one; very long texts are read whole. Items are
+Cases: null and empty documents hold nothing; null, empty or wordless items match nothing; an
+empty table gives no rows; repeated items and documents are judged one by one; ties in containment
+all count; very long texts are read whole; columns other than ids and texts are left out, so names
+cannot clash; ids may be null and of any type. Items are
 taken in blocks of bounded size (``BLOCK_SHINGLES``), each sent to the tasks and run against
 all documents, so the benchmark may outgrow any one task.
 """
@@ -26,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vellumspark.llm._text import coded, gram_hashes, inside, mixed, owners, slices, word_hashes, words_of
+from vellumspark.llm._text import coded, gram_hashes, inside, mixed, owners, ragged, slices, word_hashes, words_of
 
 WIDTH, CONTAINMENT = 5, 0.8
+#: Values of a sketch beyond those that an item may lack.
+MARGIN = 4
 #: Shingles of the items in a block (16 bytes each in a task).
 BLOCK_SHINGLES = 1_000_000
 FACTOR = 0x9E3779B97F4A7C15
@@ -56,9 +60,9 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nd
 
 
 def sketch_size(n: int, t: float) -> int:
-    """For the partition of items with 2**k to 2**(k+1) - 1 shingles: missing values, plus one."""
+    """For the partition of items with 2**k to 2**(k+1) - 1 shingles: missing values, and the margin."""
     most = (1 << n.bit_length()) - 1
-    return int((1 - t) * most + 1e-9) + 1
+    return int((1 - t) * most + 1e-9) + MARGIN
 
 
 class Items:
@@ -80,12 +84,16 @@ class Items:
             self.sizes += size
             rank = np.lexsort((mixed(g), own))  # the sketch: the smallest scrambled values of each item
             place = np.arange(len(own)) - np.searchsorted(own, own)
-            sketch = g[rank][place < np.array([sketch_size(int(s), t) for s in size])[own]]
-            order = np.lexsort((own, g))
+            wide = np.minimum(np.array([sketch_size(int(s), t) for s in size]), size)
+            need = wide - ((1 - t) * size + 1e-9).astype(np.int64)  # values of the sketch that a hit has
+            first = place < wide[own]
+            sketch, holder = g[rank][first], own[rank][first]
+            by_value = np.lexsort((holder, sketch))
+            sketch, holder = sketch[by_value], holder[by_value]
             bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
             slot = sketch >> np.uint64(64 - FILTER_BITS)
             np.bitwise_or.at(bits, (slot >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8)))
-            self.by_width[w] = (np.unique(sketch), bits, g[order], own[order])
+            self.by_width[w] = (sketch, holder, need, bits, g, own, np.searchsorted(own, np.arange(len(rows) + 1)))
 
     @classmethod
     def restored(cls, parts: tuple) -> "Items":
@@ -100,23 +108,23 @@ class Items:
         """(text number, item number, shared shingles) with enough containment."""
         h, at = normal_words(texts)
         found = []
-        for w, (sketch, bits, g, own) in self.by_width.items():
+        many = len(self.ids)
+        for w, (sketch, holder, need, bits, g, own, start) in self.by_width.items():
             doc, s = shingles(h, at, w)
             slot = s >> np.uint64(64 - FILTER_BITS)
             maybe = np.flatnonzero(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
-            place = np.minimum(np.searchsorted(sketch, s[maybe]), len(sketch) - 1)
-            candidates = np.unique(doc[maybe[sketch[place] == s[maybe]]])
-            if not len(candidates):
+            seen = np.unique(np.stack([doc[maybe].astype(np.uint64), s[maybe]]), axis=1)
+            low, high = np.searchsorted(sketch, seen[1], "left"), np.searchsorted(sketch, seen[1], "right")
+            pair, hits = np.unique(np.repeat(seen[0].astype(np.int64), high - low) * many + holder[ragged(low, high - low)], return_counts=True)
+            pair = pair[hits >= need[pair % many]]
+            if not len(pair):
                 continue
-            held = np.isin(doc, candidates)  # verify: all shingles of the candidates against all of the items
-            pairs = np.unique(np.stack([doc[held].astype(np.uint64), s[held]]), axis=1)
-            low, high = np.searchsorted(g, pairs[1], "left"), np.searchsorted(g, pairs[1], "right")
-            n = high - low
-            hit = np.repeat(pairs[0].astype(np.int64), n) * len(self.ids) + own[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            key, shared = np.unique(hit, return_counts=True)
-            d, i = key // len(self.ids), key % len(self.ids)
-            enough = shared >= self.t * self.sizes[i] - 1e-9
-            found.append(np.stack([d[enough], i[enough], shared[enough]]))
+            d, i = pair // many, pair % many  # verify: all shingles of the items among those of their documents
+            first, last = np.searchsorted(doc, d, "left"), np.searchsorted(doc, d, "right")
+            for k in range(len(pair)):
+                shared = int(np.isin(g[start[i[k]] : start[i[k] + 1]], s[first[k] : last[k]]).sum())
+                if shared >= self.t * self.sizes[i[k]] - 1e-9:
+                    found.append(np.array([[d[k]], [i[k]], [shared]]))
         return np.concatenate(found, 1) if found else np.empty((3, 0), np.int64)
 
 
