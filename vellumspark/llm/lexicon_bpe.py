@@ -12,8 +12,9 @@ bounded size.
 
 Cases: a null text counts as empty; empty texts have no ids and decode to the empty text;
 special tokens' strings in a text become their ids, as the tokenizer has it; repeated rows are
-encoded one by one; an empty table gives an empty lexicon; other columns pass through by name
-where asked for. Executors get the vocabulary with the task and need no local file of it.
+encoded one by one; words that are as frequent as the last of the lexicon are in it by their
+spelling; an empty table gives an empty lexicon; only doc_id and text are read and returned, so
+names cannot clash. Executors get the vocabulary with the task and need no local file of it.
 """
 
 import json
@@ -40,9 +41,21 @@ MERGED_AT_ONCE = 5_000
 ARRAYS = [("keys", np.uint32), ("targets", np.int32), ("skips", np.int32), ("final", np.uint8), ("offsets", np.int32), ("ids", np.uint32)]
 
 
+# Normalisers that leave a word's neighbours alone.
+WITHIN_WORDS = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase"}
+SPACES_TO_ONE = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+
+
 def splits_on_space(config: str) -> bool:
-    """Whether white space only separates words, so that a text's ids are those of its words."""
-    steps = (json.loads(config).get("pre_tokenizer") or {}).get("pretokenizers", [])
+    """Whether white space only separates words, so that a text's ids are those of its words and its
+    tokens are decoded with a space between them: normalisers act within words, nothing rewrites the
+    tokens, and no added token holds or takes white space."""
+    c = json.loads(config)
+    normal = c.get("normalizer") or {}
+    within = all(n.get("type") in WITHIN_WORDS or n == SPACES_TO_ONE for n in normal.get("normalizers", [normal] if normal else []))
+    if c.get("decoder") or not within or any(t.get("lstrip") or t.get("rstrip") or t.get("content", "").split() != [t.get("content")] for t in c.get("added_tokens") or []):
+        return False
+    steps = (c.get("pre_tokenizer") or {}).get("pretokenizers", [])
     return any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") and " ?" not in str(s.get("pattern")) for s in steps)
 
 
