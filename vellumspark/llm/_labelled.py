@@ -15,9 +15,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, label) of at most ``rows`` labelled ids that are not held out. The label of an id
+    """(text, label, and n_chars if there is one) of at most ``rows`` labelled ids that are not held out. The label of an id
     with several is the largest; ids or labels that are null, and ids that are held out, teach
     nothing. The ids are at most ``rows``, so that side may be broadcast."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     ids = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return materialize(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("text", "label"))
+    own = ["text", *(c for c in ("n_chars",) if c in docs.columns)]
+    return materialize(docs.select("doc_id", *own).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select(*own, "label"))

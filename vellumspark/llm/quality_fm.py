@@ -2,25 +2,30 @@
 
 Features of a text: hashed words (letters lower-cased) and hashed runs of trailing signs, as
 damped frequencies; structure statistics (shares of signs, capitals and digits, repetition of
-words and lines, word and line lengths); and metadata known before reading it (its size).
+words and lines, word and line lengths); and metadata: its size in bytes, and the stated number of
+characters (``n_chars``, where the table has it, else counted) with the bytes for each of them.
 Pairwise interactions are products of low-rank factors, and are scored in linear time:
 sum_{i<j} <v_i, v_j> x_i x_j = 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2].
 
 Cases: null and empty texts have no words and are scored by their structure features; without
-labels of both kinds every score is the share of label 1 (0.5 without any); repeated rows get
-equal scores; every text is read whole. Fitting uses a bounded sample (``SAMPLE_ROWS``).
+labels of both kinds every score is the share of label 1 (0.5 without any); a null or negative
+n_chars is counted anew; repeated rows get equal scores, and ties in score stand; an empty table gives
+no rows; every text is read whole; other columns are left out, so names cannot clash. Fitting uses a bounded sample (``SAMPLE_ROWS``).
 """
 
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from vellumspark.llm._text import coded, owners, plain, slices, words_of
 
-BUCKETS, FACTORS, STRUCTURE = 1024, 8, 12
+BUCKETS, FACTORS, STRUCTURE = 1024, 8, 14
 EPOCHS, RATE, DECAY, BATCH = 12, 0.02, 1e-4, 256
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -46,8 +51,8 @@ def _table(chars: str) -> np.ndarray:
 KINDS = [_table("#*$%&|<>"), _table("!?"), _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _table("0123456789"), _table(",.;:")]
 
 
-def features(texts) -> np.ndarray:
-    """A row of BUCKETS + STRUCTURE values for each text."""
+def features(texts, n_chars=None) -> np.ndarray:
+    """A row of BUCKETS + STRUCTURE values for each text and its stated number of characters."""
     texts = plain(texts)
     n = len(texts)
     flat, offsets = words_of(texts)
@@ -74,6 +79,10 @@ def features(texts) -> np.ndarray:
         c = np.concatenate([[0], np.cumsum(t[data[at[0] : at[-1]]], dtype=np.float64)])
         return c[at[1:] - at[0]] - c[at[:-1] - at[0]]
 
+    stated = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.float64)
+    if n_chars is not None:
+        given = pc.fill_null(n_chars.cast(pa.float64()), -1.0).to_numpy(zero_copy_only=False)
+        stated = np.where(given >= 0, given, stated)
     per_word = np.maximum(count, 1)
     pairs = np.unique(own * max(len(words), 1) + index)
     kinds = np.bincount(pairs // max(len(words), 1), minlength=n)
@@ -84,19 +93,25 @@ def features(texts) -> np.ndarray:
         twice = (index[1:] == index[:-1]) & (own[1:] == own[:-1])
         same = np.bincount(own[1:][twice], minlength=n)
     structure = [np.minimum(total(t) / per_word, 3) for t in KINDS]
-    structure += [kinds / per_word, same / per_word, 1 - own_lines / np.maximum(n_lines, 1), np.minimum(size / per_word / 10, 3), np.minimum(per_word / np.maximum(n_lines, 1) / 50, 3), np.log1p(count) / 8, np.log1p(size) / 10]
+    structure += [kinds / per_word, same / per_word, 1 - own_lines / np.maximum(n_lines, 1), np.minimum(size / per_word / 10, 3), np.minimum(per_word / np.maximum(n_lines, 1) / 50, 3), np.log1p(count) / 8, np.log1p(size) / 10, np.log1p(stated) / 10, np.minimum(size / np.maximum(stated, 1), 4) / 4]
     return np.hstack([x, np.stack(structure, 1).astype(np.float32)])
 
 
+def with_size(docs: DataFrame, key: str) -> DataFrame:
+    """key, text and n_chars, null where the table has none or it is no number."""
+    n = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    return docs.select(key, "text", (F.col("n_chars") if isinstance(n, NumericType) else F.lit(None)).cast("double").alias("n_chars"))
+
+
 def fit(sample: DataFrame, seed: int = 7) -> Model:
     """Fit on a bounded sample of (text, label); features are made on executors."""
 
     def rows(batches):
         for batch in slices(batches, limit=2_000_000):
-            x = features(batch.column("text")).astype(np.float16)
+            x = features(batch.column("text"), batch.column("n_chars")).astype(np.float16)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column("label").cast(pa.int32())], ["x", "y"])
 
-    got = sorted(sample.mapInArrow(rows, "x binary, y int").collect())
+    got = sorted(with_size(sample, "label").mapInArrow(rows, "x binary, y int").collect())
     y = np.array([r["y"] for r in got], np.float32)
     width = BUCKETS + STRUCTURE
     share = float((y.sum() + 1) / (len(y) + 2))
@@ -130,8 +145,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def rows(batches):
         m = Model(*parts)
         for batch in slices(batches, limit=3_000_000):
-            p = 1 / (1 + np.exp(-m.raw(features(batch.column("text"))).astype(np.float64)))
+            p = 1 / (1 + np.exp(-m.raw(features(batch.column("text"), batch.column("n_chars"))).astype(np.float64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, score double")
+    return with_size(docs, "doc_id").mapInArrow(rows, f"doc_id {kind}, score double")
