@@ -4,8 +4,9 @@ Every line is judged alone by three rules; lines that fail are removed; a docume
 loses too large a share of its text is rejected. Document-wide base measures (length,
 symbols, repeated lines, repeated 8-word windows) stand beside the verdict.
 
-Cases: a null text counts as empty; an empty text has no words and fails the base rule;
-lines without a word are neither judged nor removed; repeated rows are judged one by one;
+Cases: a null text counts as empty; an empty text has no words and fails the base rule; an empty
+table gives no rows; lines without a word are neither judged nor removed; a line or text exactly at a
+limit passes; repeated rows are judged one by one;
 other columns pass through, but for those named like a result, which the result replaces;
 working columns begin with ``_lr_``. Work and memory per row are linear in the text, but for sorting the windows of
 texts that do repeat a window.
@@ -29,10 +30,14 @@ MAX_LOST_SHARE = 0.3
 
 # Signs, separators and phrases of the line rules.
 SIGNS = r"[#*$%&<>~^=]{2,}|!{2,}|\?{3,}"
-SEPARATORS = r"\||»|›|•"
+SEPARATORS = r"\||»|›|•|→|·|¦"
 PHRASES = [
-    "all rights reserved", "click here", "cookie policy", "enable javascript", "lorem ipsum",
-    "privacy policy", "read more", "sign up for", "skip to content", "subscribe to our", "terms of service", "terms of use",
+    "accept all cookies", "add to cart", "all rights reserved", "back to top", "by continuing to browse", "click here", "cookie policy", "cookie settings", "copyright ©",
+    "enable javascript", "follow us on", "forgot your password", "javascript is disabled", "leave a reply", "log in to", "lorem ipsum", "privacy policy", "read more",
+    "share this", "sign up for", "skip to content", "skip to main content", "subscribe to our", "terms of service", "terms of use", "this site uses cookies", "unsubscribe",
+    "alle rechte vorbehalten", "datenschutzerklärung", "diese website verwendet cookies", "hier klicken", "jetzt anmelden", "mehr lesen", "newsletter abonnieren", "nutzungsbedingungen", "zum inhalt springen",
+    "aller au contenu", "cliquez ici", "conditions d'utilisation", "en savoir plus", "lire la suite", "mentions légales", "politique de confidentialité", "tous droits réservés",
+    "aviso legal", "haga clic aquí", "iniciar sesión", "leer más", "política de cookies", "política de privacidad", "suscríbete", "términos de uso", "todos los derechos reservados",
 ]
 
 
@@ -41,15 +46,20 @@ def bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with a word breaks a rule: punctuation, navigation or boilerplate."""
+def has_phrase(text: Column) -> Column:
+    lower, found = F.lower(text), F.lit(False)
+    for p in PHRASES:
+        found = found | lower.contains(p)
+    return found
+
+
+def line_fails(line: Column, marked: Column, phrased: Column) -> Column:
+    """Whether a line with a word breaks a rule: punctuation, navigation or boilerplate. ``marked`` and
+    ``phrased`` tell whether the text has any sign or separator, and any phrase, that a line could break."""
     n = F.size(F.split(F.btrim(line, F.lit(" \t\x0b\x0c\r")), SPACE))
     signs, parts = F.regexp_count(line, F.lit(SIGNS)), F.regexp_count(line, F.lit(SEPARATORS))
-    lower = F.lower(line)
-    phrase = F.lit(False)
-    for p in PHRASES:
-        phrase = phrase | lower.contains(p)
-    return (signs > n * MAX_SIGN_SHARE) | (parts > n * MAX_SEPARATOR_SHARE) | phrase
+    by_marks = F.when(marked, (signs > n * MAX_SIGN_SHARE) | (parts > n * MAX_SEPARATOR_SHARE)).otherwise(False)
+    return by_marks | F.when(phrased, has_phrase(line)).otherwise(False)
 
 
 def has_word(line: Column) -> Column:
@@ -83,6 +93,8 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
         F.split(t, "\n").alias("_lr_lines"),
         F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.length(t).cast("long").alias("_lr_chars"),
+        (F.regexp_like(t, F.lit(SIGNS)) | F.regexp_like(t, F.lit(SEPARATORS))).alias("_lr_marked"),
+        has_phrase(t).alias("_lr_phrased"),
     )
     lines, words = F.col("_lr_lines"), F.col("_lr_words")
     b = a.select(
@@ -91,7 +103,7 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.transform(words, lambda w: F.xxhash64(w)).alias("_lr_hashes"),
         F.filter(lines, has_word).alias("_lr_full"),
-        F.filter(lines, lambda x: ~(has_word(x) & line_fails(x))).alias("_lr_good"),
+        F.filter(lines, lambda x: ~(has_word(x) & line_fails(x, F.col("_lr_marked"), F.col("_lr_phrased")))).alias("_lr_good"),
     ).drop("_lr_words")
     h, full = F.col("_lr_hashes"), F.col("_lr_full")
     window = lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(WINDOW)])

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from vellumspark.llm import containment, histogram_sort, lexicon_bpe, line_rules, quality_fm, simhash_trie, substring_index, token_histogram, toxicity, url_vocab
 from vellumspark.llm._labelled import held_out, training_sample
+from vellumspark.llm._store import materialize
 
 TOKENIZER = "word_bpe_49k.json"
+#: Context limits and quantiles that the token report states.
+LIMITS, SHARES = [128, 256, 512, 1024, 2048, 4096, 8192, 32768, 131072], [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +36,8 @@ def op2_histogram_sort(spark, sf_dir):
 
 def op3_token_histogram(spark, sf_dir):
     config = lexicon_bpe.read_config(public_tokenizers.path(TOKENIZER))
-    return token_histogram.histogram(lexicon_bpe.count_tokens(table(spark, sf_dir, "documents"), config))
+    hist = materialize(token_histogram.histogram(lexicon_bpe.count_tokens(table(spark, sf_dir, "documents"), config)))
+    return token_histogram.report(hist, LIMITS, SHARES)
 
 
 def op4_simhash_trie(spark, sf_dir):
@@ -91,7 +95,7 @@ BARE = r"regexp_replace(regexp_replace(l, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\
 def sql_line_rules() -> str:
     count = lambda p: f"len(regexp_extract_all(l, '{p}'))"
     n = r"len(string_split_regex(" + BARE + r", '[\x20\x09-\x0D]+'))"
-    phrases = " or ".join(f"contains(lower(l), '{p}')" for p in line_rules.PHRASES)
+    phrases = " or ".join(f"""contains(lower(l), '{p.replace("'", "''")}')""" for p in line_rules.PHRASES)
     has = rf"regexp_matches(l, '[^\x20\x09-\x0D]')"  # noqa: F541
     fails = f"({has} and ({count(line_rules.SIGNS)} > {n} * {line_rules.MAX_SIGN_SHARE} or {count(line_rules.SEPARATORS)} > {n} * {line_rules.MAX_SEPARATOR_SHARE} or {phrases}))"
     return rf"""

@@ -5,8 +5,10 @@ term blocks a URL, and so do several distinct soft terms. Host rules with path p
 before the vocabulary; of the rules that fit, the longest decides.
 
 Cases: a null URL, or one without ``://``, has an empty host and path and fits no rule; the
-vocabulary then judges what text there is (null and empty: allow). Rows are judged one by one
-without any exchange; other columns pass through.
+vocabulary then judges what text there is (null and empty: allow). Very long urls are scanned whole;
+of rules with equal lengths the later in the list decides. Rows, repeated ones too, are judged one by
+one without any exchange; an empty table gives no rows; other columns pass through, but for those
+named like a result, which the result replaces.
 """
 
 from collections.abc import Iterator
@@ -25,8 +27,15 @@ RULES = [
     ("com", "/de/", "block"),
 ]
 # Terms of the vocabulary.
-STRICT = ["adult", "casino", "escort", "phishing", "porn", "spam", "viagra", "warez", "xxx"]
-SOFT = ["ads", "bet", "bets", "bonus", "cheap", "click", "farm", "free", "loan", "pills", "poker", "slots", "track", "win"]
+STRICT = [
+    "adult", "camgirl", "camgirls", "camsex", "casino", "cialis", "escort", "escorts", "hentai", "keygen", "keygens", "levitra", "malware", "milf", "nsfw",
+    "phishing", "porn", "porno", "pornos", "spam", "spammer", "torrentz", "viagra", "warez", "xanax", "xvideos", "xxx",
+]
+SOFT = [
+    "ads", "adserver", "affiliate", "bet", "bets", "betting", "bingo", "bonus", "cash", "cheap", "click", "clickbait", "coupon", "coupons", "crack", "cracked", "credit", "dating", "deal", "deals",
+    "discount", "download", "downloads", "farm", "forex", "free", "gambling", "giveaway", "hot", "jackpot", "jackpots", "loan", "loans", "lottery", "mortgage", "nude", "payday", "pharmacy", "pill", "pills",
+    "poker", "popup", "prize", "promo", "replica", "roulette", "sale", "serial", "sex", "sexy", "singles", "slot", "slots", "sweepstakes", "torrent", "torrents", "track", "tracker", "vegas", "win", "winner",
+]
 #: A strict term weighs as much as so many distinct soft terms; that weight blocks.
 BLOCK_WEIGHT = 2
 
@@ -72,6 +81,6 @@ def judge(pages: DataFrame, url: str = "url", rules=tuple(RULES)) -> DataFrame:
     for host, path, verdict in sorted(rules, key=lambda r: len(r[0]) + len(r[1])):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         rule, by_rule = F.when(fits, F.lit(host + path)).otherwise(rule), F.when(fits, F.lit(verdict)).otherwise(by_rule)
-    out = out.withColumns({"rule": rule, "_uv_rule": by_rule, "vocabulary_weight": vocabulary_weight(F.col(f"`{url}`"))})
+    out = out.withColumns({"rule": rule, "verdict": by_rule, "vocabulary_weight": vocabulary_weight(F.col(f"`{url}`"))})
     method = F.when(F.col("vocabulary_weight") >= BLOCK_WEIGHT, "block").otherwise("allow")
-    return out.withColumn("verdict", F.coalesce("_uv_rule", method)).drop("_uv_rule")
+    return out.withColumn("verdict", F.coalesce("verdict", method))
