@@ -26,6 +26,26 @@ def test_links_of_any_budget(spark, budget):
 
 
 def test_layout():
-    assert simhash_trie.layout(4) == ([0, 13, 26, 39, 52], 12)
+    orders, shared = simhash_trie.layout(4)
+    assert len(orders) == 5 and shared == 12 and all(sorted(o) == sorted(orders[0]) and sum(w for _, w in o) == 64 for o in orders)
+    assert [(len(o), s) for o, s in (simhash_trie.layout(4, p) for p in (2, 3))] == [(15, 20), (35, 27)]
+    assert [simhash_trie.picks_for(n, 4, 100_000) for n in (0, 10**8, 10**10, 10**12)] == [1, 1, 2, 3]
     with pytest.raises(ValueError):
         simhash_trie.layout(64)
+
+
+@pytest.mark.parametrize("picks, outright", [(1, 1), (2, 1), (3, 1024)])
+def test_longer_beginnings_and_deep_walks(spark, picks, outright, monkeypatch):
+    """Links are the same whatever the layout, and with no pair of nodes compared outright."""
+    monkeypatch.setattr(simhash_trie, "OUTRIGHT", outright)
+    r, values = np.random.default_rng(4), set()
+    for b in r.integers(0, 1 << 63, 60, dtype=np.uint64).tolist():
+        values |= {b} | {b ^ sum(1 << int(k) for k in r.choice(64, r.integers(1, 8), replace=False)) for _ in range(12)}
+    values = sorted(values)
+    u = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    root = {row["node"] % (1 << 64): row["root"] for row in components(simhash_trie.links(u, picks=picks)).collect()}
+    want, got = {}, {}
+    for v, c in zip(values, clusters(values)):
+        want.setdefault(c, set()).add(v)
+        got.setdefault(root.get(v, ("alone", v)), set()).add(v)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))

@@ -1,11 +1,12 @@
 """Near copies by five-word similarity, against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from tests.llm.test_operators import clusters, fingerprint, words
-from vellumspark.llm import near_copies
+from vellumspark.llm import simhash_trie
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -72,7 +73,7 @@ def test_odd_rows(spark):
     text = " ".join(f"v{k}" for k in range(60))
     other = " ".join(f"u{k}" for k in range(60))
     rows = [(5, text), (2, text.upper()), (2, text), (2, text), (None, other), (7, None), (8, ""), (9, "a b"), (4, "A  b"), (6, "b a")]
-    assert stage(spark, rows) == [2, 2, 4, 6, 7, None]
+    assert stage(spark, rows) == [2, 4, 6, 7, None]  # one row of a group, also where rows share the id
     assert stage(spark, rows[:0]) == []
 
 
@@ -82,4 +83,30 @@ def test_second_round_connects(spark):
     chain = [" ".join([f"d{k}" for k in range(j)] + words_[j:]) for j in range(0, 60, 6)]
     assert similarity(chain[0], chain[-1]) < 0.8
     assert stage(spark, list(enumerate(chain))) == [0]
-    assert near_copies.SIMILARITY == 0.8
+    assert simhash_trie.SIMILARITY == 0.8
+
+
+def test_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(50)) for x in "abc")
+    rows = [(1, a), (None, a), (None, b), (4, c), (4, c + " more"), (4, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()), key=str)
+    assert [x[0] for x in got] == [1, 4, 4] and {t.split(" ")[0] for _, t in got} == {"a0", "b0", "c0"}
+
+
+@pytest.mark.parametrize("chunk", [20, 100_000])
+def test_chunks_and_columns(spark, planted, chunk):
+    docs = spark.createDataFrame([(i, t, "x", i, 1) for i, t in planted], "doc_id long, text string, uid string, row int, label int")
+    out = simhash_trie.near_duplicates(docs, chunk)
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == kept(planted)
+
+
+def test_long_fingerprints():
+    """Against a count of bits, one by one."""
+    g, at = simhash_trie.sets(pa.array(["a b c d e f g h", "", "a b", "a b c d e f g i"]))
+    got = simhash_trie.long_fingerprints(g, at)
+    for k in range(4):
+        own = g[at[k] : at[k + 1]]
+        lanes = [simhash_trie.mixed(own + np.uint64((x + 1) * simhash_trie.FACTOR & (1 << 64) - 1)) for x in range(8)]
+        want = [2 * sum(int(h) >> b & 1 for h in lane.tolist()) > len(own) for lane in lanes for b in (8 * y + 7 - z for y in range(8) for z in range(8))]
+        assert np.unpackbits(got[k]).astype(bool).tolist() == want

@@ -189,19 +189,58 @@ def test_substring_rows_that_share_an_id(spark):
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got.collect()) == removed(rows)
 
 
+def unit_rows(spark, batch, n):
+    return spark.createDataFrame([(k * 7 % 50, k % 5, 100 * batch + k, 100 * batch + k, 16 * k) for k in range(n)], "anchor long, words long, doc long, row long, place long")
+
+
 def test_index_compaction_finds_all(spark):
-    parts = [spark.createDataFrame([(k * 7 % 50, 100 * b + k) for k in range(20)], "anchor long, doc long") for b in range(5)]
     index = substring_index.FingerprintIndex(spark)
-    seen, want, got = {}, set(), set()
-    for p in parts:
-        got |= {r["anchor"] for r in index.ingest(p).collect()}
+    seen = {}
+    for p in (unit_rows(spark, b, 20) for b in range(5)):
+        settled, differ = index.ingest(p)
+        rows = p.collect()
+        for r in rows:
+            seen.setdefault(r["anchor"], []).append((r["doc"], r["words"]))
+        several = {a for a in {r["anchor"] for r in rows} if len({d for d, _ in seen[a]}) > 1}
+        other = {a for a in several if len({w for _, w in seen[a]}) > 1}
+        assert {r["anchor"] for r in differ.collect()} == other
+        assert {(r["row"], r["place"]) for r in settled.collect()} == {(r["row"], r["place"]) for r in rows if r["anchor"] in several - other and r["doc"] > min(d for d, _ in seen[r["anchor"]])}
         index.compact()
-        for r in p.collect():
-            if r["anchor"] in seen and seen[r["anchor"]] != r["doc"]:
-                want.add(r["anchor"])
-            seen.setdefault(r["anchor"], r["doc"])
-    assert got == want and sorted(t for t, _ in index.runs) == [0, 2]
-    index.close()
+    assert sorted(t for t, _ in index.runs) == [0, 2]
+    index.delete()
+
+
+def test_index_opened_again(spark, tmp_path):
+    """Three batches, each by an index that is opened anew, remove what one run over all removes."""
+    shared = [prose(30, s) for s in (501, 502, 503)]
+    rows = [(i, prose(20, 600 + i) + " " + shared[i % 3] + " " + (shared[(i + 1) % 3][:90] if i % 2 else "") + " " + prose(15, 700 + i)) for i in range(30)]
+    schema, got = "doc_id long, text string", []
+    for at in (0, 10, 20):
+        index = substring_index.FingerprintIndex(spark, f"file://{tmp_path}/index")
+        assert len(index.runs) == {0: 0, 10: 1, 20: 1}[at]
+        out = substring_index.dedup_batch(index, spark.createDataFrame(rows[at : at + 10], schema), spark.createDataFrame(rows[:at], schema))
+        got += [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in out.collect()]
+        index.close()
+    assert sorted(got) == removed(rows) and sum(n for _, _, n, _ in got) > 500
+    assert sorted(t for t, _ in substring_index.FingerprintIndex(spark, f"file://{tmp_path}/index").runs) == [0, 1]
+
+
+def test_substring_more_anchors_than_the_filter_holds(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(substring_index, "capacity", lambda: 0)
+    got = substring_index.dedup(docs, 2)
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got.collect()) == removed(rows)
+
+
+def test_substring_null_and_text_ids(spark):
+    a, b = prose(60, 1), prose(60, 2)
+    rows = [(None, a), (None, b + " " + a), (None, b), (4, prose(5, 3) + " " + b), (4, b), (None, None)]
+    got = substring_index.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got.collect()) == removed(rows)
+    text = [("b", a), ("a", b), ("ab", a + " " + b), ("a" * 20, b + " x"), (None, b), ("10", b)]
+    got = substring_index.dedup(spark.createDataFrame(text, "doc_id string, text string"), 3)
+    order = {i: k for k, i in enumerate(sorted(i for i, _ in text if i))}
+    want = {n: (x, y, z) for n, x, y, z in removed([(order.get(i), t) for i, t in text])}
+    assert {order.get(r["doc_id"], -1): (r["n_words"], r["n_removed"], r["kept"]) for r in got.collect()} == want
 
 
 # encoding
@@ -221,6 +260,10 @@ def test_encoding(docs, rows, none):
     assert lexicon_bpe.encode_decode(none, config, lexicon_bpe.compile_lexicon(none, config)).count() == 0
     with pytest.raises(ValueError):
         lexicon_bpe.read_config(public_tokenizers.path("byte_bpe_50k.json"))
+    import json
+
+    for change in ({"decoder": {"type": "WordPiece"}}, {"normalizer": {"type": "Prepend", "prepend": "_"}}, {"added_tokens": [{"content": "two words"}]}, {"added_tokens": [{"content": "x", "lstrip": True}]}):
+        assert lexicon_bpe.splits_on_space(config) and not lexicon_bpe.splits_on_space(json.dumps(json.loads(config) | change))
 
 
 def test_automaton_numbers_words():
@@ -265,6 +308,12 @@ def test_histogram_sort(spark, docs, rows, none):
     assert all(sorted(s) == list(range(len(s))) for _, s in by.slot)
     cold = out[out.doc_id >= 1000].groupby("text").shard.nunique()
     assert cold.max() == 1  # equal texts stay together, but for the group that no shard can hold
+    same = spark.range(8000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 4000, "repeated ").otherwise(F.concat(F.lit("row "), F.col("id"))).alias("text"))
+    for table in (same, same.repartition(5)):  # rows alike in text and id are cut too
+        out = histogram_sort.shard(table, 16).toPandas()
+        sizes = out.groupby("shard")["size"].sum()
+        assert len(out) == 8000 and len(sizes) == 16 and sizes.max() - sizes.min() < 200
+        assert all(sorted(s) == list(range(len(s))) for _, s in out.groupby("shard").slot)
     small = histogram_sort.shard(docs).collect()
     assert len(small) == len(rows) and histogram_sort.shard(none).count() == 0
     assert {r["size"] for r in small if r["text"] is None} == {1}
@@ -296,6 +345,34 @@ def test_classifiers(spark, docs, none):
     assert toxicity.learned_weights(nothing.limit(0)).keys() == set(toxicity.BASE_TERMS) and toxicity.fitted_scale(nothing, w) == toxicity.DEFAULT_SCALE
 
 
+def test_quality_scores_by_hand(spark, docs):
+    """Scores of documents against pairwise sums over features made one text at a time."""
+    r = np.random.default_rng(1)
+    width = quality_fm.BUCKETS + quality_fm.STRUCTURE
+    m = quality_fm.Model(0.1, r.normal(0, 0.3, width), r.normal(0, 0.3, (width, 2)))
+    known = docs.where("doc_id is not null and length(text) < 2000").dropDuplicates(["doc_id"])
+    got = {x["doc_id"]: x["score"] for x in quality_fm.score(known, m).collect()}
+    for x in known.collect():
+        text = x["text"] or ""
+        w = words(text)
+        v = np.zeros(width)
+        for one in w:
+            core = one.strip(quality_fm.MARKS).lower()
+            v[xxhash.xxh32_intdigest(core, 1) % 1024] += 1
+            tail = one[len(one.rstrip(quality_fm.MARKS)) :]
+            if len(tail) > 1:
+                v[xxhash.xxh32_intdigest(tail, 2) % 1024] += 1
+        v = np.log1p(v)
+        v /= max(np.sqrt((v * v).sum()), 1e-6)
+        n, size, lines = max(len(w), 1), len(text.encode()), text.split("\n")
+        kinds = ["#*$%&|<>", "!?", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ",.;:"]
+        v[1024:] = [*(min(sum(text.count(c) for c in k) / n, 3) for k in kinds), len(set(w)) / n, sum(a == b for a, b in zip(w, w[1:])) / n, 1 - len(set(lines)) / len(lines), min(size / n / 10, 3), min(n / len(lines) / 50, 3),
+                    np.log1p(len(w)) / 8, np.log1p(size) / 10, np.log1p(x["n_chars"]) / 10, min(size / max(x["n_chars"], 1), 4) / 4]
+        on = np.flatnonzero(v)
+        raw = m.bias + v @ m.linear + sum(m.factors[i] @ m.factors[j] * v[i] * v[j] for a, i in enumerate(on) for j in on[:a])
+        assert abs(1 / (1 + np.exp(-raw)) - got[x["doc_id"]]) < 1e-4
+
+
 def test_factorisation_identity():
     r = np.random.default_rng(0)
     m = quality_fm.Model(0.3, r.normal(size=9), r.normal(size=(9, 3)))
@@ -307,7 +384,41 @@ def test_factorisation_identity():
 def test_toxic_terms_after_folding():
     a = toxicity.automaton({t: 1.0 for t in toxicity.BASE_TERMS} | {"zorg*": 2.0})
     hits = lambda t: len(toxicity.hits_of(a, toxicity.fold(t)))
-    assert [hits(t) for t in ("You IDIOT!", "1d1ot", "іdіоt", "$tup1d", "st@nd", "idiotic", "trash can", "trash, can", "zorglike", "azorg", "worth1ess", "", "l0ser 105er")] == [1, 1, 1, 0, 0, 0, 0, 1, 1, 0, 1, 0, 2]
+    assert [hits(t) for t in ("You IDIOT!", "1d1ot", "іdіоt", "$tup1d", "st@nd", "idiotic", "trash can", "trash, can", "zorglike", "azorg", "worth1ess", "", "l0ser 105er")] == [1, 1, 1, 1, 0, 0, 0, 1, 1, 0, 1, 0, 2]
+    assert [hits(t) for t in ("1owlife", "low1ife", "lowIife", "$cum", "ídiot", "idióts", "idiots", "pigs", "guinea pigs", "trash cans", "pigsty", "ＩＤＩＯＴ", "mor0n! m0ron", "$10 !x @home")] == [1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 1, 2, 0]
+
+
+def test_learned_weights_by_hand(spark):
+    """Base weights against a computation of their own."""
+    import math
+
+    rows = [(f"you fool {prose(20, k)}", 1) for k in range(30)] + [(f"garbage day {prose(20, 100 + k)}", 0) for k in range(40)] + [(f"garbage {prose(20, 200 + k)}", 1) for k in range(10)] + [(prose(20, 300 + k), 0) for k in range(20)]
+    w = toxicity.learned_weights(spark.createDataFrame(rows, "text string, label int"))
+    odds = lambda b, g: math.log((b + 0.5) / 41) - math.log((g + 0.5) / 61)
+    want = lambda b, g: (5 + (b + g) * max(0, odds(b, g)) / 2.5) / (5 + b + g)
+    assert math.isclose(w["fool"], want(30, 0)) and math.isclose(w["garbage"], want(10, 40)) and w["moron"] == 1.0
+    assert w["fool"] > 1 > w["garbage"]
+
+
+def test_toxicity_scores_by_hand(spark, docs, rows):
+    """Scores of all documents against plain Python: regular expressions over folded words."""
+    import math
+
+    weights = {"idiot": 2.0, "pig": 0.5, "zorg*": 1.5}
+    more = [(i, t) for i, t in enumerate(["Idiot pig", "guinea pig idiots", "zorgling zorg pig iron", "x" * 500 + " 1diot", None])]
+    got = toxicity.score(spark.createDataFrame(more, "doc_id long, text string"), weights, (-1.0, 3.0)).collect()
+
+    def one(t):
+        f = toxicity.fold(t or "")
+        total, n = 0.0, 0
+        for term, w in weights.items():
+            end = r"[^\W_]" if term[-1] == "*" else r"s?(?![^\W_])"
+            for m in re.finditer(r"(?<![^\W_])" + term.rstrip("*") + end, f):
+                if not any(e.start() <= m.start() < e.end() for p in toxicity.EXCEPTIONS for e in re.finditer(rf"(?<![^\W_]){toxicity.fold(p)}s?(?![^\W_])", f)):
+                    total, n = total + w, n + 1
+        return 1 / (1 + math.exp(1 - 3 * total / (1 + math.log1p(len(t or "") / 100)))), n
+
+    assert {r["doc_id"]: (round(r["score"], 9), r["n_hits"]) for r in got} == {i: (round(one(t)[0], 9), one(t)[1]) for i, t in more}
 
 
 def test_url_vocabulary(spark):

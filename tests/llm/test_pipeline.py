@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 import public_tokenizers
 from tests.llm.test_operators import clusters, fingerprint, removed, rule_row, words
+from tests.llm.test_near_copies import kept as near_kept
 from vellumspark.llm import line_rules, queries
 
 SF = "/root/testdata/sf0.001"
@@ -63,11 +64,8 @@ def grams(text):
 
 def test_pipeline(spark, documents, tokenizer):
     docs = [(i, c) for i, t in documents if (c := cleaned(t)) is not None]
-    comp = clusters([fingerprint(t) for _, t in docs])
-    least = {}
-    for (i, _), c in zip(docs, comp):
-        least[c] = min(least.get(c, i), i)
-    docs = [(i, t) for (i, t), c in zip(docs, comp) if least[c] == i]
+    stay = set(near_kept(docs))
+    docs = [(i, t) for i, t in docs if i in stay]
     cut = {i: (n, kept) for i, _, n, kept in removed(docs)}
     docs = [(i, cut[i][1] if cut[i][0] else t) for i, t in docs]
     items = [grams(r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
@@ -95,11 +93,17 @@ def test_sharding_query(spark, documents):
     rows = queries.op2_histogram_sort(spark, SF).toPandas().set_index("doc_id")
     assert {i: (len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in documents} == {i: (r["size"], r.text_crc32) for i, r in rows.iterrows()}
     assert all(sorted(s) == list(range(len(s))) for _, s in rows.groupby("shard").slot) and set(rows.law) == {"bytes"} and rows.grown_shard.isna().all()
+    sizes = rows.groupby("shard")["size"].sum()  # near equal, but for a document that no shard can share
+    assert len(sizes) == 16 and sizes.max() - sizes.min() <= 2 * rows["size"].max()
 
 
 def test_histogram_query(spark, documents, tokenizer):
     n = np.array([encoded(tokenizer, t)[0] for _, t in documents])
-    rows = queries.op3_token_histogram(spark, SF).collect()
+    every = queries.op3_token_histogram(spark, SF).collect()
+    rows = [r for r in every if r["kind"] == "length"]
+    assert {r["n_tokens"]: (r["docs"], r["tokens"], r["truncated_total"]) for r in every if r["kind"] == "limit"} == {x: ((n > x).sum(), n[n > x].sum(), np.minimum(n, x).sum()) for x in queries.LIMITS}
+    assert {r["share"]: r["n_tokens"] for r in every if r["kind"] == "quantile"} == {q: np.sort(n)[int(np.ceil(q * len(n))) - 1] for q in queries.SHARES}
+    assert [(r["docs"], r["tokens"]) for r in every if r["kind"] == "total"] == [(len(n), n.sum())]
     assert sorted(r["n_tokens"] for r in rows) == sorted(set(n.tolist()))
     assert all(r["truncated_total"] == np.minimum(n, r["n_tokens"]).sum() and r["docs_at_least"] == (n >= r["n_tokens"]).sum() for r in rows)
 
