@@ -7,7 +7,7 @@ returns what encoding makes of them.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumspark.llm import containment, line_rules, near_copies, queries, substring_index
+from vellumspark.llm import containment, line_rules, queries, simhash_trie, substring_index
 from vellumspark.llm._store import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,8 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, Jaccard similarity of at least 0.8), the
-    document with the smallest id stays."""
-    return near_copies.dedup(docs.select(*COLUMNS))
+    document with the smallest id stays. Rows are told apart by their place, so null and repeated ids
+    keep or remove nothing else."""
+    return simhash_trie.near_duplicates(docs.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +48,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.encoded(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("substring dedup", substring_dedup), ("benchmark decontamination", decontaminate), ("BPE encoding and decoding", encode)]
+STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_dedup), ("substring dedup", substring_dedup), ("benchmark decontamination", decontaminate), ("BPE encoding and decoding", encode)]
 
-#: SQL can't express the MinHash bands of stage 2 or the merges of stage 5.
+#: SQL can't express the tries of stage 2 or the merges of stage 5.
 ORACLE_SQL = None
 
 
