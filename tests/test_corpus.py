@@ -25,7 +25,17 @@ def test_visible_text():
 
 def test_links():
     assert html.links_of('<a href="b#c">x</a><img src="/i.png"><script src="//h/s.js"></script><a>no</a>', "http://a.org/d/e") == [("a", "http://a.org/d/b"), ("img", "http://a.org/i.png"), ("script", "http://h/s.js")]
-    assert html.listed("<ul><li><b>One:</b><ul><li>first <a href=x>t</a></l><li>second <a href=y>t</a></ul></ul>") == [(["One"], "first", "x"), (["One"], "second", "y")]
+    nested = "<ul><li>1 = Category<ul><li><b>1.1.1</b> Untranslated record:</l><li><b>1.8.1.1</b> Gilgame&#x0161; and <i>Aga</i></li><li>1.8.1.9 Unedited record</li><li><b>2.1.1</b> Elsewhere</li><li><b>1.1.1</b> Again</li><li><b>x</b> y</li></ul></li></ul>"
+    assert [(r[0], r[1], r[2], r[5]) for r in html.catalogue_of(nested)] == [
+        (["1 = Category"], "1.1.1", "Untranslated record", None), (["1 = Category"], "1.8.1.1", "Gilgameš and Aga", None), (["1 = Category"], "2.1.1", "Elsewhere", "other category"),
+        (["1 = Category"], "1.1.1", "Again", "repeated"), (["1 = Category"], "x", "y", "no identifier"),
+    ]
+    linked = "<ul><li>0.1.1 First (N1):\n<a href='e.cgi?text=c.0.1.1&amp;d=x'>tl</a></li><li>2.4.1.a Second: <a href='e.cgi?text=c.2.4.1.a'>tl</a> | <a href='e.cgi?text=t.2.4.1.b'>t</a></li><li>no link</li></ul>"
+    assert html.catalogue_of(linked) == [([], "0.1.1", "First (N1)", "e.cgi?text=c.0.1.1&d=x", None, None), ([], "2.4.1.a", "Second", "e.cgi?text=c.2.4.1.a", "e.cgi?text=t.2.4.1.b", "other identifier")]
+    assert html.catalogue_of("")[0][5] == html.catalogue_of(None)[0][5] == "no records"
+    import xml.etree.ElementTree as E
+
+    assert "".join(E.fromstring(html.with_stub_entities("<?xml version='1.0'?><!DOCTYPE a [<!ENTITY x 'y'>]><a>b&c;d&amp;</a>")).itertext()) == "bd&"
 
 
 def test_entities(spark):

@@ -7,19 +7,26 @@ checkpoint folder between steps, so plans do not grow with depth.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumspark.sources.shared import written
+
 MAX_HOPS, MAX_VISITED = 8, 1000
+#: Frontiers that are merged into one table of what is seen.
+MERGED = 16
 
 
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """node and depth (of the shortest way) of all that ``roots`` (node) reach over (src, dst)."""
-    e = edges.select("src", "dst").where("dst is not null").distinct()
-    seen = _cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    front, depth = seen, 0
+    """node and depth (of the shortest way) of all that ``roots`` (node) reach over (src, dst). Each
+    step writes its frontier only; what is seen is the union of the frontiers."""
+    e = written(edges.select("src", "dst").where("dst is not null").distinct())
+    front = written(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen, depth = front, 0
     while not front.isEmpty() and (max_depth is None or depth < max_depth):
         depth += 1
         step = front.join(e, front["node"] == e["src"]).select(F.col("dst").alias("node")).distinct()
-        front = _cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        seen = _cut(seen.unionByName(front))
+        front = written(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        seen = seen.unionByName(front)
+        if depth % MERGED == 0:  # plans stay short on long ways
+            seen = written(seen)
     return seen
 
 
@@ -32,11 +39,11 @@ def on_cycles(containers: DataFrame) -> DataFrame:
     """Members of container cycles in (id, container_id), by pointer doubling: after as many
     doublings as the table's size has bits, whoever still has an ancestor leads into a cycle, and
     is on it if it is its own ancestor."""
-    up = _cut(containers.where("container_id is not null").select(F.col("id").alias("a"), F.col("container_id").alias("b")))
+    up = written(containers.where("container_id is not null").select(F.col("id").alias("a"), F.col("container_id").alias("b")))
     n, span = up.count(), 1
     hop = up
     while span <= n and not hop.isEmpty():
-        hop = _cut(hop.alias("x").join(hop.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b")))
+        hop = written(hop.alias("x").join(hop.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b")))
         span *= 2
     return hop.select(F.col("b").alias("id")).distinct()
 
@@ -71,11 +78,3 @@ def rule_problems(rules: DataFrame, hosts: list[str]) -> DataFrame:
     j = rules.distinct().join(n, "src")
     problem = F.when(F.col("src") == F.col("dst"), "equal ends").when(~host(F.col("src")).isin(hosts) | ~host(F.col("dst")).isin(hosts), "foreign host").when(F.col("targets") > 1, "several targets").when(F.col("rows") > 1, "repeated")
     return j.select("src", "dst", problem.alias("problem")).where("problem is not null")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder, and read back."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    return df.checkpoint()

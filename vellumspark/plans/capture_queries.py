@@ -50,22 +50,13 @@ CAPTURE_STATUS_SQL = f"""select capture_id, case when bool_or({MISSED}) then cas
 
 
 def view_status(spark, sf_dir):
-    """The views of single days."""
-    days = capture_status(spark, sf_dir).withColumn("day", F.substring("capture_id", 1, 8))
-    out = None
-    for day in ("20240101", "20240102", "20240103"):
-        row = captures.view_status(days.where(F.col("day") == day)).withColumn("day", F.lit(day))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def view_status_all(spark, sf_dir):
-    """The views of all days; ``view_status`` and its SQL have three."""
+    """The views of all days."""
     days = capture_status(spark, sf_dir).withColumn("day", F.substring("capture_id", 1, 8))
     return captures.view_status(days, "day")
 
 
-VIEW_SQL = " union all ".join(f"select case when bool_and(status = 'complete') then 'complete' when bool_and(status in ('complete', 'complete_with_warnings')) then 'complete_with_warnings' else 'partial' end as status, '{d}' as day from ({CAPTURE_STATUS_SQL}) where capture_id like '{d}%'" for d in ("20240101", "20240102", "20240103"))
+VIEW_SQL = f"""select left(capture_id, 8) as day, case when bool_and(status = 'complete') then 'complete' when bool_and(status in ('complete', 'complete_with_warnings')) then 'complete_with_warnings' else 'partial' end as status
+from ({CAPTURE_STATUS_SQL}) group by 1"""
 
 
 def report_status(spark, sf_dir):
@@ -217,7 +208,6 @@ QUERIES = {
     "source_status": (source_status, SOURCE_STATUS_SQL),
     "capture_status": (capture_status, CAPTURE_STATUS_SQL),
     "view_status": (view_status, VIEW_SQL),
-    "view_status_all": (view_status_all, None),
     "report_status": (report_status, REPORT_SQL),
     "complete_captures": (complete_captures, COMPLETE_SQL),
     "role_classification": (role_classification, ROLES_SQL),

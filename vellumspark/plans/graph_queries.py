@@ -25,18 +25,11 @@ def catalogue_projection(spark, sf_dir):
     """Collections with their items in order, and those that are unavailable."""
     d = table(spark, sf_dir, "documents")
     wanted = d.select(F.col("source").alias("collection_id")).distinct().unionByName(table(spark, sf_dir, "region").select(F.col("r_name").alias("collection_id")))
-    return catalogue.projection(wanted, d.where("n_chars > 4000").select(F.col("source").alias("collection_id"), F.col("doc_id").alias("item_id"), F.col("lang").alias("label")))
-
-
-def catalogue_projection_all(spark, sf_dir):
-    """The same with documents of any length; ``catalogue_projection`` and its SQL list the long ones."""
-    d = table(spark, sf_dir, "documents")
-    wanted = d.select(F.col("source").alias("collection_id")).distinct().unionByName(table(spark, sf_dir, "region").select(F.col("r_name").alias("collection_id")))
     return catalogue.projection(wanted, d.select(F.col("source").alias("collection_id"), F.col("doc_id").alias("item_id"), F.col("lang").alias("label")))
 
 
 PROJECTION_SQL = """select collection_id, coalesce(n, 0) as n_items, coalesce(items, '') as items, case when n is null then 'unavailable' else 'available' end as status from
-(select distinct source as collection_id from documents union select r_name from region) left join (select source as collection_id, count(*) as n, string_agg(doc_id || ':' || lang, ',' order by doc_id) as items from documents where n_chars > 4000 group by source) using (collection_id)"""
+(select distinct source as collection_id from documents union select r_name from region) left join (select source as collection_id, count(*) as n, string_agg(doc_id || ':' || lang, ',' order by doc_id) as items from documents group by source) using (collection_id)"""
 
 
 def facet_consistency(spark, sf_dir):
@@ -86,12 +79,6 @@ select o_orderkey as relation, o_custkey as source_id, o_custkey * 3 as target_i
 
 
 def ordinals(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("n_chars < 400").select("doc_id", F.split("text", "\n").alias("lines"))
-    return model.numbered(d, "lines", "line")
-
-
-def ordinals_all(spark, sf_dir):
-    """The numbered lines of all documents; ``ordinals`` and its SQL have the short ones only."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
     return model.numbered(d, "lines", "line")
 
@@ -117,17 +104,17 @@ CDX_SQL = """select array_to_string(list_reverse(string_split(lower(regexp_extra
 
 
 def _edges(spark, sf_dir):
-    """Edges from order keys: a sparse graph with chains and cycles."""
+    """Edges from the keys of all orders: a graph with chains and cycles that grows with the table."""
     o = table(spark, sf_dir, "orders")
-    return o.select((F.col("o_custkey") % 500).alias("src"), (F.col("o_orderkey") * 7 % 1000).alias("dst"))
+    return o.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * 7).alias("dst"))
 
 
 def reachable(spark, sf_dir):
-    e = _edges(spark, sf_dir).where("src % 3 = 0")
+    e = _edges(spark, sf_dir)
     return graphs.reach(e, spark.createDataFrame([(0,), (3,)], "node long"), 4)
 
 
-REACH_SQL = """with recursive e as (select distinct o_custkey % 500 as src, o_orderkey * 7 % 1000 as dst from orders where (o_custkey % 500) % 3 = 0),
+REACH_SQL = """with recursive e as (select distinct o_custkey as src, o_orderkey * 7 as dst from orders),
 w(node, depth) as (select unnest([0, 3])::bigint, 0 union select e.dst, depth + 1 from w join e on w.node = e.src where depth < 4)
 select node, min(depth) as depth from w group by node"""
 
@@ -148,7 +135,7 @@ def redirect_walk(spark, sf_dir):
     return graphs.redirect_walk(spark.createDataFrame([(1,), (2,), (7,)], "url long"), e, e.where("dst % 4 <> 0"), 8)
 
 
-WALK_SQL = """with recursive e as (select distinct o_custkey % 500 as src, o_orderkey * 7 % 1000 as dst from orders where (o_orderkey * 7 % 1000) % 4 <> 0),
+WALK_SQL = """with recursive e as (select distinct o_custkey as src, o_orderkey * 7 as dst from orders where (o_orderkey * 7) % 4 <> 0),
 w(url, depth) as (select unnest([1, 2, 7])::bigint, 0 union select e.dst, depth + 1 from w join e on w.url = e.src where depth < 8)
 select url, min(depth) as depth from w group by url order by 2, 1 limit 1000"""
 
@@ -158,18 +145,18 @@ def redirect_flags(spark, sf_dir):
     return graphs.edge_flags(e, e.where("(src + dst) % 3 = 0"), e.where("src % 5 = 0").select(F.col("dst").alias("url")))
 
 
-FLAGS_SQL = """with e as (select distinct o_custkey % 500 as src, o_orderkey * 7 % 1000 as dst from orders)
+FLAGS_SQL = """with e as (select distinct o_custkey as src, o_orderkey * 7 as dst from orders)
 select src, dst, (src + dst) % 3 = 0 as reviewed, dst in (select dst from e where src % 5 = 0) as requested from e"""
 
 
 def completed_invocations(spark, sf_dir):
     flags = redirect_flags(spark, sf_dir)
-    requests = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 100).alias("invocation"), (F.col("o_custkey") % 50).alias("url"))
-    return graphs.completed_by_redirects(requests.where("url % 3 <> 1"), flags)
+    requests = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 2").alias("invocation"), F.col("o_custkey").alias("url"))
+    return graphs.completed_by_redirects(requests, flags)
 
 
 COMPLETED_SQL = f"""with f as ({FLAGS_SQL.replace("with e as", "with e as", 1)}), d as (select distinct src from f where reviewed and requested)
-select o_orderkey % 100 as invocation, bool_and(o_custkey % 50 in (select src from d)) as completed from orders where (o_custkey % 50) % 3 <> 1 group by 1"""
+select o_orderkey // 2 as invocation, bool_and(o_custkey in (select src from d)) as completed from orders group by 1"""
 
 
 def missing_support(spark, sf_dir):
@@ -177,37 +164,6 @@ def missing_support(spark, sf_dir):
     return graphs.missing_targets(e, e.select(F.col("src").alias("node")).distinct())
 
 
-def _whole_edges(spark, sf_dir):
-    """Edges from unfolded keys of all orders: the graph grows with the table."""
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * 7).alias("dst"))
-
-
-def reachable_all(spark, sf_dir):
-    """As ``reachable``, over all edges with unfolded keys; it and its SQL walk a third of folded ones."""
-    return graphs.reach(_whole_edges(spark, sf_dir), spark.createDataFrame([(0,), (3,)], "node long"), 4)
-
-
-def redirect_walk_all(spark, sf_dir):
-    e = _whole_edges(spark, sf_dir)
-    return graphs.redirect_walk(spark.createDataFrame([(1,), (2,), (7,)], "url long"), e, e.where("dst % 4 <> 0"), 8)
-
-
-def redirect_flags_all(spark, sf_dir):
-    e = _whole_edges(spark, sf_dir).distinct()
-    return graphs.edge_flags(e, e.where("(src + dst) % 3 = 0"), e.where("src % 5 = 0").select(F.col("dst").alias("url")))
-
-
-def completed_invocations_all(spark, sf_dir):
-    """All orders are requests, two to an invocation."""
-    requests = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 2").alias("invocation"), F.col("o_custkey").alias("url"))
-    return graphs.completed_by_redirects(requests, redirect_flags_all(spark, sf_dir))
-
-
-def missing_support_all(spark, sf_dir):
-    e = _whole_edges(spark, sf_dir)
-    return graphs.missing_targets(e, e.select(F.col("src").alias("node")).distinct())
-
-
 def first_per_key(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")
     return numbering.first_by(li, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey"]).select("l_partkey", "l_orderkey", "l_linenumber")
@@ -217,15 +173,13 @@ QUERIES = {
     "catalogue_summary": (catalogue_summary, SUMMARY_SQL),
     "catalogue_documents": (catalogue_documents, DOCUMENTS_SQL),
     "catalogue_projection": (catalogue_projection, PROJECTION_SQL),
-    "catalogue_projection_all": (catalogue_projection_all, None),
     "facet_consistency": (facet_consistency, FACETS_SQL),
     "facet_notes": (facet_notes, "select p_brand as key, arg_min(p_name, p_partkey) as note from part where p_size > 20 group by 1"),
     "facet_values": (facet_values, "select l_orderkey, count(*) = count(distinct l_returnflag) and count(*) <= 128 as valid from lineitem group by 1"),
     "graph_namespace": (graph_namespace, NAMESPACE_SQL),
     "dangling_references": (dangling_references, DANGLING_SQL),
     "bad_relations": (bad_relations, RELATIONS_SQL),
-    "ordinals": (ordinals, "select doc_id, i - 1 as ordinal, l[i] as line from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from documents where n_chars < 400))"),
-    "ordinals_all": (ordinals_all, None),
+    "ordinals": (ordinals, "select doc_id, i - 1 as ordinal, l[i] as line from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from documents))"),
     "page_list": (page_list, PAGES_SQL),
     "cdx_lines": (cdx_lines, CDX_SQL),
     "reachable": (reachable, REACH_SQL),
@@ -233,11 +187,6 @@ QUERIES = {
     "redirect_walk": (redirect_walk, WALK_SQL),
     "redirect_flags": (redirect_flags, FLAGS_SQL),
     "completed_invocations": (completed_invocations, COMPLETED_SQL),
-    "missing_support": (missing_support, "select distinct o_orderkey * 7 % 1000 as node from orders where o_orderkey * 7 % 1000 not in (select o_custkey % 500 from orders)"),
-    "reachable_all": (reachable_all, None),
-    "redirect_walk_all": (redirect_walk_all, None),
-    "redirect_flags_all": (redirect_flags_all, None),
-    "completed_invocations_all": (completed_invocations_all, None),
-    "missing_support_all": (missing_support_all, None),
+    "missing_support": (missing_support, "select distinct o_orderkey * 7 as node from orders where o_orderkey * 7 not in (select o_custkey from orders)"),
     "first_per_key": (first_per_key, "select l_partkey, l_orderkey, l_linenumber from (select *, row_number() over (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber, l_suppkey) as r from lineitem) where r = 1"),
 }

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from vellumspark.functions import html, text, urls
+from vellumspark.operators import collections
 from vellumspark.plans.common import table
 
 TOKEN_SQL = text.TOKEN
@@ -117,17 +118,11 @@ select a || '.' || b || '.' || c as ident, row_number() over (order by a, b, c =
 
 
 def markup_text(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", text.html_escaped(F.substring("html", 1, 400)).alias("escaped"), F.array_join(text.entity_names(F.col("html")), ",").alias("entities"), text.clean_title(F.concat(F.lit("  a \t"), F.col("url"), F.lit(" : "))).alias("title"))
-
-
-def markup_text_all(spark, sf_dir):
-    """As ``markup_text``, with the whole html escaped; ``markup_text`` and its SQL escape a beginning."""
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", text.html_escaped(F.col("html")).alias("escaped"), F.array_join(text.entity_names(F.col("html")), ",").alias("entities"), text.clean_title(F.concat(F.lit("  a \t"), F.col("url"), F.lit(" : "))).alias("title"))
 
 
-MARKUP_SQL = """select page_id, replace(replace(replace(replace(replace(substr(html, 1, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') as escaped,
+MARKUP_SQL = """select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') as escaped,
  array_to_string(regexp_extract_all(html, '&([A-Za-z][A-Za-z0-9._:-]*);', 1), ',') as entities, 'a ' || url as title from pages"""
 
 
@@ -141,10 +136,31 @@ def html_links(spark, sf_dir):
     return html.links(table(spark, sf_dir, "pages"))
 
 
+#: Kinds of a site's own pages, by their path; the first group is the id.
+CLASSES = {"number": r"/([0-9]+)(?:[.]html|/)?", "picture": r"/(.+)[.](?:png|jpe?g|gif|svg)", "word": r"/([^/.]+)[.]?"}
+
+
 def link_classes(spark, sf_dir):
-    """Links of all pages by kind of target, counted before they meet."""
-    n = html.links(table(spark, sf_dir, "pages")).select("tag", F.when(F.col("link").rlike(r"\.(png|jpe?g|gif|svg)$"), "image").when(F.col("link").startswith("http"), "page").otherwise("other").alias("kind"))
-    return n.groupBy("tag", "kind").agg(F.count("*").alias("n"))
+    """Distinct targets of all pages' links, and of the pages themselves, by kind, with how often an id of
+    each kind begins alike."""
+    p = table(spark, sf_dir, "pages")
+    rows = p.select("page_id", "html", F.lit("https://www.example.org/").alias("url"))
+    ids = collections.classified_links(rows, CLASSES, ["www.example.org"], "www.example.org")
+    return ids.groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+#: References of a, link, img and script elements outside scripts and comments, as these pages write them.
+HREFS_SQL = """with clean as (select page_id, url, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)>.*?</(script|style)>', '', 'gs') as h from pages),
+r as (select page_id, url, i - 1 as ordinal, m[i] as m from (select page_id, url, m, unnest(range(1, len(m) + 1)) as i from
+  (select page_id, url, regexp_extract_all(h, '<(?:a|link) [^>]*?href="[^"]*"|<(?:img|script) [^>]*?src="[^"]*"') as m from clean))),
+v as (select page_id, url, ordinal, regexp_extract(m, '^<([a-z]+)', 1) as tag, replace(regexp_extract(m, '(?:href|src)="([^"]*)"', 1), '&amp;', '&') as ref from r)"""
+LINKS_SQL = HREFS_SQL + """ select page_id, ordinal::int as ordinal, tag, regexp_replace(case when regexp_matches(ref, '^[a-z]+:') then ref when starts_with(ref, '//') then split_part(url, '//', 1) || ref
+ when starts_with(ref, '/') then regexp_extract(url, '^[^/]+//[^/?#]*') || ref when starts_with(ref, '?') then regexp_replace(url, '[?#].*$', '') || ref when ref = '' or starts_with(ref, '#') then url
+ else regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || ref end, '#.*$', '') as link from v"""
+CLASSES_SQL = HREFS_SQL + """, k as (select distinct regexp_replace(ref, '[?#].*$', '') as path from v where starts_with(ref, '/') and not starts_with(ref, '//')),
+c as (select path, case when regexp_full_match(path, '/[0-9]+([.]html|/)?') then 'number' when regexp_full_match(path, '/.+[.](png|jpe?g|gif|svg)') then 'picture' when regexp_full_match(path, '/[^/.]+[.]?') then 'word' end as class from k),
+i as (select distinct class, case class when 'number' then regexp_extract(path, '/([0-9]+)', 1) when 'picture' then regexp_extract(path, '/(.+)[.]', 1) else regexp_extract(path, '/([^/.]+)', 1) end as id from c where class is not null)
+select class, count(*) as n, min(id) as first, max(id) as last from i group by class"""
 
 
 def capture_ids(spark, sf_dir):
@@ -178,10 +194,9 @@ QUERIES = {
     "access_ids": (access_ids, ACCESS_SQL),
     "identifier_order": (identifier_order, ORDER_SQL),
     "markup_text": (markup_text, MARKUP_SQL),
-    "markup_text_all": (markup_text_all, None),
     "html_text": (html_text, None),
-    "html_links": (html_links, None),
-    "link_classes": (link_classes, None),
+    "html_links": (html_links, LINKS_SQL),
+    "link_classes": (link_classes, CLASSES_SQL),
     "capture_ids": (capture_ids, IDS_SQL),
     "manifest_paths": (manifest_paths, MANIFEST_PATHS_SQL),
 }
