@@ -25,6 +25,12 @@ def docs(spark):
     return search.tokenized(df.withColumns({"collection_id": F.lit("c"), "representation_id": F.col("docid").cast("string")})).cache()
 
 
+@pytest.fixture(scope="module")
+def index(spark, tmp_path_factory):
+    df = spark.createDataFrame(ROWS, "docid int, title string, representation_label string, body string")
+    return search.write_index(df.withColumns({"collection_id": F.lit("c"), "representation_id": F.col("docid").cast("string")}), f"file://{tmp_path_factory.mktemp('index')}/i")
+
+
 @pytest.fixture(scope="module")
 def fts():
     c = sqlite3.connect(":memory:")
@@ -33,6 +39,27 @@ def fts():
     return c
 
 
+@pytest.mark.parametrize("query", QUERIES)
+def test_index_ranks_like_fts5(index, fts, query):
+    want = {r: pytest.approx(x, abs=1e-9) for r, x in fts.execute("select rowid, bm25(t, 8, 3, 1) from t where t match ?", (query,))}
+    assert {r["docid"]: r["rank"] for r in search.search(index, query, 50).collect()} == want
+
+
+def test_index_filters(index, docs):
+    some = {r["docid"]: r["rank"] for r in search.search(index, "river", 50, representation_label=["B"], docid=[]).collect()}
+    assert some == {r["docid"]: r["rank"] for r in search.search(docs, "river", 50).collect() if r["docid"] in (2, 5)}
+
+
+def test_only_the_terms_are_read(index):
+    plan = search.search(index, "riv* mill", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term,riv)" in plan and "EqualTo(term,mill)" in plan
+
+
+def test_snippets_of_folded_letters(spark):
+    hits = spark.createDataFrame([(1, "ΟΔΟΣ und İdiot, idiot here"), (2, "Straſſe ςidiot IDIOT")], "docid int, body string")
+    assert [r["snippet"] for r in search.snippets(hits, "idiot").orderBy("docid").collect()] == ["ΟΔΟΣ und İdiot, [idiot] here", "Straſſe ςidiot [IDIOT]"]
+
+
 @pytest.mark.parametrize("query", QUERIES)
 def test_matches_and_ranks_like_fts5(docs, fts, query):
     want = {r: pytest.approx(x, abs=1e-9) for r, x in fts.execute("select rowid, bm25(t, 8, 3, 1) from t where t match ?", (query,))}

@@ -1,19 +1,26 @@
-"""Ranked full-text search with filters over tokenised documents.
+"""Ranked full-text search with filters, over a written index or over tokenised documents.
 
-Documents are tokenised into arrays once (``tokenized``), which may be written as Parquet and
-searched many times. A search is one pass for the corpus statistics (rows, mean length, documents
-with each phrase), which come together as a single row, and one pass that ranks matches; only the
-top k are sorted out. Phrase work runs on arrays inside a row, so nothing is exploded or shuffled.
+``write_index`` tokenises documents once and writes a row for each term, document and column with
+the positions, dealt by ranges of terms and sorted, so that files and row groups tell which terms
+they hold; beside it the facts that filters and ranks need, and the corpus's statistics. A search
+reads the rows of its terms only (an equality or a prefix pushed down to the files), joins
+their positions by document, and ranks; texts are read for no more than the hits shown.
+
+Small corpora can be searched without an index: ``search`` takes what ``tokenized`` returns as well.
+Statistics are those of the whole corpus; filters apply after them.
 """
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.functions.text import tokens
-from vellumspark.operators.query_language import Phrase, Query, QueryError, parse, tokenize
+from vellumspark.operators.query_language import Phrase, Query, QueryError, parse, token_spans
+from vellumspark.sources.shared import written
 
 # The searched columns with their weights, and the parameters of BM25.
 WEIGHTS = {"title": 8.0, "representation_label": 3.0, "body": 1.0}
@@ -73,18 +80,95 @@ def near_starts(arrays: list[list[Column]], phrases: list[Phrase], distance: int
     return F.filter(arrays[k][c], counted)
 
 
-def search(docs: DataFrame, query: str, limit: int = 10, tie: tuple = ("collection_id", "representation_id"), **filters: list) -> DataFrame:
+class Index:
+    """An index in a folder: documents (facts, no texts), postings and statistics."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.documents, self.postings, self.statistics = (spark.read.parquet(f"{folder}/{t}") for t in ("documents", "postings", "statistics"))
+
+
+def grouped_positions(docs: DataFrame, key: str) -> DataFrame:
+    """term, key, col and positions of every distinct token of a document's column."""
+
+    def run(batches):
+        for batch in batches:
+            for c, name in enumerate(WEIGHTS):
+                lists = batch.column(f"t_{name}")
+                n = np.diff(lists.offsets.to_numpy())
+                own, flat = np.repeat(np.arange(len(n)), n), lists.flatten().dictionary_encode()
+                code, size = flat.indices.to_numpy(), max(len(flat.dictionary), 1)
+                at = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
+                both = own * size + code
+                order = np.argsort(both, kind="stable")
+                first = np.flatnonzero(np.append(True, both[order][1:] != both[order][:-1])) if len(order) else np.empty(0, np.int64)
+                positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(at[order], pa.int32()))
+                head = order[first]
+                yield pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(code[head])), batch.column(key).take(pa.array(own[head])), pa.array(np.full(len(head), c), pa.int8()), positions], ["term", key, "col", "positions"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, *[f"t_{c}" for c in WEIGHTS]).mapInArrow(run, f"term string, {key} {kind}, col byte, positions array<int>")
+
+
+def write_index(docs: DataFrame, folder: str, key: str = "docid") -> Index:
+    """Index the columns of ``WEIGHTS``; the other columns are kept to filter and to show. A frequent
+    term is dealt over several files, by document."""
+    spark = docs.sparkSession
+    made = written(tokenized(docs).drop("body"))
+    facts = made.drop(*[f"t_{c}" for c in WEIGHTS])
+    facts.write.parquet(f"{folder}/documents")
+    rows = written(grouped_positions(made, key))  # the ranges are found in one pass and dealt in another
+    rows.repartitionByRange("term", key).sortWithinPartitions("term", key).write.option("parquet.block.size", 8 << 20).parquet(f"{folder}/postings")
+    facts.agg(F.count("*").alias("_n"), F.avg("n_tokens").alias("_avg")).coalesce(1).write.parquet(f"{folder}/statistics")
+    return Index(spark, folder)
+
+
+def _in_index(index: Index, q: Query, cols: list[list[str]], key: str) -> DataFrame:
+    """key and the starts of each phrase (_at0, _at1, ...: an array for each of its columns) of the
+    documents that hold any of the query's terms."""
+    names = list(WEIGHTS)
+    fits = lambda p, j: F.col("term").startswith(p.tokens[j]) if p.prefix and j == len(p.tokens) - 1 else F.col("term") == p.tokens[j]
+    terms = [fits(p, j) for p in q.phrases for j in range(len(p.tokens))]
+    rows = index.postings.where(reduce(lambda a, b: a | b, terms, F.lit(False)))
+    shifted = lambda j: F.transform("positions", lambda x: x - j)
+    parts, uses = [], {}
+    for k, (p, cs) in enumerate(zip(q.phrases, cols)):
+        for c in cs:
+            for j in range(len(p.tokens)):
+                uses[k, c, j] = f"_p{len(parts)}"
+                here = F.when(fits(p, j) & (F.col("col") == names.index(c)), shifted(j))
+                parts.append(F.flatten(F.collect_list(here)).alias(uses[k, c, j]))
+    found = rows.groupBy(key).agg(F.lit(1).alias("_one"), *parts)  # a document's own positions, however often a term is written
+    at = []
+    for k, (p, cs) in enumerate(zip(q.phrases, cols)):
+        starts_ = []
+        for c in cs:
+            arrays = [F.col(uses[k, c, j]) for j in range(len(p.tokens))]
+            one = F.array_sort(reduce(F.array_intersect, arrays)) if arrays else F.array().cast("array<int>")
+            starts_.append(F.filter(one, lambda x: x == 0) if p.first else one)
+        at.append(F.array(*starts_).alias(f"_at{k}") if starts_ else F.array(F.array().cast("array<int>")).alias(f"_at{k}"))
+    return found.select(key, *at)
+
+
+def search(docs: DataFrame | Index, query: str, limit: int = 10, tie: tuple = ("collection_id", "representation_id"), key: str = "docid", **filters: list) -> DataFrame:
     """The top ``limit`` documents by rank (ascending, best first), then by ``tie``.
 
-    ``docs`` is what ``tokenized`` returns. Filters are lists of values by column: any value of a
-    column will do, all columns must agree, an empty list does not filter. Statistics are those
+    ``docs`` is an index, or what ``tokenized`` returns. Filters are lists of values by column: any value
+    of a column will do, all columns must agree, an empty list does not filter. Statistics are those
     of all documents, filtered or not."""
     if not isinstance(limit, int) or isinstance(limit, bool) or not 1 <= limit <= 100:
         raise QueryError("the limit is 1 to 100")
     q: Query = parse(query, tuple(WEIGHTS))
     cols = [[c for c in WEIGHTS if p.columns is None or c in p.columns] for p in q.phrases]
-    at = [[starts(F.col(f"t_{c}"), p) for c in cs] for p, cs in zip(q.phrases, cols)]
-    base = docs.select("*", *[F.array(*a).alias(f"_at{k}") if a else F.array(F.array().cast("array<int>")).alias(f"_at{k}") for k, a in enumerate(at)])
+    k = len(q.phrases)
+    has = lambda k: F.exists(f"_at{k}", lambda a: F.size(a) > 0)
+    matched = [F.count_if(has(i)).alias(f"_n{i}") for i in range(k)]
+    if isinstance(docs, Index):
+        base = _in_index(docs, q, cols, key)
+        stats = base.agg(*matched).crossJoin(docs.statistics)  # two single rows
+    else:
+        at = [[starts(F.col(f"t_{c}"), p) for c in cs] for p, cs in zip(q.phrases, cols)]
+        base = docs.select("*", *[F.array(*a).alias(f"_at{k}") if a else F.array(F.array().cast("array<int>")).alias(f"_at{k}") for k, a in enumerate(at)])
+        stats = base.agg(F.count("*").alias("_n"), F.avg("n_tokens").alias("_avg"), *matched)
     lists = lambda k: [F.get(f"_at{k}", F.lit(i)) for i in range(len(cols[k]))]
     groups = {k: node for node in _near_nodes(q.tree) for k in node[1]}
 
@@ -96,8 +180,6 @@ def search(docs: DataFrame, query: str, limit: int = 10, tie: tuple = ("collecti
             found = [near_starts([lists(m) for m in members], [q.phrases[m] for m in members], distance, members.index(k), c) for c in range(len(found))]
         return sum((F.size(f) * WEIGHTS[c] for f, c in zip(found, cols[k])), F.lit(0.0))
 
-    has = lambda k: F.exists(f"_at{k}", lambda a: F.size(a) > 0)
-
     def matches(tree) -> Column:
         kind = tree[0]
         if kind == "group":
@@ -109,12 +191,12 @@ def search(docs: DataFrame, query: str, limit: int = 10, tie: tuple = ("collecti
         left, right = matches(tree[1]), matches(tree[2])
         return left | right if kind == "or" else left & ~right if kind == "not" else left & right
 
-    k = len(q.phrases)
-    stats = base.agg(F.count("*").alias("_n"), F.avg("n_tokens").alias("_avg"), *[F.count_if(has(i)).alias(f"_n{i}") for i in range(k)])
     hits = base.where(matches(q.tree))
+    facts = docs.documents if isinstance(docs, Index) else hits
     for name, values in filters.items():
         if values:
-            hits = hits.where(F.col(name).isin(list(values)))
+            facts = facts.where(F.col(name).isin(list(values)))
+    hits = hits.join(facts, key) if isinstance(docs, Index) else facts
     joined = hits.crossJoin(F.broadcast(stats))  # one row
     rank = F.lit(0.0)
     for i in range(k):
@@ -126,6 +208,21 @@ def search(docs: DataFrame, query: str, limit: int = 10, tie: tuple = ("collecti
     return joined.withColumn("rank", rank).drop(*private).orderBy("rank", *tie).limit(limit)
 
 
+# What a hit shows, beside its file.
+HIT = ["collection_id", "item_id", "representation_id", "title", "representation_label", "language", "kind", "rank", "snippet", "path", "fragment"]
+
+
+def shown_hits(hits: DataFrame, texts: DataFrame, query: str, root: str, key: str = "docid") -> DataFrame:
+    """The eleven fields of each hit, with a snippet of its text (key, body), and the link to its place in
+    an unchanging file below ``root``. At most 100 hits, so they are sent to the texts."""
+    from vellumspark.functions.urls import file_uri, route_fragment, route_path
+
+    own = texts.select(key, "body").join(F.broadcast(hits), key)
+    path = F.concat(F.lit(root.rstrip("/") + "/"), F.col("reader_root"), F.lit("/"), route_path(F.col("route")))
+    out = snippets(own, query).withColumns({"path": path, "fragment": route_fragment(F.col("route"))})
+    return out.select(*HIT, file_uri(F.col("path"), F.col("fragment")).alias("link")).orderBy("rank", "collection_id", "representation_id")
+
+
 def _near_nodes(tree: tuple) -> list[tuple]:
     if tree[0] == "near":
         return [tree]
@@ -138,15 +235,8 @@ def snippets(hits: DataFrame, query: str, body: str = "body") -> DataFrame:
     phrases = [(p.tokens, p.prefix) for p in parse(query).phrases if p.columns is None or "body" in p.columns]
 
     def cut(text: str) -> str:
-        spans, words, at = [], [], 0
-        for word in tokenize(text):  # places of the tokens in the text, folded alike
-            low = text.lower()
-            at = low.find(word, at)
-            if at < 0:
-                break
-            spans.append((at, at + len(word)))
-            words.append(word)
-            at += len(word)
+        found = token_spans(text)
+        spans, words = [x[:2] for x in found], [x[2] for x in found]
         marks = []
         for toks, prefix in phrases:
             n = len(toks)
@@ -188,6 +278,12 @@ def term_stats(docs: DataFrame, key: str = "docid") -> DataFrame:
     return per_doc.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
 
 
+def index_terms(index: Index) -> DataFrame:
+    """Documents and occurrences of each term of an index, which is dealt by terms already."""
+    per_doc = index.postings.groupBy("term", "docid").agg(F.sum(F.size("positions")).alias("tf"))
+    return per_doc.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
+
+
 def index_problems(docs: DataFrame, index: DataFrame, key: str = "docid") -> DataFrame:
     """Documents without an index row, and the other way round, and bodies whose digest changed."""
     left = docs.select(key, F.sha2("body", 256).alias("actual"), F.col("body_sha256").alias("stated"))

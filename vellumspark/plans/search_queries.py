@@ -1,17 +1,29 @@
 """Ranked search queries, and the index behind them."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from vellumspark.functions.text import FOLD_FROM, FOLD_TO, TOKEN
 from vellumspark.operators import search
 from vellumspark.plans.common import corpus
+from vellumspark.sources.shared import drop_at_exit, exists, shared_folder
 
 TOP = 100
 
 
+def index_of(spark, sf_dir) -> search.Index:
+    """The corpus's index in the shared folder, written by the first search of a session."""
+    folder = f"{shared_folder(spark)}/search-{spark.sparkContext.applicationId}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    if not exists(spark, f"{folder}/statistics/_SUCCESS"):
+        drop_at_exit(spark, folder)
+        return search.write_index(corpus(spark, sf_dir), folder)
+    return search.Index(spark, folder)
+
+
 def _run(query: str, **filters):
     def run(spark, sf_dir):
-        hits = search.search(search.tokenized(corpus(spark, sf_dir)), query, TOP, **filters)
+        hits = search.search(index_of(spark, sf_dir), query, TOP, **filters)
         return hits.select("docid", "collection_id", "language", F.round("rank", 9).alias("rank"))
 
     return run
@@ -45,12 +57,41 @@ select docid, collection_id, language, round(0.0 {rank}, 9) as rank from c, s wh
 
 
 def snippets(spark, sf_dir):
-    hits = search.search(search.tokenized(corpus(spark, sf_dir)), "worthless OR disgusting", 20)
-    return search.snippets(hits, "worthless OR disgusting").select("docid", "snippet")
+    hits = search.search(index_of(spark, sf_dir), "worthless OR disgusting", 20)
+    return search.snippets(corpus(spark, sf_dir).select("docid", "body").join(F.broadcast(hits.select("docid")), "docid"), "worthless OR disgusting").select("docid", "snippet")
+
+
+#: The first twenty hits of two terms, of which the one or the other stands in brackets: the window begins at the first
+#: place from which most distinct terms are within 24 tokens, and no later than 24 tokens before the end.
+def snippets_sql() -> str:
+    ranked = _sql([ONE("worthless"), ONE("disgusting")], "(c0 > 0 or c1 > 0)").replace(f"limit {TOP}", "limit 20")
+    tok = f"regexp_extract_all(translate(lower(text), '{FOLD_FROM}', '{FOLD_TO}'), '{TOKEN}')"
+    return f"""with hit as ({ranked}), d as (select doc_id as docid, text, {tok} as t, regexp_extract_all(text, '{TOKEN}') as o, regexp_split_to_array(text, '{TOKEN}') as g from documents join hit on doc_id = docid),
+s as (select docid, t, o, g, len(t) as n, list_filter(range(1, len(t) + 1), lambda i: t[i] in ('worthless', 'disgusting')) as m from d),
+c as (select *, unnest(list_distinct(list_concat([1], m))) as i from s),
+r as (select *, len(list_distinct(t[i:i + 23]) ) - len(list_filter(list_distinct(t[i:i + 23]), lambda w: w not in ('worthless', 'disgusting'))) as k from c),
+b as (select docid, any_value(o) as o, any_value(t) as t, any_value(g) as g, any_value(n) as n, greatest(1, least(arg_min(i, -k * 1000000000 + i), any_value(n) - 23)) as f from r group by docid),
+e as (select *, least(n, f + 23) as l, list_transform(range(1, n + 1), lambda i: case when t[i] in ('worthless', 'disgusting') then '[' || o[i] || ']' else o[i] end) as w from b)
+select docid, case when f > 1 then ' ... ' else '' end || array_to_string(list_transform(range(f, l + 1), lambda i: w[i] || case when i < l then g[i + 1] else '' end), '') || case when l < n then ' ... ' else g[n + 1] end as snippet from e"""
+
+
+def search_hits(spark, sf_dir):
+    """The eleven fields of hits, with the links to their places."""
+    query = '"of the" NOT worthless'
+    more = {"item_id": F.concat(F.lit("item-"), F.col("docid")), "kind": F.lit("text"), "reader_root": F.concat(F.lit("readers/"), F.col("collection_id")), "route": F.concat(F.lit("works/"), F.col("docid"), F.lit(".html#s"), F.col("docid"))}
+    hits = search.search(index_of(spark, sf_dir), query, 50).withColumns(more)
+    out = search.shown_hits(hits, corpus(spark, sf_dir), query, "/derived")
+    return out.select("collection_id", "item_id", "representation_id", "title", "representation_label", "language", "kind", F.round("rank", 9).alias("rank"), "path", "fragment", "link")
+
+
+def hits_sql() -> str:
+    ranked = _sql([(["of", "the"], False, False, None), ONE("worthless")], "c0 > 0 and not c1 > 0").replace(f"limit {TOP}", "limit 50")
+    return f"""with hit as ({ranked}) select collection_id, 'item-' || docid as item_id, docid::varchar as representation_id, split_part(text, chr(10), 1) as title, source as representation_label, language, 'text' as kind, rank,
+ '/derived/readers/' || source || '/works/' || docid || '.html' as path, 's' || docid as fragment, 'file:///derived/readers/' || source || '/works/' || docid || '.html#s' || docid as link from hit join documents on doc_id = docid"""
 
 
 def term_statistics(spark, sf_dir):
-    return search.term_stats(search.tokenized(corpus(spark, sf_dir)))
+    return search.index_terms(index_of(spark, sf_dir))
 
 
 TERMS_SQL = f"""with t as (select doc_id, unnest(list_concat(list_concat(regexp_extract_all(translate(lower(split_part(text, chr(10), 1)), '{FOLD_FROM}', '{FOLD_TO}'), '{TOKEN}'), regexp_extract_all(lower(source), '{TOKEN}')),
@@ -59,11 +100,16 @@ select term, count(distinct doc_id) as docs, count(*) as occurrences from t grou
 
 
 def posting_positions(spark, sf_dir):
-    """Where two terms stand in the bodies."""
-    return search.postings(search.tokenized(corpus(spark, sf_dir))).where("term in ('idiot', 'scum') and col = 2").select("term", "docid", "pos")
+    """Where every term stands in each column: how often, first, last, and the sum of the places."""
+    p = index_of(spark, sf_dir).postings
+    one = p.select("term", "col", F.size("positions").alias("n"), F.array_min("positions").alias("low"), F.array_max("positions").alias("high"), F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x).alias("s"))
+    return one.groupBy("term", "col").agg(F.sum("n").alias("n"), F.min("low").alias("first"), F.max("high").alias("last"), F.sum("s").alias("places"))
 
 
-POSTINGS_SQL = f"""select t[i] as term, doc_id as docid, i - 1 as pos from (select doc_id, t, unnest(range(1, len(t) + 1)) as i from (select doc_id, regexp_extract_all(translate(lower(text), '{FOLD_FROM}', '{FOLD_TO}'), '{TOKEN}') as t from documents)) where t[i] in ('idiot', 'scum')"""
+_TOK = lambda e: f"regexp_extract_all(translate(lower({e}), '{FOLD_FROM}', '{FOLD_TO}'), '{TOKEN}')"
+POSTINGS_SQL = f"""with t as (select 0 as col, {_TOK("split_part(text, chr(10), 1)")} as t from documents union all select 1, {_TOK("source")} from documents union all select 2, {_TOK("text")} from documents),
+p as (select col, unnest(t) as term, unnest(range(0, len(t))) as pos from t)
+select term, col, count(*) as n, min(pos) as first, max(pos) as last, sum(pos)::bigint as places from p group by all"""
 
 
 def index_integrity(spark, sf_dir):
@@ -86,7 +132,8 @@ QUERIES = {
     "search_near": (_run("body : NEAR(idiot the, 2)"), _sql([ONE("idiot", cols=["body"]), ONE("the", cols=["body"])], "c0 > 0", near=2)),
     "search_first_in_column": (_run("{title body} : ^the"), _sql([ONE("the", first=True, cols=["title", "body"])], "c0 > 0")),
     "search_column": (_run("representation_label : src7 AND body : de"), _sql([ONE("src7", cols=["representation_label"]), ONE("de", cols=["body"])], "c0 > 0 and c1 > 0")),
-    "search_snippets": (snippets, None),
+    "search_snippets": (snippets, snippets_sql()),
+    "search_hits": (search_hits, hits_sql()),
     "term_statistics": (term_statistics, TERMS_SQL),
     "posting_positions": (posting_positions, POSTINGS_SQL),
     "index_integrity": (index_integrity, INTEGRITY_SQL),
