@@ -12,7 +12,7 @@ from vellumspark.operators import packages
 from vellumspark.operators.inventory import EMPTY_SHA256
 from vellumspark.sources import files
 from vellumspark.sources.warc import WarcDataSource, WarcError, gzip_members, header_lines, read_at, rows_of
-from vellumspark.sources.zip_members import ZipMembersDataSource, member_problems
+from vellumspark.sources.zip_members import COLLECTION_LIMITS, ZipMembersDataSource, member_problems
 
 
 def response(url, body=b"<p>hi</p>", status="200 OK", extra=""):
@@ -77,6 +77,34 @@ def test_wacz_round_trip(spark, archive, tmp_path):
     assert ("pages/pages.jsonl", "mismatch") in problems and any(p == "unsorted" for _, p in problems)
 
 
+def test_large_members_and_copies(spark, tmp_path, monkeypatch):
+    """A record of 70 MB is no fault; one changed byte of it is, and so is a file that changes while it is copied."""
+    from vellumspark.sources.warc import record_bytes
+
+    folder, out = tmp_path / "w", str(tmp_path / "big.wacz")
+    folder.mkdir()
+    (folder / "big.warc").write_bytes(record_bytes("http://a.org/big", "2026-01-01T00:00:00Z", 200, "text/html", os.urandom(70 << 20)))
+    packages.create_wacz(spark, str(folder), out)
+    assert packages.validate_wacz(spark, out).collect() == []
+    with open(out, "r+b") as f:
+        f.seek(40 << 20)
+        byte = f.read(1)
+        f.seek(40 << 20)
+        f.write(bytes([byte[0] ^ 1]))
+    assert {r["problem"] for r in packages.validate_wacz(spark, out).collect()} >= {"checksum", "mismatch"}
+    real = files.hash_file
+
+    def changing(path, *rest):
+        digest = real(path, *rest)
+        with open(path, "ab") as f:
+            f.write(b"x")
+        return digest
+
+    monkeypatch.setattr(files, "hash_file", changing)
+    with pytest.raises(files.ListingError):
+        packages.create_wacz(spark, str(folder), str(tmp_path / "two.wacz"))
+
+
 def test_zip_members(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("ok/a.xml", "<a/>")
@@ -87,7 +115,7 @@ def test_zip_members(spark, tmp_path):
         z.writestr(link, "ok")
     spark.dataSource.register(ZipMembersDataSource)
     rows = spark.read.format("zip_members").option("path", str(tmp_path)).option("content", "true").load()
-    assert {(r["name"], r["problem"]) for r in member_problems(rows).collect()} == {("../up", "unsafe path"), ("big", "compression ratio"), ("link", "symbolic link")}
+    assert {(r["name"], r["problem"]) for r in member_problems(rows, COLLECTION_LIMITS).collect()} == {("../up", "unsafe path"), ("big", "compression ratio"), ("link", "symbolic link")}
     assert rows.where("name = 'ok/a.xml'").first()["content"] == b"<a/>"
 
 

@@ -13,7 +13,6 @@ from vellumspark.functions import urls
 from vellumspark.operators.inventory import fixity_diff
 from vellumspark.operators.publish import bundle_digest
 from vellumspark.sources.files import ListingError, hash_file, walk
-from vellumspark.sources.warc import WarcDataSource
 
 # Limits of probes, bundles and recovered payloads.
 PROBE_BYTES, PROBE_FILES, PROBE_TOTAL = 1 << 20, 256, 64 << 20
@@ -30,19 +29,28 @@ def observed_redirects(records: DataFrame) -> DataFrame:
 
 def has_web_records(spark: SparkSession, folder: str, prefix: int = PROBE_BYTES) -> bool:
     """Whether the beginnings of a folder's web archives hold any response or resource. Files are
-    taken in order within the budget of files and bytes."""
-    spark.dataSource.register(WarcDataSource)
-    left = PROBE_TOTAL
-    names = sorted(n for n in os.listdir(folder) if n.lower().endswith((".warc", ".warc.gz")))[:PROBE_FILES]
-    for n in names:
+    taken in order within the budget of files and bytes, and probed by one job, which ends at the first."""
+    left, chosen = PROBE_TOTAL, []
+    for n in sorted(n for n in os.listdir(folder) if n.lower().endswith((".warc", ".warc.gz")))[:PROBE_FILES]:
         take = min(prefix, os.path.getsize(os.path.join(folder, n)), left)
         if take <= 0:
-            return False
+            break
         left -= take
-        rows = spark.read.format("warc").option("path", os.path.join(folder, n)).option("mode", "permissive").option("prefixBytes", take).load()
-        if not rows.where("type in ('response', 'resource')").limit(1).isEmpty():
-            return True
-    return False
+        chosen.append((os.path.join(folder, n), take))
+    if not chosen:
+        return False
+
+    def run(batches):
+        from vellumspark.sources.warc import WarcReader, _File
+
+        for b in batches:
+            for path, take in zip(b["path"], b["take"]):
+                rows = WarcReader({"path": path, "mode": "permissive", "prefixbytes": str(take)}).read(_File(path))
+                if any(r[3] in ("response", "resource") for r in rows):
+                    yield pd.DataFrame({"path": [path]})
+
+    parts = min(len(chosen), spark.sparkContext.defaultParallelism)
+    return not spark.createDataFrame(chosen, "path string, take long").repartition(parts).mapInPandas(run, "path string").limit(1).isEmpty()
 
 
 def logical_bytes(records: DataFrame, limit: int) -> DataFrame:

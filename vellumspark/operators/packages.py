@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from vellumspark.functions.urls import cdx_timestamp, rfc3339, surt
 from vellumspark.operators.inventory import fixity_diff
-from vellumspark.operators.numbering import unsorted
 from vellumspark.sources import files
 
 # What a bag declares of itself.
@@ -128,10 +127,8 @@ def create_wacz(spark: SparkSession, warc_folder: str, dest: str, title: str = "
     resources = []
     with zipfile.ZipFile(f"{dest}.part", "w", zipfile.ZIP_STORED) as z:
         for n in names:
-            path = os.path.join(warc_folder, n)
-            digest = files.hash_file(path)
-            z.write(path, f"archive/{n}")
-            resources.append({"name": n, "path": f"archive/{n}", "hash": f"sha256:{digest}", "bytes": os.path.getsize(path)})
+            digest, size = copied(z, os.path.join(warc_folder, n), f"archive/{n}")
+            resources.append({"name": n, "path": f"archive/{n}", "hash": f"sha256:{digest}", "bytes": size})
         for n, data in members.items():
             z.writestr(n, data)
             resources.append({"name": os.path.basename(n), "path": n, "hash": f"sha256:{hashlib.sha256(data).hexdigest()}", "bytes": len(data)})
@@ -142,55 +139,94 @@ def create_wacz(spark: SparkSession, warc_folder: str, dest: str, title: str = "
     os.unlink(f"{dest}.part")
 
 
+def copied(z: zipfile.ZipFile, path: str, name: str) -> tuple[str, int]:
+    """Store a file in a package in blocks; digest and size of what was stored. A file that is another one
+    before, while and after it is copied is an error."""
+    before, seen = os.stat(path), files.hash_file(path)
+    h, size = hashlib.sha256(), 0
+    with open(path, "rb") as f, z.open(name, "w", force_zip64=True) as to:
+        while block := f.read(files.BLOCK):
+            h.update(block)
+            to.write(block)
+            size += len(block)
+        after = os.fstat(f.fileno())
+    if h.hexdigest() != seen or (before.st_ino, before.st_size, before.st_mtime_ns) != (after.st_ino, after.st_size, after.st_mtime_ns):
+        raise files.ListingError(f"{path} changed while it was copied")
+    return seen, size
+
+
+def package_index(spark: SparkSession, path: str) -> DataFrame:
+    """line, value and late (before the line above it, by key and time) of a package's index, streamed by a task."""
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            for p in b["path"]:
+                with zipfile.ZipFile(p) as z, z.open("indexes/index.cdx") as f:
+                    rows, last = [], None
+                    for i, line in enumerate(f):
+                        value = line.decode().rstrip("\n")
+                        key = value.split(" ")[:2]
+                        rows.append((i, value, last is not None and key < last))
+                        last = key
+                        if len(rows) == 50_000:
+                            yield pd.DataFrame(rows, columns=["line", "value", "late"])
+                            rows = []
+                    yield pd.DataFrame(rows, columns=["line", "value", "late"])
+
+    return spark.createDataFrame([(path,)], "path string").mapInPandas(run, "line long, value string, late boolean")
+
+
 def validate_wacz(spark: SparkSession, path: str) -> DataFrame:
-    """path, problem and field: resources against members, and index lines against their records."""
+    """path, problem and field: resources against members, and index lines against their records. Members
+    are hashed in blocks by the cluster, whatever their size."""
     from vellumspark.sources.zip_members import ZipMembersDataSource, member_problems
 
     spark.dataSource.register(ZipMembersDataSource)
-    members = spark.read.format("zip_members").option("path", path).option("content", "true").load()
+    members = spark.read.format("zip_members").option("path", path).option("hash", "true").load()
     unsafe = member_problems(members).select(F.coalesce("name", F.lit("")).alias("path"), "problem", F.lit(None).cast("string").alias("field"))
     with zipfile.ZipFile(path) as z:
-        package = files.strict_json(z.read("datapackage.json").decode())
-        index = z.read("indexes/index.cdx").decode().splitlines()
+        raw = z.read("datapackage.json")
+        package = files.strict_json(raw.decode())
+        said = files.strict_json(z.read("datapackage-digest.json").decode())["hash"] if "datapackage-digest.json" in z.namelist() else None
     stated = spark.createDataFrame([(r["path"], r["bytes"], r["hash"]) for r in package["resources"]], "path string, bytes long, hash string")
-    actual = members.where("not is_dir and name not in ('datapackage.json', 'datapackage-digest.json')").select(F.col("name").alias("path"), F.col("file_size").alias("bytes"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("hash"))
+    actual = members.where("not is_dir and name not in ('datapackage.json', 'datapackage-digest.json')").select(F.col("name").alias("path"), F.col("file_size").alias("bytes"), F.concat(F.lit("sha256:"), "sha256").alias("hash"))
     out = unsafe.unionByName(fixity_diff(stated, actual, "path", ("bytes", "hash")))
-    lines = spark.createDataFrame(list(enumerate(index)), "line int, value string").withColumns({"key": F.split_part("value", F.lit(" "), F.lit(1)), "stamp": F.split_part("value", F.lit(" "), F.lit(2)), "doc": F.lit(0)})
-    late = unsorted(lines, ["doc"], "line", ["key", "stamp"]).select(F.concat(F.lit("indexes/index.cdx:"), F.col("line")).alias("path"), F.lit("unsorted").alias("problem"), F.lit(None).cast("string").alias("field"))
-    return out.unionByName(late).unionByName(_index_mismatches(spark, path, lines))
-
+    if said not in (None, f"sha256:{hashlib.sha256(raw).hexdigest()}"):
+        out = out.unionByName(spark.createDataFrame([("datapackage.json", "mismatch", "hash")], out.schema))
+    lines = package_index(spark, path)
+    at = F.concat(F.lit("indexes/index.cdx:"), F.col("line")).alias("path")
+    late = lines.where("late").select(at, F.lit("unsorted").alias("problem"), F.lit(None).cast("string").alias("field"))
+    return out.unionByName(late).unionByName(_index_mismatches(path, lines))
 
-def _index_mismatches(spark, path: str, lines: DataFrame) -> DataFrame:
-    """Index lines whose record, read alone at its offset, says otherwise."""
-    import tempfile
 
+def _index_mismatches(path: str, lines: DataFrame) -> DataFrame:
+    """Index lines whose record, read alone at its place inside the package, says otherwise."""
     import pandas as pd
 
-    from vellumspark.sources.warc import WarcError, read_at
+    from vellumspark.sources.warc import WarcError, record_of
 
     fact = "struct<digest:string,filename:string,length:long,mime:string,offset:long,status:int,url:string>"
-    rows = lines.select("line", "key", "stamp", F.from_json(F.regexp_extract("value", r"^\S+ \S+ (.*)$", 1), fact).alias("f")).select("line", "key", "stamp", "f.*")
+    rows = lines.select("line", F.split_part("value", F.lit(" "), F.lit(1)).alias("key"), F.from_json(F.regexp_extract("value", r"^\S+ \S+ (.*)$", 1), fact).alias("f")).select("line", "key", "f.*")
     wrong_key = rows.where(surt(F.col("url")) != F.col("key")).select("line", F.lit("key").alias("field"))
 
     def run(batches):
-        with zipfile.ZipFile(path) as z, tempfile.TemporaryDirectory() as d:
+        with zipfile.ZipFile(path) as z:
             for b in batches:
                 out = []
                 for r in b.itertuples():
                     try:
-                        at = os.path.join(d, os.path.basename(r.filename))
-                        if not os.path.exists(at):
-                            with z.open(f"archive/{r.filename}") as src, open(at, "wb") as to:
-                                while block := src.read(1 << 20):
-                                    to.write(block)
-                        got = read_at(at, int(r.offset), int(r.length))
+                        with z.open(f"archive/{r.filename}") as f:
+                            f.seek(int(r.offset))
+                            got = record_of(f.read(int(r.length)), r.filename, int(r.offset), int(r.length))
                         bad = [n for n, x, y in (("url", got[4], r.url), ("digest", got[8], r.digest)) if x != y]
-                    except (WarcError, KeyError, OSError) as e:
+                    except (WarcError, KeyError, OSError, ValueError, zipfile.BadZipFile) as e:
                         bad = [type(e).__name__]
                     out += [(r.line, n) for n in bad]
                 yield pd.DataFrame(out, columns=["line", "field"])
 
-    wrong = rows.select("line", "filename", "offset", "length", "url", "digest").mapInPandas(run, "line int, field string")
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wrong = rows.select("line", "filename", "offset", "length", "url", "digest").repartitionByRange(parts, "filename", "offset").mapInPandas(run, "line long, field string")
     return wrong.unionByName(wrong_key).select(F.concat(F.lit("indexes/index.cdx:"), F.col("line")).alias("path"), F.lit("index").alias("problem"), "field")
 
 

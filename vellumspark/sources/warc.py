@@ -14,6 +14,8 @@ import os
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "filename string, offset long, length long, type string, url string, date string, status int, mime string, digest string, location string, entity binary"
@@ -200,7 +202,11 @@ def read_at(path: str, offset: int, length: int) -> tuple:
     """The index row of exactly one record at (offset, length)."""
     with open(path, "rb") as f:
         f.seek(offset)
-        data = f.read(length)
+        return record_of(f.read(length), path, offset, length)
+
+
+def record_of(data: bytes, path: str, offset: int, length: int) -> tuple:
+    """The index row of the only record in stored bytes; the name tells whether they are packed."""
     if path.lower().endswith(".gz"):
         d = zlib.decompressobj(16 + zlib.MAX_WBITS)
         data = d.decompress(data, MAX_RECORD)
@@ -210,3 +216,43 @@ def read_at(path: str, offset: int, length: int) -> tuple:
     if len(found) != 1:
         raise WarcError("not exactly one record")
     return found[0]
+
+
+def record_bytes(url: str, date: str, status: int, mime: str, body: bytes, location: str | None = None, digest: str | None = None) -> bytes:
+    """A response record with its HTTP header."""
+    http = f"HTTP/1.1 {status} X\r\nContent-Type: {mime}\r\n" + (f"Location: {location}\r\n" if location else "") + "\r\n"
+    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {url}\r\nWARC-Date: {date}\r\n" + (f"WARC-Payload-Digest: {digest}\r\n" if digest else "")
+    block = http.encode() + body
+    return f"{head}Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def write_warcs(records: DataFrame, folder: str) -> DataFrame:
+    """Write records (file, url, date, status, mime, location, digest, body) by file, in order of url and
+    date; returns file and how many records it has. Files whose names end in .gz are packed a record at
+    a time. Each is written beside its place, so a task that runs twice leaves one whole file."""
+
+    def run(batches):
+        held, out = None, None
+        made = []
+
+        def finish():
+            out.close()
+            os.replace(out.name, os.path.join(folder, held))
+
+        for b in batches:
+            for r in b.itertuples():
+                if r.file != held:
+                    if held is not None:
+                        finish()
+                    held, out = r.file, open(os.path.join(folder, f".{r.file}.{os.getpid()}"), "wb")
+                    made.append([held, 0])
+                data = record_bytes(r.url, r.date, int(r.status), r.mime, r.body, r.location, r.digest)
+                out.write(gzip.compress(data, mtime=0) if held.lower().endswith(".gz") else data)
+                made[-1][1] += 1
+        if held is not None:
+            finish()
+        yield pd.DataFrame(made, columns=["file", "records"])
+
+    os.makedirs(folder, exist_ok=True)
+    chosen = records.select("file", "url", "date", "status", "mime", "location", "digest", "body")
+    return chosen.repartition("file").sortWithinPartitions("file", "url", "date").mapInPandas(run, "file string, records long")

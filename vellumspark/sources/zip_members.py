@@ -2,8 +2,12 @@
 
     spark.dataSource.register(ZipMembersDataSource)
     spark.read.format("zip_members").option("path", p).option("content", "true").load()
+
+Members are read in blocks whatever their size: ``hash`` gives their digest, and ``content`` their bytes, of
+members up to ``contentBytes`` if that is stated. What a corpus allows is for ``member_problems``.
 """
 
+import hashlib
 import os
 import stat
 import zipfile
@@ -12,8 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "archive string, ordinal int, name string, file_size long, compress_size long, crc long, is_dir boolean, is_symlink boolean, is_encrypted boolean, crc_ok boolean, content binary"
-MAX_MEMBER, MAX_TOTAL, MAX_ENTRIES, MAX_RATIO = 64 << 20, 2 << 30, 10_000, 200.0
+SCHEMA = "archive string, ordinal int, name string, file_size long, compress_size long, crc long, is_dir boolean, is_symlink boolean, is_encrypted boolean, crc_ok boolean, sha256 string, content binary"
+BLOCK = 1 << 20
+# What text collections allow of a member, an archive, its entries, and the ratio of sizes.
+COLLECTION_LIMITS = {"member": 64 << 20, "total": 2 << 30, "entries": 10_000, "ratio": 200.0}
 
 
 class _Archive(InputPartition):
@@ -23,12 +29,15 @@ class _Archive(InputPartition):
 
 class ZipReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.content = options["path"], options.get("content", "false").lower() == "true"
+        chosen = lambda name: options.get(name, "false").lower() == "true"
+        self.path, self.content, self.hash = options["path"], chosen("content"), chosen("hash")
+        most = options.get("contentbytes", options.get("contentBytes"))
+        self.most = int(most) if most else None
 
     def partitions(self):
         if os.path.isfile(self.path):
             return [_Archive(self.path)]
-        return [_Archive(os.path.join(d, f)) for d, _, names in sorted(os.walk(self.path)) for f in sorted(names) if f.lower().endswith(".zip")] or [_Archive("")]
+        return [_Archive(os.path.join(d, f)) for d, _, names in sorted(os.walk(self.path)) for f in sorted(names) if f.lower().endswith((".zip", ".wacz"))] or [_Archive("")]
 
     def read(self, part):
         if not part.path:
@@ -36,13 +45,19 @@ class ZipReader(DataSourceReader):
         with zipfile.ZipFile(part.path) as z:
             for i, m in enumerate(z.infolist()):
                 link, locked = stat.S_ISLNK(m.external_attr >> 16), bool(m.flag_bits & 1)
-                data, ok = None, None
-                if self.content and not m.is_dir() and not link and not locked and m.file_size <= MAX_MEMBER:
+                data, digest, ok = [], hashlib.sha256(), None
+                keep = self.content and (self.most is None or m.file_size <= self.most)
+                if (keep or self.hash) and not m.is_dir() and not link and not locked:
                     try:
-                        data, ok = z.read(m), True
+                        with z.open(m) as f:
+                            while block := f.read(BLOCK):
+                                digest.update(block)
+                                if keep:
+                                    data.append(block)
+                        ok = True
                     except (zipfile.BadZipFile, OSError):
                         ok = False
-                yield os.path.basename(part.path), i, m.filename, m.file_size, m.compress_size, m.CRC, m.is_dir(), link, locked, ok, data
+                yield os.path.basename(part.path), i, m.filename, m.file_size, m.compress_size, m.CRC, m.is_dir(), link, locked, ok, digest.hexdigest() if ok else None, b"".join(data) if ok and keep else None
 
 
 class ZipMembersDataSource(DataSource):
@@ -61,16 +76,19 @@ def ratio(size: Column, packed: Column) -> Column:
     return size / F.nullif(packed, F.lit(0))
 
 
-def member_problems(members: DataFrame) -> DataFrame:
-    """archive, name and problem of unsafe members and archives."""
+def member_problems(members: DataFrame, limits: dict | None = None) -> DataFrame:
+    """archive, name and problem of unsafe members and archives. ``limits``: what may be no larger, by the
+    names of ``COLLECTION_LIMITS``; nothing is too large without."""
+    limits = limits or {}
+    over = lambda column, name: column > limits[name] if name in limits else F.lit(False)
     from vellumspark.functions.urls import safe_archive_member
 
     rules = [
         (~safe_archive_member(F.col("name")), "unsafe path"), (F.col("is_symlink"), "symbolic link"), (F.col("is_encrypted"), "encrypted"),
-        (F.col("file_size") > MAX_MEMBER, "too large"), (ratio(F.col("file_size"), F.col("compress_size")) > MAX_RATIO, "compression ratio"), (F.col("crc_ok") == F.lit(False), "checksum"),
+        (over(F.col("file_size"), "member"), "too large"), (over(ratio(F.col("file_size"), F.col("compress_size")), "ratio"), "compression ratio"), (F.col("crc_ok") == F.lit(False), "checksum"),
     ]
     each = members.select("archive", "name", F.explode(F.array_compact(F.array(*[F.when(r, F.lit(p)) for r, p in rules]))).alias("problem"))
     twice = members.groupBy("archive", "name").count().where("count > 1").select("archive", "name", F.lit("duplicate").alias("problem"))
     totals = members.groupBy("archive").agg(F.sum("file_size").alias("bytes"), F.count("*").alias("n"))
-    whole = totals.select("archive", F.lit(None).cast("string").alias("name"), F.explode(F.array_compact(F.array(F.when(F.col("bytes") > MAX_TOTAL, F.lit("total size")), F.when(F.col("n") > MAX_ENTRIES, F.lit("entry count"))))).alias("problem"))
+    whole = totals.select("archive", F.lit(None).cast("string").alias("name"), F.explode(F.array_compact(F.array(F.when(over(F.col("bytes"), "total"), F.lit("total size")), F.when(over(F.col("n"), "entries"), F.lit("entry count"))))).alias("problem"))
     return each.unionByName(twice).unionByName(whole)
