@@ -52,7 +52,7 @@ def _warcs(spark, sf_dir) -> str:
     """All pages as web archive files, packed and plain, with redirects and errors among them."""
     folder = new_folder(spark, "warc")
     p = table(spark, sf_dir, "pages").select(
-        F.expr(FILE).alias("file"), "url", F.expr(DATE).alias("date"), F.expr(STATUS).alias("status"), F.lit("text/html; charset=utf-8").alias("mime"), F.when(F.col("page_id") % 10 == 0, F.concat(F.lit("../moved/"), F.col("page_id"), F.lit("#x"))).alias("location"),
+        F.expr(FILE).alias("file"), "url", F.expr(DATE).alias("date"), F.expr(STATUS).alias("status"), F.lit("text/html; charset=utf-8").alias("mime"), F.when(F.col("page_id") % 10 == 0, F.concat(F.lit("/moved/"), F.col("page_id"), F.lit("#x"))).alias("location"),
         F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("SHA1:"), F.upper(F.sha1("url")))).alias("digest"), F.encode("html", "UTF-8").alias("body"),
     )
     warc.write_warcs(p, folder).agg(F.sum("records")).collect()
@@ -76,7 +76,7 @@ def warc_records(spark, sf_dir):
 
 DATE_SQL = "strftime(make_timestamp((1577836800 + page_id * 61) * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
 WARC_SQL = f"""select {FILE} as filename, 'response' as type, url, {DATE_SQL} as date, {STATUS} as status, 'text/html' as mime, case when page_id % 4 = 0 then 'sha1:' || lower(sha1(url)) else 'sha256:' || sha256(html) end as digest,
- case when page_id % 10 = 0 then '../moved/' || page_id || '#x' end as location, strlen(html) as size, true as alone from pages"""
+ case when page_id % 10 = 0 then '/moved/' || page_id || '#x' end as location, strlen(html) as size, true as alone from pages"""
 
 
 def warc_redirects(spark, sf_dir):
