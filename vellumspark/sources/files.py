@@ -10,6 +10,7 @@ import json
 import os
 import stat
 import tomllib
+import zipfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -186,3 +187,69 @@ def strict_json(text: str):
         raise ValueError(f"{name} is no JSON number")
 
     return json.loads(text, object_pairs_hook=pairs, parse_constant=constant)
+
+
+def captured(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Records (capture, document) and files (capture, path) of the captures right below a mounted ``root``.
+    The driver lists the captures, the cluster each one's files; a link or special file is an error, a record that is missing or no UTF-8 null."""
+    names = sorted(e.name for e in os.scandir(root) if e.is_dir(follow_symlinks=False))
+
+    def run(batches):
+        for b in batches:
+            for name in b["capture"]:
+                base, rows = os.path.join(root, name), []
+                for folder, _, found in os.walk(base):
+                    for f in found:
+                        at = os.path.join(folder, f)
+                        if not stat.S_ISREG(os.lstat(at).st_mode):
+                            raise ListingError(f"{at} is no regular file")
+                        rows.append((name, os.path.relpath(at, base)))
+                yield pd.DataFrame(rows, columns=["capture", "path"])
+
+    def document(name):
+        try:
+            with open(os.path.join(root, name, "capture.json"), encoding="utf-8") as f:
+                return f.read()
+        except (FileNotFoundError, UnicodeDecodeError):
+            return None
+
+    def read(batches):
+        for b in batches:
+            yield b.assign(document=pd.Series([document(n) for n in b["capture"]], index=b.index, dtype=object))
+
+    n = max(1, min(len(names), spark.sparkContext.defaultParallelism * 4))
+    captures = spark.createDataFrame([(n,) for n in names], "capture string").repartition(n)
+    return captures.mapInPandas(read, "capture string, document string"), captures.mapInPandas(run, "capture string, path string")
+
+
+# Fixed value: a file larger than this is no catalogue.
+MAX_CATALOGUE = 20 << 20
+
+
+def sniffed(files: DataFrame, phrases: list[str], folder: str) -> DataFrame:
+    """path and what: 'catalogue' if a file holds all phrases, 'zip' if it ends like an archive. ``files``:
+    path, size, below a mounted ``folder``. Archives are told by their end, whatever their size."""
+    marks = [p.encode() for p in phrases]
+
+    def what(path, size):
+        full = os.path.join(folder, path)
+        if os.path.islink(full) or not os.path.isfile(full):
+            return None
+        if zipfile.is_zipfile(full):
+            return "zip"
+        if size <= MAX_CATALOGUE:
+            with open(full, "rb") as f:
+                data = f.read()
+            return "catalogue" if all(m in data for m in marks) else None
+        return None
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "what": [what(p, n) for p, n in zip(b["path"], b["size"])]}, dtype=object)
+
+    return files.select("path", "size").mapInPandas(run, "path string, what string").where("what is not null")
+
+
+def only_one(found: DataFrame) -> DataFrame:
+    """what, n and path of what was sniffed: the path only if there is one such file."""
+    return found.groupBy("what").agg(F.count("*").alias("n"), F.min("path").alias("path")).withColumn("path", F.when(F.col("n") == 1, F.col("path")))
