@@ -178,6 +178,30 @@ def test_publication(tmp_path):
         publish.identity({"created_at": 1})
 
 
+def test_operations_and_their_limits(spark):
+    r, c = extensions.Registry(), extensions.Context("c", "/x")
+    r.register("operation", "rows", lambda spark, c: spark.range(c.arguments["n"]))
+    r.register("operation", "echo", lambda spark, c: c.arguments)
+    r.register("operation", "set", lambda spark, c: {1, 2})
+    r.register("operation", "big", lambda spark, c: "x" * extensions.ANSWER_BYTES)
+    r.register("operation", "quick", lambda spark, c: spark.range(5).count())
+    r.register("operation", "slow", lambda spark, c: spark.range(4, numPartitions=2).selectExpr("java_method('java.lang.Thread', 'sleep', cast(4000 + id as bigint))").collect())
+    r.register("read", "none", lambda spark, c: {})
+    assert r.operation(spark, "rows", c, {"n": 3}).count() == 3
+    assert r.operation(spark, "echo", c, {"a": [None, "é"]}) == {"a": [None, "é"]} and c.arguments == {}
+    assert r.operation(spark, "quick", c, {}) == 5
+    for name, arguments in [("set", {}), ("big", {}), ("echo", {"x": float("inf")}), ("echo", []), ("absent", {})]:
+        with pytest.raises(extensions.ExtensionError):
+            r.operation(spark, name, c, arguments)
+    for seconds in (0.5, 901):
+        with pytest.raises(extensions.ExtensionError, match="1 to 900"):
+            r.run(spark, "read", "none", c, seconds)
+    with pytest.raises(extensions.ExtensionError, match="longer than 1 seconds") as e:
+        r.operation(spark, "slow", c, {}, seconds=1)
+    assert e.value.__cause__ is not None  # the jobs were cancelled, not awaited
+    assert spark.range(7).count() == 7  # later jobs run
+
+
 def test_extensions(spark):
     r = extensions.Registry()
     r.register("validate", "v", lambda spark, c: extensions.Report("complete", details={"n": 1}))

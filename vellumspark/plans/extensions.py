@@ -1,11 +1,16 @@
-"""Validators and readers of collections, registered by name.
+"""Validators, readers and other operations of collections, registered by name.
 
 A validator takes (spark, context) and returns a report; a reader returns the tables of an access
-graph. Reports are checked for their shape before anything uses them.
+graph; any other operation returns a DataFrame or JSON of bounded size. Answers are checked for
+their shape before anything uses them. Spark jobs that run beyond the time allowed are cancelled;
+plain Python on the driver can't be, so its lateness is reported when it returns.
 """
 
 import json
+import threading
+import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Statuses of a validator's report, and names that its details may not have.
 STATUSES = ["complete", "complete_with_warnings", "incomplete"]
 RESERVED = ["status", "errors", "warnings", "schema_version"]
+# Seconds allowed by default, the range a reader may ask for, and bytes of a JSON answer.
+SECONDS, READER_SECONDS, READER_RANGE, ANSWER_BYTES = 30, 120, (1, 900), 8 << 20
 GRAPH = {"items": ["id", "label", "item_type", "route", "citation"], "representations": ["id", "item_id", "label", "kind", "language", "route"], "artifacts": ["id", "label", "role", "capture_path", "media_type"]}
 
 
@@ -44,11 +51,62 @@ class Registry:
             raise ExtensionError(f"{capability} {name} is registered already")
         self.found[capability, name] = function
 
-    def run(self, spark: SparkSession, capability: str, name: str, context: Context):
+    def run(self, spark: SparkSession, capability: str, name: str, context: Context, seconds: float | None = None):
         if (capability, name) not in self.found:
             raise ExtensionError(f"there is no {capability} {name}")
-        out = self.found[capability, name](spark, context)
-        return checked_report(out) if capability == "validate" else checked_graph(out) if capability == "read" else out
+        if seconds is None:
+            seconds = READER_SECONDS if capability == "read" else SECONDS
+        elif capability == "read" and not READER_RANGE[0] <= seconds <= READER_RANGE[1]:
+            raise ExtensionError(f"a reader is allowed {READER_RANGE[0]} to {READER_RANGE[1]} seconds")
+        with within(spark, seconds):
+            out = self.found[capability, name](spark, context)
+        check = {"validate": checked_report, "read": checked_graph}.get(capability, checked_answer)
+        return check(out)
+
+    def operation(self, spark: SparkSession, name: str, context: Context, arguments: dict, seconds: float | None = None):
+        """An operation that is neither validator nor reader, with arguments of its own."""
+        given = Context(context.collection_id, context.capture, dict(finite_json(arguments, dict)))
+        return self.run(spark, "operation", name, given, seconds)
+
+
+@contextmanager
+def within(spark: SparkSession, seconds: float):
+    """Cancels the block's jobs once the seconds are over, and says so whatever the block made of it."""
+    tag, late = f"extension-{uuid.uuid4().hex}", threading.Event()
+
+    def stop():
+        late.set()
+        spark.sparkContext.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    timer.daemon = True
+    spark.sparkContext.addJobTag(tag)
+    timer.start()
+    try:
+        yield
+    except Exception as e:
+        if late.is_set():
+            raise ExtensionError(f"an extension took longer than {seconds} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        spark.sparkContext.removeJobTag(tag)
+    if late.is_set():
+        raise ExtensionError(f"an extension took longer than {seconds} seconds")
+
+
+def finite_json(value, kind: type = object):
+    try:
+        size = len(json.dumps(value, allow_nan=False).encode())
+    except (TypeError, ValueError) as e:
+        raise ExtensionError("arguments and answers are finite JSON") from e
+    if size > ANSWER_BYTES or not isinstance(value, kind):
+        raise ExtensionError(f"arguments and answers have at most {ANSWER_BYTES} bytes and the right type")
+    return value
+
+
+def checked_answer(answer):
+    return answer if isinstance(answer, DataFrame) else finite_json(answer)
 
 
 def checked_report(report) -> Report:
