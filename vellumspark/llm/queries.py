@@ -4,11 +4,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumspark.llm import containment, histogram_sort, lexicon_bpe, line_rules, quality_fm, simhash_trie, substring_index, token_histogram, toxicity, url_vocab
+from vellumspark.llm import block_max, containment, filter_audit, histogram_sort, lexicon_bpe, line_rules, quality_fm, repair_grammar, simhash_trie, substring_index, token_histogram, toxicity, url_vocab
 from vellumspark.llm._labelled import held_out, training_sample
-from vellumspark.llm._store import materialize
+from vellumspark.llm._store import materialize, shared_dir
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, BYTE_TOKENIZER, END_ID = "word_bpe_49k.json", "byte_bpe_50k.json", 2
 #: Context limits and quantiles that the token report states.
 LIMITS, SHARES = [128, 256, 512, 1024, 2048, 4096, 8192, 32768, 131072], [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
 
@@ -82,8 +82,27 @@ def op10_containment(spark, sf_dir):
     return containment.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    counts = filter_audit.cells(docs, table(spark, sf_dir, "labels"), F.col("lang"), filter_audit.text_filters(F.col("text")))
+    return filter_audit.audit(counts, "ABCDE").drop("filter")
+
+
+def op12_repair_files(spark, sf_dir):
+    path = shared_dir(spark)
+    with open(public_tokenizers.path(BYTE_TOKENIZER), encoding="utf-8") as f:
+        repair_grammar.write(table(spark, sf_dir, "documents"), path, f.read(), END_ID)
+    out = repair_grammar.read_documents(spark, path)
+    n = F.floor(F.octet_length("ids") / 4).cast("long")
+    return out.select("doc_id", "start", n.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_block_max(spark, sf_dir):
+    return block_max.rank_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    all_ = [op1_quality_fm, op2_histogram_sort, op3_token_histogram, op4_simhash_trie, op5_line_rules, op6_url_vocabulary, op7_toxicity, op8_substring_index, op9_lexicon_bpe, op10_containment]
+    all_ = [op1_quality_fm, op2_histogram_sort, op3_token_histogram, op4_simhash_trie, op5_line_rules, op6_url_vocabulary, op7_toxicity, op8_substring_index, op9_lexicon_bpe, op10_containment, op11_filter_audit, op12_repair_files, op13_block_max]
     return {f.__name__: f for f in all_}
 
 
@@ -144,5 +163,37 @@ select doc.id as doc_id, item.id as item_id, count(*)::bigint as n_shared, any_v
 from item join doc using (k, g) join size on size.r = item.r group by doc.r, item.r, doc.id, item.id having count(*) >= 0.8 * any_value(n) - 1e-9"""
 
 
+SQL_FILTER_AUDIT = rf"""
+with l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by 1),
+t as (select coalesce(doc_id, 9223372036854775807) as id, coalesce(lang, '') as part, coalesce(text, '') as text, {SPLIT} as w, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic from documents left join l using (doc_id)),
+first as (select text, min(id) as least from t group by text),
+m as (select part, good, toxic, (len(w) < 200)::int as fa, (100 * len(list_distinct(w)) < 50 * len(w))::int as fb, (100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text))::int as fc,
+  regexp_matches(text, '[#$%&*|]')::int as fd, (id > least)::int as fe from t join first using (text)),
+c as (select part, map(['A', 'B', 'C', 'D', 'E'], [fa, fb, fc, fd, fe]) as f, fa + fb + fc + fd + fe as fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by 1, 2, 3),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select a.x || b.x || c.x || d.x || e.x as filter_order from x a, x b, x c, x d, x e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (select filter_order, step, filter_order[step] as letter from o, range(1, 6) r(step)),
+g as (select part, filter_order, step, letter, n, good, toxic, fails, f[letter] as now, list_sum([f[y] for y in string_split(filter_order[1:step - 1], '') if y <> '']) as earlier from c, s),
+r as (select part, filter_order, step, letter, sum(case when now = 0 and coalesce(earlier, 0) = 0 then n else 0 end) as kept, sum(case when now = 1 and coalesce(earlier, 0) = 0 then n else 0 end) as removed,
+  sum(case when now = 1 and earlier > 0 then n else 0 end) as redundant, sum(case when now = 1 and fails = 1 then n else 0 end) as unique_fails,
+  sum(case when now = 1 and coalesce(earlier, 0) = 0 then good else 0 end) as good_lost, sum(case when now = 1 and coalesce(earlier, 0) = 0 then toxic else 0 end) as toxic_lost from g group by 1, 2, 3, 4)
+select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost,
+  toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, letter))::bigint as shapley from r"""
+
+SQL_BLOCK_MAX = r"""
+with d as (select row_number() over () as r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+i as (select k, item_id, term, count(*) as repeats from (select row_number() over () as k, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by all),
+len as (select r, any_value(doc_id) as doc_id, count(*) as n from d group by r),
+c as (select count(*) as n_docs, sum(n)::bigint as n_terms from len),
+tf as (select r, term, count(*) as tf from d where term in (select term from i) group by r, term),
+w as (select term, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)))::bigint as w from tf, c group by term),
+s as (select k, any_value(item_id) as item_id, r, any_value(len.doc_id) as doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::bigint as score
+  from i join w using (term) join tf using (term) join len using (r), c group by k, r)
+select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by k order by score desc, doc_id nulls last) as rank from s where score > 0) where rank <= 10"""
+
+
 def oracle_sql() -> dict:
-    return {"op5_line_rules": sql_line_rules(), "op6_url_vocabulary": sql_url_vocabulary(), "op8_substring_index": SQL_SUBSTRING, "op10_containment": SQL_CONTAINMENT}
+    return {
+        "op5_line_rules": sql_line_rules(), "op6_url_vocabulary": sql_url_vocabulary(), "op8_substring_index": SQL_SUBSTRING, "op10_containment": SQL_CONTAINMENT,
+        "op11_filter_audit": SQL_FILTER_AUDIT, "op13_block_max": SQL_BLOCK_MAX,
+    }
