@@ -19,13 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.functions.text import tokens
-from vellumspark.operators.query_language import Phrase, Query, QueryError, parse, token_spans
+from vellumspark.operators.query_language import Phrase, Query, QueryError, parse
+from vellumspark.operators.snippet import snippet
 from vellumspark.sources.shared import written
 
 # The searched columns with their weights, and the parameters of BM25.
 WEIGHTS = {"title": 8.0, "representation_label": 3.0, "body": 1.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-SNIPPET_TOKENS = 24
+SNIPPET_TOKENS, SNIPPET_SIGNS = 24, ("[", "]", " ... ")
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
@@ -230,39 +231,16 @@ def _near_nodes(tree: tuple) -> list[tuple]:
 
 
 def snippets(hits: DataFrame, query: str, body: str = "body") -> DataFrame:
-    """The found rows with a snippet of the body: up to 24 tokens where most phrases stand, phrases
-    in brackets, dots where text is cut. Runs on the top rows only."""
-    phrases = [(p.tokens, p.prefix) for p in parse(query).phrases if p.columns is None or "body" in p.columns]
-
-    def cut(text: str) -> str:
-        found = token_spans(text)
-        spans, words = [x[:2] for x in found], [x[2] for x in found]
-        marks = []
-        for toks, prefix in phrases:
-            n = len(toks)
-            for i in range(len(words) - n + 1 if n else 0):
-                if words[i : i + n - 1] == toks[:-1] and (words[i + n - 1].startswith(toks[-1]) if prefix else words[i + n - 1] == toks[-1]):
-                    marks.append((i, i + n, tuple(toks)))
-        if not spans:
-            return ""
-        starts_ = sorted({0, *(max(0, m[0]) for m in marks)})
-        inside = lambda s: {m[2] for m in marks if s <= m[0] and m[1] <= s + SNIPPET_TOKENS}
-        best = max(starts_, key=lambda s: (len(inside(s)), -s))
-        best = max(0, min(best, len(words) - SNIPPET_TOKENS))
-        end = min(len(words), best + SNIPPET_TOKENS)
-        out, pos = [" ... " if best else "", ], spans[best][0]
-        open_, close = {m[0] for m in marks if best <= m[0] and m[1] <= end}, {m[1] for m in marks if best <= m[0] and m[1] <= end}
-        for i in range(best, end):
-            out.append(text[pos : spans[i][0]] + ("[" if i in open_ else "") + text[spans[i][0] : spans[i][1]] + ("]" if i + 1 in close else ""))
-            pos = spans[i][1]
-        tail = text[pos:] if end == len(words) else " ... "
-        return "".join(out) + tail
+    """The found rows with a snippet of the body. ``hits`` may bear the other searched columns too; those it
+    lacks count as empty. Runs on the top rows only."""
+    parsed, others = parse(query), [c for c in WEIGHTS if c != "body" and c in hits.columns]
 
     @F.pandas_udf("string")
-    def snippet(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: cut(t or ""))
+    def cut(texts: pd.DataFrame) -> pd.Series:
+        rows = texts.fillna("").to_dict("records")
+        return pd.Series([snippet(parsed, r, "body", SNIPPET_TOKENS, SNIPPET_SIGNS) for r in rows], dtype=object)
 
-    return hits.withColumn("snippet", snippet(F.col(body)))
+    return hits.withColumn("snippet", cut(F.struct(F.col(body).alias("body"), *others)))
 
 
 def postings(docs: DataFrame, key: str = "docid") -> DataFrame:

@@ -61,18 +61,23 @@ def snippets(spark, sf_dir):
     return search.snippets(corpus(spark, sf_dir).select("docid", "body").join(F.broadcast(hits.select("docid")), "docid"), "worthless OR disgusting").select("docid", "snippet")
 
 
-#: The first twenty hits of two terms, of which the one or the other stands in brackets: the window begins at the first
-#: place from which most distinct terms are within 24 tokens, and no later than 24 tokens before the end.
+#: The first twenty hits of two terms. A window scores 1000 for each of the terms in it and 1 for each repeat; candidates are
+#: the windows with the instances that follow a term in their middle, and those from the start of its sentence (100 more, 120 for the first).
 def snippets_sql() -> str:
     ranked = _sql([ONE("worthless"), ONE("disgusting")], "(c0 > 0 or c1 > 0)").replace(f"limit {TOP}", "limit 20")
     tok = f"regexp_extract_all(translate(lower(text), '{FOLD_FROM}', '{FOLD_TO}'), '{TOKEN}')"
+    inside = lambda at: f"list_filter(m, lambda x: x >= {at} and x < {at} + 24)"
+    score = lambda w: f"999 * len(list_distinct(list_transform({w}, lambda x: t[x]))) + len({w})"
     return f"""with hit as ({ranked}), d as (select doc_id as docid, text, {tok} as t, regexp_extract_all(text, '{TOKEN}') as o, regexp_split_to_array(text, '{TOKEN}') as g from documents join hit on doc_id = docid),
-s as (select docid, t, o, g, len(t) as n, list_filter(range(1, len(t) + 1), lambda i: t[i] in ('worthless', 'disgusting')) as m from d),
-c as (select *, unnest(list_distinct(list_concat([1], m))) as i from s),
-r as (select *, len(list_distinct(t[i:i + 23]) ) - len(list_filter(list_distinct(t[i:i + 23]), lambda w: w not in ('worthless', 'disgusting'))) as k from c),
-b as (select docid, any_value(o) as o, any_value(t) as t, any_value(g) as g, any_value(n) as n, greatest(1, least(arg_min(i, -k * 1000000000 + i), any_value(n) - 23)) as f from r group by docid),
-e as (select *, least(n, f + 23) as l, list_transform(range(1, n + 1), lambda i: case when t[i] in ('worthless', 'disgusting') then '[' || o[i] || ']' else o[i] end) as w from b)
-select docid, case when f > 1 then ' ... ' else '' end || array_to_string(list_transform(range(f, l + 1), lambda i: w[i] || case when i < l then g[i + 1] else '' end), '') || case when l < n then ' ... ' else g[n + 1] end as snippet from e"""
+s as (select docid, t, o, g, len(t) as n, list_filter(range(1, len(t) + 1), lambda i: t[i] in ('worthless', 'disgusting')) as m,
+  list_filter(range(1, len(t) + 1), lambda i: i = 1 or regexp_matches(g[i], '[.:][ \t\r\n]+$')) as q from d),
+c as (select *, unnest(list_concat(m, case when len(m) = 0 then [1] else [] end)) as i from s),
+r as (select *, {inside("i")} as w, list_max(list_filter(q, lambda x: x <= i)) as a from c),
+v as (select docid, i, 0 as kind, {score("w")} as score, greatest(1, least(i - (23 - (coalesce(list_max(w), i) - i)) // 2, n - 23)) as f from r
+  union all select docid, i, 1, {score(inside("a"))} + case when a = 1 then 120 else 100 end, a from r where n > 24 and a < i),
+b as (select docid, arg_max(f, score * 100000000 - 2 * i - kind) as f from v group by docid),
+e as (select docid, o, t, g, n, f, least(n, f + 23) as l, list_transform(range(1, n + 1), lambda i: case when t[i] in ('worthless', 'disgusting') then '[' || o[i] || ']' else o[i] end) as w from s join b using (docid))
+select docid, case when f > 1 then ' ... ' else g[1] end || array_to_string(list_transform(range(f, l + 1), lambda i: w[i] || case when i < l then g[i + 1] else '' end), '') || case when l < n then ' ... ' else g[n + 1] end as snippet from e"""
 
 
 def search_hits(spark, sf_dir):
