@@ -14,8 +14,7 @@ ends. ``read_span`` finds a place by those lengths and expands only the symbols
 (a row for each block) and ``parts`` (how many ids lie before each part of the order). Tasks commit
 blocks as Spark commits files, so a lost executor's blocks are written again and never twice.
 
-Texts are cut before a space that plain text follows, where a byte-level pre-tokenizer cuts too;
-the tokenizer then merges each distinct piece of a slice once. Texts with added tokens, and all
+Texts are cut into pieces where a byte-level pre-tokenizer cuts too (``cuts_of``); the tokenizer then merges each distinct piece of a slice once. Texts with added tokens, and all
 texts if the tokenizer works otherwise (``cuts_before_space``), are encoded whole by the library.
 
 Cases: a null text counts as empty and has the end id only; null ids come first; rows with one id
@@ -33,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from vellumspark.llm._store import steady
 from vellumspark.llm._text import plain, ragged, slices
@@ -43,12 +42,14 @@ BLOCK_IDS = 1 << 19
 #: A pair must occur so often to become a rule; a round must shorten a sequence by this share.
 LEAST_COUNT, LEAST_GAIN = 32, 0.01
 #: Pairs considered and rules made in one round, and rules of one block, at most.
-CONSIDERED, ROUND_RULES, MOST_RULES = 4096, 255, 15_000
+CONSIDERED, ROUND_RULES, MOST_RULES = 4096, 1023, 15_000
 MARK = 256
-#: Bytes of text that are encoded at once, and pieces given to the tokenizer in one call.
-TEXT_BYTES, PIECES = 24_000_000, 20_000
+#: Bytes of text whose pieces are merged together, pieces given to the tokenizer in one call, and pieces whose ids are put together at once.
+TEXT_BYTES, PIECES, GROUP_PIECES = 24_000_000, 20_000, 400_000
 
-SPACE = 0x20
+SPACE, BREAK = 0x20, 0x0A
+LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
+STOP = np.array([chr(b) in ".,;:!?" for b in range(256)])
 #: Lead bytes of sequences that may be white space (U+0085, U+00A0, U+1680, U+2000 to U+205F, U+3000).
 DOUBTFUL = (0xC2, 0xE1, 0xE2, 0xE3)
 SOLID = np.array([0x20 < b < 0x80 or b >= 0xC3 and b not in DOUBTFUL for b in range(256)])
@@ -72,6 +73,20 @@ def spread(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
 
 
+def cuts_of(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where texts are cut: at their starts, before a space or line break that solid text follows, after such a
+    line break, and before a stop or comma that follows an ASCII letter. The pre-tokenizer cuts at each of these."""
+    start = np.zeros(len(raw) + 1, bool)
+    if len(raw) > 1:
+        solid = SOLID[raw[1:]]
+        breaks = (raw[:-1] == BREAK) & solid
+        start[:-2] = (raw[:-1] == SPACE) & solid | breaks
+        start[1:-1] |= breaks | STOP[raw[1:]] & LETTER[raw[:-1]]
+    start[at[:-1]] = True
+    start[-1] = False
+    return np.append(np.flatnonzero(start), len(raw)).astype(np.int32)
+
+
 class PieceEncoder:
     """Ids of whole texts as the tokenizer has them, distinct pieces merged once."""
 
@@ -86,6 +101,9 @@ class PieceEncoder:
         self.sizes = np.zeros(max([0, *vocab.values(), *(self.tokenizer.token_to_id(t) for t in self.added)]) + 1, np.int64)
         self.sizes[list(vocab.values())] = [len(t) for t in vocab]  # a character of a token is a byte
         self.sizes[[self.tokenizer.token_to_id(t) for t in self.added]] = [len(t.encode()) for t in self.added]
+        self.usual = self.tokenizer.pre_tokenizer
+        # for pieces that are one word each: no pattern is needed to part them
+        self.by_spaces = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
@@ -95,57 +113,75 @@ class PieceEncoder:
             ids.append(np.fromiter((i for x in got for i in x), np.uint32, int(counts[-1].sum())))
         return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
 
-    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The same for pieces cut before spaces: many are merged as one text, and the tokens' sizes in bytes tell which piece each belongs to."""
-        at, raw = spread(pieces)
-        size = np.diff(at)
-        follows = np.zeros(len(pieces), bool)
-        long = np.flatnonzero(size > 1)
-        follows[long] = (raw[at[long]] == SPACE) & SOLID[raw[at[long] + 1]]
-        cuts, data = spread(pieces.filter(pa.array(follows)))
-        ids, step = [np.empty(0, np.uint32)], PIECES * 20
+    def joined(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that begin with a space before solid text, and how many each has: many are merged as
+        one text, and the tokens' sizes in bytes tell which piece each belongs to."""
+        cuts, data = spread(pieces)
+        ids, step = [np.empty(0, np.uint32)], PIECES
         for k in range(0, len(cuts) - 1, step):
-            edge = cuts[k : k + step + 1 : 1000].tolist() + [int(cuts[min(k + step, len(cuts) - 1)])]
-            joined = [data[a:b].tobytes().decode() for a, b in zip(edge, edge[1:]) if b > a]
-            ids += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+            edge = cuts[k : k + step + 1 : 500].tolist() + [int(cuts[min(k + step, len(cuts) - 1)])]
+            texts = [data[a:b].tobytes().decode() for a, b in zip(edge, edge[1:]) if b > a]
+            ids += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         ids = np.concatenate(ids)
+        return ids, np.diff(np.searchsorted(np.cumsum(self.sizes[ids]), cuts[1:]) + 1, prepend=0) if len(pieces) else np.empty(0, np.int64)
+
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in order, and where each piece's ids start."""
+        at, raw = spread(pieces)
+        kind = np.zeros(len(pieces), np.int8)  # 1: follows a space, 2: so does a word of letters alone
+        long = np.flatnonzero(np.diff(at) > 1)
+        kind[long] = (raw[at[long]] == SPACE) & SOLID[raw[at[long] + 1]]
+        odd = np.concatenate([[0], np.cumsum(~LETTER[raw])])
+        kind[long[(kind[long] == 1) & (odd[at[long + 1]] == odd[at[long]] + 1)]] = 2
         counts = np.zeros(len(pieces), np.int64)
-        counts[follows] = np.diff(np.searchsorted(np.cumsum(self.sizes[ids]), cuts[1:]) + 1, prepend=0)
-        other, there = self.library(pieces.filter(pa.array(~follows)).to_pylist())
-        counts[~follows] = np.diff(there)
-        joined = np.repeat(follows, counts)
-        out = np.empty(len(joined), np.uint32)
-        out[joined], out[~joined] = ids, other
+        others, counts[kind == 0] = (lambda got: (got[0], np.diff(got[1])))(self.library(pieces.filter(pa.array(kind == 0)).to_pylist()))
+        spaced, counts[kind == 1] = self.joined(pieces.filter(pa.array(kind == 1)))
+        self.tokenizer.pre_tokenizer = self.by_spaces
+        words, counts[kind == 2] = self.joined(pieces.filter(pa.array(kind == 2)))
+        self.tokenizer.pre_tokenizer = self.usual
+        own = np.repeat(kind, counts)
+        out = np.empty(len(own), np.uint32)
+        out[own == 0], out[own == 1], out[own == 2] = others, spaced, words
         return out, np.concatenate([[0], np.cumsum(counts)])
 
-    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and where each text's ids start (n + 1 places)."""
+    def groups(self, texts: pa.Array):
+        """For runs of texts in order, all ids and where each text's ids start (one more place than texts)."""
         texts = plain(texts)
         whole = pa.array(np.full(len(texts), not self.cut))
         for t in self.added:
             whole = pc.or_(whole, pc.match_substring(texts, t))
-        odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        whole = whole.to_numpy(zero_copy_only=False)
+        odd = np.flatnonzero(whole)
         if len(odd) == len(texts):
-            return self.library(texts.to_pylist())
+            yield self.library(texts.to_pylist())
+            return
+        other, there = self.library(texts.take(pa.array(odd)).to_pylist())
         at, raw = spread(texts)
-        start = np.zeros(len(raw) + 1, bool)
-        start[:-2] = (raw[:-1] == SPACE) & SOLID[raw[1:]] if len(raw) > 1 else False
-        start[at[:-1]] = True
-        start[-1] = False
-        cuts = np.append(np.flatnonzero(start), len(raw)).astype(np.int32)
-        pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(raw))
-        coded = pieces.dictionary_encode()
+        cuts = cuts_of(raw, at)
+        coded = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(raw)).dictionary_encode()
         flat, place = self.pieces(coded.dictionary)
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        lens = np.diff(place)[code]
-        ids = flat[ragged(place[:-1][code], lens)]
-        ends = np.concatenate([[0], np.cumsum(lens)])[np.searchsorted(cuts, at)]
-        if not len(odd):
-            return ids, ends
-        other, there = self.library(texts.take(pa.array(odd)).to_pylist())
-        pick = {k: other[there[j] : there[j + 1]] for j, k in enumerate(odd.tolist())}
-        parts = [pick.get(k, ids[ends[k] : ends[k + 1]]) for k in range(len(texts))]
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        code, size = coded.indices.to_numpy(zero_copy_only=False), np.diff(place)
+        edge = np.searchsorted(cuts, at)  # the piece at which each text begins
+        k, done = 0, 0
+        while k < len(texts):
+            to = max(k + 1, int(np.searchsorted(edge, edge[k] + GROUP_PIECES, "right")) - 1)
+            mine = code[edge[k] : edge[to]]
+            lens = size[mine]
+            ids, ends = flat[ragged(place[mine], lens)], np.concatenate([[0], np.cumsum(lens)])[edge[k : to + 1] - edge[k]]
+            if whole[k:to].any():
+                parts = []
+                for i in range(k, to):
+                    parts.append(other[there[done] : there[done + 1]] if whole[i] else ids[ends[i - k] : ends[i - k + 1]])
+                    done += bool(whole[i])
+                ids, ends = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+            yield ids, ends
+            k = to
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and where each text's ids start (n + 1 places)."""
+        got = list(self.groups(texts))
+        counts = np.concatenate([np.empty(0, np.int64), *(np.diff(at) for _, at in got)])
+        return np.concatenate([np.empty(0, np.uint32), *(ids for ids, _ in got)]), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
 def independent(a: np.ndarray, b: np.ndarray, counts: np.ndarray, most: int) -> list[int]:
@@ -189,13 +225,13 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             break
         a, b = a[chosen], b[chosen]
         top = base + len(lefts)
-        row, col = np.zeros(top, np.uint8), np.zeros(top, np.uint8)
-        names_a, row[a] = np.unique(a), np.unique(a, return_inverse=True)[1] + 1
-        names_b, col[b] = np.unique(b), np.unique(b, return_inverse=True)[1] + 1
-        rule = np.zeros((len(names_a) + 1, len(names_b) + 1), np.uint8)
-        rule[row[a], col[b]] = np.arange(1, len(a) + 1)
+        row, col = np.zeros(top, np.uint32), np.zeros(top, np.uint16)
+        names_a, names_b = np.unique(a), np.unique(b)
         wide = len(names_b) + 1
-        hit = rule.ravel()[row[seq[:-1]] * np.uint16(wide) + col[seq[1:]]]
+        row[names_a], col[names_b] = np.arange(1, len(names_a) + 1) * wide, np.arange(1, wide)
+        rule = np.zeros((len(names_a) + 1) * wide, np.uint16)  # a cell for each left and right symbol of the round
+        rule[row[a] + col[b]] = np.arange(1, len(a) + 1)
+        hit = rule[row[seq[:-1]] + col[seq[1:]]]
         hit[first[1:]] = 0
         at = np.flatnonzero(hit)
         near = np.concatenate([[False], np.diff(at) == 1])
@@ -304,13 +340,14 @@ def write(docs: DataFrame, path: str, config: str, end_id: int, block_ids: int =
         for batch in slices(batches, limit=TEXT_BYTES):
             doc_type = batch.column("doc_id").type
             schema = schema or pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("crc", pa.int64()), ("doc_ids", pa.list_(doc_type)), ("doc_ends", pa.binary()), ("alphabet", pa.binary()), ("lefts", pa.binary()), ("rights", pa.binary()), ("lengths", pa.binary()), ("width", pa.int32()), ("symbols", pa.binary()), ("marks", pa.binary())])
-            flat, at = encoder.texts(batch.column("text"))
-            for name, a, b in zip(batch.column("doc_id").to_pylist(), at.tolist(), at[1:].tolist()):
-                ids += [flat[a:b], np.array([end_id], np.uint32)]
-                names.append(name)
-                ends.append(ends[-1] + b - a + 1)
-                if ends[-1] >= block_ids:
-                    yield done()
+            own = iter(batch.column("doc_id").to_pylist())
+            for flat, at in encoder.groups(batch.column("text")):
+                for a, b in zip(at.tolist(), at[1:].tolist()):
+                    ids += [flat[a:b], np.array([end_id], np.uint32)]
+                    names.append(next(own))
+                    ends.append(ends[-1] + b - a + 1)
+                    if ends[-1] >= block_ids:
+                        yield done()
         if names:
             yield done()
 
