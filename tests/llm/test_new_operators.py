@@ -122,6 +122,7 @@ def ids_of(tokenizer, text):
 @given(st.lists(st.text(st.sampled_from(list(" \n\t  \x85\x1cab'Tdllé.1#\U0001f600")), max_size=25), min_size=1, max_size=6))
 def test_pieces_encode_as_the_library(parts):
     t, e = Tokenizer.from_file(BYTES), repair_grammar.PieceEncoder(CONFIG)
+    parts = parts + ["a  ", "1", "\n\n", "b"]
     got, at = e.texts(pa.array(parts))
     assert [got[a:b].tolist() for a, b in zip(at, at[1:])] == [ids_of(t, p) for p in parts]
 

@@ -79,6 +79,7 @@ def cuts_of(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     start = np.zeros(len(raw) + 1, bool)
     if len(raw) > 1:
         solid = SOLID[raw[1:]]
+        solid[at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(raw))] - 1] = False  # what follows is another text
         breaks = (raw[:-1] == BREAK) & solid
         start[:-2] = (raw[:-1] == SPACE) & solid | breaks
         start[1:-1] |= breaks | STOP[raw[1:]] & LETTER[raw[:-1]]
