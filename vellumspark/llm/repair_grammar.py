@@ -44,8 +44,9 @@ LEAST_COUNT, LEAST_GAIN = 32, 0.01
 #: Pairs considered and rules made in one round, and rules of one block, at most.
 CONSIDERED, ROUND_RULES, MOST_RULES = 4096, 1023, 15_000
 MARK = 256
-#: Bytes of text whose pieces are merged together, pieces given to the tokenizer in one call, and pieces whose ids are put together at once.
-TEXT_BYTES, PIECES, GROUP_PIECES = 24_000_000, 20_000, 400_000
+#: Bytes of text whose pieces are merged together, pieces given to the tokenizer in one call, pieces whose ids are put
+#: together at once, and bytes that are looked at together.
+TEXT_BYTES, PIECES, GROUP_PIECES, STRETCH = 24_000_000, 5_000, 150_000, 1 << 20
 
 SPACE, BREAK = 0x20, 0x0A
 LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
@@ -77,15 +78,18 @@ def cuts_of(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Where texts are cut: at their starts, before a space or line break that solid text follows, after such a
     line break, and before a stop or comma that follows an ASCII letter. The pre-tokenizer cuts at each of these."""
     start = np.zeros(len(raw) + 1, bool)
-    if len(raw) > 1:
-        solid = SOLID[raw[1:]]
-        solid[at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(raw))] - 1] = False  # what follows is another text
-        breaks = (raw[:-1] == BREAK) & solid
-        start[:-2] = (raw[:-1] == SPACE) & solid | breaks
-        start[1:-1] |= breaks | STOP[raw[1:]] & LETTER[raw[:-1]]
+    for k in range(0, len(raw) - 1, STRETCH):  # in stretches, so that little is held at once
+        one, two = raw[k : min(k + STRETCH, len(raw) - 1)], raw[k + 1 : k + 1 + STRETCH]
+        solid = SOLID[two]
+        edge = at[np.searchsorted(at, k + 1) : np.searchsorted(at, k + 1 + len(two))]
+        solid[edge[edge < len(raw)] - k - 1] = False  # what follows is another text
+        breaks = (one == BREAK) & solid
+        start[k : k + len(one)] |= (one == SPACE) & solid | breaks
+        start[k + 1 : k + 1 + len(one)] |= breaks | STOP[two] & LETTER[one]
     start[at[:-1]] = True
     start[-1] = False
-    return np.append(np.flatnonzero(start), len(raw)).astype(np.int32)
+    where = [np.flatnonzero(start[k : k + STRETCH]).astype(np.int32) + np.int32(k) for k in range(0, len(start), STRETCH)]
+    return np.concatenate([*where, np.array([len(raw)], np.int32)])
 
 
 class PieceEncoder:
@@ -132,7 +136,7 @@ class PieceEncoder:
         kind = np.zeros(len(pieces), np.int8)  # 1: follows a space, 2: so does a word of letters alone
         long = np.flatnonzero(np.diff(at) > 1)
         kind[long] = (raw[at[long]] == SPACE) & SOLID[raw[at[long] + 1]]
-        odd = np.concatenate([[0], np.cumsum(~LETTER[raw])])
+        odd = np.concatenate([np.zeros(1, np.int32), np.cumsum(~LETTER[raw], dtype=np.int32)])
         kind[long[(kind[long] == 1) & (odd[at[long + 1]] == odd[at[long]] + 1)]] = 2
         counts = np.zeros(len(pieces), np.int64)
         others, counts[kind == 0] = (lambda got: (got[0], np.diff(got[1])))(self.library(pieces.filter(pa.array(kind == 0)).to_pylist()))
