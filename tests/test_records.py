@@ -39,9 +39,11 @@ def test_words_of_a_shell(spark):
 
 
 def test_entities_of_the_corpus():
-    root, unknown = cuneiform.read("<a>&c;&mu;&hr;&amp;&eacute;&nope;&semi;</a>")
-    assert cuneiform.plain(root.text) == "šmu―&é&nope;;" and unknown == ["nope"]
-    assert cuneiform.marked_up("<&") == "&lt;&amp;"
+    names = ["c", "mu", "hr", "eacute", "nope", "semi"]
+    assert "".join(map(cuneiform.plain_entity, names)) == "šmu―é&nope;;"
+    assert cuneiform.shown_entity("nope") == "&amp;nope;" and [cuneiform.explained(n) for n in ("c", "amp", "nope")] == [True, True, False]
+    reader = cuneiform.TextReader("<!DOCTYPE t SYSTEM 'x.dtd' ><text n='&d;&nope;&amp;'><body>&lt;<!-- &gone; --> &own;</body></text>")
+    assert [p["html"] for p in reader.pieces()] == ['<section class="text-body"><h3>d&amp;nope;&amp;</h3><p>&lt; &amp;own;</p></section>'] and reader.unknown == ["gone", "nope", "own"]
 
 
 def test_bodies_of_odd_documents(spark):

@@ -113,23 +113,49 @@ def recipe_paths(spark, sf_dir):
     return ids.select("p_partkey", capture_record.recipe_path(F.col("id"), "recipes").alias("path"))
 
 
-# A text of the corpus for each customer; the last kind is not well formed.
-TEXT = """concat('<TEI.2><text n="', c_custkey, '"><head>A &d; b</head><body><head>&hr;</head><lg type="v"><l n="1">a<w type="noun">&jic;', c_custkey, '</w> &amp; &zz;</l>x</lg><p n="1">&mu;<gap extent="2"/><note>n</note></p><l n="1">&eacute;<lb/></l>',
- '<trailer>t</trailer><q>y</q><q/></body></text>', if(c_custkey % 19 = 0, '<', ''), '</TEI.2>')"""
+# Texts of the corpus in four shapes, one for each customer: blocks and entities; every element within a line; texts within
+# texts, with heads behind bodies; no body, or not well formed.
+TEXTS = [
+    """concat('<TEI.2><text n="', c_custkey, '"><head>A &d; b</head><body> l&c; <head>&hr;</head><lg type="v"><l n="1">a<w type="noun">&jic;', c_custkey, '</w> &amp; &zz;</l>x</lg><p n="1">&mu;<gap extent="2"/><note>n</note></p><l n="1">&eacute;<lb/></l>',
+ '<trailer>t</trailer><q>y</q><q/></body></text></TEI.2>')""",
+    """concat('<TEI.2><text><body><div1 type="seg"><l n="', c_custkey, '&g;"><foreign>f</foreign><unclear>u</unclear><corr>c</corr><supplied>s</supplied><suppliedEnd>gone</suppliedEnd><damage/>d<damageEnd/><gap/><w>w<note>in <q>q&d;</q></note></w><odd>o</odd></l>',
+ '<l>bare</l></div1><div1 n="II"><lg><p>&lt;p</p></lg></div1><!-- &zz; --><gap extent="3 &quot;lines&quot;"/> tail &ki; </body></text></TEI.2>')""",
+    """concat('<x><text n="o"><body><l n="1">a</l><text n="i"><body><l n="1">b', c_custkey, '</l></body></text><l n="1">c</l></body><head>last <b>h</b>&c;</head><body>two</body></text></x>')""",
+    """if(c_custkey % 8 = 3, concat('<x>', c_custkey, '</x>'), concat('<x>', c_custkey, '<'))""",
+]
+TEXT = "case c_custkey % 4 " + " ".join(f"when {k} then {t}" for k, t in enumerate(TEXTS)) + " end"
 
 
 def cuneiform_bodies(spark, sf_dir):
-    """Text bodies as HTML, entities that nothing explains, and the numbered segments."""
+    """Text bodies as HTML, entities that nothing explains, and the numbered segments with their ids and places."""
     docs = table(spark, sf_dir, "customer").select("c_custkey", F.expr(TEXT).alias("document"))
-    out = cuneiform.bodies(docs, "c_custkey", "tr")
-    return out.select("c_custkey", "html", F.array_join("unknown", ",").alias("unknown"), F.array_join(F.transform("segments", lambda s: F.concat_ws("/", s["kind"], s["label"], s["occurrence"])), ",").alias("segments"))
-
-
-BODIES_SQL = """select c_custkey, case when c_custkey % 19 <> 0 then '<section class="text-body"><h3>' || c_custkey || ' - A d b</h3><h4><span class="ruling" role="separator" title="horizontal ruling">―</span></h4>'
- || '<section class="line-group"><h4>v</h4><div id="segment-tr-line-1--occurrence-1" class="line"><span class="line-number">1</span><span class="line-text">a<span class="word" title="noun"><sup class="determinative" title="ETCSL determinative jic">ĝiš</sup>' || c_custkey
- || '</span> &amp; &amp;zz;</span></div><p>x</p></section><p id="segment-tr-paragraph-1--occurrence-1" class="paragraph"><span class="line-number">1</span><sup class="determinative" title="ETCSL determinative mu">mu</sup><span class="gap">[gap: 2]</span><span class="note">[note: n]</span></p>'
- || '<div id="segment-tr-line-1--occurrence-2" class="line"><span class="line-number">1</span><span class="line-text">é<br></span></div><aside class="trailer"><p>t</p></aside><div class="annotation-block"><q>y</q></div><div class="annotation-block"><q></q></div></section>' end as html,
- case when c_custkey % 19 <> 0 then 'zz' end as unknown, case when c_custkey % 19 <> 0 then 'line/1/1,paragraph/1/1,line/1/2' end as segments from customer"""
+    out = cuneiform.bodies(docs, "c_custkey", "tr", identifier=F.concat(F.lit("c."), F.col("c_custkey")), route=F.concat(F.lit("works/"), F.col("c_custkey"), F.lit(".html")))
+    return out.select("c_custkey", "html", F.array_join("unknown", ",").alias("unknown"), F.array_join(F.transform("segments", lambda s: F.concat_ws("|", s["title"], s["occurrence"], s["segment_id"], s["route"])), ",").alias("segments"))
+
+
+def bodies_sql() -> str:
+    sup = lambda n, t: f'<sup class="determinative" title="ETCSL determinative {n}">{t}</sup>'
+    line = lambda at, n, t: f'<div id="segment-tr-line-{at}" class="line"><span class="line-number">{n}</span><span class="line-text">{t}</span></div>'
+    milestone = lambda what, sign: f'<span class="milestone" title="{what}">&#x{sign};</span>'
+    first = f"""'<section class="text-body"><h3>' || c_custkey || ' - A d b</h3><p>lš</p><h4><span class="ruling" role="separator" title="horizontal ruling">―</span></h4><section class="line-group"><h4>v</h4>
+{line("1--occurrence-1", "1", f'a<span class="word" title="noun">{sup("jic", "ĝiš")}@</span> &amp; &amp;zz;')}<p>x</p></section><p id="segment-tr-paragraph-1--occurrence-1" class="paragraph"><span class="line-number">1</span>{sup("mu", "mu")}<span class="gap">[gap: 2]</span><span class="note">[note: n]</span></p>
+{line("1--occurrence-2", "1", "é<br>")}<aside class="trailer"><p>t</p></aside><div class="annotation-block"><q>y</q></div><div class="annotation-block"><q></q></div></section>'""".replace("\n", "").replace("@", "' || c_custkey || '")
+    inside = (
+        '<span class="foreign">f</span><span class="unclear">u</span><span class="correction">c</span>' + milestone("supplied text begins", "27e8") + "s" + milestone("supplied text ends", "27e9") + milestone("damaged text begins", "2e22") + "d"
+        + milestone("damaged text ends", "2e23") + f'<span class="gap">[gap: unspecified]</span><span class="word" title="word">w<span class="note">[note: in <q>q{sup("d", "d")}</q>]</span></span>o'
+    )
+    second = f"""'<section class="text-body"><h3>Text</h3><section class="segment"><h4>seg</h4>{line("@~c4~9d--occurrence-1", "@ĝ", inside)}<div class="line"><span class="line-number"></span><span class="line-text">bare</span></div></section><section class="segment"><h4>II</h4>
+<section class="line-group"><p class="paragraph"><span class="line-number"></span>&lt;p</p></section></section><div class="annotation-block"><span class="gap">[gap: 3 &quot;lines&quot;]</span></div><p>tail {sup("ki", "ki")}</p></section>'""".replace("\n", "").replace("@", "' || c_custkey || '")
+    third = f"""'<section class="text-body"><h3>o - last hš</h3>{line("1--occurrence-1", "1", "a")}<div class="annotation-block">b@</div>{line("1--occurrence-2", "1", "c")}</section><section class="text-body"><h3>o - last hš</h3><p>two</p></section><section class="text-body"><h3>i</h3>{line("1--occurrence-3", "1", "b@")}</section>'""".replace("@", "' || c_custkey || '")
+    seg = lambda kind, label, n, at=None: f"'{kind.title()} ' || {label} || '|{n}|tp:etcsl/segment/c.' || c_custkey || '%2Ftr%2F{kind}%2F' || {at and at[0] or label} || '%2F{n}|works/' || c_custkey || '.html#segment-tr-{kind}-' || {at and at[1] or label} || '--occurrence-{n}'"
+    join = " || ',' || ".join
+    segments = [
+        join([seg("line", "'1'", 1), seg("paragraph", "'1'", 1), seg("line", "'1'", 2)]), seg("line", "c_custkey || 'ĝ'", 1, ("c_custkey || '%C4%9D'", "c_custkey || '~c4~9d'")),
+        join([seg("line", "'1'", k) for k in (1, 2, 3)]), "case when c_custkey % 8 = 3 then '' end",
+    ]
+    html = [first, second, third, """case when c_custkey % 8 = 3 then '<p class="unavailable">No text body was found.</p>' end"""]
+    pick = lambda values: "case c_custkey % 4 " + " ".join(f"when {k} then {v}" for k, v in enumerate(values)) + " end"
+    return f"select c_custkey, {pick(html)} as html, {pick(chr(39) + x + chr(39) if x is not None else segments[3] for x in ('zz', 'zz', '', None))} as unknown, {pick(segments)} as segments from customer"
 
 
 def sniffed_files(spark, sf_dir):
@@ -151,6 +177,6 @@ QUERIES = {
     "setting_rules": (setting_rules, SETTINGS_SQL),
     "reader_payloads": (reader_payloads, PAYLOADS_SQL),
     "recipe_paths": (recipe_paths, "select p_partkey, case when p_partkey % 3 = 0 then 'recipes/r' || p_partkey || '/collection.toml' end as path from part"),
-    "cuneiform_bodies": (cuneiform_bodies, BODIES_SQL),
+    "cuneiform_bodies": (cuneiform_bodies, bodies_sql()),
     "sniffed_files": (sniffed_files, "select 'zip' as what, count(*) as n, case when count(*) = 1 then min(p_brand || '/f' || p_partkey) end as path from part where p_partkey % 7 = 0 having count(*) > 0 union all select 'catalogue', 1, p_brand || '/f1' from part where p_partkey = 1"),
 }
