@@ -15,6 +15,8 @@ clash; texts are scanned whole, whatever their length.
 
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 from unicodedata import normalize
 
 import ahocorasick
@@ -95,8 +97,10 @@ def hits_of(a: ahocorasick.Automaton, text: str) -> list[tuple[int, int, float,
         if whole == longer:
             continue
         (spared if w is None else found).append((start, end, w, term))
-    if spared and found:
-        found = [x for x in found if not any(s <= x[0] and x[1] <= e for s, e, *_ in spared)]
+    if spared and found:  # of the exceptions that start no later than a hit, the one that reaches farthest tells
+        spared.sort(key=lambda x: x[0])
+        starts, reach = [x[0] for x in spared], list(accumulate((x[1] for x in spared), max))
+        found = [x for x in found if not (k := bisect_right(starts, x[0])) or reach[k - 1] < x[1]]
     return found
 
 
