@@ -32,6 +32,8 @@ def test_links():
     ]
     linked = "<ul><li>0.1.1 First (N1):\n<a href='e.cgi?text=c.0.1.1&amp;d=x'>tl</a></li><li>2.4.1.a Second: <a href='e.cgi?text=c.2.4.1.a'>tl</a> | <a href='e.cgi?text=t.2.4.1.b'>t</a></li><li>no link</li></ul>"
     assert html.catalogue_of(linked) == [([], "0.1.1", "First (N1)", "e.cgi?text=c.0.1.1&d=x", None, None), ([], "2.4.1.a", "Second", "e.cgi?text=c.2.4.1.a", "e.cgi?text=t.2.4.1.b", "other identifier")]
+    two = html.catalogue_of("<ul><li>A<ul><li>B<ul><li><b>1.1.1</b> X</li></ul></li><li><b>0.1.1</b> Y</li></ul></li></ul>")
+    assert [(r[0], r[3], r[4]) for r in two] == [(["A", "B"], "etcsl/transliterations/c.1.1.1.xml", "etcsl/translations/t.1.1.1.xml"), (["A"], "etcsl/transliterations/c.0.1.1.xml", None)]
     assert html.catalogue_of("")[0][5] == html.catalogue_of(None)[0][5] == "no records"
     import xml.etree.ElementTree as E
 

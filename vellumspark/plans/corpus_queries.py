@@ -10,25 +10,27 @@ from vellumspark.operators import collections, evidence, graphs, query_language
 from vellumspark.plans.common import table
 
 #: A composition's identifier from a part's key.
+UNTRANSLATED = [f"{k % 7 + 1}.{k % 31 + 1}.{k}" for k in range(1, 60)]
 IDENT = "(p_partkey % 7 + 1) || '.' || (p_partkey % 31 + 1) || '.' || p_partkey"
 
 
 def catalogue_records(spark, sf_dir):
-    """Catalogue pages in both forms, a page for each brand, with a record for each part."""
+    """Catalogue pages in both forms, a page for each brand, with a record for each part; nested ones stand under two
+    labels or three, of which one begins like an identifier."""
     p = table(spark, sf_dir, "part")
     linked = F.expr(f"concat('<li>', {IDENT}, ' ', p_name, ': <a href=\"e.cgi?text=c.', {IDENT}, '&amp;d=x\">t</a>', if(p_size > 25, concat(' | <a href=\"e.cgi?text=t.', {IDENT}, '\">t</a>'), ''), '</li>')")
-    nested = F.expr(f"concat('<li><b>', {IDENT}, '</b> ', p_name, if(p_size > 25, '</l>', '</li>'))")
+    nested = F.expr(f"concat('<li> Kind  ', p_size % 3, if(p_size % 3 = 0, '<ul><li>1.2.3 like one', ''), '<ul><li><b>', {IDENT}, '</b> ', p_name, if(p_size > 25, '</l>', '</li>'), if(p_size % 3 = 0, '</ul></li>', ''), '</ul></li>')")
     rows = p.select("p_brand", (F.col("p_brand").substr(-1, 1).cast("int") % 2 == 0).alias("form"), "p_partkey", linked.alias("a"), nested.alias("b"))
     lines = F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "a", "b"))), lambda x: F.when(F.first("form"), x["a"]).otherwise(x["b"]))
     body = F.array_join(lines, "\n")
     pages = rows.groupBy("p_brand").agg(F.when(F.first("form"), F.concat(F.lit("<ul>"), body, F.lit("</ul>"))).otherwise(F.concat(F.lit("<ul><li> Works of  "), F.first("p_brand"), F.lit("<ul>"), body, F.lit("</ul></li></ul>"))).alias("html"))
-    out = html.catalogues(pages, "p_brand")
+    out = html.catalogues(pages, "p_brand", untranslated=UNTRANSLATED)
     return out.select("p_brand", "ordinal", F.array_join("path", " / ").alias("path"), "id", "title", "transliteration", "translation", "problem")
 
 
 CATALOGUE_SQL = f"""with p as (select *, {IDENT} as id, right(p_brand, 1)::int % 2 = 0 as form from part)
-select p_brand, (row_number() over (partition by p_brand order by p_partkey) - 1)::int as ordinal, case when form then '' else 'Works of ' || p_brand end as path, id, trim(p_name) as title,
- case when form then 'e.cgi?text=c.' || id || '&d=x' else 'etcsl/transliterations/c.' || id || '.xml' end as transliteration, case when form and p_size > 25 then 'e.cgi?text=t.' || id end as translation, null::varchar as problem from p"""
+select p_brand, (row_number() over (partition by p_brand order by p_partkey) - 1)::int as ordinal, case when form then '' else 'Works of ' || p_brand || ' / Kind ' || p_size % 3 end as path, id, trim(p_name) as title,
+ case when form then 'e.cgi?text=c.' || id || '&d=x' else 'etcsl/transliterations/c.' || id || '.xml' end as transliteration, case when form then case when p_size > 25 then 'e.cgi?text=t.' || id end when p_partkey >= 60 then 'etcsl/translations/t.' || id || '.xml' end as translation, null::varchar as problem from p"""
 
 TEI_DOC = """concat('<TEI xmlns="http://www.tei-c.org/ns/1.0" xml:id="c', c_custkey, '"><teiHeader><fileDesc><titleStmt><title> Work of  ', c_name, '</title><author>', c_mktsegment, '</author><author>N', c_nationkey, '</author><author>', c_mktsegment,
  '</author></titleStmt><publicationStmt><availability><p>Free for ', c_mktsegment, '</p><licence target="http://l/', c_nationkey % 3, '"/></availability></publicationStmt></fileDesc><profileDesc><langUsage><language ident="l', c_nationkey % 4, '"/><language ident="la"/></langUsage><textClass><keywords><term>k', c_nationkey % 5, '</term><term>k0</term></keywords></textClass></profileDesc></teiHeader><text><body><div n="1"><head>H ', c_custkey, '</head><p>a <hi rend="bold">b', c_custkey, '</hi> &amp; c<lb/><gap/></p></div></body></text>', if(c_custkey % 17 = 0, '', '</TEI>'))"""
