@@ -46,7 +46,9 @@ CONSIDERED, ROUND_RULES, MOST_RULES = 4096, 1023, 15_000
 MARK = 256
 #: Bytes of text whose pieces are merged together, pieces given to the tokenizer in one call, pieces whose ids are put
 #: together at once, and bytes that are looked at together.
-TEXT_BYTES, PIECES, GROUP_PIECES, STRETCH = 24_000_000, 5_000, 150_000, 1 << 20
+TEXT_BYTES, PIECES, GROUP_PIECES, STRETCH = 6_000_000, 5_000, 150_000, 1 << 20
+#: A task remembers the ids of pieces until it knows so many.
+REMEMBERED = 400_000
 
 SPACE, BREAK = 0x20, 0x0A
 LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
@@ -106,6 +108,7 @@ class PieceEncoder:
         self.sizes = np.zeros(max([0, *vocab.values(), *(self.tokenizer.token_to_id(t) for t in self.added)]) + 1, np.int64)
         self.sizes[list(vocab.values())] = [len(t) for t in vocab]  # a character of a token is a byte
         self.sizes[[self.tokenizer.token_to_id(t) for t in self.added]] = [len(t.encode()) for t in self.added]
+        self.known, self.flat, self.place = pa.array([], pa.string()), np.empty(0, np.uint32), np.zeros(1, np.int64)
         self.usual = self.tokenizer.pre_tokenizer
         # for pieces that are one word each: no pattern is needed to part them
         self.by_spaces = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -149,6 +152,22 @@ class PieceEncoder:
         out[own == 0], out[own == 1], out[own == 2] = others, spaced, words
         return out, np.concatenate([[0], np.cumsum(counts)])
 
+    def looked_up(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same through what the task remembers: pieces met before are not merged again."""
+        at = pc.index_in(pieces, self.known)
+        new = at.is_null()
+        fresh, ends = self.pieces(pieces.filter(new))
+        start, size = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        new = new.to_numpy(zero_copy_only=False)
+        old = pc.drop_null(at).to_numpy()
+        start[~new], size[~new] = self.place[old], np.diff(self.place)[old]
+        start[new], size[new] = len(self.flat) + ends[:-1], np.diff(ends)
+        both = np.concatenate([self.flat, fresh])
+        if len(self.known) < REMEMBERED:
+            self.known = pa.concat_arrays([self.known, pieces.filter(pa.array(new))])
+            self.flat, self.place = both, np.concatenate([self.place, len(self.flat) + ends[1:]])
+        return both[ragged(start, size)], np.concatenate([[0], np.cumsum(size)])
+
     def groups(self, texts: pa.Array):
         """For runs of texts in order, all ids and where each text's ids start (one more place than texts)."""
         texts = plain(texts)
@@ -164,7 +183,7 @@ class PieceEncoder:
         at, raw = spread(texts)
         cuts = cuts_of(raw, at)
         coded = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(raw)).dictionary_encode()
-        flat, place = self.pieces(coded.dictionary)
+        flat, place = self.looked_up(coded.dictionary)
         code, size = coded.indices.to_numpy(zero_copy_only=False), np.diff(place)
         edge = np.searchsorted(cuts, at)  # the piece at which each text begins
         k, done = 0, 0
