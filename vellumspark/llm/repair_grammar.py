@@ -400,9 +400,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in batch.schema.names if c != "doc_ids"}
                 b = Block(row)
-                ids = memoryview(b.all().tobytes())
                 at = np.concatenate([[0], b.ends])
-                raw = pa.array([ids[4 * a : 4 * e] for a, e in zip(at.tolist(), at[1:].tolist())], pa.binary())
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(b.ends), [None, pa.py_buffer(4 * at), pa.py_buffer(b.all())]).cast(pa.binary())
                 names = batch.column("doc_ids").slice(k, 1).flatten()
                 yield pa.RecordBatch.from_arrays([names, pa.array(at[:-1] + row["start"]), raw], ["doc_id", "start", "ids"])
 
