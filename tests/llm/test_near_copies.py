@@ -110,3 +110,35 @@ def test_long_fingerprints():
         lanes = [simhash_trie.mixed(own + np.uint64((x + 1) * simhash_trie.FACTOR & (1 << 64) - 1)) for x in range(8)]
         want = [2 * sum(int(h) >> b & 1 for h in lane.tolist()) > len(own) for lane in lanes for b in (8 * y + 7 - z for y in range(8) for z in range(8))]
         assert np.unpackbits(got[k]).astype(bool).tolist() == want
+
+
+def test_columns_named_like_working_ones(spark):
+    """Columns pass through whatever they are called, and are never taken for the operator's own."""
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, base, 5, 6, 7, 8, 9), (2, base + " x", 5, 6, 7, 8, 9), (3, "other words stand here and there", 5, 6, 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int, _near_row int, gone int, near_row int, GONE_ int")
+    out = simhash_trie.near_duplicates(docs)
+    assert out.columns == docs.columns and sorted(tuple(r) for r in out.collect()) == [rows[0], rows[2]]
+
+
+def test_recall_at_the_threshold(spark):
+    """Of planted pairs with a similarity just above 0.8, at least 0.98 are caught; pairs well below it are left alone."""
+    r, rows, n = np.random.default_rng(11), [], 150
+    for k in range(n):
+        size = int(r.integers(40, 400))
+        words = [f"v{x}" for x in r.integers(0, 50_000, size + 4)]
+        swaps = lambda share: max(1, int(share * size / 5))  # noqa: E731  each word changed alone touches five shingles
+        for j, share in enumerate((0.0, 0.105, 0.45)):
+            other = list(words)
+            if share:
+                at = r.choice(np.arange(2, size, 5), swaps(share), replace=False)
+                for a in at:
+                    other[a] = f"n{k}x{a}"
+            rows.append((3 * k + j, " ".join(other)))
+    sets = {i: {tuple(w[a : a + 5]) for a in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    close = [k for k in range(n) if alike(3 * k, 3 * k + 1) >= 0.8]
+    assert len(close) > n * 0.7 and all(alike(3 * k, 3 * k + 2) < 0.8 for k in range(n))
+    left = {row["doc_id"] for row in simhash_trie.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(3 * k in left and 3 * k + 2 in left for k in range(n))
+    assert sum(3 * k + 1 not in left for k in close) >= 0.98 * len(close)

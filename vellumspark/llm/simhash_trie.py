@@ -4,11 +4,12 @@
 Equal fingerprints are first reduced to one. The bits are cut into ``budget`` + r blocks; two
 fingerprints within the budget agree in at least r of them, so each is laid out once for each
 choice of r blocks, which come first. r grows with the number of fingerprints (1, 2, 3): a
-longer shared beginning keeps the tries small where more copies of one block would not. The
+longer shared beginning keeps the tries small where more copies of one block would not; few
+fingerprints share fewer bits, so that some 2**``TRIE_BITS`` of them make a trie. The
 fingerprints that share a layout's first blocks form a binary trie, which is joined with itself:
 node pairs are walked together, a level at a time, differing bits are added up, and a pair is
-pruned once it exceeds the budget, or once all its fingerprints are known to be connected. Small
-pairs of nodes are compared outright. Only a spanning forest of the links leaves a task.
+pruned once it exceeds the budget, or once all its fingerprints are known to be connected. Only pairs
+of leaves are compared outright. Only a spanning forest of the links leaves a task.
 
 ``near_duplicates``: documents whose sets of five-word shingles have a Jaccard similarity of at
 least 0.8. Such sets differ in about 15 % of SimHash's bits, far more than any budget that blocks
@@ -66,16 +67,20 @@ def picks_for(count: int, budget: int, chunk: int) -> int:
     return 3
 
 
-#: Fingerprints of a block that one task takes; below so many comparisons a node pair is compared outright.
-CHUNK, OUTRIGHT, FRONTIER = 100_000, 1024, 200_000
+#: Fingerprints of a trie that one task takes, and node pairs it walks at once. Leaves are nodes of at most so many
+#: fingerprints. A trie begins where about 2 ** TRIE_BITS fingerprints share their first bits, if blocks reach so far.
+CHUNK, FRONTIER, LEAF, TRIE_BITS = 100_000, 200_000, 2, 6
+#: Comparisons of fingerprints made at once.
+COMPARED = 2_000_000
 
 #: Sets of shingles: words in one, similarity, bits, and shared bits with how many fingerprints they serve.
 WIDTH, SIMILARITY, LONG, BEGINNING, ROOM = 5, 0.8, 512, 12, 12
+#: The least probability that a pair at this similarity meets in a trie.
 RECALL = 0.995
 #: At similarity 0.8, 78 of 512 bits differ (standard deviation 8): surely alike, and to be compared.
 SURE, MAYBE = 58, 98
-#: Differing bits of the first 64 beyond which a pair is pruned, and comparisons made outright.
-WORD_BUDGET, NEAR_OUTRIGHT = 22, 1 << 16
+#: Differing bits of the first 64 beyond which a pair is pruned, and fingerprints of a leaf.
+WORD_BUDGET, NEAR_LEAF = 22, 4
 FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -113,10 +118,11 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
 
 class Forest:
     """Labels of connected fingerprints: each label is the smallest position of its tree so far.
-    ``made`` has the pairs that connected trees."""
+    ``made`` has the pairs that connected trees; node pairs that were split, and those given up, are counted."""
 
     def __init__(self, n: int):
         self.label, self.made = np.arange(n), []
+        self.split = self.pruned = self.compared = 0
 
     def join(self, a: np.ndarray, b: np.ndarray, log: bool = True) -> None:
         p = self.label
@@ -138,47 +144,74 @@ class Forest:
                 p[:] = q
 
 
-def trie_self_join(values: np.ndarray, first: np.ndarray, depth: int, budget: int = BUDGET, outright: int | None = None, accept=None, known: np.ndarray | None = None) -> Forest:
+def in_pieces(a0, a1, b0, b1, own):
+    """Node pairs with at most ``COMPARED`` comparisons each: the ranges of the left nodes are cut."""
+    most = np.maximum(1, COMPARED // (b1 - b0))
+    n = -(-(a1 - a0) // most)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    a0, a1, b0, b1, own, most = (np.repeat(v, n) for v in (a0, a1, b0, b1, own, most))
+    return a0 + k * most, np.minimum(a0 + (k + 1) * most, a1), b0, b1, own
+
+
+def trie_self_join(values: np.ndarray, first: np.ndarray, depth: int, budget: int = BUDGET, leaf: int | None = None, accept=None, known: np.ndarray | None = None) -> Forest:
     """The forest of linked values. ``values``: fingerprints with the shared blocks first, ascending
     within each group; ``first``: where groups start. Values of a group agree in their first ``depth``
     bits. ``accept`` tells how far apart pairs within the budget are by their positions, -1 if they are not to
     be linked; values that are equal in ``known`` are connected beforehand."""
-    n, forest, outright = len(values), Forest(len(values)), OUTRIGHT if outright is None else outright
+    n, forest, leaf = len(values), Forest(len(values)), LEAF if leaf is None else leaf
     if known is not None and n:
         order = np.argsort(known, kind="stable")
         same = known[order[1:]] == known[order[:-1]]
         forest.join(order[1:][same], order[:-1][same], log=False)
+
+    def connected(a0, a1, b0, b1):
+        change = np.concatenate([[0], np.cumsum(forest.label[1:] != forest.label[:-1])])
+        return (change[a0] == change[a1 - 1]) & (change[b0] == change[b1 - 1]) & (forest.label[a0] == forest.label[b0])
+
+    waiting = []  # pairs that are to be linked with how far they are apart
+
+    def closest_first():
+        x, y, apart = np.concatenate(waiting, 1) if waiting else np.empty((3, 0), np.int64)
+        waiting.clear()
+        for d in np.unique(apart):
+            forest.join(x[apart == d], y[apart == d])
+
     ends = np.append(first[1:], n)
     zero = np.zeros(len(first), np.int64)
-    todo = [(depth, np.stack([first, ends, first, ends, zero]))]  # node pairs as ranges, and their differing bits
+    todo = [(depth, np.stack([first, ends, first, ends, zero]))] if n else []  # node pairs as ranges, and their differing bits
     while todo:
         level, pairs = todo.pop()
         if pairs.shape[1] > FRONTIER:  # depth first, so that the waiting pairs stay few
             todo.append((level, pairs[:, FRONTIER:]))
             pairs = pairs[:, :FRONTIER]
-        a0, a1, b0, b1, spent = pairs
-        change = np.concatenate([[0], np.cumsum(forest.label[1:] != forest.label[:-1])]) if n else zero
-        one = (change[a0] == change[a1 - 1]) & (change[b0] == change[b1 - 1]) & (forest.label[a0] == forest.label[b0])
+        one = connected(*pairs[:4])
+        forest.pruned += int(one.sum())
         a0, a1, b0, b1, spent = pairs[:, ~one]
-        work = (a1 - a0) * (b1 - b0)
-        small = (work <= outright) | (level >= BITS)
-        at = np.flatnonzero(small)
-        step = np.cumsum(work[at]) // 2_000_000
-        for k in np.unique(step):
-            own = at[step == k]
-            w, wide = work[own], (b1 - b0)[own]
+        small = ((a1 - a0 <= leaf) & (b1 - b0 <= leaf)) | (level >= BITS)
+        p0, p1, q0, q1, own = in_pieces(*(v[small] for v in (a0, a1, b0, b1)), (a0 == b0)[small])
+        step = np.cumsum((p1 - p0) * (q1 - q0)) // COMPARED
+        cuts = np.append(np.flatnonzero(np.diff(step, prepend=-1)), len(step))
+        for k, to in zip(cuts, cuts[1:]):
+            c0, c1, d0, d1, self_ = (v[k:to] for v in (p0, p1, q0, q1, own))
+            if k:  # what was found meanwhile may have connected them
+                open_ = ~connected(c0, c1, d0, d1)
+                c0, c1, d0, d1, self_ = (v[open_] for v in (c0, c1, d0, d1, self_))
+            w, wide = (c1 - c0) * (d1 - d0), d1 - d0
+            forest.compared += int(w.sum())
             inner = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-            x = np.repeat(a0[own], w) + inner // np.repeat(wide, w)
-            y = np.repeat(b0[own], w) + inner % np.repeat(wide, w)
-            near = (x < y) | (np.repeat(a0[own], w) != np.repeat(b0[own], w))  # a node with itself: each pair once
+            x = np.repeat(c0, w) + inner // np.repeat(wide, w)
+            y = np.repeat(d0, w) + inner % np.repeat(wide, w)
+            near = (x < y) | ~np.repeat(self_, w)  # a node with itself: each pair once
             near &= np.bitwise_count(values[x] ^ values[y]) <= budget
             x, y = x[near], y[near]
             if accept is not None:
                 open_ = forest.label[x] != forest.label[y]
                 x, y = x[open_], y[open_]
                 apart = accept(x, y)
-                for d in np.unique(apart[apart >= 0]):  # the closest first, so that they make the forest
-                    forest.join(x[apart == d], y[apart == d])
+                fits = apart >= 0
+                waiting.append(np.stack([x[fits], y[fits], apart[fits]]))
+                if sum(c.shape[1] for c in waiting) >= COMPARED:
+                    closest_first()
                 continue
             forest.join(x, y)
         a0, a1, b0, b1, spent = (v[~small] for v in (a0, a1, b0, b1, spent))
@@ -202,9 +235,13 @@ def trie_self_join(values: np.ndarray, first: np.ndarray, depth: int, budget: in
         same = a0 == b0
         children = [np.stack([a0, am, b0, bm, spent]), np.stack([am, a1, bm, b1, spent]), np.stack([a0, am, bm, b1, spent + 1]), np.stack([am, a1, b0, bm, spent + 1])[:, ~same]]
         new = np.concatenate(children, 1)
-        new = new[:, (new[0] < new[1]) & (new[2] < new[3]) & (new[4] <= budget)]
+        new = new[:, (new[0] < new[1]) & (new[2] < new[3])]
+        forest.split += len(a0)
+        forest.pruned += int((new[4] > budget).sum())
+        new = new[:, new[4] <= budget]
         if new.shape[1]:
             todo.append((level + 1, new))
+    closest_first()
     return forest
 
 
@@ -271,9 +308,12 @@ def grouped(table, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def links(unique: DataFrame, budget: int = BUDGET, chunk: int = CHUNK, picks: int | None = None) -> DataFrame:
     """u and v: a spanning forest of the links between the distinct fingerprints ``fp``."""
-    orders, shared = layout(budget, picks or picks_for(unique.count(), budget, chunk))
+    count = unique.count()
+    orders, shared = layout(budget, picks or picks_for(count, budget, chunk))
+    begin = min(shared, max(0, count.bit_length() - TRIE_BITS))  # few fingerprints share fewer bits, so that there are tries to walk
     first = [next(n for n in range(1, len(o) + 1) if sum(w for _, w in o[:n]) >= shared) for o in orders]
-    keys = F.array(*[shared_key("fp", o[:n]) for o, n in zip(orders, first)])
+    over = [sum(w for _, w in o[:n]) - begin for o, n in zip(orders, first)]
+    keys = F.array(*[F.shiftrightunsigned(shared_key("fp", o[:n]), extra) for o, n, extra in zip(orders, first, over)])
     dealt = dealt_groups(unique.select("fp", F.posexplode(keys).alias("r", "b")), chunk, Scratch(unique.sparkSession))
 
     def run(batches):
@@ -283,7 +323,7 @@ def links(unique: DataFrame, budget: int = BUDGET, chunk: int = CHUNK, picks: in
             for k, o in enumerate(orders):
                 values[r == k] = arranged(fp[r == k], o)
             at, starts = grouped(table, values)
-            label = trie_self_join(values[at], starts, shared, budget).label
+            label = trie_self_join(values[at], starts, begin, budget).label
             linked = np.flatnonzero(label != np.arange(len(label)))
             yield pa.RecordBatch.from_arrays([pa.array(fp[at[x]].view(np.int64)) for x in (linked, label[linked])], ["u", "v"])
 
@@ -402,7 +442,7 @@ def near_links(unique: DataFrame, count: int, most: int, scratch: Scratch, chunk
                 apart[apart > most] = -1
                 return apart
 
-            made = trie_self_join(values[at], first, shared, WORD_BUDGET, NEAR_OUTRIGHT, accept, table.column("label").to_numpy()[at]).made
+            made = trie_self_join(values[at], first, shared, WORD_BUDGET, NEAR_LEAF, accept, table.column("label").to_numpy()[at]).made
             u, v = np.concatenate(made, 1) if made else np.empty((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(uid[u], uid[v])), pa.array(np.maximum(uid[u], uid[v]))], ["u", "v"])
 
@@ -434,6 +474,14 @@ def similar(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as make it unlike any column's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of near-duplicates, that with the smallest id
     (nulls last); of rows with this id, the first."""
@@ -455,7 +503,8 @@ def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     member = s.keep(unique.select("uid", "first").join(group, unique["uid"] == group["node"], "left").select("uid", "first", F.coalesce("root", "uid").alias("root")))
     best = s.keep(member.groupBy("root").agg(F.min("first").alias("best")))
     keeper = s.keep(member.join(best, "root").select("uid", F.col("best.row").alias("keeper")))
-    gone = s.keep(facts.select("row", "uid").join(keeper, "uid").where("row <> keeper").select(F.col("row").alias("_gone")))
-    own = docs.select("*", F.monotonically_increasing_id().alias("_near_row"))
+    gone_name, row_name = (unused(docs, c) for c in ("gone", "near_row"))
+    gone = s.keep(facts.select("row", "uid").join(keeper, "uid").where("row <> keeper").select(F.col("row").alias(gone_name)))
+    own = docs.withColumn(row_name, F.monotonically_increasing_id())
     s.drop(*(t for t, _ in list(s.paths.values()) if t is not gone))
-    return own.join(gone, F.col("_near_row") == F.col("_gone"), "left_anti").drop("_near_row")
+    return own.join(gone, F.col(row_name) == F.col(gone_name), "left_anti").drop(row_name)
