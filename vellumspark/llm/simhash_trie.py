@@ -69,7 +69,7 @@ def picks_for(count: int, budget: int, chunk: int) -> int:
 
 #: Fingerprints of a trie that one task takes, and node pairs it walks at once. Leaves are nodes of at most so many
 #: fingerprints. A trie begins where about 2 ** TRIE_BITS fingerprints share their first bits, if blocks reach so far.
-CHUNK, FRONTIER, LEAF, TRIE_BITS = 100_000, 200_000, 2, 6
+CHUNK, FRONTIER, LEAF, TRIE_BITS = 100_000, 20_000, 4, 6
 #: Comparisons of fingerprints made at once.
 COMPARED = 2_000_000
 
@@ -182,7 +182,7 @@ def trie_self_join(values: np.ndarray, first: np.ndarray, depth: int, budget: in
     while todo:
         level, pairs = todo.pop()
         if pairs.shape[1] > FRONTIER:  # depth first, so that the waiting pairs stay few
-            todo.append((level, pairs[:, FRONTIER:]))
+            todo.append((level, pairs[:, FRONTIER:].copy()))
             pairs = pairs[:, :FRONTIER]
         one = connected(*pairs[:4])
         forest.pruned += int(one.sum())
