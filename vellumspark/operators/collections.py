@@ -108,6 +108,24 @@ def aligned(catalogue: DataFrame, package: DataFrame) -> DataFrame:
     return j.orderBy(F.col("ordinal").asc_nulls_last(), "id")
 
 
+# Fixed value: the root element of the documents that packages hold.
+TEI_ROOT = "{http://www.tei-c.org/ns/1.0}TEI"
+
+
+def tei_identities(members: DataFrame, pattern: str, mapping: DataFrame) -> DataFrame:
+    """archive, name, file_id, register_id and problem of the members whose name has the ``pattern`` (its first
+    group is the id). ``mapping`` (file_id, register_id, root_id): where a register or a root is known to say
+    otherwise than the file's name; a null there means the file's id. ``members``: read with ``xml``."""
+    own = members.select("archive", "name", "xml_ok", "root", "root_id", F.regexp_extract("name", pattern, 1).alias("file_id")).where("file_id <> ''")
+    known = mapping.select(F.col("file_id").alias("_id"), F.col("register_id").alias("_register"), F.col("root_id").alias("_root"))
+    j = own.join(known, own["file_id"] == known["_id"], "left")
+    problem = (
+        F.when(~F.coalesce("xml_ok", F.lit(False)), "not well formed").when(F.col("root") != TEI_ROOT, "another root").when(F.coalesce("root_id", F.lit("")) == "", "no id")
+        .when(F.col("root_id") != F.coalesce("_root", "file_id"), "another id")
+    )
+    return j.select("archive", "name", "file_id", F.coalesce("_register", "file_id").alias("register_id"), problem.alias("problem"))
+
+
 def translations(representations: DataFrame) -> DataFrame:
     """source_id, relation and target_id: each translation of an item to its transliteration."""
     t = representations.where("kind = 'translation'").select("item_id", F.col("id").alias("source_id"))

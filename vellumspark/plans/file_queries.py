@@ -7,11 +7,12 @@ import tempfile
 import zipfile
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from vellumspark.operators import evidence, inventory, packages, publish
+from vellumspark.operators import collections, evidence, inventory, packages, publish
 from vellumspark.plans.common import table
-from vellumspark.sources import access, files, warc, zip_members
+from vellumspark.sources import access, files, warc, warc_splits, zip_members
 from vellumspark.sources.shared import drop_at_exit, shared_folder
 
 DATE = "date_format(timestamp_seconds(1577836800 + page_id * 61), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
@@ -40,9 +41,10 @@ def write_files(rows, folder: str) -> None:
             for p, c in zip(b["path"], b["content"]):
                 at = os.path.join(folder, p)
                 os.makedirs(os.path.dirname(at), exist_ok=True)
-                with open(f"{at}.part", "wb") as f:
+                part = f"{at}.part-{TaskContext.get().taskAttemptId()}"
+                with open(part, "wb") as f:
                     f.write(c)
-                os.replace(f"{at}.part", at)
+                os.replace(part, at)
             yield pd.DataFrame({"n": [len(b)]})
 
     rows.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(run, "n long").agg(F.sum("n")).collect()
@@ -148,24 +150,36 @@ CDX_FILES_SQL = """with n as (select 'f' || page_id % 5 || '.cdx' as file, page_
 select file, 'strict' as mode, case when k <> 3 then c end as records from n union all select file, 'loose', c from n union all select 'all', 'strict', null union all select 'all', 'loose', count(*) from pages"""
 
 
-def zip_inventory(spark, sf_dir):
-    """Members of one archive for each source, with their facts and problems."""
-    folder = new_folder(spark, "zip")
-    d = table(spark, sf_dir, "documents").select("source", F.concat(F.when(F.col("doc_id") % 9 == 0, F.lit("../")).otherwise(F.lit("t/")), F.col("doc_id"), F.lit(".xml")).alias("name"), F.col("text").alias("text"))
+def write_zips(members, folder: str) -> None:
+    """Write members (archive, name, content) into one archive each; an archive appears whole, by the task that ends first."""
 
     def run(batches):
-        at, made = None, []
+        held, z, made = None, None, []
+
+        def finish():
+            z.close()
+            os.replace(z.filename, os.path.join(folder, held))
+
         for b in batches:
-            for source, name, text in zip(b["source"], b["name"], b["text"]):
-                path = os.path.join(folder, f"{source}.zip")
-                if source != at:
-                    at = source
-                    made.append(source)
-                with zipfile.ZipFile(path, "a", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr(name, text)
-        yield pd.DataFrame({"source": made})
-
-    d.repartition("source").sortWithinPartitions("source", "name").mapInPandas(run, "source string").count()
+            for archive, name, content in zip(b["archive"], b["name"], b["content"]):
+                if archive != held:
+                    if held is not None:
+                        finish()
+                    held, z = archive, zipfile.ZipFile(os.path.join(folder, f".{archive}-{TaskContext.get().taskAttemptId()}"), "w", zipfile.ZIP_DEFLATED)
+                    made.append(archive)
+                z.writestr(name, content)
+        if held is not None:
+            finish()
+        yield pd.DataFrame({"archive": made})
+
+    members.select("archive", "name", "content").repartition("archive").sortWithinPartitions("archive", "name").mapInPandas(run, "archive string").count()
+
+
+def zip_inventory(spark, sf_dir):
+    """Members of one archive for each source, with their facts and problems."""
+    folder = new_folder(spark, "zip")
+    d = table(spark, sf_dir, "documents")
+    write_zips(d.select(F.concat("source", F.lit(".zip")).alias("archive"), F.concat(F.when(F.col("doc_id") % 9 == 0, F.lit("../")).otherwise(F.lit("t/")), F.col("doc_id"), F.lit(".xml")).alias("name"), F.col("text").alias("content")), folder)
     spark.dataSource.register(zip_members.ZipMembersDataSource)
     m = spark.read.format("zip_members").option("path", folder).option("hash", "true").load()
     bad = zip_members.member_problems(m, {"member": 40_000, "entries": 10_000}).groupBy("archive", "name").agg(F.array_join(F.sort_array(F.collect_list("problem")), ",").alias("problem"))
@@ -176,6 +190,43 @@ ZIP_SQL = """select source || '.zip' as archive, case when doc_id % 9 = 0 then '
  nullif(concat_ws(',', case when strlen(text) > 40000 then 'too large' end, case when doc_id % 9 = 0 then 'unsafe path' end), '') as problem from documents"""
 
 
+def zip_tei(spark, sf_dir):
+    """The documents in one package: their identities against the register, and the number of tasks that read them (many)."""
+    folder = new_folder(spark, "tei")
+    name = F.expr("concat('1_sanskr/tei/', 'sa_', o_orderkey, if(o_orderkey % 11 = 0, '.txt', '.xml'))")
+    root = F.expr("""case o_orderkey % 7 when 0 then 'sa_other' when 1 then '' else concat('sa_', o_orderkey) end""")
+    text = F.expr("concat('<TEI xmlns=\"http://www.tei-c.org/ns/1.0\"', if(id = '', '', concat(' xml:id=\"', id, '\"')), '><text>', repeat(concat(o_orderkey, ' '), 50), '</text>', if(o_orderkey % 13 = 0, '', '</TEI>'))")
+    other = F.expr("concat('<x id=\"', o_orderkey, '\"/>')")
+    d = table(spark, sf_dir, "orders").withColumn("id", root).select("o_orderkey", F.lit("bulk.zip").alias("archive"), name.alias("name"), F.when(F.col("o_orderkey") % 17 == 0, other).otherwise(text).alias("content"))
+    write_zips(d, folder)
+    spark.dataSource.register(zip_members.ZipMembersDataSource)
+    m = spark.read.format("zip_members").option("path", folder).option("xml", "true").option("partitionBytes", 100_000).load()
+    mapping = table(spark, sf_dir, "orders").where("o_orderkey % 14 in (0, 2)").select(F.expr("concat('sa_', o_orderkey)").alias("file_id"), F.expr("if(o_orderkey % 14 = 0, null, concat('reg_', o_orderkey))").alias("register_id"), F.expr("if(o_orderkey % 14 = 0, 'sa_other', null)").alias("root_id"))
+    out = collections.tei_identities(m, r"/tei/(sa_[^/]+)\.xml$", mapping)
+    return out.withColumn("split", F.lit(m.rdd.getNumPartitions() > 1))
+
+
+TEI_ZIP_SQL = """select 'bulk.zip' as archive, '1_sanskr/tei/sa_' || o_orderkey || '.xml' as name, 'sa_' || o_orderkey as file_id, case when o_orderkey % 14 = 2 then 'reg_' else 'sa_' end || o_orderkey as register_id,
+ case when o_orderkey % 17 = 0 then 'another root' when o_orderkey % 13 = 0 then 'not well formed' when o_orderkey % 7 = 1 then 'no id' when o_orderkey % 7 = 0 and o_orderkey % 14 <> 0 then 'another id' end as problem, true as split
+ from orders where o_orderkey % 11 <> 0"""
+
+
+def warc_split_scan(spark, sf_dir):
+    """All pages as one packed and one plain archive, each read in ranges by many tasks; pages are payloads of archives in themselves too."""
+    folder = new_folder(spark, "split")
+    p = table(spark, sf_dir, "pages").select(
+        F.expr("case when page_id % 2 = 0 then 'big.warc.gz' else 'big.warc' end").alias("file"), "url", F.expr(DATE).alias("date"), F.expr(STATUS).alias("status"), F.lit("text/html").alias("mime"), F.lit(None).cast("string").alias("location"), F.lit(None).cast("string").alias("digest"),
+        F.encode(F.when(F.col("page_id") % 25 == 1, F.concat(F.lit("WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nContent-Length: 0\r\n\r\n"), "html")).otherwise(F.col("html")), "UTF-8").alias("body"),
+    )
+    warc.write_warcs(p, folder).agg(F.sum("records")).collect()
+    out = warc_splits.scan(spark, folder, 1 << 17)
+    return out.select("filename", "url", "date", "status", F.sha2("entity", 256).alias("sha256"), F.length("entity").cast("long").alias("size"))
+
+
+SPLIT_SQL = f"""with p as (select *, case when page_id % 25 = 1 then 'WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nContent-Length: 0\r\n\r\n' || html else html end as body from pages)
+select case when page_id % 2 = 0 then 'big.warc.gz' else 'big.warc' end as filename, url, {DATE_SQL} as date, {STATUS} as status, sha256(body) as sha256, strlen(body) as size from p"""
+
+
 def _tree(spark, sf_dir) -> str:
     """A file for each customer, in folders by nation; some are hidden, some are empty."""
     folder = new_folder(spark, "tree")
@@ -350,6 +401,8 @@ PUBLISHED_SQL = """select r_regionkey, 'built,reused,replaced' as states, 'true,
 
 QUERIES = {
     "warc_records": (warc_records, WARC_SQL),
+    "warc_split_scan": (warc_split_scan, SPLIT_SQL),
+    "zip_tei": (zip_tei, TEI_ZIP_SQL),
     "warc_redirects": (warc_redirects, REDIRECTS_SQL),
     "package_problems": (package_problems, PACKAGE_SQL),
     "package_pages": (package_pages, PACKAGE_PAGES_SQL),

@@ -29,10 +29,11 @@ class WarcError(ValueError):
     """A file is not framed as it must be."""
 
 
-def gzip_members(path: str, limit: int = MAX_RECORD) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, stored length, bytes) of each member of a gzip file."""
+def gzip_members(path: str, limit: int = MAX_RECORD, start: int = 0) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, stored length, bytes) of each member of a gzip file from a member's start on."""
     with open(path, "rb") as f:
-        data, offset = f.read(BLOCK), 0
+        f.seek(start)
+        data, offset = f.read(BLOCK), start
         while data:
             d, out, size, used = zlib.decompressobj(16 + zlib.MAX_WBITS), [], 0, 0
             while True:
@@ -125,10 +126,11 @@ def rows_of(data: bytes, filename: str, offset: int, length: int | None) -> Iter
         at = after
 
 
-def plain_records(path: str, limit: int = MAX_RECORD) -> Iterator[tuple[int, bytes]]:
-    """(offset, bytes) of each record of an uncompressed file, one at a time."""
+def plain_records(path: str, limit: int = MAX_RECORD, start: int = 0) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of each record of an uncompressed file from a record's start on, one at a time."""
     with open(path, "rb") as f:
-        offset, held = 0, b""
+        f.seek(start)
+        offset, held = start, b""
         while True:
             while b"\r\n\r\n" not in held and b"\n\n" not in held:
                 more = f.read(BLOCK)

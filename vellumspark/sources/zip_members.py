@@ -1,5 +1,9 @@
 """ZIP members as a data source, one row each, with the facts that safety checks need.
 
+An archive is read by several tasks: each takes a run of its central directory with about ``partitionBytes``
+packed bytes. With ``xml`` a member is parsed while it is read: whether it is well formed, the name of its
+root and the root's xml:id; nothing of the document is kept, however large it is.
+
     spark.dataSource.register(ZipMembersDataSource)
     spark.read.format("zip_members").option("path", p).option("content", "true").load()
 
@@ -11,53 +15,102 @@ import hashlib
 import os
 import stat
 import zipfile
+import zlib
+from xml.parsers import expat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "archive string, ordinal int, name string, file_size long, compress_size long, crc long, is_dir boolean, is_symlink boolean, is_encrypted boolean, crc_ok boolean, sha256 string, content binary"
+SCHEMA = "archive string, ordinal int, name string, file_size long, compress_size long, crc long, is_dir boolean, is_symlink boolean, is_encrypted boolean, crc_ok boolean, sha256 string, content binary, xml_ok boolean, root string, root_id string"
 BLOCK = 1 << 20
 # What text collections allow of a member, an archive, its entries, and the ratio of sizes.
 COLLECTION_LIMITS = {"member": 64 << 20, "total": 2 << 30, "entries": 10_000, "ratio": 200.0}
 
 
+PARTITION_BYTES = 32 << 20
+XML = "http://www.w3.org/XML/1998/namespace"
+
+
+class XmlRoot:
+    """Takes a document in blocks and keeps what its root element says."""
+
+    def __init__(self):
+        self.ok, self.root, self.root_id = None, None, None
+        self.parser = expat.ParserCreate(namespace_separator="}")
+        self.parser.StartElementHandler = self.start
+
+    def start(self, tag: str, attrs: dict) -> None:
+        self.root, self.root_id = "{" + tag if "}" in tag else tag, attrs.get(f"{XML}}}id")
+        self.parser.StartElementHandler = None
+
+    def feed(self, block: bytes, last: bool = False) -> None:
+        if self.ok is None:
+            try:
+                self.parser.Parse(block, last)
+            except expat.ExpatError:
+                self.ok = False
+            else:
+                self.ok = True if last else None
+
+
+def runs_of(sizes: list[int], limit: int) -> list[tuple[int, int]]:
+    """Runs of neighbours with about ``limit`` in all, at least one run."""
+    out, first, total = [], 0, 0
+    for k, n in enumerate(sizes):
+        if k > first and total + n > limit:
+            out.append((first, k))
+            first, total = k, 0
+        total += n
+    return [*out, (first, len(sizes))]
+
+
 class _Archive(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, first: int = 0, end: int = 0):
+        self.path, self.first, self.end = path, first, end
 
 
 class ZipReader(DataSourceReader):
     def __init__(self, options):
         chosen = lambda name: options.get(name, "false").lower() == "true"
-        self.path, self.content, self.hash = options["path"], chosen("content"), chosen("hash")
+        self.path, self.content, self.hash, self.xml = options["path"], chosen("content"), chosen("hash"), chosen("xml")
+        self.limit = int(options.get("partitionbytes", options.get("partitionBytes", PARTITION_BYTES)))
         most = options.get("contentbytes", options.get("contentBytes"))
         self.most = int(most) if most else None
 
     def partitions(self):
-        if os.path.isfile(self.path):
-            return [_Archive(self.path)]
-        return [_Archive(os.path.join(d, f)) for d, _, names in sorted(os.walk(self.path)) for f in sorted(names) if f.lower().endswith((".zip", ".wacz"))] or [_Archive("")]
+        paths = [self.path] if os.path.isfile(self.path) else [os.path.join(d, f) for d, _, names in sorted(os.walk(self.path)) for f in sorted(names) if f.lower().endswith((".zip", ".wacz"))]
+        out = []
+        for p in paths:
+            with zipfile.ZipFile(p) as z:
+                out += [_Archive(p, *r) for r in runs_of([m.compress_size for m in z.infolist()], self.limit)]
+        return out or [_Archive("")]
 
     def read(self, part):
         if not part.path:
             return
         with zipfile.ZipFile(part.path) as z:
-            for i, m in enumerate(z.infolist()):
+            for i, m in enumerate(z.infolist()[part.first : part.end], part.first):
                 link, locked = stat.S_ISLNK(m.external_attr >> 16), bool(m.flag_bits & 1)
-                data, digest, ok = [], hashlib.sha256(), None
+                data, digest, ok, xml = [], hashlib.sha256(), None, XmlRoot()
                 keep = self.content and (self.most is None or m.file_size <= self.most)
-                if (keep or self.hash) and not m.is_dir() and not link and not locked:
+                parse = self.xml and m.filename.lower().endswith(".xml")
+                if (keep or self.hash or parse) and not m.is_dir() and not link and not locked:
                     try:
                         with z.open(m) as f:
                             while block := f.read(BLOCK):
                                 digest.update(block)
                                 if keep:
                                     data.append(block)
+                                if parse:
+                                    xml.feed(block)
                         ok = True
-                    except (zipfile.BadZipFile, OSError):
+                    except (zipfile.BadZipFile, OSError, zlib.error):
                         ok = False
-                yield os.path.basename(part.path), i, m.filename, m.file_size, m.compress_size, m.CRC, m.is_dir(), link, locked, ok, digest.hexdigest() if ok else None, b"".join(data) if ok and keep else None
+                    if parse:
+                        xml.feed(b"", last=True)
+                about = (bool(xml.ok and ok), xml.root, xml.root_id) if parse and ok is not None else (None, None, None)
+                yield os.path.basename(part.path), i, m.filename, m.file_size, m.compress_size, m.CRC, m.is_dir(), link, locked, ok, digest.hexdigest() if ok else None, b"".join(data) if ok and keep else None, *about
 
 
 class ZipMembersDataSource(DataSource):
