@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from vellumspark.operators import packages
+from vellumspark.operators import package_writer, packages
 from vellumspark.operators.inventory import EMPTY_SHA256
 from vellumspark.sources import files
 from vellumspark.sources.warc import WarcDataSource, WarcError, gzip_members, header_lines, read_at, rows_of
@@ -59,7 +59,7 @@ def test_warc_errors(spark, archive, tmp_path):
 
 def test_wacz_round_trip(spark, archive, tmp_path):
     out = str(tmp_path / "c.wacz")
-    packages.create_wacz(spark, str(archive), out, "t")
+    package_writer.create_wacz(spark, str(archive), out, "t")
     assert packages.validate_wacz(spark, out).collect() == []
     with zipfile.ZipFile(out) as z:
         keys = [line.split(" ")[0] for line in z.read("indexes/index.cdx").decode().splitlines()]
@@ -84,7 +84,7 @@ def test_large_members_and_copies(spark, tmp_path, monkeypatch):
     folder, out = tmp_path / "w", str(tmp_path / "big.wacz")
     folder.mkdir()
     (folder / "big.warc").write_bytes(record_bytes("http://a.org/big", "2026-01-01T00:00:00Z", 200, "text/html", os.urandom(70 << 20)))
-    packages.create_wacz(spark, str(folder), out)
+    package_writer.create_wacz(spark, str(folder), out)
     assert packages.validate_wacz(spark, out).collect() == []
     with open(out, "r+b") as f:
         f.seek(40 << 20)
@@ -92,17 +92,44 @@ def test_large_members_and_copies(spark, tmp_path, monkeypatch):
         f.seek(40 << 20)
         f.write(bytes([byte[0] ^ 1]))
     assert {r["problem"] for r in packages.validate_wacz(spark, out).collect()} >= {"checksum", "mismatch"}
-    real = files.hash_file
+    real = package_writer.measured
 
-    def changing(path, *rest):
-        digest = real(path, *rest)
-        with open(path, "ab") as f:
+    def changing(spark, members):
+        facts = real(spark, members)
+        with open(folder / "big.warc", "ab") as f:
             f.write(b"x")
-        return digest
-
-    monkeypatch.setattr(files, "hash_file", changing)
+        return facts
+
+    monkeypatch.setattr(package_writer, "measured", changing)
+    with pytest.raises(Exception, match="changed while it was copied"):
+        package_writer.create_wacz(spark, str(folder), str(tmp_path / "two.wacz"))
+    assert sorted(os.listdir(tmp_path)) == ["big.wacz", "w"]  # nothing is left of it
+
+
+def test_trees_listed_by_levels(spark, tmp_path):
+    from vellumspark.operators import publish
+    from vellumspark.sources import tree
+
+    root = tmp_path / "t"
+    (root / "a" / "b" / ".c").mkdir(parents=True)
+    (root / "empty").mkdir()
+    for n, data in (("a/x.txt", "x"), ("a/b/.c/é.txt", "y" * 9), (".hidden", ""), ("a/b/skip", "s")):
+        (root / n).write_text(data)
+    rows, odd = files.walk(str(root), ("a/b/skip",))
+    got = tree.listing(spark, str(root), ("a/b/skip",))
+    assert sorted(tuple(r)[:5] for r in got.collect()) == rows and odd == []
+    assert tree.digest(spark, str(root)) == publish.tree_digest(str(root))
+    before = tree.hashed(tree.listing(spark, str(root)), str(root)).collect()
+    (root / "a" / "x.txt").write_text("z")
+    (root / "new").write_text("n")
+    (root / ".hidden").unlink()
+    after = tree.hashed(tree.listing(spark, str(root)), str(root))
+    stated = spark.createDataFrame(before, after.schema)
+    assert {tuple(r) for r in tree.changes(stated, after).collect()} == {("a/x.txt", "changed"), ("new", "added"), (".hidden", "removed")}
+    (root / "link").symlink_to("new")
+    assert [tuple(r) for r in tree.problems(tree.listing(spark, str(root))).collect()] == [("link", "symbolic link")]
     with pytest.raises(files.ListingError):
-        packages.create_wacz(spark, str(folder), str(tmp_path / "two.wacz"))
+        tree.digest(spark, str(root))
 
 
 def test_zip_members(spark, tmp_path):
@@ -145,7 +172,7 @@ def test_bag(spark, tmp_path):
     (src / "a%b.txt").write_text("one")
     (src / "d" / "c.txt").write_text("two")
     bag = str(tmp_path / "bag")
-    packages.create_bag(str(src), bag, ["a%b.txt", "d/c.txt"], [("Source", "here")])
+    package_writer.create_bag(spark, str(src), bag, spark.createDataFrame([("a%b.txt",), ("d/c.txt",)], "path string"), [("Source", "here")])
     assert packages.validate_bag(spark, bag).collect() == []
     with open(os.path.join(bag, "bag-info.txt")) as f:
         assert f.read() == "Source: here\nPayload-Oxum: 6.2\n"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vellumspark.functions.urls import cdx_timestamp, rfc3339, surt
 from vellumspark.operators.inventory import fixity_diff
-from vellumspark.sources import files
+from vellumspark.sources import files, tree
 
 # What a bag declares of itself.
 DECLARATION = "BagIt-Version: 1.0\nTag-File-Character-Encoding: UTF-8\n"
@@ -31,9 +31,9 @@ def bag_info(lines: list[tuple[str, str]]) -> bytes:
 
 def validate_bag(spark: SparkSession, root: str) -> DataFrame:
     """path, problem and field of everything in a bag that is not as its manifests say."""
-    rows, odd = files.walk(root)
-    listing = spark.createDataFrame([(r[0], r[2]) for r in rows if r[1] == "file"], "path string, size long")
-    out = spark.createDataFrame([(p, w, None) for p, w in odd], "path string, problem string, field string")
+    found = tree.listing(spark, root)
+    listing = found.where("type = 'file'").select("path", "size")
+    out = tree.problems(found).select("path", F.col("warning").alias("problem"), F.lit(None).cast("string").alias("field"))
     with open(os.path.join(root, "bagit.txt"), encoding="utf-8") as f:
         if not declaration_valid(f.read()):
             out = out.unionByName(spark.createDataFrame([("bagit.txt", "declaration", None)], out.schema))
@@ -63,36 +63,6 @@ def hashed(paths: DataFrame, root: str, algorithm: str) -> DataFrame:
     return paths.mapInPandas(run, "path string, digest string")
 
 
-def create_bag(source: str, dest: str, paths: list[str], info: list[tuple[str, str]], algorithm: str = "sha256") -> None:
-    """Copy the chosen files into a new bag; the folder appears whole or not at all."""
-    from shutil import copyfile
-
-    from vellumspark.sources.files import hash_file
-
-    if os.path.exists(dest):
-        raise FileExistsError(dest)
-    stage = f"{dest}.part"
-    sums, total = [], 0
-    for p in sorted(paths):
-        to = os.path.join(stage, "data", p)
-        os.makedirs(os.path.dirname(to), exist_ok=True)
-        before = hash_file(os.path.join(source, p), algorithm)
-        copyfile(os.path.join(source, p), to)
-        if hash_file(to, algorithm) != before:
-            raise files.ListingError(f"{p} changed while it was copied")
-        name = p.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
-        sums.append(f"{before}  data/{name}\n")
-        total += os.path.getsize(to)
-    os.makedirs(stage, exist_ok=True)
-    oxum = ("Payload-Oxum", f"{total}.{len(paths)}")
-    tags = {"bagit.txt": DECLARATION.encode(), "bag-info.txt": bag_info([*info, oxum]), f"manifest-{algorithm}.txt": "".join(sums).encode()}
-    tags[f"tagmanifest-{algorithm}.txt"] = "".join(f"{hashlib.new(algorithm, v).hexdigest()}  {k}\n" for k, v in sorted(tags.items())).encode()
-    for name, data in tags.items():
-        with open(os.path.join(stage, name), "wb") as f:
-            f.write(data)
-    os.rename(stage, dest)
-
-
 def index_lines(records: DataFrame) -> DataFrame:
     """Index lines of WARC records, in order of key and time."""
     from vellumspark.operators.catalogue import cdx_lines
@@ -106,55 +76,6 @@ def page_lines(pages: list[dict]) -> bytes:
     return (dump({"format": "json-pages-1.0", "id": "pages", "title": "All Pages"}) + "".join(dump(p) for p in pages)).encode()
 
 
-def create_wacz(spark: SparkSession, warc_folder: str, dest: str, title: str = "") -> None:
-    """A WACZ of a folder's WARC files: stored archives, sorted index, pages and a package
-    description. Records are read and sorted by the cluster; Spark has no ZIP sink, so lines
-    stream to the driver."""
-    from vellumspark.operators.catalogue import pages
-    from vellumspark.sources.warc import WarcDataSource
-
-    if os.path.exists(dest):
-        raise FileExistsError(dest)
-    spark.dataSource.register(WarcDataSource)
-    records = spark.read.format("warc").option("path", warc_folder).load().drop("entity")
-    records.persist()
-    lines = "".join(r["line"] + "\n" for r in index_lines(records).toLocalIterator()).encode()
-    html = records.where("status = 200 and mime = 'text/html'").select("url", F.col("date").alias("timestamp"), "filename", "offset")
-    found = [{"id": r["id"], "url": r["url"], "ts": r["timestamp"]} for r in pages(html).orderBy("url", "timestamp").toLocalIterator()]
-    records.unpersist()
-    members = {"indexes/index.cdx": lines, "pages/pages.jsonl": page_lines(found)}
-    names = sorted(n for n in os.listdir(warc_folder) if n.lower().endswith((".warc", ".warc.gz")))
-    resources = []
-    with zipfile.ZipFile(f"{dest}.part", "w", zipfile.ZIP_STORED) as z:
-        for n in names:
-            digest, size = copied(z, os.path.join(warc_folder, n), f"archive/{n}")
-            resources.append({"name": n, "path": f"archive/{n}", "hash": f"sha256:{digest}", "bytes": size})
-        for n, data in members.items():
-            z.writestr(n, data)
-            resources.append({"name": os.path.basename(n), "path": n, "hash": f"sha256:{hashlib.sha256(data).hexdigest()}", "bytes": len(data)})
-        package = json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "title": title, "resources": resources}, sort_keys=True, indent=2).encode()
-        z.writestr("datapackage.json", package)
-        z.writestr("datapackage-digest.json", json.dumps({"path": "datapackage.json", "hash": f"sha256:{hashlib.sha256(package).hexdigest()}"}, sort_keys=True).encode())
-    os.link(f"{dest}.part", dest)
-    os.unlink(f"{dest}.part")
-
-
-def copied(z: zipfile.ZipFile, path: str, name: str) -> tuple[str, int]:
-    """Store a file in a package in blocks; digest and size of what was stored. A file that is another one
-    before, while and after it is copied is an error."""
-    before, seen = os.stat(path), files.hash_file(path)
-    h, size = hashlib.sha256(), 0
-    with open(path, "rb") as f, z.open(name, "w", force_zip64=True) as to:
-        while block := f.read(files.BLOCK):
-            h.update(block)
-            to.write(block)
-            size += len(block)
-        after = os.fstat(f.fileno())
-    if h.hexdigest() != seen or (before.st_ino, before.st_size, before.st_mtime_ns) != (after.st_ino, after.st_size, after.st_mtime_ns):
-        raise files.ListingError(f"{path} changed while it was copied")
-    return seen, size
-
-
 def package_index(spark: SparkSession, path: str) -> DataFrame:
     """line, value and late (before the line above it, by key and time) of a package's index, streamed by a task."""
     import pandas as pd

@@ -10,10 +10,10 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from vellumspark.operators import collections, evidence, inventory, packages, publish
+from vellumspark.operators import collections, evidence, inventory, package_writer, packages, publish
 from vellumspark.plans.common import table
-from vellumspark.sources import access, files, warc, warc_splits, zip_members
-from vellumspark.sources.shared import drop_at_exit, shared_folder
+from vellumspark.sources import access, files, tree, warc, warc_splits, zip_members
+from vellumspark.sources.shared import drop_at_exit, shared_folder, written
 
 DATE = "date_format(timestamp_seconds(1577836800 + page_id * 61), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
 STATUS = "case page_id % 10 when 0 then 301 when 1 then 404 else 200 end"
@@ -96,7 +96,7 @@ def package_problems(spark, sf_dir):
     """A package of the archives is clean; one with a changed member, page and index line is not."""
     folder = _warcs(spark, sf_dir)
     at = os.path.join(new_folder(spark, "wacz"), "a.wacz")
-    packages.create_wacz(spark, folder, at, "pages")
+    package_writer.create_wacz(spark, folder, at, "pages")
     bad = f"{at[:-5]}-bad.wacz"
     with zipfile.ZipFile(at) as z, zipfile.ZipFile(bad, "w") as to:
         for m in z.infolist():
@@ -124,7 +124,7 @@ def package_pages(spark, sf_dir):
     """The page list and index of a package, read back."""
     folder = _warcs(spark, sf_dir)
     at = os.path.join(new_folder(spark, "wacz"), "a.wacz")
-    packages.create_wacz(spark, folder, at, "pages")
+    package_writer.create_wacz(spark, folder, at, "pages")
     lines = packages.package_index(spark, at).select(F.regexp_extract("value", r'"url":"([^"]*)"', 1).alias("url"), F.split_part("value", F.lit(" "), F.lit(2)).alias("stamp"))
     with zipfile.ZipFile(at) as z:
         listed = [json.loads(x) for x in z.read("pages/pages.jsonl").decode().splitlines()][1:]
@@ -252,15 +252,14 @@ OBJECTS_SQL = f"""with t as ({TREE_SQL}) select path, 'file' as type, strlen(con
 def tree_changes(spark, sf_dir):
     """What a manifest and its tree differ in, after files were changed, added and removed."""
     folder = _tree(spark, sf_dir)
-    before = publish.tree_entries(folder)
+    before = written(files.objects(spark, folder)[0])
     with open(os.path.join(folder, "added"), "w") as f:
         f.write("x")
-    changed = sorted(e["path"] for e in before if e["type"] == "file")
-    with open(os.path.join(folder, changed[0]), "a") as f:
+    first, last = before.where("type = 'file'").agg(F.min("path"), F.max("path")).first()
+    with open(os.path.join(folder, first), "a") as f:
         f.write("more")
-    os.unlink(os.path.join(folder, changed[-1]))
-    stated = spark.createDataFrame([(e["path"], e["type"], e.get("size", 0), e.get("sha256", inventory.EMPTY_SHA256)) for e in before], "path string, type string, size long, sha256 string")
-    return inventory.fixity_diff(stated, files.objects(spark, folder)[0])
+    os.unlink(os.path.join(folder, last))
+    return inventory.fixity_diff(before, files.objects(spark, folder)[0])
 
 
 CHANGES_SQL = f"""with t as ({TREE_SQL}) select 'added' as path, 'unexpected' as problem, null as field union all select min(path), 'mismatch', unnest(['size', 'sha256']) from t union all select max(path), 'missing', null from t"""
@@ -269,11 +268,11 @@ CHANGES_SQL = f"""with t as ({TREE_SQL}) select 'added' as path, 'unexpected' as
 def bag_problems(spark, sf_dir):
     """A bag of a tree is valid; after changes to its files it is not."""
     folder, to = _tree(spark, sf_dir), os.path.join(new_folder(spark, "bag"), "b")
-    paths = [r[0] for r in files.walk(folder)[0] if r[1] == "file"]
-    packages.create_bag(folder, to, paths, [("Source-Organization", "none")])
+    paths = tree.listing(spark, folder).where("type = 'file'").select("path")
+    package_writer.create_bag(spark, folder, to, paths, [("Source-Organization", "none")])
     clean = packages.validate_bag(spark, to).select(F.lit("clean").alias("bag"), "*")
     found = clean.count()
-    with open(os.path.join(to, "data", sorted(paths)[0]), "w") as f:
+    with open(os.path.join(to, "data", paths.agg(F.min("path")).first()[0]), "w") as f:
         f.write("changed")
     with open(os.path.join(to, "data", "new"), "w") as f:
         f.write("")

@@ -1,7 +1,7 @@
 """Folders, manifests and text indexes as DataFrames.
 
 Spark's own file sources hide names that begin with a dot or underscore and empty folders, so
-folders are listed on the driver and files are hashed by the cluster, which needs the folder
+folders are listed (``tree``) and files hashed by the cluster, which needs the folder
 mounted on the executors as a preservation archive is.
 """
 
@@ -72,19 +72,14 @@ def hash_file(path: str, algorithm: str = "sha256", size: int | None = None, mti
 def objects(spark: SparkSession, root: str, exclude: tuple = (), strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """(path, type, size, sha256) of every file and folder, and (path, warning). Strictly, a link
     or special file is an error."""
-    rows, odd = walk(root, exclude)
-    if strict and odd:
-        raise ListingError(f"{odd[0][0]}: {odd[0][1]}")
-    listing = spark.createDataFrame(rows, LISTING)
-    parts = max(1, min(len(rows) // 16 + 1, 8 * spark.sparkContext.defaultParallelism))
-
-    def digest(batches):
-        for b in batches:
-            sums = [EMPTY_SHA256 if t == "directory" else hash_file(os.path.join(root, p), "sha256", s, m, i) for p, t, s, m, i in zip(b["path"], b["type"], b["size"], b["mtime_ns"], b["inode"])]
-            yield pd.DataFrame({"path": b["path"], "type": b["type"], "size": b["size"], "sha256": sums})
-
-    hashed = listing.repartition(parts).mapInPandas(digest, "path string, type string, size long, sha256 string")
-    return hashed.orderBy("path"), spark.createDataFrame(odd, WARNINGS)
+    from vellumspark.sources import tree
+
+    listed = tree.listing(spark, root, exclude)
+    odd = tree.problems(listed).orderBy("path")
+    if strict and (first := odd.first()):
+        raise ListingError(f"{first['path']}: {first['warning']}")
+    hashed = tree.hashed(listed, root).select("path", "type", "size", F.coalesce("digest", F.lit(EMPTY_SHA256)).alias("sha256"))
+    return hashed.orderBy("path"), odd
 
 
 def named_files(listing: DataFrame, suffix: str = "") -> tuple[DataFrame, DataFrame]:
