@@ -75,3 +75,28 @@ def test_summaries(spark):
     c = spark.createDataFrame([("b", "B"), ("a", "A")], "collection_id string, label string")
     s = spark.createDataFrame([("a", True), ("a", False)], "collection_id string, required boolean")
     assert [tuple(r) for r in evidence.collection_summaries(c, s).collect()] == [("a", "A", 2, 1), ("b", "B", 0, 0)]
+
+
+@pytest.mark.parametrize("budgets", [(100, 230, 1000), (1000, 1000, 4), (64, 64, 9), (10, 5, 3), (1 << 30, 1 << 30, 1 << 30)])
+def test_budgets_as_one_reader_takes_them(spark, budgets):
+    """The same records and warnings as from reading file after file, cut at the bytes of each and of all."""
+    import random
+
+    r = random.Random(5)
+    rows = [(f"f{r.randint(0, 5)}", k, r.choice([0, 3, 17, 40])) for k in range(90)]
+    per_file, total, most = budgets
+    want, cut, used = [], {}, 0
+    for name in sorted({x[0] for x in rows}):
+        size, limit = sum(x[2] for x in rows if x[0] == name), min(per_file, max(0, total - used))
+        at = 0
+        for _, offset, n in sorted(x for x in rows if x[0] == name):
+            at += n
+            if at <= limit and len(want) < most:
+                want.append((name, offset, n))
+        used += min(size, limit)
+        if size > limit:
+            cut[name] = "byte limit reached" if not limit else f"cut at {limit} bytes"
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "filename string, offset long, size long").repartition(3)
+    taken, warnings = evidence.within_budgets(df, "size", *budgets)
+    assert sorted(tuple(x) for x in taken.select("filename", "offset", "size").collect()) == want
+    assert {x["filename"]: x["warning"] for x in warnings.collect()} == cut

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from vellumspark.functions import urls
 from vellumspark.operators.inventory import fixity_diff
 from vellumspark.operators.publish import bundle_digest
+from vellumspark.operators.numbering import dense_ids, running_sum
 from vellumspark.sources.files import ListingError, hash_file, walk
+from vellumspark.sources.shared import written
 
 # Limits of probes, bundles and recovered payloads.
 PROBE_BYTES, PROBE_FILES, PROBE_TOTAL = 1 << 20, 256, 64 << 20
@@ -27,6 +29,24 @@ def observed_redirects(records: DataFrame) -> DataFrame:
     return out.where(urls.observed_safe(F.col("src")) & urls.observed_safe(F.col("dst"))).distinct()
 
 
+# Bytes of a file, bytes of all files and records that the search for redirects looks at.
+REDIRECT_FILE_BYTES, REDIRECT_BYTES, REDIRECT_RECORDS = 64 << 20, 256 << 20, 100_000
+
+
+def within_budgets(records: DataFrame, size: str = "size", file_bytes: int = REDIRECT_FILE_BYTES, all_bytes: int = REDIRECT_BYTES, most: int = REDIRECT_RECORDS) -> tuple[DataFrame, DataFrame]:
+    """The records (filename, offset, ``size``) that a reader meets who takes files by name, of each file no more than
+    ``file_bytes`` and of all no more than ``all_bytes``, and stops after ``most`` records that are whole; and warnings (filename,
+    warning) for the files that were cut or left. Places are sums over the whole table, found by ranges."""
+    placed = written(running_sum(records, ["filename", "offset"], size, "_before"))
+    of_file = written(placed.groupBy("filename").agg(F.sum(size).alias("_size"), F.min("_before").alias("_first")).withColumn("_taken", F.least("_size", F.lit(file_bytes))))
+    limits = running_sum(of_file, ["filename"], "_taken", "_used").withColumn("_limit", F.least(F.lit(file_bytes), F.greatest(F.lit(all_bytes) - F.col("_used"), F.lit(0))))
+    limits = written(limits.select("filename", "_size", "_first", "_limit"))
+    whole = placed.join(limits, "filename").where(F.col("_before") - F.col("_first") + F.col(size) <= F.col("_limit"))
+    numbered = dense_ids(written(whole.drop("_before", "_size", "_first", "_limit")), ["filename", "offset"], "_n")
+    warning = F.when(F.col("_limit") == 0, "byte limit reached").when(F.col("_size") > F.col("_limit"), F.concat(F.lit("cut at "), F.col("_limit"), F.lit(" bytes")))
+    return numbered.where(F.col("_n") <= most).drop("_n"), limits.select("filename", warning.alias("warning")).where("warning is not null")
+
+
 def has_web_records(spark: SparkSession, folder: str, prefix: int = PROBE_BYTES) -> bool:
     """Whether the beginnings of a folder's web archives hold any response or resource. Files are
     taken in order within the budget of files and bytes, and probed by one job, which ends at the first."""

@@ -7,6 +7,8 @@ table, ``dense_ids`` does so without putting it into one partition.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumspark.sources.shared import written
+
 
 def dense_ids(df: DataFrame, order: list[str], name: str = "docid") -> DataFrame:
     """1..n in the order of the columns: range partitions are sorted alone, and each is shifted by
@@ -20,6 +22,18 @@ def dense_ids(df: DataFrame, order: list[str], name: str = "docid") -> DataFrame
     return marked.join(F.broadcast(shift), "_part").withColumn(name, F.col("_at") + F.col("_shift") + 1).drop("_part", "_at", "_shift")
 
 
+def running_sum(df: DataFrame, order: list[str], value: str, name: str = "before") -> DataFrame:
+    """The sum of ``value`` over all rows before each in the order of the columns, over the whole table: range partitions are
+    written sorted, each sums its own rows, and only their totals come together. Rows alike in order stand in any order."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    shift = rows.groupBy("_part").agg(F.sum(value).alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(above), F.lit(0)).alias("_shift"))
+    own = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(F.broadcast(shift), "_part").withColumn(name, F.col("_shift") + F.coalesce(F.sum(value).over(own), F.lit(0))).drop("_part", "_at", "_shift")
+
+
 def occurrence(df: DataFrame, keys: list[str], order: list[str], name: str = "occurrence") -> DataFrame:
     """How often a key has stood so far, this row included."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -92,6 +92,26 @@ def warc_redirects(spark, sf_dir):
 REDIRECTS_SQL = """select distinct url as src, regexp_extract(url, '^https?://[^/]+') || '/moved/' || page_id as dst, true as probed from pages where page_id % 10 = 0"""
 
 
+#: Budgets that bite on the smallest tables: bytes of a file, of all files, and records.
+BUDGETS = (40_000, 150_000, 40)
+
+
+def redirect_budgets(spark, sf_dir):
+    """The records, seven files of pages, that the search for redirects looks at within its budgets, and the files that it cut."""
+    records = table(spark, sf_dir, "pages").select(F.expr(FILE).alias("filename"), F.col("page_id").alias("offset"), F.octet_length("html").cast("long").alias("size"))
+    taken, warnings = evidence.within_budgets(records, "size", *BUDGETS)
+    return taken.select("filename", "offset", "size", F.lit(None).cast("string").alias("warning")).unionByName(warnings.select("filename", F.lit(None).cast("long").alias("offset"), F.lit(None).cast("long").alias("size"), "warning"))
+
+
+BUDGETS_SQL = f"""with r as (select {FILE} as filename, page_id as "offset", strlen(html) as size from pages),
+e as (select *, sum(size) over (partition by filename order by "offset") as stop from r),
+f as (select filename, sum(size) as whole from r group by filename),
+l as (select filename, whole, least({BUDGETS[0]}, greatest(0, {BUDGETS[1]} - coalesce(sum(least(whole, {BUDGETS[0]})) over (order by filename rows between unbounded preceding and 1 preceding), 0))) as cap from f),
+k as (select filename, "offset", size, row_number() over (order by filename, "offset") as n from e join l using (filename) where stop <= cap)
+select filename, "offset", size, null as warning from k where n <= {BUDGETS[2]}
+union all select filename, null, null, case when cap = 0 then 'byte limit reached' else 'cut at ' || cap::bigint || ' bytes' end from l where whole > cap"""
+
+
 def package_problems(spark, sf_dir):
     """A package of the archives is clean; one with a changed member, page and index line is not."""
     folder = _warcs(spark, sf_dir)
@@ -401,6 +421,7 @@ PUBLISHED_SQL = """select r_regionkey, 'built,reused,replaced' as states, 'true,
 QUERIES = {
     "warc_records": (warc_records, WARC_SQL),
     "warc_split_scan": (warc_split_scan, SPLIT_SQL),
+    "redirect_budgets": (redirect_budgets, BUDGETS_SQL),
     "zip_tei": (zip_tei, TEI_ZIP_SQL),
     "warc_redirects": (warc_redirects, REDIRECTS_SQL),
     "package_problems": (package_problems, PACKAGE_SQL),
