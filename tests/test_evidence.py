@@ -100,3 +100,40 @@ def test_budgets_as_one_reader_takes_them(spark, budgets):
     taken, warnings = evidence.within_budgets(df, "size", *budgets)
     assert sorted(tuple(x) for x in taken.select("filename", "offset", "size").collect()) == want
     assert {x["filename"]: x["warning"] for x in warnings.collect()} == cut
+
+
+def test_pointers_move_together_or_not_at_all(tmp_path, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from vellumspark.operators import publish
+
+    root = str(tmp_path)
+    for g in "abcdefgh":
+        (tmp_path / g).mkdir()
+    at = lambda g: str(tmp_path / g)
+    read = lambda n: publish.read_pointer(at(n), root)
+    assert publish.record_validation(root, at("a"), False) and read("LATEST") == at("a") and read("LATEST-VALIDATED") is None
+    assert publish.record_validation(root, at("b"), True) and read("LATEST") == read("LATEST-VALIDATED") == at("b")
+    real = publish.atomic_write
+
+    def failing(path, data, replace=True):
+        if path.endswith("VALIDATED"):
+            raise OSError("disk full")
+        return real(path, data, replace)
+
+    monkeypatch.setattr(publish, "atomic_write", failing)
+    with pytest.raises(OSError):
+        publish.record_validation(root, at("c"), True)
+    monkeypatch.setattr(publish, "atomic_write", real)
+    assert read("LATEST") == read("LATEST-VALIDATED") == at("b") and not (tmp_path / ".claim").exists()
+    with pytest.raises(ListingError):
+        publish.move_together(root, {"NEW": at("c"), "LATEST": str(tmp_path / "nowhere")})
+    assert read("NEW") is None and read("LATEST") == at("b")
+    with ThreadPoolExecutor(6) as pool:
+        won = list(pool.map(lambda g: publish.move_together(root, {"LATEST": at(g)}, {"LATEST": at("b")}), "cdefgh"))
+    assert sum(won) == 1 and read("LATEST") == at("cdefgh"[won.index(True)])
+    (tmp_path / ".claim").write_text("lost")
+    assert not publish.move_together(root, {"LATEST": at("a")})
+    with publish.Claim(root, stale=-1) as claim:
+        assert claim.held
+    assert publish.move_together(root, {"LATEST": at("a")}) and read("LATEST") == at("a")

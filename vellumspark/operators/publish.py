@@ -5,11 +5,13 @@ staged beside its place and renamed into it; an equal one that is already there
 different or broken one is set aside. Pointers are small files that are replaced whole.
 """
 
+import contextlib
 import hashlib
 import json
 import os
 import shutil
 import stat
+import time
 import uuid
 from collections.abc import Callable
 
@@ -149,6 +151,64 @@ def move_pointer(path: str, root: str, target: str, order: Callable[[str], str]
     return atomic_write(path, (os.path.relpath(target, root) + "\n").encode())
 
 
+class Claim:
+    """The right to move pointers of a folder: held by whoever made the claim file; others get ``held`` False. A claim older
+    than ``stale`` seconds was left by a lost writer and is taken over, by one writer only."""
+
+    def __init__(self, root: str, stale: float = 3600):
+        self.path, self.stale, self.held = os.path.join(root, ".claim"), stale, False
+        self.name = uuid.uuid4().hex.encode()
+
+    def __enter__(self) -> "Claim":
+        self.held = atomic_write(self.path, self.name, replace=False)
+        if not self.held:
+            with contextlib.suppress(FileNotFoundError):
+                if time.time() - os.stat(self.path).st_mtime > self.stale:
+                    os.rename(self.path, f"{self.path}.{uuid.uuid4().hex}")  # of several writers one renames it
+                    self.held = atomic_write(self.path, self.name, replace=False)
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.held:
+            os.unlink(self.path)
+
+
+def move_together(root: str, moves: dict[str, str], expected: dict[str, str | None] | None = None) -> bool:
+    """Point each pointer of ``root`` to its folder, all or none. ``expected``: what pointers must name at the moment (None:
+    nothing), else nothing moves and False is returned, as it is if another writer is at work. If a move fails, those made
+    before it are taken back and the error goes on."""
+    with Claim(root) as claim:
+        if not claim.held:
+            return False
+        for name, want in (expected or {}).items():
+            if read_pointer(os.path.join(root, name), root) != want:
+                return False
+        before = []
+        try:
+            for name, target in moves.items():
+                path = os.path.join(root, name)
+                old = None
+                if os.path.lexists(path):
+                    with open(path, "rb") as f:
+                        old = f.read()
+                atomic_write(path, (os.path.relpath(target, root) + "\n").encode())
+                before.append((path, old))
+                read_pointer(path, root)
+        except Exception:
+            for path, old in reversed(before):
+                if old is None:
+                    os.unlink(path)
+                else:
+                    atomic_write(path, old)
+            raise
+        return True
+
+
+def record_validation(root: str, target: str, success: bool, latest: str = "LATEST", validated: str = "LATEST-VALIDATED") -> bool:
+    """The pointer to the latest validation always moves, that to the latest good one only on success, both or none."""
+    return move_together(root, {latest: target} | ({validated: target} if success else {}))
+
+
 def resolve_capture(root: str, explicit: str | None, pointers: list[str]) -> str:
     """An explicit folder, else the first pointer that exists; a broken one is an error, and is not
     passed over for the next."""

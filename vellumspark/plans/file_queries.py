@@ -1,6 +1,7 @@
 """Queries over file sources. Each writes files made of a whole table to a folder that driver and
 executors share, reads them back with the engine's own sources, and reports what it finds."""
 
+import contextlib
 import json
 import os
 import tempfile
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from vellumspark.operators import collections, evidence, inventory, package_writer, packages, publish
 from vellumspark.plans.common import table
 from vellumspark.sources import access, files, tree, warc, warc_splits, zip_members
+from vellumspark.sources.files import ListingError
 from vellumspark.sources.shared import drop_at_exit, shared_folder, written
 
 DATE = "date_format(timestamp_seconds(1577836800 + page_id * 61), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
@@ -418,7 +420,44 @@ def published(spark, sf_dir):
 PUBLISHED_SQL = """select r_regionkey, 'built,reused,replaced' as states, 'true,false' as moved, 'g2' as current, sha256('{"name":"' || r_name || '","version":1}') as build,
  sha256('[{"path":"index.html","sha256":"' || sha256(r_name) || '","size":' || strlen(r_name) || ',"type":"file"}]') as tree from region"""
 
+
+
+def pointer_moves(spark, sf_dir):
+    """Pointers of each customer's folder after a good validation, a failed one, moves that break half way and a race, moved by the tasks."""
+    root = new_folder(spark, "pointers")
+
+    def one(k: int) -> tuple:
+        own = os.path.join(root, f"c{k}")
+        for g in ("g1", "g2", "g3"):
+            os.makedirs(os.path.join(own, g), exist_ok=True)
+        at = lambda g: os.path.join(own, g)
+        for name in ("LATEST", "LATEST-VALIDATED"):  # a task that runs twice starts anew
+            with contextlib.suppress(FileNotFoundError):
+                os.unlink(os.path.join(own, name))
+        publish.record_validation(own, at("g1"), k % 3 != 0)
+        publish.record_validation(own, at("g2"), k % 2 == 0)
+        failed = False
+        if k % 5 == 0:  # the second pointer can't be read afterwards, so the first goes back
+            try:
+                publish.move_together(own, {"LATEST": at("g3"), "LATEST-VALIDATED": at("gone")})
+            except ListingError:
+                failed = True
+        race = [publish.move_together(own, {"LATEST": at(g)}, {"LATEST": at("g2")}) for g in ("g3", "g1")] if k % 7 == 0 else []
+        named = [publish.read_pointer(os.path.join(own, n), own) for n in ("LATEST", "LATEST-VALIDATED")]
+        return k, *(n and os.path.basename(n) for n in named), failed, ",".join(str(r).lower() for r in race)
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([one(int(k)) for k in b["c_custkey"]], columns=["c_custkey", "latest", "validated", "failed", "race"])
+
+    return table(spark, sf_dir, "customer").select("c_custkey").mapInPandas(run, "c_custkey long, latest string, validated string, failed boolean, race string")
+
+
+POINTERS_SQL = """select c_custkey, case when c_custkey % 7 = 0 then 'g3' else 'g2' end as latest, case when c_custkey % 2 = 0 then 'g2' when c_custkey % 3 <> 0 then 'g1' end as validated, c_custkey % 5 = 0 as failed,
+ case when c_custkey % 7 = 0 then 'true,false' else '' end as race from customer"""
+
 QUERIES = {
+    "pointer_moves": (pointer_moves, POINTERS_SQL),
     "warc_records": (warc_records, WARC_SQL),
     "warc_split_scan": (warc_split_scan, SPLIT_SQL),
     "redirect_budgets": (redirect_budgets, BUDGETS_SQL),
