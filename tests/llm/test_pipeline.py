@@ -127,3 +127,17 @@ def test_query_matches_sql(spark, name):
     got = queries.queries()[name](spark, SF)
     columns = sorted(got.columns)
     assert sorted(map(str, (tuple(r) for r in got.select(columns).collect()))) == sorted(map(str, c.sql(f"select {', '.join(columns)} from ({queries.oracle_sql()[name]})").fetchall()))
+
+
+def test_every_stage_on_odd_tables(spark):
+    """Nulls in any column, empty and long texts, repeated rows, columns with clashing names, and no rows at all."""
+    text = " ".join(f"word{k}" for k in range(300)) + "."
+    rows = [(None, None, None, None, None, 1, "x"), (1, "", "en", "s", 0, 1, "x"), (2, text, None, None, None, 1, "x"), (2, text, None, None, None, 1, "x"), (None, text + " more", "en", None, 7, 1, "x"), (3, "plain words stand here. " * 20_000, "en", "s", 5, 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept int, _gone string")
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, "/root/testdata/sf0.001")
+            n = out.count()
+            last = name == corpus_pipeline.STAGES[-1][0]
+            assert last or out.columns == corpus_pipeline.COLUMNS, name
+            assert n <= table.count() and (n or table is not docs or name == "quality rules"), name
