@@ -110,11 +110,11 @@ union all select p_partkey, 'missing composition' from part where p_size <= 2 un
 def register_report(spark, sf_dir):
     """Gaps between a register's main class and the others; html is required."""
     li = table(spark, sf_dir, "lineitem")
-    ids = li.select(F.expr("case l_returnflag when 'A' then 'tei' when 'N' then 'analytic-html' else 'plaintext' end").alias("class"), F.col("l_partkey").alias("id")).distinct()
+    ids = li.select(F.expr("case when l_partkey % 9 = 4 then 'tei' when l_partkey % 7 = 3 then 'plaintext' when l_returnflag = 'A' then 'tei' when l_returnflag = 'N' then 'analytic-html' else 'plaintext' end").alias("class"), F.col("l_partkey").alias("id")).distinct()
     return collections.register_report(ids, ("analytic-html",))
 
 
-REGISTER_SQL = """with i as (select distinct case l_returnflag when 'A' then 'tei' when 'N' then 'analytic-html' else 'plaintext' end as class, l_partkey as id from lineitem),
+REGISTER_SQL = """with i as (select distinct case when l_partkey % 9 = 4 then 'tei' when l_partkey % 7 = 3 then 'plaintext' when l_returnflag = 'A' then 'tei' when l_returnflag = 'N' then 'analytic-html' else 'plaintext' end as class, l_partkey as id from lineitem),
 g as (select k.kind, 'missing' as side, t.id from (values ('analytic-html'), ('plaintext')) k(kind), i t where t.class = 'tei' and t.id not in (select id from i where class = k.kind)
  union all select class, 'unexpected', id from i where class <> 'tei' and id not in (select id from i where class = 'tei'))
 select case when side = 'missing' and kind = 'analytic-html' then 'error' else 'warning' end as severity, kind, side, count(*) as n, min(id) as first from g group by kind, side"""
@@ -122,7 +122,7 @@ select case when side = 'missing' and kind = 'analytic-html' then 'error' else '
 
 def aligned_records(spark, sf_dir):
     """Catalogue entries beside package records, and records that no entry has."""
-    c = table(spark, sf_dir, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("title"))
+    c = table(spark, sf_dir, "customer").select(F.expr("if(c_custkey % 20 = 3, -c_custkey, c_custkey)").alias("id"), F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("title"))
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderkey").alias("member"))
     return collections.aligned(c, o)
 
@@ -216,14 +216,14 @@ def query_checks(spark, sf_dir):
 
 def collection_summaries(spark, sf_dir):
     n = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("collection_id"), F.col("r_name").alias("label"))
-    s = table(spark, sf_dir, "nation").where("n_regionkey <> 2").select(F.col("n_regionkey").alias("collection_id"), (F.col("n_nationkey") % 2 == 0).alias("required"))
+    s = table(spark, sf_dir, "nation").select(F.expr("if(n_regionkey = 2, 1, n_regionkey)").alias("collection_id"), (F.col("n_nationkey") % 2 == 0).alias("required"))
     return evidence.collection_summaries(n, s)
 
 
 def logical_bytes(spark, sf_dir):
-    """The bytes of all records, up to a limit."""
-    e = table(spark, sf_dir, "events")
-    return evidence.logical_bytes(e.select(F.col("event_id").alias("length")), 1_000_000)
+    """The bytes of all pages, once up to a limit that they pass and once up to one that they don't."""
+    p = table(spark, sf_dir, "pages").select(F.octet_length("html").cast("long").alias("length"))
+    return evidence.logical_bytes(p, 10_000).unionByName(evidence.logical_bytes(p, 1 << 50))
 
 
 QUERIES = {
@@ -236,7 +236,7 @@ QUERIES = {
     "member_agreement": (member_agreement, AGREEMENT_SQL),
     "composition_gaps": (composition_gaps, GAPS_SQL),
     "register_report": (register_report, REGISTER_SQL),
-    "aligned_records": (aligned_records, "select coalesce(c_custkey, o_custkey) as id, c_custkey as ordinal, c_name as title, member from (select * from customer where c_nationkey < 20) full join (select o_custkey, min(o_orderkey) as member from orders group by 1) on c_custkey = o_custkey"),
+    "aligned_records": (aligned_records, "select coalesce(k, o_custkey) as id, c_custkey as ordinal, c_name as title, member from (select *, case when c_custkey % 20 = 3 then -c_custkey else c_custkey end as k from customer) full join (select o_custkey, min(o_orderkey) as member from orders group by 1) on k = o_custkey"),
     "translation_relations": (translation_relations, "select a.l_orderkey || '-' || a.l_linenumber as source_id, 'translation_of' as relation, b.l_orderkey || '-1' as target_id from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber in (2, 3) and b.l_linenumber = 1"),
     "download_coverage": (download_coverage, "select o_orderpriority, 348 + n as held, greatest(0, 10 - n) as missing from (select o_orderpriority, count(*) filter (o_totalprice > 150000) as n from orders group by 1)"),
     "recovered_payloads": (recovered_payloads, RECOVERED_SQL),
@@ -244,6 +244,6 @@ QUERIES = {
     "redirect_rules": (redirect_rules, RULES_SQL),
     "url_parts": (url_parts, PARTS_SQL),
     "query_checks": (query_checks, "select c_custkey, c_custkey % 10 in (3, 5, 7) or (c_custkey % 10 = 0 and not contains(c_name, '#')) as ok from customer"),
-    "collection_summaries": (collection_summaries, "select r_regionkey as collection_id, r_name as label, coalesce(n, 0) as sources, coalesce(q, 0) as required from region left join (select n_regionkey, count(*) as n, count(*) filter (n_nationkey % 2 = 0) as q from nation where n_regionkey <> 2 group by 1) on r_regionkey = n_regionkey"),
-    "logical_bytes": (logical_bytes, "select least(sum(event_id)::bigint, 1000000) as bytes from events"),
+    "collection_summaries": (collection_summaries, "select r_regionkey as collection_id, r_name as label, coalesce(n, 0) as sources, coalesce(q, 0) as required from region left join (select n_regionkey, count(*) as n, count(*) filter (n_nationkey % 2 = 0) as q from (select n_nationkey, case when n_regionkey = 2 then 1 else n_regionkey end as n_regionkey from nation) group by 1) on r_regionkey = n_regionkey"),
+    "logical_bytes": (logical_bytes, "select least(sum(strlen(html))::bigint, unnest([10000, 1125899906842624])) as bytes from pages"),
 }

@@ -58,12 +58,13 @@ union all select doc_id, 'unexpected' from (select distinct doc_id from labels)
 
 
 def customer_gaps(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
+    """Expected customers against those of orders; a fortieth is expected under another number."""
+    c, o = table(spark, sf_dir, "customer").select(F.expr("if(c_custkey % 40 = 7, -c_custkey, c_custkey)").alias("id")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
     return inventory.gaps(c, o, "id")
 
 
-CUSTOMER_SQL = """select c_custkey as id, 'missing' as side from customer where c_custkey not in (select o_custkey from orders)
-union all select distinct o_custkey, 'unexpected' from orders where o_custkey not in (select c_custkey from customer)"""
+CUSTOMER_SQL = """with c as (select case when c_custkey % 40 = 7 then -c_custkey else c_custkey end as id from customer)
+select id, 'missing' as side from c where id not in (select o_custkey from orders) union all select distinct o_custkey, 'unexpected' from orders where o_custkey not in (select id from c)"""
 
 
 def duplicate_texts(spark, sf_dir):
