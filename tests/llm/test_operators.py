@@ -431,6 +431,9 @@ def test_url_vocabulary(spark):
     out = url_vocab.judge(df).orderBy("page_id").collect()
     assert [(r["url"], r["host"], r["path"], r["rule"], r["verdict"]) for r in out] == cases
     assert url_vocab.judge(df.limit(0)).count() == 0
+    for name in ("host", "path", "rule", "verdict", "vocabulary_weight"):  # the column may be called like a result
+        again = url_vocab.judge(df.select("page_id", F.col("url").alias(name)), name).orderBy("page_id").collect()
+        assert [(r["verdict"], r["vocabulary_weight"]) for r in again] == [(r["verdict"], r["vocabulary_weight"]) for r in out]
 
 
 # decontamination

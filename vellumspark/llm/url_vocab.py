@@ -76,11 +76,12 @@ def vocabulary_weight(url: Column, strict=tuple(STRICT), soft=tuple(SOFT)) -> Co
 def judge(pages: DataFrame, url: str = "url", rules=tuple(RULES)) -> DataFrame:
     """Add host, path, rule, vocabulary_weight and verdict."""
     u = F.coalesce(F.col(f"`{url}`"), F.lit(""))
-    out = pages.withColumns({"host": F.translate(F.regexp_extract(u, HOST, 1), UPPER, LOWER), "path": F.regexp_extract(u, PATH, 1)})
+    own = {"host": F.translate(F.regexp_extract(u, HOST, 1), UPPER, LOWER), "path": F.regexp_extract(u, PATH, 1), "vocabulary_weight": vocabulary_weight(F.col(f"`{url}`"))}
+    out = pages.withColumns(own)  # all of the column as it was, which may bear one of these names
     rule, by_rule = F.lit(None).cast("string"), F.lit(None).cast("string")
     for host, path, verdict in sorted(rules, key=lambda r: len(r[0]) + len(r[1])):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         rule, by_rule = F.when(fits, F.lit(host + path)).otherwise(rule), F.when(fits, F.lit(verdict)).otherwise(by_rule)
-    out = out.withColumns({"rule": rule, "verdict": by_rule, "vocabulary_weight": vocabulary_weight(F.col(f"`{url}`"))})
+    out = out.withColumns({"rule": rule, "verdict": by_rule})
     method = F.when(F.col("vocabulary_weight") >= BLOCK_WEIGHT, "block").otherwise("allow")
     return out.withColumn("verdict", F.coalesce("verdict", method))
