@@ -10,7 +10,7 @@ from vellumspark.operators import collections, evidence, graphs, query_language
 from vellumspark.plans.common import table
 
 #: A composition's identifier from a part's key.
-UNTRANSLATED = [f"{k % 7 + 1}.{k % 31 + 1}.{k}" for k in range(1, 60)]
+UNTRANSLATED = [f"{k % 7 + 1}.{k % 31 + 1}.{k}" for k in range(60)]
 IDENT = "(p_partkey % 7 + 1) || '.' || (p_partkey % 31 + 1) || '.' || p_partkey"
 
 
