@@ -11,12 +11,13 @@ from vellumspark.sources.shared import written
 
 
 def dense_ids(df: DataFrame, order: list[str], name: str = "docid") -> DataFrame:
-    """1..n in the order of the columns: range partitions are sorted alone, and each is shifted by
-    the rows before it. Only one count for each partition comes together."""
+    """1..n in the order of the columns: range partitions are written sorted, and each is shifted by
+    the rows before it. Only one count for each partition comes together. Bounds of ranges are sampled anew
+    by every plan that reads them, so rows and counts must come from what was written once."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    marked = ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    marked = written(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
     shift = marked.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
     return marked.join(F.broadcast(shift), "_part").withColumn(name, F.col("_at") + F.col("_shift") + 1).drop("_part", "_at", "_shift")
