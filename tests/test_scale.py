@@ -1,11 +1,59 @@
 """Cases that only tables larger than the samples show."""
 
+import io
+import json
+
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from vellumspark.operators import catalogue
+from vellumspark.plans import file_queries, registry
+from vellumspark.sources import access, json_parts
+from vellumspark.sources.files import ListingError
 
 
 def test_dense_ids_of_more_rows_than_the_bounds_are_sampled_from(spark):
     d = spark.range(60_000, numPartitions=8).select((F.col("id") * 7919 % 60_000).alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.lit("en").alias("lang"), F.concat(F.lit("t"), "id").alias("text"))
     got = [tuple(r) for r in catalogue.from_documents(d).select("docid", "collection_id", "representation_id", "body_sha256").collect()]
     assert sorted(x[:3] for x in got) == [(k, *x) for k, x in enumerate(sorted(x[1:3] for x in got), 1)]
+
+
+def rows_and_sql(spark, query, folder, tables):
+    """The rows of a query over a folder and those of its SQL."""
+    run, sql = registry.queries()[query], registry.oracle_sql()[query]
+    c = duckdb.connect()
+    for t in tables:
+        c.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    got = run(spark, str(folder))
+    columns = sorted(got.columns)
+    names = ", ".join(f'"{x}"' for x in columns)
+    return sorted(map(str, (tuple(r) for r in got.select(columns).collect()))), sorted(map(str, c.sql(f"select {names} from ({sql})").fetchall()))
+
+
+def customers(folder, n, nations):
+    duckdb.connect().execute(f"copy (select i as c_custkey, 'Customer' || i as c_name, (i % {nations})::int as c_nationkey, 'BUILDING' as c_mktsegment from range({n}) t(i)) to '{folder}/customer.parquet'")
+
+
+def test_a_graph_is_streamed(monkeypatch):
+    monkeypatch.setattr(json_parts, "CHUNK", 64)
+    doc = {"relations": None, "items": [{"id": f"é{k}", "x": ["]", {"a": "\\"}]} for k in range(1000)], "more": [1, 2.5], "artifacts": []}
+    f = io.StringIO(json.dumps(doc, indent=1, ensure_ascii=False))
+    rows = json_parts.parts_of(f, "collection", ["items", "artifacts", "relations"])
+    first = next(rows)
+    assert f.tell() < 1000 and (first[:3], json.loads(first[3])) == ((0, "items", 0), doc["items"][0])
+    rest = list(rows)
+    assert [json.loads(r[3]) for r in rest[:-1]] == doc["items"][1:] and rest[-1] == (0, "collection", 0, "null")
+    for bad in ('{"items":[1,]}', '{"items":{}}', '{"items":[1]', '{"items":[]} x', '{"items":[],"items":[]}', "[{}"):
+        with pytest.raises(ListingError):
+            list(json_parts.parts_of(io.StringIO(bad), "collection", ["items"]))
+    assert list(json_parts.parts_of(io.StringIO('[{"collection": 12}, {}]'), "collection", [])) == [(0, "collection", 0, "12"), (1, "collection", 0, "null")]
+
+
+def test_no_task_holds_a_graph(spark, tmp_path):
+    """Elements reach Spark as rows of their own, so the widest row is that of an element."""
+    customers(tmp_path, 4_300, 2)
+    folder = file_queries._graphs(spark, str(tmp_path))
+    n = json_parts.json_parts(spark, f"file://{folder}", "collection", ["items", "artifacts", "relations"]).groupBy("part").agg(F.count("*").alias("n"), F.max(F.length("value")).alias("size"))
+    got = {r["part"]: (r["n"], r["size"] < 2000) for r in n.collect()}
+    assert got == {"collection": (2, True), "items": (4_300, True), "artifacts": (4_300, True), "relations": (2, True)}

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from vellumspark.functions.urls import access_id_valid, route_valid
 from vellumspark.operators import graphs, model
 from vellumspark.sources.files import json_lines
+from vellumspark.sources.json_parts import json_parts
+from vellumspark.sources.shared import written
 
 SEGMENT = "struct<id:string,label:string,route:string>"
 FACET = "struct<key:string,label:string,values:array<string>,artifact_ids:array<string>,note:string>"
 REPRESENTATION = f"struct<id:string,label:string,kind:string,language:string,route:string,artifact_ids:array<string>,segments:array<{SEGMENT}>,segment_index:string>"
 ITEM = f"struct<id:string,label:string,type:string,route:string,citation:string,rights:array<string>,facets:array<{FACET}>,representations:array<{REPRESENTATION}>>"
 ARTIFACT = "struct<id:string,label:string,role:string,capture_path:string,media_type:string,sha256:string,container_id:string,member_path:string>"
-GRAPH = f"schema_version int, collection struct<id:string,label:string,status:string,route:string,rights:array<string>>, items array<{ITEM}>, artifacts array<{ARTIFACT}>, relations array<struct<source_id:string,relation:string,target_id:string>>"
+COLLECTION = "struct<id:string,label:string,status:string,route:string,rights:array<string>>"
+RELATION = "struct<source_id:string,relation:string,target_id:string>"
 # What a collection's status may be.
 STATUSES = ["complete", "complete_with_warnings", "incomplete"]
 KIND = "^[a-z][a-z0-9_-]*$"
@@ -22,9 +25,15 @@ KIND = "^[a-z][a-z0-9_-]*$"
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables of one or many graphs: collections, items, representations, representation_artifacts,
-    segments, facets, artifacts, relations and rights. Order is kept as ordinals."""
-    g = spark.read.schema(GRAPH).option("multiLine", True).option("mode", "FAILFAST").json(path).select(F.col("collection.id").alias("collection_id"), "*")
-    items = g.select("collection_id", F.posexplode("items").alias("ordinal", "i"))
+    segments, facets, artifacts, relations and rights. Order is kept as ordinals. Graphs are streamed and
+    their elements written once, so that no task holds a graph whole, and the tables are read from there."""
+    parts = {"collection": COLLECTION, "items": ITEM, "artifacts": ARTIFACT, "relations": RELATION}
+    rows = json_parts(spark, path, "collection", ["items", "artifacts", "relations"])
+    typed = [F.when(F.col("part") == n, F.from_json("value", kind, {"mode": "FAILFAST"})).alias(n) for n, kind in parts.items()]
+    rows = written(rows.select("document", "part", "ordinal", *typed))
+    g = rows.where("part = 'collection'").select("document", F.col("collection.id").alias("collection_id"), "collection")
+    own = lambda n, *c: rows.where(F.col("part") == n).select("document", "ordinal", n).join(g.select("document", "collection_id"), "document").select("collection_id", *c)
+    items = own("items", "ordinal", F.col("items").alias("i"))
     reps = items.select("collection_id", F.col("i.id").alias("item_id"), F.posexplode("i.representations").alias("ordinal", "r"))
     rights = g.select("collection_id", F.col("collection_id").alias("owner_id"), F.posexplode("collection.rights").alias("ordinal", "text")).unionByName(items.select("collection_id", F.col("i.id").alias("owner_id"), F.posexplode("i.rights").alias("ordinal", "text")))
     return {
@@ -34,14 +43,25 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         "representation_artifacts": reps.select("collection_id", F.col("r.id").alias("representation_id"), F.posexplode("r.artifact_ids").alias("ordinal", "artifact_id")),
         "segments": reps.select("collection_id", F.col("r.id").alias("representation_id"), F.posexplode("r.segments").alias("ordinal", "s")).select("collection_id", "representation_id", "ordinal", "s.*"),
         "facets": items.select("collection_id", F.col("i.id").alias("item_id"), F.col("ordinal").alias("item_ordinal"), F.posexplode("i.facets").alias("ordinal", "f")).select("collection_id", "item_id", "item_ordinal", "ordinal", "f.*"),
-        "artifacts": g.select("collection_id", F.inline("artifacts")),
-        "relations": g.select("collection_id", F.posexplode("relations").alias("ordinal", "r")).select("collection_id", "ordinal", "r.*"),
+        "artifacts": own("artifacts", "artifacts.*"),
+        "relations": own("relations", "ordinal", "relations.*"),
         "rights": rights,
     }
 
 
 def problems(t: dict[str, DataFrame]) -> DataFrame:
-    """table, id and problem of everything that a valid graph may not have."""
+    """table, id and problem of everything that a valid graph may not have: faults of its rows, and too many of them."""
+    return row_problems(t).unionByName(size_problems(t))
+
+
+def size_problems(t: dict[str, DataFrame]) -> DataFrame:
+    """Collections that have more rows than a graph may have."""
+    counts = [t[n].groupBy("collection_id").agg(F.count("*").alias("n")).withColumn("what", F.lit(w)) for n, w in (("items", "items"), ("artifacts", "artifacts"), ("segments", "inline_segments"))]
+    return model.over_limits(reduce(DataFrame.unionByName, counts)).select(F.lit("graph").alias("table"), F.col("collection_id").alias("id"), F.lit("too many rows").alias("problem"))
+
+
+def row_problems(t: dict[str, DataFrame]) -> DataFrame:
+    """table, id and problem of every row at fault, whatever the size of its graph."""
     found = lambda df, table, ident, problem: df.select(F.lit(table).alias("table"), F.col(ident).alias("id"), F.lit(problem).alias("problem"))
     named = [t["collections"], t["artifacts"], t["items"], t["representations"], t["segments"]]
     out = [found(model.one_namespace(*named), "graph", "id", "repeated id")]
@@ -66,8 +86,6 @@ def problems(t: dict[str, DataFrame]) -> DataFrame:
     ends = [t[n].select("id") for n in ("collections", "items", "representations", "segments")]
     out.append(found(model.bad_relations(t["relations"], *ends), "relations", "source_id", "unknown end"))
     out.append(found(t["representations"].join(t["segments"].select(F.col("representation_id").alias("id")).distinct(), "id", "left_semi").where("segment_index is not null"), "representations", "id", "inline and indexed segments"))
-    counts = [t[n].groupBy("collection_id").agg(F.count("*").alias("n")).withColumn("what", F.lit(w)) for n, w in (("items", "items"), ("artifacts", "artifacts"), ("segments", "inline_segments"))]
-    out.append(found(model.over_limits(reduce(DataFrame.unionByName, counts)), "graph", "collection_id", "too many rows"))
     return reduce(DataFrame.unionByName, out)
 
 
