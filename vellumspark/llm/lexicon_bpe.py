@@ -8,7 +8,9 @@ changes how ids are found, never which.
 
 A text's ids are its words' ids one after the other, which holds for tokenizers that drop white
 space before merging (``splits_on_space`` checks this); texts are read whole in slices of
-bounded size.
+bounded size. Where the tokenizer parts letters from signs, a word is cut before a stop behind an ASCII letter, and
+where it lower-cases, A-Z is lower-cased first (``Cutter``), so that fewer distinct words are left to merge. Unseen
+words are merged many as one text; the sizes of tokens in bytes tell which word each belongs to.
 
 Cases: a null text counts as empty; empty texts have no ids and decode to the empty text;
 special tokens' strings in a text become their ids, as the tokenizer has it; repeated rows are
@@ -20,11 +22,13 @@ names cannot clash. Executors get the vocabulary with the task and need no local
 import json
 import mmap
 import os
+import re
 import tempfile
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -38,6 +42,8 @@ LEXICON_WORDS, LEXICON_BYTES = 65_536, 64
 REMEMBERED = 300_000
 #: Words that the tokenizer merges in one call; its results are bulky.
 MERGED_AT_ONCE = 5_000
+#: Words that are merged as one text.
+JOINED = 500
 ARRAYS = [("keys", np.uint32), ("targets", np.int32), ("skips", np.int32), ("final", np.uint8), ("offsets", np.int32), ("ids", np.uint32)]
 
 
@@ -59,21 +65,68 @@ def splits_on_space(config: str) -> bool:
     return any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") and " ?" not in str(s.get("pattern")) for s in steps)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+# Patterns that part letters from signs, and normalisers that keep the bytes of printable ASCII and U+00C0 to U+00FF as many.
+PARTING = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+SIZE_KEEPING = {"NFC", "Lowercase"}
+LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
+STOP = np.array([chr(b) in ".,;:!?" for b in range(256)])
+EVEN = re.compile("[!-~\u00c0-\u00ff]+")
+
+
+class Cutter:
+    """Cuts texts into words, or smaller pieces whose ids stand for themselves too, as far as a tokenizer's file allows it."""
+
+    def __init__(self, config: str):
+        c = json.loads(config)
+        n = c.get("normalizer") or {}
+        normal = n.get("normalizers", [n] if n else [])
+        kinds = {x.get("type") for x in normal if x != SPACES_TO_ONE}
+        steps = (c.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        model = c.get("model") or {}
+        self.added = [t["content"] for t in c.get("added_tokens") or []]
+        bytes_only = [x.get("type") for x in steps[1:]] == ["ByteLevel"] and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex") and not model.get("dropout")
+        parts = (steps[0].get("pattern") or {}).get("Regex") in PARTING if isinstance(steps[0].get("pattern"), dict) else False
+        self.cuts = parts and bytes_only and not c.get("post_processor") and not any(ch in t for t in self.added for ch in ".,;:!?")
+        self.lowers = self.cuts and "Lowercase" in kinds
+        self.joins = self.cuts and kinds <= SIZE_KEEPING and not model.get("continuing_subword_prefix") and not model.get("ignore_merges")
+        self.suffix = model.get("end_of_word_suffix") or ""
+
+    def pieces(self, texts) -> tuple[pa.Array, np.ndarray]:
+        """All pieces of all texts in order, and where each text's start (n + 1 offsets)."""
+        texts = plain(texts)
+        if self.lowers:
+            low = pc.ascii_lower(texts)
+            for t in self.added:  # what lower-casing would make an added token stays as it is
+                low = pc.if_else(pc.match_substring(low, t.lower()), texts, low)
+            texts = low
+        flat, offsets = words_of(texts)
+        if not self.cuts or not len(flat):
+            return flat, offsets
+        at = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1]
+        raw = np.frombuffer(flat.buffers()[2], np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        start = np.zeros(len(raw) + 1, bool)
+        start[1:-1] = STOP[raw[1:]] & LETTER[raw[:-1]]
+        start[at] = True
+        cuts = np.flatnonzero(start).astype(np.int32)
+        return pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(raw)), np.searchsorted(cuts, at)[offsets]
+
+
+def word_counts(docs: DataFrame, cutter: Cutter | None = None) -> DataFrame:
     """word and n over every whole text, counted by slice before the exchange."""
 
     def count(batches):
         for batch in slices(batches):
-            flat, _ = words_of(batch.column("text"))
+            flat, _ = (cutter.pieces if cutter else words_of)(batch.column("text"))
             c = flat.value_counts()
             yield pa.RecordBatch.from_arrays([c.field("values"), c.field("counts")], ["word", "n"])
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
+def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS, cutter: Cutter | None = None) -> list[str]:
     """The most frequent words, by a count threshold so chosen that at most ``most`` reach it."""
-    counts = materialize(word_counts(docs).where(F.octet_length("word") <= LEXICON_BYTES))
+    counts = materialize(word_counts(docs, cutter).where(F.octet_length("word") <= LEXICON_BYTES))
     level = F.floor(F.log2(F.col("n")) * 16).cast("int")
     total, least = 0, None
     for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # a few hundred levels at most
@@ -170,7 +223,24 @@ class Encoder:
     """ids of words: by the automaton, and for the others by the tokenizer's merges."""
 
     def __init__(self, tokenizer: Tokenizer, automaton: Automaton | None):
-        self.tokenizer, self.automaton, self.known = tokenizer, automaton, {}
+        self.tokenizer, self.automaton, self.known, self.cutter = tokenizer, automaton, {}, Cutter(tokenizer.to_str())
+        vocab = tokenizer.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(vocab.values(), default=-1) + 1, np.int64)
+        self.sizes[list(vocab.values())] = [len(t.removesuffix(self.cutter.suffix)) for t in vocab]  # a character of a token is a byte
+
+    def merged(self, words: list[str]) -> None:
+        """Know the ids of new words: many even ones (``EVEN``) are merged as one text, if tokens' sizes then meet all their ends."""
+        even = [w for w in words if EVEN.fullmatch(w) and not any(t in w for t in self.cutter.added)] if self.cutter.joins else []
+        if even:
+            texts = [" ".join(even[k : k + JOINED]) for k in range(0, len(even), JOINED)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            ends, upto = np.cumsum([len(w.encode()) for w in even]), np.cumsum(self.sizes[ids])
+            last = np.searchsorted(upto, ends)
+            if last[-1] + 1 == len(ids) and (upto[last] == ends).all():
+                data, cut = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
+                self.known.update(zip(even, (data[a:b] for a, b in zip(cut, cut[1:]))))
+                words = [w for w in words if w not in self.known]
+        self.known.update(zip(words, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))))
 
     def words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat ids, start, length) of each distinct word."""
@@ -183,8 +253,7 @@ class Encoder:
             self.known = {}
             new = unseen
         for at in range(0, len(new), MERGED_AT_ONCE):
-            part = new[at : at + MERGED_AT_ONCE]
-            self.known.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+            self.merged(new[at : at + MERGED_AT_ONCE])
         own = [self.known[w] for w in unseen]
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
         tail = np.frombuffer(b"".join(own), np.uint32)
@@ -199,7 +268,7 @@ class Encoder:
 
     def texts(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and where each text's start (n + 1 offsets)."""
-        flat, offsets = words_of(texts)
+        flat, offsets = self.cutter.pieces(texts)
         index, distinct = coded(flat)
         ids, start, length = self.words(distinct)
         n = length[index]
@@ -208,7 +277,7 @@ class Encoder:
 
     def lengths(self, texts) -> np.ndarray:
         """The number of ids of each text."""
-        flat, offsets = words_of(texts)
+        flat, offsets = self.cutter.pieces(texts)
         index, distinct = coded(flat)
         ends = np.concatenate([[0], np.cumsum(self.words(distinct)[2][index])])
         return np.diff(ends[offsets])
@@ -233,7 +302,7 @@ def quiet(config: str) -> Tokenizer:
 
 def compile_lexicon(docs: DataFrame, config: str, most: int = LEXICON_WORDS) -> bytes:
     """The automaton of the corpus's frequent words; its size is bounded by ``most``."""
-    words = frequent_words(docs, most)
+    words = frequent_words(docs, most, Cutter(config))
     ids = [e.ids for e in quiet(config).encode_batch_fast(words, add_special_tokens=False)]
     return compile_automaton([w.encode() for w in words], ids)
 
@@ -247,14 +316,12 @@ def encode_decode(docs: DataFrame, config: str, lexicon: bytes) -> DataFrame:
         tokenizer = quiet(shared.value[0])
         encoder = Encoder(tokenizer, Automaton.mapped(shared.value[1]))
         names = {i: t for t, i in tokenizer.get_vocab(with_added_tokens=True).items()}
-        tokens = [names.get(i, "") for i in range(max(names, default=-1) + 1)]
+        tokens = pa.array([names.get(i, "") for i in range(max(names, default=-1) + 1)], pa.string())
         for batch in slices(batches, limit=3_000_000):
             ids, at = encoder.texts(plain(batch.column("text")))
-            data = memoryview(ids.astype("<u4").tobytes())
-            at = at.tolist()
-            raw = [bytes(data[4 * a : 4 * b]) for a, b in zip(at, at[1:])]
-            back = [" ".join(map(tokens.__getitem__, ids[a:b].tolist())) for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary()), pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
+            raw = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(ids.astype("<u4").tobytes())])
+            back = pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), tokens.take(pa.array(ids))), " ")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), raw, back], ["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
 
