@@ -47,6 +47,8 @@ FAN_IN = 2
 #: holds are joined instead.
 BITS_EACH, LEAST_BITS, MOST_BITS, BLOCK_BITS = 12, 1 << 20, 1 << 28, 1 << 16
 LAST = (1 << 63) - 1
+#: Bytes of text that a task looks at together: a word costs it some ten numbers for a moment.
+SLICE = 2_000_000
 
 
 def anchors_of(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +102,7 @@ def units(docs: DataFrame) -> DataFrame:
     and windows less one; a unit has at most WINDOW of them, so that its first and last hold all words."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             own, at, a, w, v = windows_of(batch.column("text"))
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)
@@ -299,7 +301,7 @@ def single_windows(docs: DataFrame, differ: DataFrame, entries: DataFrame) -> Da
 
         def filtered(batches):
             table = flat_filter(*wanted.value)
-            for batch in slices(batches):
+            for batch in slices(batches, limit=SLICE):
                 own, at, a, w, v = windows_of(batch.column("text"))
                 new = np.ones(len(a), bool)
                 new[1:] = a[1:] != a[:-1]
@@ -311,7 +313,7 @@ def single_windows(docs: DataFrame, differ: DataFrame, entries: DataFrame) -> Da
     places = entries.join(differ.hint("merge"), "anchor").groupBy("row").agg(F.collect_set("place").alias("places"))
 
     def placed(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             own, at, _, w, v = windows_of(batch.column("text"))
             first = np.searchsorted(own, np.arange(batch.num_rows))
             ok = np.zeros(len(own), bool)
@@ -408,19 +410,21 @@ def cut(docs: DataFrame, hits: DataFrame, carry: tuple = ()) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32()), flat.filter(pa.array(keep)))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(n - left), pa.array(n != left), pc.binary_join(lists, " "), *[batch.column(f"_carry_{c}") for c in carry]], names)
 
-    def marked(batch):
-        return passes(flat_filter(*touched.value), batch.column("row").to_numpy().view(np.uint64))
+    def marked(table, batch):
+        return passes(table, batch.column("row").to_numpy().view(np.uint64))
 
     def whole(batches):
-        for batch in slices(batches):
-            yield left(batch.filter(pa.array(~marked(batch))), ())
+        table = flat_filter(*touched.value)
+        for batch in slices(batches, limit=SLICE):
+            yield left(batch.filter(pa.array(~marked(table, batch))), ())
 
     def chosen(batches):
+        table = flat_filter(*touched.value)
         for batch in batches:
-            yield batch.filter(pa.array(marked(batch)))
+            yield batch.filter(pa.array(marked(table, batch)))
 
     def parts(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             yield left(batch, batch.column("places").to_pylist())
 
     base = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), *[F.col(f"`{c}`").alias(f"_carry_{c}") for c in carry])
