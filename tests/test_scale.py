@@ -2,13 +2,14 @@
 
 import io
 import json
+import os
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from vellumspark.operators import catalogue
-from vellumspark.plans import file_queries, registry
+from vellumspark.plans import file_queries, record_queries, registry
 from vellumspark.sources import access, json_parts
 from vellumspark.sources.files import ListingError
 
@@ -65,3 +66,16 @@ def test_faults_of_graphs_beyond_the_rows_of_a_collection(spark, tmp_path):
     assert got == want
     t = access.load(spark, file_queries._graphs(spark, str(tmp_path)))
     assert sorted(r["id"] for r in access.size_problems(t).collect()) == ["tp:n0/collection", "tp:n1/collection"]
+
+
+def test_captures_stand_on_disk_by_the_batch(spark, tmp_path, monkeypatch):
+    duckdb.connect().execute(f"copy (select i as p_partkey from range(300) t(i)) to '{tmp_path}/part.parquet'")
+    seen = []
+    read = record_queries.files.captured
+    monkeypatch.setattr(record_queries, "AT_ONCE", 100)
+    monkeypatch.setattr(record_queries.files, "captured", lambda s, folder: seen.append((folder, len(os.listdir(folder)))) or read(s, folder))
+    for query in ("capture_roles", "capture_problems"):
+        got, want = rows_and_sql(spark, query, tmp_path, ["part"])
+        assert got == want
+    assert len(seen) == 6 and sum(n for _, n in seen) == 600 and max(n for _, n in seen) < 150
+    assert not any(os.path.exists(folder) for folder, _ in seen)

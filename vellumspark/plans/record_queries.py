@@ -1,5 +1,9 @@
 """Queries over what captures state of themselves, over settings, reader payloads and one corpus's texts."""
 
+import os
+import shutil
+import uuid
+
 from pyspark.sql import functions as F
 
 from vellumspark.functions import cuneiform
@@ -7,6 +11,7 @@ from vellumspark.operators import capture_record
 from vellumspark.plans.common import table
 from vellumspark.plans.file_queries import new_folder, write_files
 from vellumspark.sources import files
+from vellumspark.sources.shared import shared_folder, written
 
 # Captures, one for each part: four kinds of records, and faults among those of schema 3.
 RECORD = """case when k % 6 = 0 then '{"a":1}' when k % 6 = 1 then '{"schema_version":2}' when k % 6 = 2 then concat('{"schema_version":', if(k % 4 = 0, '"3"', '7'), '}')
@@ -15,16 +20,40 @@ RECORD = """case when k % 6 = 0 then '{"a":1}' when k % 6 = 1 then '{"schema_ver
   if(k % 5 = 0, ',{"path":"notes.txt","role":"capture_derivative"}', ''), if(k % 7 = 0, ',{"path":"sources/a/warc/x.warc.gz","role":"metadata"}', ''), if(k % 11 = 0, ',{"path":"../x","role":"metadata","more":1}', ''), ']}') end"""
 
 
+#: Captures whose files stand on disk at once; each takes some 30 KB in files and folders, however little they hold.
+AT_ONCE = 40_000
+
+
 def _captures(spark, sf_dir):
-    folder = new_folder(spark, "captures")
+    """Captures are written as files, read and removed again by the batch, so that disk is bounded; what was read of all of them is kept as tables."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
     place = lambda rest: F.concat(F.lit("c"), F.col("k"), F.lit(rest))
-    rows = p.select(place("/capture.json").alias("path"), F.expr(RECORD).alias("content"))
-    rows = rows.unionByName(p.select(place("/sources/a/warc/x.warc.gz").alias("path"), F.lit("w").alias("content")))
-    rows = rows.unionByName(p.where("k % 6 < 2").select(place("/sources/b/mirror/i.html").alias("path"), F.lit("m").alias("content")))
-    write_files(rows, folder)
+    read = [f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}" for _ in range(2)]
+    batches = max(1, -(-p.count() // AT_ONCE))
+    for n in range(batches):
+        folder, own = new_folder(spark, "captures"), p.where(F.pmod(F.xxhash64("k"), F.lit(batches)) == n)
+        rows = own.select(place("/capture.json").alias("path"), F.expr(RECORD).alias("content"))
+        rows = rows.unionByName(own.select(place("/sources/a/warc/x.warc.gz").alias("path"), F.lit("w").alias("content")))
+        rows = rows.unionByName(own.where("k % 6 < 2").select(place("/sources/b/mirror/i.html").alias("path"), F.lit("m").alias("content")))
+        write_files(rows, folder)
+        tables = [written(t, f"{at}/{n}") for at, t in zip(read, files.captured(spark, folder))]
+        _remove(own.select(place("").alias("capture")), folder)
+    records, listed = (spark.read.schema(t.schema).parquet(f"{at}/*") for at, t in zip(read, tables))
     kinds = p.where("k % 10 <> 1").select(place("").alias("capture"), F.lit("b").alias("source_id"), F.expr("if(k % 4 = 0, 'http-file', 'web')").alias("kind"))
-    return capture_record.verified(*files.captured(spark, folder), kinds)
+    return capture_record.verified(records, listed, kinds)
+
+
+def _remove(captures, folder: str) -> None:
+    """Remove captures by the cluster, then the folder."""
+
+    def run(batches):
+        for b in batches:
+            for name in b["capture"]:
+                shutil.rmtree(os.path.join(folder, name), ignore_errors=True)  # a task that runs twice finds them gone
+            yield b[:0]
+
+    captures.mapInPandas(run, captures.schema).count()
+    shutil.rmtree(folder, ignore_errors=True)
 
 
 def capture_roles(spark, sf_dir):
