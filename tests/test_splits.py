@@ -124,3 +124,57 @@ def test_large_members_are_parsed_in_blocks(package):
 
 def test_runs_of_a_directory():
     assert runs_of([5, 5, 5, 50, 1, 1], 10) == [(0, 2), (2, 3), (3, 4), (4, 6)] and runs_of([], 10) == [(0, 0)]
+
+
+def test_one_zip_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Several archives, one over several parts, a name beyond ASCII, an empty member, and offsets told in 64 bits."""
+    from vellumspark.operators import package_writer
+
+    rows = [("a.zip", f"t/ä{k:04d}.xml", f"<a>{'x' * k}</a>" * (k % 3)) for k in range(3000)] + [("b.zip", "one", "1")]
+    frame = spark.createDataFrame(rows, "archive string, name string, content string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for name, limit in (("near", package_writer.MANY), ("far", 1000)):
+            with monkeypatch.context() as m:
+                m.setattr(package_writer, "RUN_BYTES", 5000)
+                folder = tmp_path / name
+                folder.mkdir()
+                if name == "far":
+                    m.setattr(package_writer, "FAR", limit)
+                package_writer.packed_zips(frame, str(folder))
+            assert sorted(os.listdir(folder)) == ["a.zip", "b.zip"]
+            with zipfile.ZipFile(folder / "a.zip") as z:
+                assert z.testzip() is None and z.namelist() == [r[1] for r in rows[:-1]]
+                assert [z.read(n).decode() for n in z.namelist()] == [r[2] for r in rows[:-1]]
+            spark.dataSource.register(ZipMembersDataSource)
+            m = spark.read.format("zip_members").option("path", str(folder)).option("content", "true").option("partitionBytes", 2000).load()
+            assert sorted((r["archive"], r["name"], bytes(r["content"]).decode()) for r in m.collect()) == sorted(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_task_reads_its_run_of_the_directory_only(tmp_path):
+    """The runs of a ZIP give its rows, also behind other bytes and with members out of order or over each other."""
+    p = tmp_path / "x.zip"
+    with zipfile.ZipFile(p, "w", zipfile.ZIP_DEFLATED) as z:
+        for k in range(2000):
+            z.writestr(f"{k}.xml", f"<a n='{k}'/>")
+    q, r, o = tmp_path / "prefixed.zip", tmp_path / "reversed.zip", tmp_path / "over.zip"
+    q.write_bytes(b"#!/bin/sh\n" + p.read_bytes())
+    with zipfile.ZipFile(p) as z, zipfile.ZipFile(r, "w") as to:
+        for m in z.infolist():
+            to.writestr(m.filename, z.read(m))
+        to.filelist.reverse()
+        to._didModify = True
+    with zipfile.ZipFile(o, "w") as to:
+        for k in range(100):
+            to.writestr(f"{k}", f"{k:09d}")
+        for m in to.filelist[51:]:
+            m.header_offset = to.filelist[50].header_offset
+    for path in (p, q, r, o):
+        few, many = (ZipReader({"path": str(path), "hash": "true", "xml": "true", "partitionBytes": n}) for n in (1 << 40, 300))
+        parts = many.partitions()
+        assert len(parts) > 2 and [x for a in few.partitions() for x in few.read(a)] == (rows := [x for a in parts for x in many.read(a)])
+        with zipfile.ZipFile(path) as z:
+            assert [(x[1], x[2], x[5]) for x in rows] == [(i, m.filename, m.CRC) for i, m in enumerate(z.infolist())]
+        assert path in (r,) or max(a.b - a.a for a in parts) < 10_000

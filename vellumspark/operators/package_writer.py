@@ -1,4 +1,4 @@
-"""Packages written by the cluster: bags, and web archive collections as one ZIP file.
+"""Packages written by the cluster: bags, web archive collections as one ZIP file, and ZIP files of a table's rows.
 
 Texts that are sorted (index, pages, manifest) are written as parts by the tasks that sort them. The sizes
 of parts and archives give the place of everything in the package; then tasks copy runs of bytes to their
@@ -10,7 +10,9 @@ before the package appears under its name.
 import hashlib
 import json
 import os
+import shutil
 import struct
+import uuid
 import zlib
 
 import pandas as pd
@@ -25,7 +27,7 @@ from vellumspark.sources.shared import written
 RUN_BYTES = 64 << 20
 # Of the ZIP format, with sizes of 64 bits throughout; dates are the earliest there are.
 LOCAL, CENTRAL, END64, LOCATOR, END = 0x04034B50, 0x02014B50, 0x06064B50, 0x07064B50, 0x06054B50
-VERSION, UTF8, DATE, MANY = 45, 0x800, 0x21, 0xFFFFFFFF
+VERSION, UTF8, DEFLATED, DATE, MANY = 45, 0x800, 8, 0x21, 0xFFFFFFFF
 
 
 def write_parts(rows: DataFrame, column: str, folder: str) -> list[tuple[str, int]]:
@@ -84,8 +86,12 @@ def directory(entries: list[tuple[str, int, int, int]], at: int) -> bytes:
     for name, crc, size, offset in entries:
         raw = name.encode()
         out += struct.pack("<IHHHHHHIIIHHHHHII", CENTRAL, VERSION, VERSION, UTF8, 0, 0, DATE, crc, MANY, MANY, len(raw), 28, 0, 0, 0, 0o644 << 16, MANY) + raw + struct.pack("<HHQQQ", 1, 24, size, size, offset)
-    n, size = len(entries), len(out)
-    out += struct.pack("<IQHHIIQQQQ", END64, 44, VERSION, VERSION, 0, 0, n, n, size, at) + struct.pack("<IIQI", LOCATOR, 0, at + size, 1)
+    return out + end_records(len(entries), len(out), at)
+
+
+def end_records(n: int, size: int, at: int) -> bytes:
+    """What ends an archive whose directory has n entries and so many bytes from a place on."""
+    out = struct.pack("<IQHHIIQQQQ", END64, 44, VERSION, VERSION, 0, 0, n, n, size, at) + struct.pack("<IIQI", LOCATOR, 0, at + size, 1)
     return out + struct.pack("<IHHHHIIH", END, 0, 0, min(n, 0xFFFF), min(n, 0xFFFF), MANY, MANY, 0)
 
 
@@ -145,6 +151,103 @@ def stored_zip(spark: SparkSession, dest: str, members: dict[str, list[str]], fa
             os.unlink(temp)
 
 
+#: From so many bytes on, a directory tells offsets in 64 bits.
+FAR = MANY
+#: What a task notes of each member until the place of its part is known: sizes of name, content and packed bytes, crc, offset.
+NOTE = "<HIIIQ"
+# An entry of a directory up to its name, and what follows the name of a member beyond 4 GB.
+CENTRAL_ENTRY, WIDE = "<IHHHHHHIIIHHHHHII", "<HHQ"
+
+
+def packed_zips(members: DataFrame, folder: str) -> None:
+    """Write members (archive, name, content) into archives of their own, in order of name and each by many tasks. Tasks pack
+    ranges of members as parts; the parts' sizes give their places, and tasks copy them into files that are made
+    beforehand, their directories with offsets of the whole. An archive appears whole."""
+    spark, stage = members.sparkSession, os.path.join(folder, f".parts-{uuid.uuid4().hex}")
+
+    def run(batches):
+        at = os.path.join(stage, f"{TaskContext.get().partitionId():08d}-{TaskContext.get().taskAttemptId()}")
+        held, n, size, noted, data, notes, made = None, 0, 0, 0, None, None, []
+
+        def finish():
+            made.append((TaskContext.get().partitionId(), held, data.name, size, notes.name, noted, n))
+            data.close()
+            notes.close()
+
+        for b in batches:
+            for archive, name, content in zip(b["archive"], b["name"], b["content"]):
+                if archive != held:
+                    if held is not None:
+                        finish()
+                    held, n, size, noted = archive, 0, 0, 0
+                    data, notes = open(f"{at}-{len(made)}", "wb"), open(f"{at}-{len(made)}.notes", "wb")  # noqa: SIM115
+                raw, content = name.encode(), content.encode() if isinstance(content, str) else content
+                c, crc = zlib.compressobj(wbits=-zlib.MAX_WBITS), zlib.crc32(content)
+                packed = c.compress(content) + c.flush()
+                noted += notes.write(struct.pack(NOTE, len(raw), len(content), len(packed), crc, size) + raw)
+                size += data.write(struct.pack("<IHHHHHIIIHH", LOCAL, VERSION, UTF8, DEFLATED, 0, DATE, crc, len(packed), len(content), len(raw), 0) + raw + packed)
+                n += 1
+        if held is not None:
+            finish()
+        yield pd.DataFrame(made, columns=["part", "archive", "data", "size", "notes", "noted", "n"])
+
+    os.makedirs(stage)
+    os.chmod(stage, 0o777)
+    order = ["archive", "name"]
+    try:
+        parts = members.select("archive", "name", "content").repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(run, "part int, archive string, data string, size long, notes string, noted long, n long")
+        archives, copies = {}, []
+        for r in sorted(parts.collect(), key=lambda r: r["part"]):  # a row for each part
+            archives.setdefault(r["archive"], []).append(r)
+        for name, made in archives.items():
+            temp, start, n = os.path.join(stage, f"{len(copies)}.whole"), sum(r["size"] for r in made), sum(r["n"] for r in made)
+            entry, at, place = struct.calcsize(CENTRAL_ENTRY) + (struct.calcsize(WIDE) if start >= FAR else 0), 0, start
+            for r in made:
+                copies += [(r["data"], k, min(RUN_BYTES, r["size"] - k), at + k, temp, None, False) for k in range(0, r["size"], RUN_BYTES)]
+                copies.append((r["notes"], 0, r["noted"], place, temp, at, start >= FAR))
+                at, place = at + r["size"], place + r["noted"] + r["n"] * (entry - struct.calcsize(NOTE))
+            with open(temp, "xb") as f:
+                f.seek(place)
+                f.write(end_records(n, place - start, start))
+            os.chmod(temp, 0o666)
+            archives[name] = temp
+        placed(spark, copies)
+        for name, temp in archives.items():
+            os.replace(temp, os.path.join(folder, name))
+    finally:
+        shutil.rmtree(stage)
+
+
+def placed(spark: SparkSession, copies: list[tuple]) -> None:
+    """Copy runs of parts (source, from, length, to, dest), or write the directory of a part's notes, whose members stand ``shift`` further on."""
+
+    def entries(f, shift: int, far: bool):
+        while head := f.read(struct.calcsize(NOTE)):
+            length, size, packed, crc, at = struct.unpack(NOTE, head)
+            more = struct.pack(WIDE, 1, 8, at + shift) if far else b""
+            yield struct.pack(CENTRAL_ENTRY, CENTRAL, VERSION, VERSION, UTF8, DEFLATED, 0, DATE, crc, packed, size, length, len(more), 0, 0, 0, 0o644 << 16, MANY if far else at + shift) + f.read(length) + more
+
+    def run(batches):
+        for b in batches:
+            for source, start, length, to, dest, shift, far in b.itertuples(index=False):
+                with open(source, "rb") as f, open(dest, "r+b") as out:
+                    out.seek(int(to))
+                    if not pd.isna(shift):
+                        out.writelines(entries(f, int(shift), far))
+                        continue
+                    f.seek(int(start))
+                    left = int(length)
+                    while left and (block := f.read(min(left, files.BLOCK))):
+                        left -= out.write(block)
+                    if left:
+                        raise files.ListingError(f"{source} is cut short")
+            yield pd.DataFrame({"n": [len(b)]})
+
+    if copies:
+        rows = spark.createDataFrame(copies, "source string, start long, length long, to long, dest string, shift long, far boolean")
+        rows.repartition(min(len(copies), 10_000)).mapInPandas(run, "n long").agg(F.sum("n")).collect()
+
+
 def verify(spark: SparkSession, path: str, sums: dict[str, str]) -> None:
     """The members of a package have the digests that their sources had."""
     from vellumspark.sources.zip_members import ZipMembersDataSource

@@ -1,7 +1,7 @@
 """ZIP members as a data source, one row each, with the facts that safety checks need.
 
 An archive is read by several tasks: each takes a run of its central directory with about ``partitionBytes``
-packed bytes. With ``xml`` a member is parsed while it is read: whether it is well formed, the name of its
+packed bytes, and reads no other entries of it. The directory is streamed once to find where runs begin. With ``xml`` a member is parsed while it is read: whether it is well formed, the name of its
 root and the root's xml:id; nothing of the document is kept, however large it is.
 
     spark.dataSource.register(ZipMembersDataSource)
@@ -12,10 +12,13 @@ members up to ``contentBytes`` if that is stated. What a corpus allows is for ``
 """
 
 import hashlib
+import io
 import os
 import stat
+import struct
 import zipfile
 import zlib
+from collections.abc import Iterable, Iterator
 from xml.parsers import expat
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +31,7 @@ BLOCK = 1 << 20
 COLLECTION_LIMITS = {"member": 64 << 20, "total": 2 << 30, "entries": 10_000, "ratio": 200.0}
 
 
-PARTITION_BYTES = 32 << 20
+PARTITION_BYTES, RUN_BUFFER = 32 << 20, 1 << 17
 XML = "http://www.w3.org/XML/1998/namespace"
 
 
@@ -54,20 +57,147 @@ class XmlRoot:
                 self.ok = True if last else None
 
 
+# Signatures of the ZIP format, an entry of the directory up to its name, and its end records.
+ENTRY, END64, LOCATOR, END = b"PK\x01\x02", b"PK\x06\x06", b"PK\x06\x07", b"PK\x05\x06"
+FACTS, FULL, MANY = struct.Struct("<4s16xIIHHH8xI"), struct.Struct("<4sQHHIIQQQQ"), 0xFFFFFFFF
+SHORT = struct.Struct("<4sHHHHIIH")
+
+
+def placed_runs(entries: Iterable[tuple[int, int]], limit: int) -> list[tuple[int, int, int, int]]:
+    """Runs of neighbours (place, size) with about ``limit`` in all, at least one run: the first, the one after the last,
+    the place of the first and the place after the one that follows the run (0: none does)."""
+    starts, total, k, after = [(0, 0)], 0, -1, {}
+    for k, (place, n) in enumerate(entries):
+        if starts[-1][0] == k - 1 and k - 1:
+            after[len(starts) - 2] = place
+        if k > starts[-1][0] and total + n > limit:
+            starts.append((k, place))
+            total = 0
+        elif not k:
+            starts[0] = (0, place)
+        total += n
+    ends = [*(first for first, _ in starts[1:]), k + 1]
+    return [(first, end, place, after.get(i, 0)) for i, ((first, place), end) in enumerate(zip(starts, ends))]
+
+
 def runs_of(sizes: list[int], limit: int) -> list[tuple[int, int]]:
     """Runs of neighbours with about ``limit`` in all, at least one run."""
-    out, first, total = [], 0, 0
-    for k, n in enumerate(sizes):
-        if k > first and total + n > limit:
-            out.append((first, k))
-            first, total = k, 0
-        total += n
-    return [*out, (first, len(sizes))]
+    return [run[:2] for run in placed_runs(((0, n) for n in sizes), limit)]
+
+
+def directory_place(f) -> tuple[int, int, int]:
+    """Where an archive's directory begins and ends, and how far offsets in it are from places in the file."""
+    size = f.seek(0, os.SEEK_END)
+    f.seek(max(0, size - (1 << 16) - SHORT.size - 20))
+    tail = f.read()
+    at = len(tail) - SHORT.size
+    if at < 0 or tail[at : at + 4] != END or tail[-2:] != b"\0\0":
+        at = tail.rfind(END)
+    if at < 0 or len(tail) < at + SHORT.size:
+        raise zipfile.BadZipFile("no end of a central directory")
+    *_, length, offset, _ = SHORT.unpack_from(tail, at)
+    end = size - len(tail) + at
+    if at >= 20 and tail[at - 20 : at - 16] == LOCATOR:
+        f.seek(end - 20 - FULL.size)
+        full = f.read(FULL.size)
+        if full[:4] == END64:
+            *_, length, offset = FULL.unpack(full)
+            end -= 20 + FULL.size
+    if length > end:
+        raise zipfile.BadZipFile("a central directory is cut short")
+    return end - length, end, end - length - offset
+
+
+def wide(extra: bytes, values: list[int]) -> list[int]:
+    """Size, packed size and offset of an entry whose values of 32 bits may say that those of 64 bits count."""
+    while len(extra) >= 4:
+        kind, n = struct.unpack_from("<HH", extra)
+        if kind == 1:
+            rest = iter(struct.unpack_from(f"<{min(n, len(extra) - 4) // 8}Q", extra, 4))
+            return [next(rest, v) if v == MANY else v for v in values]
+        extra = extra[4 + n :]
+    return values
+
+
+def entries(f, start: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """Place, packed size and offset of each entry of a directory, read in blocks."""
+    f.seek(start)
+    held, at, base = b"", 0, start
+    while base + at < end:
+        if len(held) - at < FACTS.size or len(held) - at < FACTS.size + sum(FACTS.unpack_from(held, at)[3:6]):
+            more = f.read(min(BLOCK, end - base - len(held)))
+            if not more:
+                raise zipfile.BadZipFile("a central directory is cut short")
+            held, base, at = held[at:] + more, base + at, 0
+            continue
+        sign, packed, size, n, m, k, offset = FACTS.unpack_from(held, at)
+        if sign != ENTRY:
+            raise zipfile.BadZipFile("an entry of a central directory has no signature")
+        if offset == MANY or packed == MANY:
+            size, packed, offset = wide(held[at + FACTS.size + n : at + FACTS.size + n + m], [size, packed, offset])
+        yield base + at, packed, offset
+        at += FACTS.size + n + m + k
+
+
+class _Run(io.RawIOBase):
+    """An archive whose directory is a run of its entries only."""
+
+    def __init__(self, path: str, a: int, b: int):
+        self.file, self.at = open(path, "rb"), 0  # noqa: SIM115
+        self.start, _, shift = directory_place(self.file)
+        self.file.seek(a)
+        self.tail = self.file.read(b - a)
+        self.tail += FULL.pack(END64, 44, 45, 45, 0, 0, 0, 0, len(self.tail), self.start - shift) + struct.pack("<4sIQI", LOCATOR, 0, self.start - shift + len(self.tail), 1) + SHORT.pack(END, 0, 0, 0xFFFF, 0xFFFF, MANY, MANY, 0)
+
+    def readable(self):
+        return True
+
+    def seekable(self):
+        return True
+
+    def seek(self, n, whence=os.SEEK_SET):
+        self.at = n + (0, self.at, self.start + len(self.tail))[whence]
+        return self.at
+
+    def readinto(self, out):
+        if self.at < self.start:
+            self.file.seek(self.at)
+            data = self.file.read(min(len(out), self.start - self.at))
+        else:
+            data = self.tail[self.at - self.start :][: len(out)]
+        out[: len(data)] = data
+        self.at += len(data)
+        return len(data)
+
+    def close(self):
+        self.file.close()
+        super().close()
 
 
 class _Archive(InputPartition):
-    def __init__(self, path: str, first: int = 0, end: int = 0):
-        self.path, self.first, self.end = path, first, end
+    """A run of entries: the number of the first, how many, and between which places of the file they and the one behind
+    them stand (which tells where the last member has to end); before: entries there that are another run's."""
+
+    def __init__(self, path: str, first: int = 0, n: int = 0, a: int = 0, b: int = 0, before: int = 0):
+        self.path, self.first, self.n, self.a, self.b, self.before = path, first, n, a, b, before
+
+
+def runs(path: str, limit: int) -> list[_Archive]:
+    """The runs of an archive's directory. If its members don't stand in the directory's order, each run reads all of it."""
+    with open(path, "rb") as f:
+        start, end, _ = directory_place(f)
+        last, ordered = -1, True
+
+        def sizes():
+            nonlocal last, ordered
+            for place, packed, offset in entries(f, start, end):
+                ordered, last = ordered and offset >= last, offset
+                yield place, packed
+
+        found = placed_runs(sizes(), limit)
+    if not ordered:
+        return [_Archive(path, first, to - first, start, end, first) for first, to, *_ in found]
+    return [_Archive(path, first, to - first, a or start, b or end) for first, to, a, b in found]
 
 
 class ZipReader(DataSourceReader):
@@ -82,15 +212,14 @@ class ZipReader(DataSourceReader):
         paths = [self.path] if os.path.isfile(self.path) else [os.path.join(d, f) for d, _, names in sorted(os.walk(self.path)) for f in sorted(names) if f.lower().endswith((".zip", ".wacz"))]
         out = []
         for p in paths:
-            with zipfile.ZipFile(p) as z:
-                out += [_Archive(p, *r) for r in runs_of([m.compress_size for m in z.infolist()], self.limit)]
+            out += runs(p, self.limit)
         return out or [_Archive("")]
 
     def read(self, part):
         if not part.path:
             return
-        with zipfile.ZipFile(part.path) as z:
-            for i, m in enumerate(z.infolist()[part.first : part.end], part.first):
+        with io.BufferedReader(_Run(part.path, part.a, part.b), RUN_BUFFER) as f, zipfile.ZipFile(f) as z:
+            for i, m in enumerate(z.infolist()[part.before : part.before + part.n], part.first):
                 link, locked = stat.S_ISLNK(m.external_attr >> 16), bool(m.flag_bits & 1)
                 data, digest, ok, xml = [], hashlib.sha256(), None, XmlRoot()
                 keep = self.content and (self.most is None or m.file_size <= self.most)
