@@ -17,7 +17,7 @@ import zlib
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.sources import files
@@ -159,9 +159,9 @@ NOTE = "<HIIIQ"
 CENTRAL_ENTRY, WIDE = "<IHHHHHHIIIHHHHHII", "<HHQ"
 
 
-def packed_zips(members: DataFrame, folder: str) -> None:
-    """Write members (archive, name, content) into archives of their own, in order of name and each by many tasks. Tasks pack
-    ranges of members as parts; the parts' sizes give their places, and tasks copy them into files that are made
+def packed_zips(members: DataFrame, folder: str, content: Column | None = None) -> None:
+    """Write members (archive, name and what ``content`` is made of, by default a column of that name) into archives, in order of
+    name and each by many tasks. Rows are dealt and sorted before their content is made. Tasks pack ranges of members as parts; the parts' sizes give their places, and tasks copy them into files that are made
     beforehand, their directories with offsets of the whole. An archive appears whole."""
     spark, stage = members.sparkSession, os.path.join(folder, f".parts-{uuid.uuid4().hex}")
 
@@ -195,7 +195,7 @@ def packed_zips(members: DataFrame, folder: str) -> None:
     os.chmod(stage, 0o777)
     order = ["archive", "name"]
     try:
-        parts = members.select("archive", "name", "content").repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(run, "part int, archive string, data string, size long, notes string, noted long, n long")
+        parts = members.repartitionByRange(*order).sortWithinPartitions(*order).select(*order, (F.col("content") if content is None else content).alias("content")).mapInPandas(run, "part int, archive string, data string, size long, notes string, noted long, n long")
         archives, copies = {}, []
         for r in sorted(parts.collect(), key=lambda r: r["part"]):  # a row for each part
             archives.setdefault(r["archive"], []).append(r)

@@ -13,6 +13,7 @@ members up to ``contentBytes`` if that is stated. What a corpus allows is for ``
 
 import hashlib
 import io
+import operator
 import os
 import stat
 import struct
@@ -32,6 +33,8 @@ COLLECTION_LIMITS = {"member": 64 << 20, "total": 2 << 30, "entries": 10_000, "r
 
 
 PARTITION_BYTES, RUN_BUFFER = 32 << 20, 1 << 17
+#: An archive makes so many tasks; a task costs as much as reading a thousand small members.
+MOST_RUNS = 1000
 XML = "http://www.w3.org/XML/1998/namespace"
 
 
@@ -66,18 +69,18 @@ SHORT = struct.Struct("<4sHHHHIIH")
 def placed_runs(entries: Iterable[tuple[int, int]], limit: int) -> list[tuple[int, int, int, int]]:
     """Runs of neighbours (place, size) with about ``limit`` in all, at least one run: the first, the one after the last,
     the place of the first and the place after the one that follows the run (0: none does)."""
-    starts, total, k, after = [(0, 0)], 0, -1, {}
+    starts, after, total, k, second = [], [], limit + 1, -1, False
     for k, (place, n) in enumerate(entries):
-        if starts[-1][0] == k - 1 and k - 1:
-            after[len(starts) - 2] = place
-        if k > starts[-1][0] and total + n > limit:
-            starts.append((k, place))
-            total = 0
-        elif not k:
-            starts[0] = (0, place)
+        if second:
+            after.append(place)
+            second = False
         total += n
-    ends = [*(first for first, _ in starts[1:]), k + 1]
-    return [(first, end, place, after.get(i, 0)) for i, ((first, place), end) in enumerate(zip(starts, ends))]
+        if total > limit:
+            starts.append((k, place))
+            total, second = n, True
+    starts = starts or [(0, 0)]
+    ends, after = [*(first for first, _ in starts[1:]), k + 1], [*after[1:], 0, 0]
+    return [(first, end, place, then) for (first, place), end, then in zip(starts, ends, after)]
 
 
 def runs_of(sizes: list[int], limit: int) -> list[tuple[int, int]]:
@@ -119,24 +122,31 @@ def wide(extra: bytes, values: list[int]) -> list[int]:
     return values
 
 
-def entries(f, start: int, end: int) -> Iterator[tuple[int, int, int]]:
-    """Place, packed size and offset of each entry of a directory, read in blocks."""
+def entries(f, start: int, end: int) -> Iterator[tuple[list[int], list[int], list[int]]]:
+    """Places, packed sizes and offsets of a directory's entries, a block at a time."""
     f.seek(start)
-    held, at, base = b"", 0, start
-    while base + at < end:
-        if len(held) - at < FACTS.size or len(held) - at < FACTS.size + sum(FACTS.unpack_from(held, at)[3:6]):
-            more = f.read(min(BLOCK, end - base - len(held)))
-            if not more:
-                raise zipfile.BadZipFile("a central directory is cut short")
-            held, base, at = held[at:] + more, base + at, 0
-            continue
-        sign, packed, size, n, m, k, offset = FACTS.unpack_from(held, at)
-        if sign != ENTRY:
-            raise zipfile.BadZipFile("an entry of a central directory has no signature")
-        if offset == MANY or packed == MANY:
-            size, packed, offset = wide(held[at + FACTS.size + n : at + FACTS.size + n + m], [size, packed, offset])
-        yield base + at, packed, offset
-        at += FACTS.size + n + m + k
+    held, base, facts, fixed = b"", start, FACTS.unpack_from, FACTS.size
+    while base < end:
+        more = f.read(min(BLOCK, end - base - len(held)))
+        if not more:
+            raise zipfile.BadZipFile("a central directory is cut short")
+        held += more
+        at, places, sizes, offsets = 0, [], [], []
+        while at + fixed <= len(held):
+            sign, packed, size, n, m, k, offset = facts(held, at)
+            if sign != ENTRY:
+                raise zipfile.BadZipFile("an entry of a central directory has no signature")
+            after = at + fixed + n + m + k
+            if after > len(held):
+                break
+            if offset == MANY or packed == MANY:
+                size, packed, offset = wide(held[at + fixed + n : at + fixed + n + m], [size, packed, offset])
+            places.append(base + at)
+            sizes.append(packed)
+            offsets.append(offset)
+            at = after
+        held, base = held[at:], base + at
+        yield places, sizes, offsets
 
 
 class _Run(io.RawIOBase):
@@ -183,18 +193,19 @@ class _Archive(InputPartition):
 
 
 def runs(path: str, limit: int) -> list[_Archive]:
-    """The runs of an archive's directory. If its members don't stand in the directory's order, each run reads all of it."""
+    """The runs of an archive's directory, ``MOST_RUNS`` or so at most. If its members don't stand in the directory's order, each run reads all of it."""
     with open(path, "rb") as f:
         start, end, _ = directory_place(f)
         last, ordered = -1, True
 
         def sizes():
             nonlocal last, ordered
-            for place, packed, offset in entries(f, start, end):
-                ordered, last = ordered and offset >= last, offset
-                yield place, packed
+            for places, packed, offsets in entries(f, start, end):
+                ordered = ordered and last <= min(offsets, default=last) and all(map(operator.le, offsets, offsets[1:]))
+                last = max(offsets, default=last)
+                yield from zip(places, packed)
 
-        found = placed_runs(sizes(), limit)
+        found = placed_runs(sizes(), max(limit, start // MOST_RUNS))
     if not ordered:
         return [_Archive(path, first, to - first, start, end, first) for first, to, *_ in found]
     return [_Archive(path, first, to - first, a or start, b or end) for first, to, a, b in found]
