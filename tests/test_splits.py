@@ -178,3 +178,39 @@ def test_a_task_reads_its_run_of_the_directory_only(tmp_path):
         with zipfile.ZipFile(path) as z:
             assert [(x[1], x[2], x[5]) for x in rows] == [(i, m.filename, m.CRC) for i, m in enumerate(z.infolist())]
         assert path in (r,) or max(a.b - a.a for a in parts) < 10_000
+
+
+def test_one_archive_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Parts of a packed and a plain archive stand in order of url; ranges smaller than a task's worth share tasks."""
+    rows = [(f"{'p.warc' if k % 2 else 'g.warc.gz'}", f"http://a.org/{k:05d}", DATE, 200, "text/html", None, None, os.urandom(k % 700)) for k in range(4000)]
+    frame = spark.createDataFrame(rows, "file string, url string, date string, status int, mime string, location string, digest string, body binary").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    seen = []
+    from vellumspark.operators import package_writer
+
+    place = package_writer.placed
+    monkeypatch.setattr(package_writer, "placed", lambda s, copies: (seen.extend(copies), place(s, copies)))
+    try:
+        made = warc.write_warcs(frame, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, made.collect())) == [("g.warc.gz", 2000), ("p.warc", 2000)] and len(seen) > 4
+    assert sorted(os.listdir(tmp_path)) == ["g.warc.gz", "p.warc"]
+    for name, read in (("g.warc.gz", warc.gzip_members), ("p.warc", warc.plain_records)):
+        whole = [warc.record(x[-1])[0]["warc-target-uri"] for x in read(str(tmp_path / name))]
+        assert whole == [r[1] for r in rows if r[0] == name]
+    out = warc_splits.scan(spark, str(tmp_path), 3_000)
+    assert out.rdd.getNumPartitions() == warc_splits.CORE_TASKS * spark.sparkContext.defaultParallelism
+    assert sorted((r["filename"], r["url"], bytes(r["entity"])) for r in out.collect()) == sorted((r[0], r[1], r[7]) for r in rows)
+
+
+def test_many_misled_ranges_cost_few_rounds(spark, tmp_path, monkeypatch):
+    """Payloads that begin like archives and end nowhere mislead ranges; those behind them keep their starts."""
+    inner = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nContent-Length: 0\r\n\r\n"
+    (tmp_path / "m.warc").write_bytes(b"".join(page(k, (inner + b"x" * 1500) if k % 4 == 0 else b"y" * 300) for k in range(600)))
+    made, write = [], warc_splits.written
+    monkeypatch.setattr(warc_splits, "written", lambda df: (made.append(1), write(df))[1])
+    found = warc_splits.ranges(spark, [str(tmp_path / "m.warc")], 1000).where("start < b").collect()
+    true = {o for o, _ in warc.plain_records(str(tmp_path / "m.warc"))}
+    assert {r["start"] for r in found} == {min(o for o in true if o >= r["a"]) for r in found} and len(found) > 200
+    assert len(made) < 12, len(made)

@@ -23,8 +23,10 @@ from vellumspark.sources.shared import written
 from vellumspark.sources.warc import BLOCK, SCHEMA, WarcError, gzip_members, header_end, header_lines, plain_records, rows_of
 
 SPLIT_BYTES = 64 << 20
-#: Bytes within which the header of an uncompressed record ends.
-HEADER_BYTES = 1 << 20
+#: Bytes within which the header of an uncompressed record ends, and those that are read first.
+HEADER_BYTES, FIRST_BYTES = 1 << 20, 1 << 13
+#: Tasks for each core that the ranges of archives are dealt to, if no task gets more than SPLIT_BYTES.
+CORE_TASKS = 4
 # How a gzip member and a record begin.
 MEMBER, RECORD = b"\x1f\x8b\x08", b"WARC/"
 RESERVED = 0xE0
@@ -37,9 +39,9 @@ def packed(path: str) -> bool:
 def member_end(f, at: int) -> int | None:
     """Where the gzip member at a place ends, if it is whole and holds a record; its bytes are not kept."""
     f.seek(at)
-    d, begin, used = zlib.decompressobj(16 + zlib.MAX_WBITS), b"", 0
+    d, begin, used, step = zlib.decompressobj(16 + zlib.MAX_WBITS), b"", 0, FIRST_BYTES
     while not d.eof:
-        data = f.read(BLOCK)
+        data, step = f.read(step), min(BLOCK, 4 * step)  # most members are small
         if not data:
             return None
         used += len(data)
@@ -58,9 +60,11 @@ def member_end(f, at: int) -> int | None:
 def record_end(f, at: int) -> int | None:
     """Where the uncompressed record at a place ends, with the empty lines behind it."""
     f.seek(at)
-    head = f.read(HEADER_BYTES)
+    head = f.read(FIRST_BYTES)
     if not head.startswith(RECORD):
         return None
+    if b"\r\n\r\n" not in head and b"\n\n" not in head:
+        head += f.read(HEADER_BYTES - len(head))
     try:
         end, body = header_end(head)
         size = header_lines(head[head.index(b"\n") + 1 : end]).get("content-length", "")
@@ -110,24 +114,36 @@ def own_start(path: str, a: int, b: int) -> int | None:
     return None
 
 
-def landing(path: str, start: int, b: int) -> int:
-    """The first start at b or beyond when walking from a start; the file's size if a record on the way is broken."""
+def landing(path: str, start: int, b: int) -> tuple[int, bool]:
+    """The first start at b or beyond when walking from a start; the file's size if a record on the way is broken.
+    And whether that is doubtful: a record is broken, or none seems to begin there."""
+    sign = MEMBER if packed(path) else RECORD
     with open(path, "rb") as f:
         size, at = os.fstat(f.fileno()).st_size, start
         while at < b:
             end = end_of(f, path, at)
             if end is None:
-                return size
+                return size, True
             at = end
-        return at
+        f.seek(at)
+        return at, at < size and f.read(len(sign)) != sign
 
 
-RANGES = "path string, k long, a long, b long, start long, landed long"
+RANGES = "path string, k long, a long, b long, start long, landed long, doubtful boolean"
+
+
+def no_start() -> dict:
+    return {"start": F.lit(None).cast("long"), "landed": F.lit(None).cast("long"), "doubtful": F.lit(False)}
+
+
+def tasks(spark: SparkSession, count: int, size: int) -> int:
+    """How many tasks ranges are dealt to: small ranges cost less than a task, so tasks take several."""
+    return max(1, min(count, 10_000, max(CORE_TASKS * spark.sparkContext.defaultParallelism, size // SPLIT_BYTES)))
 
 
 def ranges(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """path, k, a, b, start and landed of every range, all agreed."""
-    parts = max(1, sum(-(-os.path.getsize(p) // split_bytes) for p in paths))
+    parts = tasks(spark, sum(-(-os.path.getsize(p) // split_bytes) for p in paths), sum(map(os.path.getsize, paths)))
     sizes = spark.createDataFrame([(p, os.path.getsize(p)) for p in paths], "path string, size long")
     cut = sizes.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("size") / split_bytes) - 1, F.lit(0)))).alias("k"))
     cut = cut.select("path", "k", (F.col("k") * split_bytes).alias("a"), F.least("size", (F.col("k") + 1) * split_bytes).alias("b"))
@@ -138,28 +154,29 @@ def ranges(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES
         def run(batches):
             for r in batches:
                 start = [own_start(p, int(a), int(b)) if pd.isna(s) else int(s) for p, a, b, s in zip(r["path"], r["a"], r["b"], r["start"])]
-                landed = [None if s is None else landing(p, s, int(b)) if s < b else s for p, s, b in zip(r["path"], start, r["b"])]
-                yield r.assign(start=pd.Series(start, dtype="Int64", index=r.index), landed=pd.Series(landed, dtype="Int64", index=r.index))
+                landed = [(None, False) if s is None else landing(p, s, int(b)) if s < b else (s, False) for p, s, b in zip(r["path"], start, r["b"])]
+                yield r.assign(start=pd.Series(start, dtype="Int64", index=r.index), landed=pd.Series([x for x, _ in landed], dtype="Int64", index=r.index), doubtful=[x for _, x in landed])
 
-        return frame.repartition(min(parts, 10_000), "path", "k").mapInPandas(run, RANGES)
+        return frame.repartition(parts, "path", "k").mapInPandas(run, RANGES)
 
-    known = written(walk(cut.withColumns({"start": F.lit(None).cast("long"), "landed": F.lit(None).cast("long")})))
+    known = written(walk(cut.withColumns(no_start())))
     before = W.partitionBy("path").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
     up_to = W.partitionBy("path").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
     while True:
-        seen = known.withColumn("due", F.coalesce(F.last("landed", True).over(before), F.lit(0)))
+        seen = known.withColumns({"due": F.coalesce(F.last("landed", True).over(before), F.lit(0)), "guess": F.coalesce(F.last(F.when(F.col("landed").isNotNull(), F.col("doubtful")), True).over(before), F.lit(False))})
         right = F.when(F.col("due") >= F.col("b"), F.col("start").isNull() | (F.col("start") == F.col("due"))).otherwise(F.col("start").eqNullSafe(F.col("due")))
         seen = written(seen.withColumn("right", right))
         if seen.where("not right").isEmpty():
             return known
-        # what the first wrong range of a file is due is exact, what later ones are due is likely
-        wrong = F.when(~F.col("right"), F.col("due"))
-        seen = seen.withColumns({"first": F.first(wrong, True).over(up_to), "latest": F.last(wrong, True).over(up_to)})
+        # what the first wrong range of a file is due is exact, what later ones are due is likely, unless a walk that was
+        # misled ended nowhere: that would pass over all ranges behind it, and each of them would cost a round
+        wrong, likely = F.when(~F.col("right"), F.col("due")), F.when(~F.col("right") & ~F.col("guess"), F.col("due"))
+        seen = seen.withColumns({"first": F.first(wrong, True).over(up_to), "latest": F.last(likely, True).over(up_to)})
         place = F.when(F.col("first") >= F.col("a"), F.col("first")).otherwise(F.col("latest"))
         seen = seen.withColumn("place", F.when(place >= F.col("a"), place))
         kept = seen.where("place is null")
-        passed = seen.where("place >= b").withColumns({"start": F.lit(None).cast("long"), "landed": F.lit(None).cast("long")})
-        again = seen.where("place < b").withColumns({"start": F.col("place"), "landed": F.lit(None).cast("long")})
+        passed = seen.where("place >= b").withColumns(no_start())
+        again = seen.where("place < b").withColumns({**no_start(), "start": F.col("place")})
         known = written(kept.unionByName(passed).select(*known.columns).unionByName(walk(again.select(*known.columns))))
 
 
@@ -196,4 +213,4 @@ def scan(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, permiss
                 yield pd.DataFrame(rows, columns=columns)
 
     # ranges are alike in size, so dealing them round makes tasks alike
-    return agreed.repartition(max(1, min(10_000, agreed.count()))).mapInPandas(run, SCHEMA)
+    return agreed.repartition(tasks(spark, agreed.count(), sum(map(os.path.getsize, found)))).mapInPandas(run, SCHEMA)
