@@ -23,3 +23,21 @@ def test_case_and_stops_make_no_new_words():
     encoder = lexicon_bpe.Encoder(lexicon_bpe.quiet(CONFIG), None)
     encoder.texts(pa.array(["Reonier reonier, REONIER. reonier! Reonier"]))
     assert sorted(encoder.known) == ["!", ",", ".", "reonier"]
+
+
+def test_words_of_letters_are_merged_by_the_model():
+    """Words of ASCII letters, after a space or not, pass no pre-tokenizer and have the library's ids."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from vellumspark.llm.repair_grammar import PieceEncoder
+
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        e = PieceEncoder(f.read())
+    pieces = ["Word", " word", " Zqxjv", "zqxjvwk", " a", "a", " ", "  b", " don't", "don't", " é", "naïve", " x1", "x1", " .", "A" * 300, " " + "bc" * 200]
+    met = []
+    library, joined = e.library, e.joined
+    e.library, e.joined = (lambda t: (met.extend(t), library(t))[1]), (lambda p: (met.extend(p.to_pylist()), joined(p))[1])
+    ids, at = e.pieces(pa.array(pieces))
+    assert not {"Word", " word", " Zqxjv", "zqxjvwk", " a", "A" * 300} & set(met)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [e.tokenizer.encode(p, add_special_tokens=False).ids for p in pieces]

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 from vellumspark.llm._store import steady
 from vellumspark.llm._text import plain, ragged, slices
@@ -109,9 +109,6 @@ class PieceEncoder:
         self.sizes[list(vocab.values())] = [len(t) for t in vocab]  # a character of a token is a byte
         self.sizes[[self.tokenizer.token_to_id(t) for t in self.added]] = [len(t.encode()) for t in self.added]
         self.known, self.flat, self.place = pa.array([], pa.string()), np.empty(0, np.uint32), np.zeros(1, np.int64)
-        self.usual = self.tokenizer.pre_tokenizer
-        # for pieces that are one word each: no pattern is needed to part them
-        self.by_spaces = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
@@ -133,20 +130,28 @@ class PieceEncoder:
         ids = np.concatenate(ids)
         return ids, np.diff(np.searchsorted(np.cumsum(self.sizes[ids]), cuts[1:]) + 1, prepend=0) if len(pieces) else np.empty(0, np.int64)
 
+    def words(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that are ASCII letters, a space before them or not, and how many each has: the pre-tokenizer
+        leaves them in one and changes the space only, so the model takes them as they are."""
+        merge, ids, counts = self.tokenizer.model.tokenize, [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for k in range(0, len(pieces), PIECES):
+            got = [merge(w) for w in pc.replace_substring(pieces.slice(k, PIECES), " ", "\u0120").to_pylist()]
+            counts.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter((t.id for x in got for t in x), np.uint32, int(counts[-1].sum())))
+        return np.concatenate(ids), np.concatenate(counts)
+
     def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces in order, and where each piece's ids start."""
         at, raw = spread(pieces)
-        kind = np.zeros(len(pieces), np.int8)  # 1: follows a space, 2: so does a word of letters alone
+        kind = np.zeros(len(pieces), np.int8)  # 1: solid text follows a space, 2: a word of letters alone, after a space or not
         long = np.flatnonzero(np.diff(at) > 1)
         kind[long] = (raw[at[long]] == SPACE) & SOLID[raw[at[long] + 1]]
         odd = np.concatenate([np.zeros(1, np.int32), np.cumsum(~LETTER[raw], dtype=np.int32)])
-        kind[long[(kind[long] == 1) & (odd[at[long + 1]] == odd[at[long]] + 1)]] = 2
+        kind[long[odd[at[long + 1]] == odd[at[long]] + (raw[at[long]] == SPACE)]] = 2
         counts = np.zeros(len(pieces), np.int64)
         others, counts[kind == 0] = (lambda got: (got[0], np.diff(got[1])))(self.library(pieces.filter(pa.array(kind == 0)).to_pylist()))
         spaced, counts[kind == 1] = self.joined(pieces.filter(pa.array(kind == 1)))
-        self.tokenizer.pre_tokenizer = self.by_spaces
-        words, counts[kind == 2] = self.joined(pieces.filter(pa.array(kind == 2)))
-        self.tokenizer.pre_tokenizer = self.usual
+        words, counts[kind == 2] = self.words(pieces.filter(pa.array(kind == 2)))
         own = np.repeat(kind, counts)
         out = np.empty(len(own), np.uint32)
         out[own == 0], out[own == 1], out[own == 2] = others, spaced, words
