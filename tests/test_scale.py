@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vellumspark.operators import catalogue, publish
 from vellumspark.plans import file_queries, record_queries, registry
-from vellumspark.sources import access, json_parts
+from vellumspark.sources import access, files, json_parts
 from vellumspark.sources.files import ListingError
 
 
@@ -81,6 +81,47 @@ def test_captures_stand_on_disk_by_the_batch(spark, tmp_path, monkeypatch):
     assert not any(os.path.exists(folder) for folder, _ in seen)
 
 
+@pytest.mark.parametrize("query", ["capture_roles", "capture_problems"])
+def test_a_batch_takes_over_the_folders_of_the_one_before(spark, tmp_path, monkeypatch, query):
+    duckdb.connect().execute(f"copy (select i as p_partkey from range(3000) t(i)) to '{tmp_path}/part.parquet'")
+    seen, read = [], record_queries.files.captured
+
+    def captured(s, folder):
+        places = [os.path.join(folder, name, "sources/a/warc") for name in os.listdir(folder)]
+        seen.append((folder, len(places), sum(os.stat(at).st_mtime == 1 for at in places)))
+        for at in places:
+            os.utime(at, (1, 1))  # stays as long as nothing is made or removed there
+        return read(s, folder)
+
+    monkeypatch.setattr(record_queries, "AT_ONCE", 1000)
+    monkeypatch.setattr(record_queries.files, "captured", captured)
+    got, want = rows_and_sql(spark, query, tmp_path, ["part"])
+    assert got == want
+    assert seen[0][2] == 0 and all(taken > n * 0.7 for _, n, taken in seen[1:]) and sum(n for _, n, _ in seen) == 3000
+    assert not any(os.path.exists(folder) for folder, _, _ in seen)
+
+
+def test_a_capture_is_written_again_by_a_second_run_of_its_task(tmp_path):
+    held = {"capture.json": "é" * 10, "sources/a/x": "w"}
+    record_queries._take(str(tmp_path / "c1"), held, [])
+    for spare in (["c1"], ["c1"], []):  # taken, gone, none
+        record_queries._take(str(tmp_path / "c2"), held | {"capture.json": "{}"}, spare)
+        assert os.listdir(tmp_path) == ["c2"] and (tmp_path / "c2/capture.json").read_text() == "{}" and (tmp_path / "c2/sources/a/x").read_text() == "w"
+
+
+def test_files_of_captures_are_listed_and_links_to_folders_are_errors(spark, tmp_path):
+    for k in range(50):
+        os.makedirs(tmp_path / f"c{k}" / "a" / "b")
+        for name in ("capture.json", "a/x", "a/b/.y"):
+            (tmp_path / f"c{k}" / name).write_text("{}")
+    records, listed = files.captured(spark, str(tmp_path))
+    assert listed.count() == 150 and records.where("document = '{}'").count() == 50
+    assert {r["path"] for r in listed.where("capture = 'c7'").collect()} == {"capture.json", "a/x", "a/b/.y"}
+    os.symlink(tmp_path, tmp_path / "c7" / "a" / "to")
+    with pytest.raises(Exception, match="is no regular file"):
+        files.captured(spark, str(tmp_path))[1].count()
+
+
 def test_claims_are_not_synced(tmp_path, monkeypatch):
     synced = []
     monkeypatch.setattr(publish.os, "fsync", synced.append)

@@ -1,5 +1,6 @@
 """Queries over what captures state of themselves, over settings, reader payloads and one corpus's texts."""
 
+import contextlib
 import os
 import shutil
 import uuid
@@ -25,35 +26,65 @@ AT_ONCE = 40_000
 
 
 def _captures(spark, sf_dir):
-    """Captures are written as files, read and removed again by the batch, so that disk is bounded; what was read of all of them is kept as tables."""
+    """Captures are written as files and read by the batch, so that disk is bounded; what was read of all of them is kept as a table.
+    A batch takes over the folders of the one before: to make and remove them takes far longer than all the rest."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
     place = lambda rest: F.concat(F.lit("c"), F.col("k"), F.lit(rest))
-    read = [f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}" for _ in range(2)]
+    one = lambda path, content: F.struct(F.lit(path).alias("path"), content.alias("content"))
     batches = max(1, -(-p.count() // AT_ONCE))
+    holds = F.array(one("capture.json", F.expr(RECORD)), one("sources/a/warc/x.warc.gz", F.lit("w")), F.when(F.expr("k % 6 < 2"), one("sources/b/mirror/i.html", F.lit("m"))))
+    rows = p.select(F.pmod(F.xxhash64("k"), F.lit(batches)).alias("batch"), place("").alias("capture"), F.array_compact(holds).alias("files"))
+    folder, read = new_folder(spark, "captures"), f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}"
     for n in range(batches):
-        folder, own = new_folder(spark, "captures"), p.where(F.pmod(F.xxhash64("k"), F.lit(batches)) == n)
-        rows = own.select(place("/capture.json").alias("path"), F.expr(RECORD).alias("content"))
-        rows = rows.unionByName(own.select(place("/sources/a/warc/x.warc.gz").alias("path"), F.lit("w").alias("content")))
-        rows = rows.unionByName(own.where("k % 6 < 2").select(place("/sources/b/mirror/i.html").alias("path"), F.lit("m").alias("content")))
-        write_files(rows, folder)
-        tables = [written(t, f"{at}/{n}") for at, t in zip(read, files.captured(spark, folder))]
-        _remove(own.select(place("").alias("capture")), folder)
-    records, listed = (spark.read.schema(t.schema).parquet(f"{at}/*") for at, t in zip(read, tables))
+        _turn(rows, n, folder)
+        records, listed = files.captured(spark, folder)
+        both = records.withColumn("path", F.lit(None).cast("string")).unionByName(listed, allowMissingColumns=True)
+        kept = written(both.coalesce(spark.sparkContext.defaultParallelism), f"{read}/{n}")
+    _turn(rows, batches, folder)
+    shutil.rmtree(folder, ignore_errors=True)
+    kept = spark.read.schema(kept.schema).parquet(f"{read}/*")
+    records, listed = kept.where("path is null").select("capture", "document"), kept.where("path is not null").select("capture", "path")
     kinds = p.where("k % 10 <> 1").select(place("").alias("capture"), F.lit("b").alias("source_id"), F.expr("if(k % 4 = 0, 'http-file', 'web')").alias("kind"))
     return capture_record.verified(records, listed, kinds)
 
 
-def _remove(captures, folder: str) -> None:
-    """Remove captures by the cluster, then the folder."""
+def _turn(rows, n: int, folder: str) -> None:
+    """The captures of batch n take the place of those of the batch before, by the cluster. ``rows``: batch, capture, files (path, content).
+    A capture's folder goes to one with the same paths, whose files are then written; what nobody takes is removed."""
 
     def run(batches):
+        spare = {}
         for b in batches:
-            for name in b["capture"]:
-                shutil.rmtree(os.path.join(folder, name), ignore_errors=True)  # a task that runs twice finds them gone
-            yield b[:0]
-
-    captures.mapInPandas(run, captures.schema).count()
-    shutil.rmtree(folder, ignore_errors=True)
+            for batch, name, held in zip(b["batch"], b["capture"], b["files"]):
+                held = {f["path"]: f["content"] for f in held}
+                alike = spare.setdefault(tuple(sorted(held)), [])
+                if batch < n:
+                    alike.append(name)
+                else:
+                    _take(os.path.join(folder, name), held, alike)
+            yield b[["capture"]][:0]
+        for name in (name for alike in spare.values() for name in alike):
+            shutil.rmtree(os.path.join(folder, name), ignore_errors=True)  # a task that runs twice finds them gone
+
+    own = rows.where(F.col("batch").isin(n - 1, n)).repartition(rows.sparkSession.sparkContext.defaultParallelism * 2, "capture")
+    own.sortWithinPartitions("batch").mapInPandas(run, "capture string").count()
+
+
+def _take(at: str, held: dict, spare: list) -> None:
+    """Write a capture's files, into a spare folder with the same paths if there is one."""
+    if spare:
+        with contextlib.suppress(OSError):  # a task that runs twice finds it taken
+            os.rename(os.path.join(os.path.dirname(at), spare.pop()), at)
+    for path, content in held.items():
+        file = os.path.join(at, path)
+        try:
+            to = os.open(file, os.O_WRONLY | os.O_CREAT, 0o666)
+        except FileNotFoundError:
+            os.makedirs(os.path.dirname(file), exist_ok=True)
+            to = os.open(file, os.O_WRONLY | os.O_CREAT, 0o666)
+        with open(to, "wb") as f:
+            f.write(content.encode())
+            f.truncate()
 
 
 def capture_roles(spark, sf_dir):

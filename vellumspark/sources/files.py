@@ -6,6 +6,7 @@ mounted on the executors as a preservation archive is.
 """
 
 import hashlib
+import itertools
 import json
 import os
 import stat
@@ -21,6 +22,8 @@ from vellumspark.operators.inventory import EMPTY_SHA256
 LISTING = "path string, type string, size long, mtime_ns long, inode long"
 WARNINGS = "path string, warning string"
 BLOCK = 1 << 20
+#: Paths that a task holds at once.
+LISTED = 10_000
 
 
 class ListingError(ValueError):
@@ -189,17 +192,24 @@ def captured(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     The driver lists the captures, the cluster each one's files; a link or special file is an error, a record that is missing or no UTF-8 null."""
     names = sorted(e.name for e in os.scandir(root) if e.is_dir(follow_symlinks=False))
 
+    def paths(name):
+        todo = [""]
+        while todo:
+            at = todo.pop()
+            with os.scandir(os.path.join(root, name, at)) as entries:
+                for e in entries:
+                    if e.is_dir(follow_symlinks=False):
+                        todo.append(f"{at}{e.name}/")
+                    elif e.is_file(follow_symlinks=False):
+                        yield name, f"{at}{e.name}"
+                    else:
+                        raise ListingError(f"{e.path} is no regular file")
+
     def run(batches):
         for b in batches:
-            for name in b["capture"]:
-                base, rows = os.path.join(root, name), []
-                for folder, _, found in os.walk(base):
-                    for f in found:
-                        at = os.path.join(folder, f)
-                        if not stat.S_ISREG(os.lstat(at).st_mode):
-                            raise ListingError(f"{at} is no regular file")
-                        rows.append((name, os.path.relpath(at, base)))
-                yield pd.DataFrame(rows, columns=["capture", "path"])
+            rows = (row for name in b["capture"] for row in paths(name))
+            while some := list(itertools.islice(rows, LISTED)):
+                yield pd.DataFrame(some, columns=["capture", "path"])
 
     def document(name):
         try:
