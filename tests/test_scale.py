@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from vellumspark.operators import catalogue, publish
+from vellumspark.operators import capture_record, catalogue, publish
 from vellumspark.plans import file_queries, record_queries, registry
 from vellumspark.sources import access, files, json_parts
 from vellumspark.sources.files import ListingError
@@ -122,6 +122,30 @@ def test_files_of_captures_are_listed_and_links_to_folders_are_errors(spark, tmp
         files.captured(spark, str(tmp_path))[1].count()
 
 
+def test_records_and_listing_of_captures_are_read_once(spark, tmp_path):
+    def told(rows, schema, name):
+        at = str(tmp_path / name)
+
+        def run(batches):
+            for b in batches:
+                with open(at, "a") as f:
+                    f.write("x" * len(b))
+                yield b
+
+        return spark.createDataFrame(rows, schema).coalesce(1).mapInPandas(run, schema)
+
+    role = '{"path":"capture.json","role":"metadata"}'
+    documents = ["[]", '{"schema_version":9}', '{"schema_version":3}', "{}", f'{{"schema_version":3,"payload_roles":[{role}]}}', f'{{"schema_version":3,"payload_roles":[{role},{role},{{"a":1}},{{"b":1}}]}}', None]
+    records = told([(f"c{k}", d) for k, d in enumerate(documents)], "capture string, document string", "records")
+    listed = told([(f"c{k}", "capture.json") for k in range(len(documents))], "capture string, path string", "files")
+    good, bad = capture_record.verified(records, listed, spark.createDataFrame([], "capture string, source_id string, kind string"))
+    assert sorted(tuple(r) for r in good.collect()) == [("c3", 1, "capture.json", "metadata", False), ("c4", 3, "capture.json", "metadata", True)]
+    assert sorted(((r["capture"], r["problem"], r["detail"]) for r in bad.collect()), key=str) == [
+        ("c0", "no object", None), ("c1", "unknown schema", "9"), ("c2", "no list of roles", None), ("c5", "no path and role", "2"), ("c5", "no path and role", "3"), ("c5", "repeated path", "capture.json"), ("c6", "no object", None),
+    ]
+    assert (tmp_path / "records").stat().st_size == (tmp_path / "files").stat().st_size == len(documents)
+
+
 def test_claims_are_not_synced(tmp_path, monkeypatch):
     synced = []
     monkeypatch.setattr(publish.os, "fsync", synced.append)

@@ -3,11 +3,12 @@
 Problems come as rows with an ordinal, so that their order is kept wherever they are joined or counted.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.functions.urls import CAPTURE_ID, rfc3339, safe_id, safe_relative
 from vellumspark.operators import roles
+from vellumspark.sources.shared import written
 
 # Schemas of capture.json, statuses of a reader, limits of its output.
 SCHEMAS = ["1", "2", "3"]
@@ -36,12 +37,12 @@ def stated_roles(parsed_records: DataFrame) -> DataFrame:
     e = parsed_records.where("version = 3").select("capture", F.posexplode(listed).alias("place", "entry"))
     shaped = F.schema_of_variant("entry").isin("OBJECT<path: STRING, role: STRING>")
     e = e.select("capture", "place", *[F.when(shaped, F.try_variant_get("entry", f"$.{k}", "string")).alias(k) for k in ("path", "role")])
-    first = e.where("path is not null").groupBy("capture", "path").agg(F.min("place").alias("first"))
+    first = F.min("place").over(Window.partitionBy("capture", "path"))
     problem = (
-        F.when(F.col("path").isNull(), "no path and role").when(~safe_relative(F.col("path")), "unsafe path").when(F.col("place") > F.col("first"), "repeated path")
+        F.when(F.col("path").isNull(), "no path and role").when(~safe_relative(F.col("path")), "unsafe path").when(F.col("place") > F.col("_first"), "repeated path")
         .when(~F.col("role").isin(roles.ORIGINAL, roles.DERIVATIVE, roles.METADATA), "unknown role").when((F.col("role") != roles.METADATA) & ~roles.is_payload(F.col("path")), "role of a payload")
     )
-    return e.join(first, ["capture", "path"], "left").select("capture", "place", "path", "role", problem.alias("problem"))
+    return e.withColumn("_first", first).select("capture", "place", "path", "role", problem.alias("problem"))
 
 
 def _kinds(files: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -56,11 +57,15 @@ def verified(records: DataFrame, files: DataFrame, kinds: DataFrame) -> tuple[Da
 
     ``records``: capture, document. ``files``: capture, path. ``kinds``: capture, source_id, kind.
     Roles are stated by schema 3, and must then name each file once; before, places and kinds tell them.
+    What is used more than once is written to the shared folder: records are parsed once, files joined once.
     """
-    p = parsed(records)
-    known = p.select("capture", "version")
-    entries = stated_roles(p)
-    f = files.select("capture", "path").join(known, "capture")
+    record, version = F.col("record"), F.col("version")
+    is_object, has = F.coalesce(F.schema_of_variant(record).startswith("OBJECT"), F.lit(False)), F.try_variant_get(record, "$.payload_roles", "array<variant>").isNotNull()
+    schema = F.when(version.isNull(), F.try_variant_get(record, "$.schema_version", "string"))
+    p = written(parsed(records).select("capture", "version", is_object.alias("_object"), schema.alias("_schema"), (has & (version == 3)).alias("_has"), F.when(version == 3, record).alias("record")))
+    known = p.drop("record")
+    entries = written(stated_roles(p))
+    f = written(files.select("capture", "path").join(known.select("capture", "version", "_has"), "capture"))
     listed = entries.where("path is not null").select("capture", "path").distinct()
     older = _kinds(f.where("version < 3").select("capture", "path"), kinds)
     ordinal = lambda stage, place: F.struct(F.lit(STAGES.index(stage)).alias("stage"), place.cast("long").alias("place"), F.coalesce(F.col("detail"), F.lit("")).alias("at"))
@@ -70,19 +75,19 @@ def verified(records: DataFrame, files: DataFrame, kinds: DataFrame) -> tuple[Da
         return out.select("capture", ordinal(stage, F.col("_place")).alias("ordinal"), "problem", "detail")
 
     none, said = F.lit(None), F.lit
-    whole = p.where("version is null")
-    is_object = F.coalesce(F.schema_of_variant("record").startswith("OBJECT"), F.lit(False))
-    problems = rows(whole.where(~is_object), "document", said("no object"), none)
-    problems = problems.unionByName(rows(whole.where(is_object), "schema", said("unknown schema"), F.try_variant_get("record", "$.schema_version", "string")))
-    problems = problems.unionByName(rows(p.where((F.col("version") == 3) & F.try_variant_get("record", "$.payload_roles", "array<variant>").isNull()), "roles", said("no list of roles"), none))
+    whole = known.where("version is null")
+    problems = rows(whole.where("not _object"), "document", said("no object"), none)
+    problems = problems.unionByName(rows(whole.where("_object"), "schema", said("unknown schema"), F.col("_schema")))
+    problems = problems.unionByName(rows(known.where("version = 3 and not _has"), "roles", said("no list of roles"), none))
     problems = problems.unionByName(rows(entries.where("problem is not null"), "entry", F.col("problem"), F.coalesce("path", F.col("place").cast("string")), F.col("place")))
-    stated = f.where("version = 3").join(p.select("capture", F.try_variant_get("record", "$.payload_roles", "array<variant>").isNotNull().alias("_has")).where("_has"), "capture").select("capture", "path")
+    stated = f.where("_has").select("capture", "path")
     problems = problems.unionByName(rows(stated.join(listed, ["capture", "path"], "left_anti"), "no role", said("no role"), F.col("path")))
     problems = problems.unionByName(rows(listed.join(f.select("capture", "path"), ["capture", "path"], "left_anti"), "no file", said("no file"), F.col("path")))
     mirrored = roles._in_source(F.col("path"), "mirror") & F.col("kind").isNull()
     problems = problems.unionByName(rows(older.where(mirrored).select("capture", "source_id").distinct(), "kind", said("unknown kind"), F.col("source_id")))
+    problems = written(problems)
     # One row per capture is enough for the test of membership; files may be many.
-    fine = known.where("version is not null").join(problems.select("capture").distinct(), "capture", "left_anti")
+    fine = known.where("version is not null").select("capture", "version").join(problems.select("capture").distinct(), "capture", "left_anti")
     by_record = entries.select("capture", "path", "role", F.lit(True).alias("stated"))
     by_place = older.select("capture", "path", roles.inferred_role(F.col("path"), F.col("kind")).alias("role"), F.lit(False).alias("stated"))
     return by_record.unionByName(by_place).join(fine, "capture").select("capture", "version", "path", "role", "stated"), problems

@@ -42,7 +42,7 @@ def _captures(spark, sf_dir):
         kept = written(both.coalesce(spark.sparkContext.defaultParallelism), f"{read}/{n}")
     _turn(rows, batches, folder)
     shutil.rmtree(folder, ignore_errors=True)
-    kept = spark.read.schema(kept.schema).parquet(f"{read}/*")
+    kept = spark.read.schema(kept.schema).parquet(f"{read}/*").coalesce(spark.sparkContext.defaultParallelism * 4)  # each batch left small files
     records, listed = kept.where("path is null").select("capture", "document"), kept.where("path is not null").select("capture", "path")
     kinds = p.where("k % 10 <> 1").select(place("").alias("capture"), F.lit("b").alias("source_id"), F.expr("if(k % 4 = 0, 'http-file', 'web')").alias("kind"))
     return capture_record.verified(records, listed, kinds)
